@@ -44,3 +44,13 @@ def group(df: DataFrame, keys: Sequence[str]):
 def first_of(df: DataFrame, order: Sequence[Column], n: int = 1) -> DataFrame:
     """Top-n rows by an ordering (TakeOrderedAndProject: each task keeps n rows)."""
     return df.orderBy(*order).limit(n)
+
+
+def join_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys``; with no keys both sides are single aggregate rows."""
+    return a.join(b, list(keys), how) if keys else join_one_row(a, b)
+
+
+def join_one_row(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row aggregate ``b`` to ``a`` (equi-join on a constant key)."""
+    return a.withColumn("_one", F.lit(1)).join(F.broadcast(b.withColumn("_one", F.lit(1))), "_one").drop("_one")

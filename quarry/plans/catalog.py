@@ -36,4 +36,5 @@ def load_all() -> None:
     # Importing the modules registers their queries.
     from quarry.plans import (  # noqa: F401
         queries_inventory,
+        queries_series,
     )

@@ -172,7 +172,7 @@ def q_campaign_effect(spark, sf):
 
 
 @query("transfer_suggestions", """
-WITH rows_ AS (SELECT * FROM sales_month WHERE sales > 0 AND stock IS NOT NULL),
+, rows_ AS (SELECT * FROM sales_month WHERE sales > 0 AND stock IS NOT NULL),
 last_ AS (SELECT *, CASE WHEN stock / sales < 1 THEN 'stockout_risk' WHEN stock / sales <= 2 THEN 'balanced' ELSE 'excess' END AS st
           FROM rows_ WHERE date = (SELECT max(date) FROM rows_))
 SELECT s.product, s.region AS from_region, d.region AS to_region,

@@ -75,13 +75,13 @@ def sales_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sales_fact at (month, region, product) grain: partial aggregation before the shuffle."""
     return (
         sales_fact(spark, sf_dir)
-        .groupBy(F.date_trunc("month", "date").alias("date"), "region", "product")
+        .groupBy(F.trunc(F.to_date("date"), "month").cast("timestamp_ntz").alias("date"), "region", "product")
         .agg(F.sum("sales").alias("sales"), F.sum("stock").alias("stock"))
     )
 
 
 SALES_MONTH_SQL = """
-SELECT date_trunc('month', date) AS date, region, product, SUM(sales) AS sales, SUM(stock) AS stock
+SELECT CAST(date_trunc('month', date) AS TIMESTAMP) AS date, region, product, SUM(sales) AS sales, SUM(stock) AS stock
 FROM sales_fact GROUP BY 1, 2, 3
 """
 
