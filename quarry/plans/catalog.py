@@ -37,6 +37,7 @@ def load_all() -> None:
     from quarry.plans import (  # noqa: F401
         queries_inventory,
         queries_finance,
+        queries_forecast,
         queries_quality,
         queries_series,
     )
