@@ -41,4 +41,5 @@ def load_all() -> None:
         queries_forecast,
         queries_quality,
         queries_series,
+        queries_transport,
     )
