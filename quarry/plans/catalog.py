@@ -39,6 +39,7 @@ def load_all() -> None:
         queries_diagnostics,
         queries_finance,
         queries_forecast,
+        queries_ingest,
         queries_quality,
         queries_series,
         queries_transport,

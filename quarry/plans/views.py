@@ -170,6 +170,8 @@ def with_views(sql: str, *names: str) -> str:
             ctes.append(f"sales_fact AS ({SALES_FACT_SQL})")
         elif n == "sales_month":
             ctes.append(f"sales_month AS ({SALES_MONTH_SQL})")
+        elif n == "raw_orders":
+            ctes.append(f"raw_orders AS ({RAW_ORDERS_SQL})")
         elif n == "event_points":
             ctes.append(f"event_points AS ({EVENT_POINTS_SQL})")
         elif n in TRANSPORT_SQL:
@@ -177,3 +179,50 @@ def with_views(sql: str, *names: str) -> str:
         else:
             raise ValueError(n)
     return "WITH " + ",\n".join(ctes) + "\n" + sql
+
+
+def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` rendered as an all-text upload (what a delimited file read yields).
+
+    Messy on purpose: currency amounts, European-formatted amounts, percent
+    strings, yes/no tokens, two date-like columns, blank strings, and rows that
+    are entirely empty (every field NULL) for about 1 % of the orders.
+    """
+    o = table(spark, sf_dir, "orders")
+    empty = (F.col("o_orderkey") % 101) == 0
+    whole = F.floor("o_totalprice").cast("bigint")
+
+    def blank_if_empty(c):
+        return F.when(empty, F.lit(None).cast("string")).otherwise(c)
+
+    cols = {
+        "order_id": F.col("o_orderkey").cast("string"),
+        "order_date": F.to_date("o_orderdate").cast("string"),
+        "updated_at": F.concat(F.to_date("o_orderdate").cast("string"), F.lit(" 00:00:00")),
+        "status": F.col("o_orderstatus"),
+        "priority": F.when(F.col("o_orderpriority") == "5-LOW", F.lit("  ")).otherwise(F.col("o_orderpriority")),
+        "total_price": F.when(F.col("o_orderkey") % 10 == 0, F.lit(None).cast("string")).otherwise(
+            F.concat(F.lit("$"), F.format_number(whole, 0))),
+        "total_eu": F.concat(F.regexp_replace(F.format_number(whole, 0), ",", "."), F.lit(",00")),
+        "discount": F.concat((whole % 50).cast("string"), F.lit("%")),
+        "is_final": F.when(F.col("o_orderstatus") == "F", "yes").when(F.col("o_orderstatus") == "O", "no"),
+        "customer": F.col("o_custkey").cast("string"),
+    }
+    return o.select(*[blank_if_empty(c).alias(n) for n, c in cols.items()])
+
+
+RAW_ORDERS_SQL = """
+SELECT CASE WHEN o_orderkey % 101 = 0 THEN NULL ELSE CAST(o_orderkey AS VARCHAR) END AS order_id,
+       CASE WHEN o_orderkey % 101 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS order_date,
+       CASE WHEN o_orderkey % 101 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || ' 00:00:00' END AS updated_at,
+       CASE WHEN o_orderkey % 101 = 0 THEN NULL ELSE o_orderstatus END AS status,
+       CASE WHEN o_orderkey % 101 = 0 THEN NULL WHEN o_orderpriority = '5-LOW' THEN '  ' ELSE o_orderpriority END AS priority,
+       CASE WHEN o_orderkey % 101 = 0 THEN NULL WHEN o_orderkey % 10 = 0 THEN NULL
+            ELSE '$' || format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) END AS total_price,
+       CASE WHEN o_orderkey % 101 = 0 THEN NULL
+            ELSE replace(format('{:,}', CAST(floor(o_totalprice) AS BIGINT)), ',', '.') || ',00' END AS total_eu,
+       CASE WHEN o_orderkey % 101 = 0 THEN NULL ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) % 50 AS VARCHAR) || '%' END AS discount,
+       CASE WHEN o_orderkey % 101 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN 'yes' WHEN o_orderstatus = 'O' THEN 'no' END AS is_final,
+       CASE WHEN o_orderkey % 101 = 0 THEN NULL ELSE CAST(o_custkey AS VARCHAR) END AS customer
+FROM orders
+"""
