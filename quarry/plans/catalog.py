@@ -42,5 +42,6 @@ def load_all() -> None:
         queries_ingest,
         queries_quality,
         queries_series,
+        queries_store,
         queries_transport,
     )
