@@ -36,6 +36,7 @@ def load_all() -> None:
     # Importing the modules registers their queries.
     from quarry.plans import (  # noqa: F401
         queries_inventory,
+        queries_narrative,
         queries_diagnostics,
         queries_finance,
         queries_forecast,
