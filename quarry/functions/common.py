@@ -54,3 +54,18 @@ def join_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner
 def join_one_row(a: DataFrame, b: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate ``b`` to ``a`` (equi-join on a constant key)."""
     return a.withColumn("_one", F.lit(1)).join(F.broadcast(b.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin small inputs over all cores before CPU-heavy per-row work.
+
+    Only applies when the input has fewer partitions than the default
+    parallelism (a single small file); large inputs are left untouched.
+    """
+    sc = df.sparkSession.sparkContext
+    try:
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - plan without an RDD view
+        return df
+    target = sc.defaultParallelism
+    return df.repartition(target) if parts < target else df

@@ -13,6 +13,10 @@ total order for deterministic results) and optional ``keys``.
 3. counts per (key, bucket) -> running sum per key = offset of each bucket;
 4. index = offset + row_number() inside (key, bucket).
 
+The bucketed rows are checkpointed (``spark.checkpoint.dir``) once, so the
+input plan runs once for the sample and once for the checkpoint, never per
+branch.
+
 A hot key is therefore split over many (key, bucket) window partitions and
 no task ever holds more than about total/buckets rows.  All steps are
 deterministic functions of the data, so recomputation after an executor loss
@@ -32,6 +36,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.session import checkpoint_dir
+
 DEFAULT_BUCKET_ROWS = 1 << 18
 SAMPLE_PER_BUCKET = 20
 MAX_BUCKETS = 4096
@@ -42,13 +48,21 @@ def _num_partitions(df: DataFrame) -> int:
 
 
 def _encode(df: DataFrame, c: str) -> Column:
-    """Monotone (non-decreasing) encoding of a column into double or string; NULL sorts first."""
+    """Monotone (non-decreasing) encoding of a column into double or string; NULL sorts first.
+
+    Timestamps become seconds from calendar fields (day number, hour, minute,
+    second), which is independent of the session time zone.
+    """
     t = df.schema[c].dataType
+    x = F.col(c)
     if isinstance(t, T.NumericType) or isinstance(t, T.BooleanType):
-        return F.coalesce(F.col(c).cast("double"), F.lit(float("-inf")))
-    if isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.coalesce(F.date_format(F.col(c), "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(""))
-    return F.coalesce(F.col(c).cast("string"), F.lit(""))
+        return F.coalesce(x.cast("double"), F.lit(float("-inf")))
+    if isinstance(t, T.DateType):
+        return F.coalesce(F.unix_date(x).cast("double"), F.lit(float("-inf")))
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        secs = F.unix_date(F.to_date(x)).cast("double") * 86400.0 + F.hour(x) * 3600 + F.minute(x) * 60 + F.second(x)
+        return F.coalesce(secs, F.lit(float("-inf")))
+    return F.coalesce(x.cast("string"), F.lit(""))
 
 
 def _bucket_expr(enc: Column, bounds: list[tuple], names: list[str]) -> Column:
@@ -64,12 +78,17 @@ def _bucket_expr(enc: Column, bounds: list[tuple], names: list[str]) -> Column:
 
 
 def split_points(df: DataFrame, enc: Column, buckets: int) -> list[tuple]:
-    """``buckets - 1`` split tuples from a bounded random sample (one count + one sample job)."""
-    total = df.count()
-    if total == 0 or buckets <= 1:
+    """``buckets - 1`` split tuples from a bounded uniform random sample, in one job.
+
+    The sample is the K rows with the smallest random tag (top-K: every task
+    keeps K rows, the driver merges), so its size is K whatever the data size.
+    The bounds only balance the buckets; the numbering is exact regardless.
+    """
+    if buckets <= 1:
         return []
-    frac = min(1.0, SAMPLE_PER_BUCKET * buckets / total)
-    sample = sorted(tuple(r[0]) for r in df.select(enc.alias("e")).sample(fraction=frac, seed=7).collect())
+    k = SAMPLE_PER_BUCKET * buckets
+    picked_rows = df.select(enc.alias("e"), F.rand(7).alias("_r")).orderBy("_r").limit(k).collect()
+    sample = sorted(tuple(r["e"]) for r in picked_rows)
     if not sample:
         return []
     step = len(sample) / buckets
@@ -89,11 +108,19 @@ def with_row_index(
     buckets: int | None = None,
 ) -> DataFrame:
     keys, order_by = list(keys), list(order_by)
-    names = [f"k{i}" for i in range(len(keys) + len(order_by))]
-    enc = F.struct(*[_encode(df, c).alias(n) for c, n in zip([*keys, *order_by], names)])
+    # bucket on the keys + a prefix of the order: monotone in the full order, ties share a bucket
+    enc_cols = [*keys, *order_by[:2]]
+    names = [f"k{i}" for i in range(len(enc_cols))]
+    enc = F.struct(*[_encode(df, c).alias(n) for c, n in zip(enc_cols, names)])
     n = min(MAX_BUCKETS, buckets or _num_partitions(df))
     bounds = split_points(df, enc, n)
-    tagged = df.withColumn("_b", _bucket_expr(enc, bounds, names) if bounds else F.lit(0))
+    # Bucketed rows are shuffled once on (keys, bucket) and checkpointed to the
+    # shared checkpoint folder: the counts, the join and the window all read
+    # that copy (the input is computed once), and lineage is cut so a lost
+    # executor does not recompute the input.
+    checkpoint_dir(df.sparkSession)
+    tagged = (df.withColumn("_b", _bucket_expr(enc, bounds, names) if bounds else F.lit(0))
+              .repartition(n, *keys, "_b").checkpoint(eager=True))
     counts = tagged.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     wk = Window.partitionBy(*keys).orderBy("_b") if keys else Window.orderBy("_b")
     offsets = counts.select(

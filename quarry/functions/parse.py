@@ -48,10 +48,8 @@ def text(c: Column) -> Column:
 
 
 def numeric_body(c: Column) -> Column:
-    """Strip blanks, sign, one currency symbol and a trailing percent."""
-    s = F.trim(text(c))
-    s = F.regexp_replace(s, rf"^[+\-]?\s*[{CURRENCY}]?\s*", "")
-    return F.regexp_replace(s, r"\s*%$", "")
+    """Strip blanks, sign, one currency symbol and a trailing percent (one regex)."""
+    return F.regexp_extract(F.trim(text(c)), rf"^[+\-]?\s*[{CURRENCY}]?\s*(.*?)\s*%?$", 1)
 
 
 def is_negative(c: Column) -> Column:
@@ -70,8 +68,8 @@ def _finite(x: Column) -> Column:
 
 def parse_numeric_body(b: Column, negative: Column, european: Column | bool, keep_sign: bool = True) -> Column:
     """``parse_numeric`` on an already stripped body (see ``numeric_body``)."""
-    eu = F.regexp_replace(F.regexp_replace(b, r"\.", ""), ",", ".")
-    plain = F.regexp_replace(b, ",", "")
+    eu = F.translate(F.translate(b, ".", ""), ",", ".")
+    plain = F.translate(b, ",", "")
     eu_flag = F.lit(european) if isinstance(european, bool) else european
     cleaned = F.when(eu_flag, F.when(b.rlike(EURO_PATTERN), eu).otherwise(b)).otherwise(plain)
     x = _finite(cleaned.try_cast("double"))
@@ -107,7 +105,12 @@ def parse_datetime(c: Column, fmt: str) -> Column:
     """Wall-clock TIMESTAMP_NTZ for one layout; NULL when it does not match (zone-independent round trip)."""
     parsed = F.try_to_timestamp(text(c), F.lit(fmt)).cast("timestamp_ntz")
     shape = DATETIME_SHAPES.get(fmt)
-    return parsed if shape is None else F.when(text(c).rlike(shape), parsed)
+    return parsed if shape is None else F.when(looks_like_date(c) & text(c).rlike(shape), parsed)
+
+
+def looks_like_date(c: Column) -> Column:
+    """One cheap test shared by all layouts: digits, a separator, digits, a separator."""
+    return text(c).rlike(r"^\d{1,4}[-/.]\d{1,2}[-/.]\d")
 
 
 def name_score(name: str) -> float:

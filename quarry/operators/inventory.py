@@ -177,6 +177,7 @@ def inventory_case(
     keys: Sequence[str] = ("region", "product"),
     window: int = 7,
     z_threshold: float = 2.0,
+    with_rolling: bool = True,
 ) -> DataFrame:
     """Clean rows, stock ratio / risk / status, z-score within key, 7-row rolling demand.
 
@@ -201,6 +202,9 @@ def inventory_case(
     scored = clean.join(stats, keys).withColumn("sales_zscore", z).drop("_mean", "_std")
     scored = scored.withColumn("anomaly_flag", F.when(F.abs("sales_zscore") >= z_threshold, "anomaly").otherwise("normal"))
 
+    if not with_rolling:
+        # summaries (J12-J14, J18) never read the rolling demand; skip its row index
+        return scored
     indexed = with_row_index(scored, order_by, keys=keys, idx="_idx")
     out = rolling(indexed, keys, "_idx", window, lambda w: {"rolling_demand_7": F.avg("sales").over(w)})
     return out.drop("_idx")

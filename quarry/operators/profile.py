@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import parse as P
+from quarry.functions.common import spread
 
 SAMPLE_SIZE = 5
 SAMPLE_BUCKETS = 64
@@ -97,6 +98,7 @@ def profile_columns(df: DataFrame) -> DataFrame:
     Type priority: boolean -> datetime (ratio >= 0.60) -> numeric (>= 0.70) -> text.
     Native typed columns keep their type (ratio 1.0).
     """
+    df = spread(df)
     st = column_stats(df).join(distinct_and_samples(df), "column")
     nn = F.col("non_null")
     dt_best = F.array_max(F.col("dt_counts"))

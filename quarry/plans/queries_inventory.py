@@ -30,8 +30,8 @@ inv_case AS (
 """
 
 
-def _case(spark, sf):
-    return inv.inventory_case(sales_fact(spark, sf), SALES_ORDER)
+def _case(spark, sf, with_rolling=False):
+    return inv.inventory_case(sales_fact(spark, sf), SALES_ORDER, with_rolling=with_rolling)
 
 
 def _with_case(sql: str) -> str:
@@ -128,7 +128,7 @@ def q_error_rate_daily(spark, sf):
 
 @query("inventory_case", _with_case("SELECT * FROM inv_case"))
 def q_inventory_case(spark, sf):
-    return _case(spark, sf)
+    return _case(spark, sf, with_rolling=True)
 
 
 @query("inventory_kpis", _with_case("""
