@@ -52,8 +52,13 @@ def join_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner
 
 
 def join_one_row(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate ``b`` to ``a`` (equi-join on a constant key)."""
-    return a.withColumn("_one", F.lit(1)).join(F.broadcast(b.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    """Attach the columns of a one-row aggregate ``b`` to ``a``.
+
+    ``b`` is packed into one struct and inlined as a scalar subquery (computed
+    once), so no join - and no cross join - appears in the plan.
+    """
+    packed = b.select(F.struct(*[F.col(f"`{c}`") for c in b.columns]).alias("_s")).scalar()
+    return a.select("*", *[packed.getField(c).alias(c) for c in b.columns])
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.common import group, num
+from quarry.functions.common import group, join_one_row, num
 from quarry.functions.stats import adf_p_value, t_p_value_udf
 
 # Fixed thresholds of the diagnostic labels.
@@ -239,8 +239,7 @@ def simulate_price_change(df: DataFrame, elasticity: DataFrame, changes: Sequenc
     """
     keys = list(keys)
     base = group(df, keys).agg(F.avg(num(price)).alias("avg_price"), F.avg(num(sales)).alias("avg_sales"))
-    base = base.join(elasticity.select(*keys, "elasticity"), keys) if keys else base.withColumn("_o", F.lit(1)).join(
-        F.broadcast(elasticity.select("elasticity").withColumn("_o", F.lit(1))), "_o").drop("_o")
+    base = base.join(elasticity.select(*keys, "elasticity"), keys) if keys else join_one_row(base, elasticity.select("elasticity"))
     grid = base.withColumn("price_change", F.explode(F.array(*[F.lit(float(c)) for c in changes])))
     old = F.col("avg_price") * F.col("avg_sales")
     new = F.col("avg_price") * (1 + F.col("price_change")) * F.col("avg_sales") * (1 + F.col("elasticity") * F.col("price_change"))
