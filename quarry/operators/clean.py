@@ -60,10 +60,13 @@ def sanitize_text(c: Column) -> Column:
     return F.nullif(F.trim(c.cast("string")), F.lit(""))
 
 
-def typed(df: DataFrame, roles: Roles, null_as_false: bool = True) -> DataFrame:
+def typed(df: DataFrame, roles: Roles, null_as_false: bool = True, passthrough: list[str] | None = None) -> DataFrame:
     """Cast numeric / boolean / datetime columns, sanitize text; raw copies kept as ``_raw_<col>``."""
-    cols = []
+    passthrough = list(passthrough or [])
+    cols = [F.col(f"`{c}`") for c in passthrough]
     for c in df.columns:
+        if c in passthrough:
+            continue
         src = F.col(f"`{c}`")
         cols.append(src.alias(f"_raw_{c}"))
         if c == roles.datetime:
@@ -86,14 +89,16 @@ def build_payload(t: DataFrame, roles: Roles, columns: list[str]) -> Column:
     return F.to_json(F.struct(*[F.col(f"`{c}`") for c in keep]), {"ignoreNullFields": "false"})
 
 
-def records(df: DataFrame, roles: Roles, null_as_false: bool = True) -> DataFrame:
+def records(df: DataFrame, roles: Roles, null_as_false: bool = True, keep: list[str] | None = None) -> DataFrame:
     """Records ``(timestamp, payload, is_valid, ts_failed)`` from the non-empty rows.
 
     Validity (C8, build rule): the payload has at least one non-null value and,
     when a datetime column exists, its timestamp parsed.
     """
-    columns = df.columns
-    t = typed(drop_empty_rows(df), roles, null_as_false)
+    keep = list(keep or [])
+    columns = [c for c in df.columns if c not in keep]
+    nonempty = df.na.drop("all", subset=columns)  # C1 on the data columns; kept columns pass through
+    t = typed(nonempty, roles, null_as_false, passthrough=keep)
     payload_cols = [c for c in columns if c != roles.datetime]
     has_value = F.lit(False)
     for c in payload_cols:

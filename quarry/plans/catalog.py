@@ -18,6 +18,23 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _bigint_counts(sql: str) -> str:
+    """Wrap every ``count_if(...)`` in ``CAST(... AS BIGINT)`` (DuckDB returns HUGEINT; Spark returns BIGINT)."""
+    out, i, token = [], 0, "count_if("
+    while True:
+        j = sql.find(token, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + len(token)
+        while depth and k < len(sql):
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(sql[i:j])
+        out.append(f"CAST(count_if({_bigint_counts(sql[j + len(token):k - 1])}) AS BIGINT)")
+        i = k
+
+
 def query(name: str, sql: str | None = None, views: Sequence[str] = ()):
     """Register ``fn`` under ``name``; ``sql`` (optional) is its oracle."""
 
@@ -26,7 +43,8 @@ def query(name: str, sql: str | None = None, views: Sequence[str] = ()):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = with_views(sql, *views) if views else sql
+            text = with_views(sql, *views) if views else sql
+            ORACLE[name] = _bigint_counts(text)
         return fn
 
     return deco

@@ -105,7 +105,7 @@ def q_elasticity_label(spark, sf):
 
 @query("price_scenarios", ELAST + f""",
 b AS (SELECT category, avg(price) AS avg_price, avg(sales) AS avg_sales FROM sales_fact GROUP BY category),
-g AS (SELECT b.category, c AS price_change, el.elasticity, avg_price * avg_sales AS old_revenue,
+g AS (SELECT b.category, CAST(c AS DOUBLE) AS price_change, el.elasticity, avg_price * avg_sales AS old_revenue,
              avg_price * (1 + c) * avg_sales * (1 + el.elasticity * c) AS new_revenue
       FROM b JOIN el ON b.category = el.category, unnest([{", ".join(str(c) for c in CHANGES)}]) t(c))
 SELECT category, price_change, elasticity, old_revenue, new_revenue, new_revenue - old_revenue AS impact,

@@ -62,7 +62,7 @@ def profile_sql() -> str:
         best = f"greatest({', '.join(dts)})"
         fmt = "CASE " + " ".join(f"WHEN {d} = {best} THEN '{q(sf)}'" for d, (sf, _) in zip(dts, P.DATETIME_FORMATS)) + " END"
         parts.append(f"""
-SELECT {i} AS ordinal, '{c}' AS "column", {P.name_score(c)!r} AS name_score, count_if({s_euro_row(c)}) > 0 AS european,
+SELECT {i} AS ordinal, '{c}' AS "column", CAST({P.name_score(c)!r} AS DOUBLE) AS name_score, count_if({s_euro_row(c)}) > 0 AS european,
        count(*) AS total_count, count({c}) AS non_null, count(*) - count({c}) AS null_count,
        count(DISTINCT {c}) AS unique_count,
        CASE WHEN count(*) > 0 THEN (count(*) - count({c})) / count(*) ELSE 1.0 END AS null_ratio,
@@ -162,8 +162,8 @@ def s_typed(c: str) -> str:
 
 
 TYPED = ", " + NONEMPTY + ",\ntyped AS (SELECT " + ", ".join(f"{c} AS _raw_{c}, {s_typed(c)} AS {c}" for c in COLS) + " FROM ne),\n" + \
-    "rec AS (SELECT *, " + DT_COL + " AS \"timestamp\", to_json(struct_pack(" + ", ".join(f"{c} := {c}" for c in COLS if c != DT_COL) + \
-    ")) AS payload, (" + " OR ".join(f"{c} IS NOT NULL" for c in COLS if c != DT_COL) + f") AND {DT_COL} IS NOT NULL AS is_valid, " + \
+    "rec AS (SELECT *, " + DT_COL + " AS \"timestamp\", CAST(to_json(struct_pack(" + ", ".join(f"{c} := {c}" for c in COLS if c != DT_COL) + \
+    ")) AS VARCHAR) AS payload, (" + " OR ".join(f"{c} IS NOT NULL" for c in COLS if c != DT_COL) + f") AND {DT_COL} IS NOT NULL AS is_valid, " + \
     f"_raw_{DT_COL} IS NOT NULL AND {DT_COL} IS NULL AS ts_failed FROM typed)\n"
 
 

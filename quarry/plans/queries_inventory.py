@@ -48,7 +48,7 @@ def q_stock_to_sales(spark, sf):
 
 
 @query("defect_summary", """
-SELECT region, avg(defect) AS mean, max(defect) AS max, min(defect) AS min, stddev_samp(defect) AS std,
+SELECT region, avg(defect) AS mean, CAST(max(defect) AS DOUBLE) AS max, CAST(min(defect) AS DOUBLE) AS min, stddev_samp(defect) AS std,
        count_if(defect > 5.0) AS high_defect_periods
 FROM sales_fact GROUP BY region""", ["sales_fact"])
 def q_defect_summary(spark, sf):

@@ -16,7 +16,7 @@ DROP = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price", "cost",
 BCOLS = ["date", "region", "location", "product", "category", "sales", "defect", "promo"]
 BIZ = "biz AS (SELECT " + ", ".join(BCOLS) + " FROM sales_fact)"
 NULLS = " + ".join(f"count_if({c} IS NULL)" for c in BCOLS)
-DUPS = "(SELECT coalesce(sum(c - 1), 0) AS duplicate_count, count(*) AS distinct_rows FROM (SELECT count(*) AS c FROM biz GROUP BY ALL_COLS) g)".replace(
+DUPS = "(SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS duplicate_count, count(*) AS distinct_rows FROM (SELECT count(*) AS c FROM biz GROUP BY ALL_COLS) g)".replace(
     "ALL_COLS", ", ".join(BCOLS))
 
 

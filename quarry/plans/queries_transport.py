@@ -74,7 +74,7 @@ SELECT problem, total_cost, demand_change, fuel_change, capacity_change,
        total_cost * (1 + demand_change / 100.0) * (1 + fuel_change / 100.0) * (1 - capacity_change / 100.0) AS scenario_cost,
        total_cost * (1 + demand_change / 100.0) * (1 + fuel_change / 100.0) * (1 - capacity_change / 100.0) - total_cost AS delta,
        greatest(0.0, total_cost - total_cost * (1 + demand_change / 100.0) * (1 + fuel_change / 100.0) * (1 - capacity_change / 100.0)) AS savings
-FROM nwc, (VALUES """ + ", ".join(f"({a}, {b}, {c})" for a, b, c in COST_GRID) + """) g(demand_change, fuel_change, capacity_change)""", TV)
+FROM nwc, (VALUES """ + ", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for a, b, c in COST_GRID) + """) g(demand_change, fuel_change, capacity_change)""", TV)
 def q_cost_scenarios(spark, sf):
     s, d, c = _balanced(spark, sf)
     return M.cost_scenarios(M.allocation_cost(M.northwest_corner(s, d), c), COST_GRID)

@@ -21,8 +21,12 @@ def _norm(v):
     return v
 
 
+def _num(x):
+    return isinstance(x, (int, float)) and not isinstance(x, bool)
+
+
 def _key(rec):
-    return (tuple(repr(x) for x in rec if not isinstance(x, float)), tuple(f"{x:.4g}" for x in rec if isinstance(x, float)))
+    return (tuple(repr(x) for x in rec if not _num(x)), tuple(f"{float(x):.9g}" for x in rec if _num(x)))
 
 
 def _same(a, b):
