@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import parse as P
+from quarry.functions.common import spread
 from quarry.operators.profile import detect_schema, profile_columns
 
 # Fixed thresholds of the quality flags.
@@ -97,7 +98,7 @@ def records(df: DataFrame, roles: Roles, null_as_false: bool = True, keep: list[
     """
     keep = list(keep or [])
     columns = [c for c in df.columns if c not in keep]
-    nonempty = df.na.drop("all", subset=columns)  # C1 on the data columns; kept columns pass through
+    nonempty = spread(df).na.drop("all", subset=columns)  # C1 on the data columns; kept columns pass through
     t = typed(nonempty, roles, null_as_false, passthrough=keep)
     payload_cols = [c for c in columns if c != roles.datetime]
     has_value = F.lit(False)
@@ -141,7 +142,7 @@ def transformation_report(df: DataFrame, roles: Roles) -> DataFrame:
 
 def numeric_failures(df: DataFrame, roles: Roles) -> DataFrame:
     """Per numeric column: non-null before, parsed after, failures."""
-    t = typed(drop_empty_rows(df), roles)
+    t = typed(drop_empty_rows(spread(df)), roles)
     wide = t.agg(*[F.struct(F.lit(c).alias("column"), F.count(F.col(f"`_raw_{c}`")).alias("non_null"),
                             F.count(F.col(f"`{c}`")).alias("parsed")).alias(f"s{i}") for i, c in enumerate(roles.numeric)])
     long = wide.select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(roles.numeric))])).alias("s")).select("s.*")

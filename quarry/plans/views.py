@@ -4,10 +4,11 @@ Each view exists twice: as a DataFrame plan (what the engine runs) and as SQL
 text (what the DuckDB oracle runs).  Both must stay semantically identical.
 
 Join strategy: ``nation`` and ``region`` have a fixed size at every scale
-(25 and 5 rows), so they are broadcast explicitly.  ``part``, ``supplier``,
-``orders`` and ``customer`` grow with the data; they are joined with plain
-equi-joins and AQE picks broadcast only when the runtime size is below the
-threshold, otherwise a sort-merge join with skew splitting.
+(25 and 5 rows), so they are broadcast explicitly.  ``part``, ``supplier`` and
+``customer`` grow with the data: they are counted first and broadcast only
+below ``BROADCAST_MAX_ROWS`` (``checked_broadcast``); beyond it they stay
+sort-merge joins that AQE can still convert or split for skew.  ``orders`` is
+never broadcast.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.common import checked_broadcast
 from quarry.sources.tables import table
 from quarry.session import tune
 
@@ -28,7 +30,8 @@ def supplier_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     nat = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     reg = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     geo = nat.join(F.broadcast(reg), nat.n_regionkey == reg.r_regionkey).select("n_nationkey", "r_regionkey", "r_name")
-    return sup.join(F.broadcast(geo), sup.s_nationkey == geo.n_nationkey).select("s_suppkey", "r_regionkey", "r_name")
+    out = sup.join(F.broadcast(geo), sup.s_nationkey == geo.n_nationkey).select("s_suppkey", "r_regionkey", "r_name")
+    return checked_broadcast(out, f"{sf_dir}/supplier")
 
 
 def sales_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +40,7 @@ def sales_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
         "l_quantity", "l_extendedprice", "l_discount", "l_returnflag",
     )
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_retailprice")
+    part = checked_broadcast(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_retailprice"), f"{sf_dir}/part")
     sup = supplier_region(spark, sf_dir)
     j = li.join(part, li.l_partkey == part.p_partkey).join(sup, li.l_suppkey == sup.s_suppkey)
     q = F.col("l_quantity")
@@ -109,7 +112,7 @@ FROM events
 
 def transport_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == "F").select("l_partkey", "l_suppkey")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    part = checked_broadcast(table(spark, sf_dir, "part").select("p_partkey", "p_type"), f"{sf_dir}/part")
     sup = supplier_region(spark, sf_dir)
     j = li.join(part, li.l_partkey == part.p_partkey).join(sup, li.l_suppkey == sup.s_suppkey)
     return j.groupBy(F.col("p_type").alias("problem"), F.col("r_name").alias("src")).agg(F.count("*").alias("qty"))
@@ -117,9 +120,9 @@ def transport_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transport_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == "O").select("l_partkey", "l_orderkey")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    part = checked_broadcast(table(spark, sf_dir, "part").select("p_partkey", "p_type"), f"{sf_dir}/part")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    cust = checked_broadcast(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), f"{sf_dir}/customer")
     j = (li.join(part, li.l_partkey == part.p_partkey)
          .join(orders, li.l_orderkey == orders.o_orderkey)
          .join(cust, orders.o_custkey == cust.c_custkey))
