@@ -252,3 +252,25 @@ def q_normalize_columns(spark, sf):
     part = table(spark, sf, "part")
     messy = part.toDF(*[f" {c.replace('_', ' ').title()}-Col " for c in part.columns])
     return normalize_columns(messy)
+
+
+MAPPING = {"order_date": "date", "total_price": "sales", "priority": "category", "status": "location"}
+
+
+@query("map_columns", """
+SELECT order_id, try_strptime(order_date, '%Y-%m-%d') AS date, updated_at, status AS location, priority AS category,
+       total_price AS sales, total_eu, discount, is_final, customer
+FROM raw_orders""", RV)
+def q_map_columns(spark, sf):
+    from quarry.sources.delimited import map_columns
+
+    return map_columns(raw_orders(spark, sf), MAPPING, date_format="yyyy-MM-dd")
+
+
+@query("preview", """
+SELECT * FROM raw_orders ORDER BY TRY_CAST(order_id AS BIGINT) NULLS FIRST LIMIT 10""", RV)
+def q_preview(spark, sf):
+    from quarry.sources.delimited import preview
+
+    r = raw_orders(spark, sf)
+    return preview(r, 10, [F.col("order_id").try_cast("bigint").asc_nulls_first()])

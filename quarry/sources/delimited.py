@@ -133,3 +133,8 @@ def suggest_columns(df: DataFrame, datetime_column: str | None = None) -> dict[s
     if datetime_column:
         out["date"] = datetime_column
     return out
+
+
+def preview(df: DataFrame, n: int = 10, order_by: Sequence | None = None) -> DataFrame:
+    """A10: the first ``n`` rows in a given order (top-n: each task keeps n rows)."""
+    return (df.orderBy(*order_by) if order_by else df).limit(n)

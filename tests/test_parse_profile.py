@@ -101,3 +101,19 @@ def test_clean_report_and_flags(spark, messy):
     rec = C.records(messy, roles).where("timestamp IS NOT NULL").orderBy("timestamp").first()
     assert '"region":"north"' in rec["payload"] and '"sparse":null' in rec["payload"]
     assert not math.isnan(rec["amount"])
+
+
+def test_fingerprints_and_delimited_read(spark, tmp_path):
+    from quarry.sources.delimited import file_fingerprints, new_files, read_delimited
+
+    utf = tmp_path / "a.csv"
+    utf.write_text(" Unit Price-USD ,city\n1,Zürich\nNA,Köln\n", encoding="utf-8")
+    lat = tmp_path / "b.tsv"
+    lat.write_bytes(" Unit Price-USD \tcity\n2\tZürich\n".encode("latin-1"))
+    df = read_delimited(spark, [str(utf), str(lat)])
+    rows = [(r[0], r[1]) for r in df.collect()]
+    assert ("1", "Zürich") in rows and ("2", "Zürich") in rows and (None, "Köln") in rows
+    fp = file_fingerprints(spark, [str(utf), str(lat)])
+    assert fp.count() == 2
+    registry = fp.where(F.col("path").endswith("a.csv")).select("md5")
+    assert [r["path"].endswith("b.tsv") for r in new_files(fp, registry).collect()] == [True]
