@@ -3,8 +3,7 @@
 All of them run per series key on the daily series (bounded by the calendar),
 or per group on raw rows via aggregate functions (``regr_*``).  The only
 Python is the small per-key work: t / ADF tails (pandas UDFs over one row per
-key) and the ADF lag search, which solves at most ``maxlag + 1`` tiny normal
-equations from Gram matrices that Spark aggregates.
+key) and the ADF lag search (one grouped-map task per bounded daily series).
 """
 
 from __future__ import annotations
@@ -96,95 +95,65 @@ def adf_maxlag(n: int) -> int:
     return int(math.ceil(12.0 * (n / 100.0) ** 0.25))
 
 
-def _ols_from_gram(G: np.ndarray, cols: list[int], y: int, nobs: float):
-    X = G[np.ix_(cols, cols)]
-    Xy = G[cols, y]
-    try:
-        beta = np.linalg.solve(X, Xy)
-        inv = np.linalg.inv(X)
-    except np.linalg.LinAlgError:
-        beta = np.linalg.lstsq(X, Xy, rcond=None)[0]
-        inv = np.linalg.pinv(X)
-    ssr = max(float(G[y, y] - beta @ Xy), 0.0)
-    return beta, inv, ssr
+def _adf_series(y: np.ndarray) -> tuple[int, int, float]:
+    """ADF on one ordered series: (used_lag, nobs, stat); constant only, AIC lag search on a common sample."""
+    n = len(y)
+    maxlag = adf_maxlag(n)
+    dy = np.diff(y)
+
+    def design(p: int, start: int):
+        rows = np.arange(start, len(dy))
+        cols = [y[rows]] + [dy[rows - j] for j in range(1, p + 1)] + [np.ones(len(rows))]
+        return np.column_stack(cols), dy[rows]
+
+    best = None
+    for p in range(0, maxlag + 1):
+        X, Y = design(p, maxlag)  # common sample: every candidate uses t >= maxlag
+        beta = np.linalg.lstsq(X, Y, rcond=None)[0]
+        resid = Y - X @ beta
+        ssr = float(resid @ resid)
+        nobs = len(Y)
+        llf = -nobs / 2.0 * (math.log(2 * math.pi) + math.log(max(ssr, 1e-300) / nobs) + 1.0)
+        aic = -2.0 * llf + 2.0 * X.shape[1]
+        if best is None or aic < best[0]:
+            best = (aic, p)
+    p = best[1]
+    X, Y = design(p, p)  # final fit on the sample of the chosen lag
+    beta, *_ = np.linalg.lstsq(X, Y, rcond=None)
+    resid = Y - X @ beta
+    dof = len(Y) - X.shape[1]
+    var = float(resid @ resid) / dof * np.linalg.pinv(X.T @ X)[0, 0] if dof > 0 else float("nan")
+    stat = beta[0] / math.sqrt(var) if var == var and var > 0 else float("nan")
+    return p, len(Y), float(stat)
 
 
 def adf_test(series: DataFrame, keys: Sequence[str] = (), min_points: int = 20) -> DataFrame:
     """Augmented Dickey-Fuller test, constant only, lag length by AIC (0..maxlag), MacKinnon p-value.
 
-    Per key: Spark builds y_{t-1} and the lagged differences with windows over
-    the (bounded) daily series and aggregates the Gram matrix of
-    [1, y_{t-1}, dy_{t-1..M}, dy_t] on the common sample t >= maxlag + 1; the
-    AIC search solves at most maxlag + 1 tiny normal equations per key (grouped
-    pandas over one Gram row per key).  The final regression is re-run on the
-    sample of the chosen lag (second Gram pass), as the usual implementation does.
+    Spark aggregates the daily series and groups it by key; each key's series
+    (bounded by the calendar, not by the raw row count) is one grouped-map
+    task: build y_{t-1} and the lagged differences, search the lag on a common
+    sample by AIC, refit on the chosen lag's sample, take the t statistic of
+    y_{t-1}.  Keys run in parallel.
     """
     user_keys = list(keys)
     keys = user_keys or ["_series"]
     if not user_keys:
         series = series.withColumn("_series", F.lit(0))
-    n_max = series.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0   # one-row scalar fixing the lag width
-    M = adf_maxlag(int(n_max))
-    wo = _wk(keys).orderBy("date")
-    s = series.where(F.col("value").isNotNull()).withColumn("_t", F.row_number().over(wo) - 1)
-    s = s.withColumn("_n", F.count(F.lit(1)).over(_wk(keys)))
-    s = s.withColumn("_dy", F.col("value") - F.lag("value", 1).over(wo)).withColumn("_ylag", F.lag("value", 1).over(wo))
-    s = s.withColumns({f"_d{j}": F.lag("_dy", j).over(wo) for j in range(1, M + 1)})
-    s = s.withColumn("_one", F.lit(1.0))
-    s = s.withColumn("_mk", F.ceil(F.lit(12.0) * F.pow(F.col("_n") / 100.0, 0.25)).cast("int"))
-    names = ["_one", "_ylag", *[f"_d{j}" for j in range(1, M + 1)], "_dy"]
-    k = len(names)
-
-    def gram(rows: DataFrame) -> DataFrame:
-        sums = [F.count(F.lit(1)).alias("_nobs")]
-        for i, a in enumerate(names):
-            for j in range(i, k):
-                sums.append(F.sum(F.coalesce(F.col(a), F.lit(0.0)) * F.coalesce(F.col(names[j]), F.lit(0.0))).alias(f"g_{i}_{j}"))
-        return rows.groupBy(*keys).agg(F.first("_n").alias("n"), F.first("_mk").alias("maxlag"), *sums)
-
-    def to_matrix(row) -> np.ndarray:
-        G = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                G[i, j] = G[j, i] = row[f"g_{i}_{j}"]
-        return G
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in pdf.iterrows():
-            G, nobs = to_matrix(row), float(row["_nobs"])
-            best = None
-            for p in range(0, int(row["maxlag"]) + 1):
-                cols = [0, 1, *range(2, 2 + p)]
-                _, _, ssr = _ols_from_gram(G, cols, k - 1, nobs)
-                llf = -nobs / 2.0 * (math.log(2 * math.pi) + math.log(max(ssr, 1e-300) / nobs) + 1.0)
-                aic = -2.0 * llf + 2.0 * len(cols)
-                if best is None or aic < best[0]:
-                    best = (aic, p)
-            out.append({**{c: row[c] for c in keys}, "used_lag": int(best[1])})
-        return pd.DataFrame(out, columns=[*keys, "used_lag"])
-
-    def final(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in pdf.iterrows():
-            G, nobs, p = to_matrix(row), float(row["_nobs"]), int(row["used_lag"])
-            cols = [1, *range(2, 2 + p), 0]
-            beta, inv, ssr = _ols_from_gram(G, cols, k - 1, nobs)
-            dof = nobs - len(cols)
-            var = ssr / dof * inv[0, 0] if dof > 0 else float("nan")
-            stat = beta[0] / math.sqrt(var) if var == var and var > 0 else float("nan")
-            out.append({**{c: row[c] for c in keys}, "n": int(row["n"]), "used_lag": p, "nobs": int(nobs),
-                        "adf_stat": stat, "adf_p": float(adf_p_value([stat])[0])})
-        return pd.DataFrame(out, columns=[*keys, "n", "used_lag", "nobs", "adf_stat", "adf_p"])
-
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in series.schema.fields if f.name in keys)
-    g1 = gram(s.where(F.col("_t") >= F.col("_mk") + 1)).where(F.col("n") >= min_points)
-    lags = g1.groupBy(*keys).applyInPandas(choose, f"{key_schema}, used_lag int")
-    s2 = s.join(lags, keys).where(F.col("_t") >= F.col("used_lag") + 1)
-    s2 = s2.withColumns({f"_d{j}": F.when(F.lit(j) <= F.col("used_lag"), F.col(f"_d{j}")) for j in range(1, M + 1)})
-    g2 = gram(s2).join(lags, keys)
-    out = g2.groupBy(*keys).applyInPandas(
-        final, f"{key_schema}, n long, used_lag int, nobs long, adf_stat double, adf_p double")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        y = pdf["value"].to_numpy(dtype=float)
+        base = {c: pdf[c].iloc[0] for c in keys}
+        if len(y) < min_points:
+            return pd.DataFrame(columns=[*keys, "n", "used_lag", "nobs", "adf_stat", "adf_p"])
+        p, nobs, stat = _adf_series(y)
+        return pd.DataFrame([{**base, "n": len(y), "used_lag": p, "nobs": nobs, "adf_stat": stat,
+                              "adf_p": float(adf_p_value([stat])[0])}])
+
+    rows = series.where(F.col("value").isNotNull()).select(*keys, "date", F.col("value").cast("double"))
+    out = rows.groupBy(*keys).applyInPandas(run, f"{key_schema}, n long, used_lag int, nobs long, adf_stat double, adf_p double")
     return out if user_keys else out.drop("_series")
 
 
