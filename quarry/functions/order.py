@@ -13,9 +13,8 @@ total order for deterministic results) and optional ``keys``.
 3. counts per (key, bucket) -> running sum per key = offset of each bucket;
 4. index = offset + row_number() inside (key, bucket).
 
-The bucketed rows are checkpointed (``spark.checkpoint.dir``) once, so the
-input plan runs once for the sample and once for the checkpoint, never per
-branch.
+The input is checkpointed (``spark.checkpoint.dir``) first, so its plan runs
+once; the sample, the counts and the numbering read the checkpointed copy.
 
 A hot key is therefore split over many (key, bucket) window partitions and
 no task ever holds more than about total/buckets rows.  All steps are
@@ -113,14 +112,13 @@ def with_row_index(
     names = [f"k{i}" for i in range(len(enc_cols))]
     enc = F.struct(*[_encode(df, c).alias(n) for c, n in zip(enc_cols, names)])
     n = min(MAX_BUCKETS, buckets or _num_partitions(df))
-    bounds = split_points(df, enc, n)
-    # Bucketed rows are shuffled once on (keys, bucket) and checkpointed to the
-    # shared checkpoint folder: the counts, the join and the window all read
-    # that copy (the input is computed once), and lineage is cut so a lost
-    # executor does not recompute the input.
+    # The input is materialised once in the shared checkpoint folder: the sample,
+    # the counts and the numbering all read that copy (the input plan, e.g. a
+    # large join, runs exactly once) and lineage is cut for executor loss.
     checkpoint_dir(df.sparkSession)
-    tagged = (df.withColumn("_b", _bucket_expr(enc, bounds, names) if bounds else F.lit(0))
-              .repartition(n, *keys, "_b").checkpoint(eager=True))
+    base = df.checkpoint(eager=True)
+    bounds = split_points(base, enc, n)
+    tagged = base.withColumn("_b", _bucket_expr(enc, bounds, names) if bounds else F.lit(0))
     counts = tagged.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     wk = Window.partitionBy(*keys).orderBy("_b") if keys else Window.orderBy("_b")
     offsets = counts.select(

@@ -153,7 +153,8 @@ def backtest_series(df: DataFrame, value: str, order_by: Sequence[str], train_sh
     MA level are scalar subqueries.
     """
     vals = df.select(*order_by, num(value).alias("actual")).where(F.col("actual").isNotNull())
-    idx = with_row_index(vals, order_by).select("idx", "actual")
+    # (idx, actual) is read four times below (count, MA window, lag join, test rows): materialise it once
+    idx = with_row_index(vals, order_by).select("idx", "actual").checkpoint(eager=True)
     n = idx.agg(F.count(F.lit(1))).scalar()
     split = F.floor(n * train_share).cast("bigint")
     ma = idx.where((F.col("idx") < split) & (F.col("idx") >= split - ma_window)).agg(

@@ -197,16 +197,18 @@ def inventory_case(
         "risk_score": F.abs(F.col("stock") - F.col("sales")) / F.col("sales"),
     }).withColumn("stock_status", stock_status(F.col("stock_ratio")))
 
-    stats = clean.groupBy(*keys).agg(F.avg("sales").alias("_mean"), F.stddev_samp("sales").alias("_std"))
-    z = F.when(F.col("_std") > 0, (F.col("sales") - F.col("_mean")) / F.col("_std")).otherwise(F.lit(0.0))
-    scored = clean.join(stats, keys).withColumn("sales_zscore", z).drop("_mean", "_std")
-    scored = scored.withColumn("anomaly_flag", F.when(F.abs("sales_zscore") >= z_threshold, "anomaly").otherwise("normal"))
+    def score(rows: DataFrame) -> DataFrame:
+        stats = rows.groupBy(*keys).agg(F.avg("sales").alias("_mean"), F.stddev_samp("sales").alias("_std"))
+        z = F.when(F.col("_std") > 0, (F.col("sales") - F.col("_mean")) / F.col("_std")).otherwise(F.lit(0.0))
+        out = rows.join(stats, keys).withColumn("sales_zscore", z).drop("_mean", "_std")
+        return out.withColumn("anomaly_flag", F.when(F.abs("sales_zscore") >= z_threshold, "anomaly").otherwise("normal"))
 
     if not with_rolling:
         # summaries (J12-J14, J18) never read the rolling demand; skip its row index
-        return scored
-    indexed = with_row_index(scored, order_by, keys=keys, idx="_idx")
-    out = rolling(indexed, keys, "_idx", window, lambda w: {"rolling_demand_7": F.avg("sales").over(w)})
+        return score(clean)
+    # number the cleaned rows first (one pass of the input), then score and roll
+    indexed = with_row_index(clean, order_by, keys=keys, idx="_idx")
+    out = rolling(score(indexed), keys, "_idx", window, lambda w: {"rolling_demand_7": F.avg("sales").over(w)})
     return out.drop("_idx")
 
 
