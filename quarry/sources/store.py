@@ -66,6 +66,17 @@ def get_dataset(log: DataFrame, dataset_id: str) -> DataFrame:
     return current_datasets(log).where(F.col("id") == dataset_id)
 
 
+def update_status(spark: SparkSession, registry_path: str, dataset_id: str, status: str, error_message: str | None = None) -> None:
+    """Append a status row for an existing dataset; an unknown id raises."""
+    current = get_dataset(spark.read.parquet(registry_path), dataset_id).first()  # at most one row
+    if current is None:
+        raise KeyError(f"unknown dataset {dataset_id}")
+    fields = {c: current[c] for c in REGISTRY_COLUMNS if c in current.asDict()}
+    fields.update(status=status, error_message=error_message)
+    entry = registry_entry(spark, **fields).withColumn("updated_at", F.current_timestamp().cast("timestamp_ntz"))
+    append_registry(entry, registry_path)
+
+
 # ---------------------------------------------------------------- D1-D6
 def _ts(v) -> Column:
     return F.lit(str(v)).cast("timestamp_ntz")

@@ -35,6 +35,12 @@ def test_batch_ingest(spark):
     assert reg["status"] == "success" and reg["datetime_column"] == "order_date"
     got = store.time_range(pts, reg["id"], "1995-01-01", "1995-12-31", 10)
     assert got.count() == 10
+    store.update_status(spark, os.path.join(d, "registry"), reg["id"], "archived")
+    assert store.get_dataset(spark.read.parquet(os.path.join(d, "registry")), reg["id"]).first()["status"] == "archived"
+    import pytest
+
+    with pytest.raises(KeyError):
+        store.update_status(spark, os.path.join(d, "registry"), "nope", "failed")
 
 
 def test_streaming_ingest(spark):
