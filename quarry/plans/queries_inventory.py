@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from quarry.operators import inventory as inv
 from quarry.plans.catalog import query
 from quarry.plans.views import SALES_FACT_SQL, SALES_ORDER, sales_fact, sales_month
