@@ -132,17 +132,19 @@ def transport_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transport_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit cost per (problem, src, dst).
 
-    Built as a product of three *distinct* key lists (problem types, regions,
-    market segments), each first reduced by an aggregation, so its size is
-    |types| x |regions| x |segments| whatever the data volume.
+    The grid is part types x regions x market segments.  Regions (a fixed
+    5-row dimension) and the distinct segments are each one small list built by
+    a one-row aggregate and exploded onto every distinct part type, so the plan
+    has no join at all; its size is |types| x |regions| x |segments|.
     """
     types = table(spark, sf_dir, "part").select(F.col("p_type").alias("problem")).distinct()
-    reg = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("src"))
-    seg = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("dst")).distinct()
-    grid = types.crossJoin(F.broadcast(reg)).crossJoin(F.broadcast(seg))
+    regions = table(spark, sf_dir, "region").agg(F.collect_list(F.struct("r_regionkey", "r_name"))).scalar()
+    segments = (table(spark, sf_dir, "customer").select("c_mktsegment").distinct()
+                .agg(F.collect_list("c_mktsegment")).scalar())
+    grid = types.withColumn("_r", F.explode(regions)).withColumn("dst", F.explode(segments))
     return grid.select(
-        "problem", "src", "dst",
-        ((F.col("r_regionkey") * 7 + F.ascii("dst") * 3) % 17 + 1).cast("bigint").alias("unit_cost"),
+        "problem", F.col("_r.r_name").alias("src"), "dst",
+        ((F.col("_r.r_regionkey") * 7 + F.ascii("dst") * 3) % 17 + 1).cast("bigint").alias("unit_cost"),
     ).distinct()
 
 
