@@ -35,7 +35,7 @@ class Roles:
 
 def plan_roles(df: DataFrame) -> Roles:
     """Run the profile (one job) and collect its per-column rows (bounded by the column count)."""
-    rows = detect_schema(profile_columns(df)).orderBy("ordinal").collect()
+    rows = detect_schema(profile_columns(df, with_distinct=False)).orderBy("ordinal").collect()
     r = Roles()
     for row in rows:
         r.european[row["column"]] = bool(row["european"])

@@ -92,14 +92,18 @@ def distinct_and_samples(df: DataFrame) -> DataFrame:
     return names_df.join(counts, "column", "left").join(samples, "column", "left").na.fill(0, ["unique_count"])
 
 
-def profile_columns(df: DataFrame) -> DataFrame:
+def profile_columns(df: DataFrame, with_distinct: bool = True) -> DataFrame:
     """Per column counts, ratios, samples, best datetime layout and inferred type.
 
     Type priority: boolean -> datetime (ratio >= 0.60) -> numeric (>= 0.70) -> text.
     Native typed columns keep their type (ratio 1.0).
     """
     df = spread(df)
-    st = column_stats(df).join(distinct_and_samples(df), "column")
+    st = column_stats(df)
+    if with_distinct:
+        st = st.join(distinct_and_samples(df), "column")
+    else:  # role assignment needs neither distinct counts nor samples
+        st = st.withColumns({"unique_count": F.lit(None).cast("bigint"), "sample_values": F.lit(None).cast("string")})
     nn = F.col("non_null")
     dt_best = F.array_max(F.col("dt_counts"))
     fmt_idx = F.array_position(F.col("dt_counts"), dt_best)  # first layout on ties
