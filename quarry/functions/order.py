@@ -29,6 +29,7 @@ window task holds at most bucket_rows + w - 1 rows whatever the key skew.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,6 +39,7 @@ from pyspark.sql import types as T
 from quarry.session import checkpoint_dir
 
 DEFAULT_BUCKET_ROWS = 1 << 18
+ROWS_PER_INDEX_BUCKET = 1_000_000
 SAMPLE_PER_BUCKET = 20
 MAX_BUCKETS = 4096
 
@@ -76,7 +78,7 @@ def _bucket_expr(enc: Column, bounds: list[tuple], names: list[str]) -> Column:
     return tree(0, len(bounds))
 
 
-def split_points(df: DataFrame, enc: Column, buckets: int) -> list[tuple]:
+def split_points(df: DataFrame, enc: Column, buckets: int, size_to_data: bool = False) -> list[tuple]:
     """``buckets - 1`` split tuples from a bounded uniform random sample, in one job.
 
     The sample is the K rows with the smallest random tag (top-K: every task
@@ -90,6 +92,13 @@ def split_points(df: DataFrame, enc: Column, buckets: int) -> list[tuple]:
     sample = sorted(tuple(r["e"]) for r in picked_rows)
     if not sample:
         return []
+    if size_to_data:
+        # row count estimate from the sample itself: k smallest of uniform tags -> n ~ k / max tag
+        top = max(r["_r"] for r in picked_rows)
+        est = len(picked_rows) if len(picked_rows) < k else k / max(top, 1e-12)
+        buckets = max(1, min(buckets, int(math.ceil(est / ROWS_PER_INDEX_BUCKET))))
+        if buckets <= 1:
+            return []
     step = len(sample) / buckets
     picked = [sample[min(len(sample) - 1, int(step * (i + 1)))] for i in range(buckets - 1)]
     out: list[tuple] = []
@@ -117,7 +126,7 @@ def with_row_index(
     # large join, runs exactly once) and lineage is cut for executor loss.
     checkpoint_dir(df.sparkSession)
     base = df.checkpoint(eager=True)
-    bounds = split_points(base, enc, n)
+    bounds = split_points(base, enc, n, size_to_data=buckets is None)
     tagged = base.withColumn("_b", _bucket_expr(enc, bounds, names) if bounds else F.lit(0))
     counts = tagged.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     wk = Window.partitionBy(*keys).orderBy("_b") if keys else Window.orderBy("_b")

@@ -56,6 +56,9 @@ def trend_test(series: DataFrame, keys: Sequence[str] = (), min_points: int = 20
         "t_stat": t_stat(F.col("r2"), F.col("n"), F.col("slope")),
     })
     if with_p:
+        from quarry.session import ship_package
+
+        ship_package(series.sparkSession)
         out = out.withColumn("trend_p", t_p_value_udf(F.col("t_stat"), (F.col("n") - 2).cast("double")))
     return out
 
@@ -136,6 +139,9 @@ def adf_test(series: DataFrame, keys: Sequence[str] = (), min_points: int = 20)
     sample by AIC, refit on the chosen lag's sample, take the t statistic of
     y_{t-1}.  Keys run in parallel.
     """
+    from quarry.session import ship_package
+
+    ship_package(series.sparkSession)
     user_keys = list(keys)
     keys = user_keys or ["_series"]
     if not user_keys:
@@ -191,6 +197,9 @@ def price_elasticity(df: DataFrame, price: str = "price", sales: str = "sales",
     ).where(F.col("n") >= min_points)
     out = out.withColumn("t_stat", t_stat(F.col("r2"), F.col("n"), F.col("elasticity")))
     if with_p:
+        from quarry.session import ship_package
+
+        ship_package(df.sparkSession)
         out = out.withColumn("p_value", t_p_value_udf(F.col("t_stat"), (F.col("n") - 2).cast("double")))
     return out
 

@@ -111,6 +111,7 @@ FROM events
 
 
 def transport_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
     li = table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == "F").select("l_partkey", "l_suppkey")
     part = checked_broadcast(table(spark, sf_dir, "part").select("p_partkey", "p_type"), f"{sf_dir}/part")
     sup = supplier_region(spark, sf_dir)
@@ -119,6 +120,7 @@ def transport_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transport_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
     li = table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == "O").select("l_partkey", "l_orderkey")
     part = checked_broadcast(table(spark, sf_dir, "part").select("p_partkey", "p_type"), f"{sf_dir}/part")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -193,6 +195,7 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     strings, yes/no tokens, two date-like columns, blank strings, and rows that
     are entirely empty (every field NULL) for about 1 % of the orders.
     """
+    tune(spark)
     o = table(spark, sf_dir, "orders")
     empty = (F.col("o_orderkey") % 101) == 0
     whole = F.floor("o_totalprice").cast("bigint")

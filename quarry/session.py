@@ -18,13 +18,44 @@ _RUNTIME_DEFAULTS = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Enable AQE (runtime re-planning, skew-join splitting, partition coalescing)."""
+    """Enable AQE (runtime re-planning, skew-join splitting, partition coalescing) and ship the package."""
     for key, value in _RUNTIME_DEFAULTS.items():
         if spark.conf.get(key, None) in (None, ""):
             spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quarry`` importable by the Python workers (pandas UDFs / grouped maps reference it).
+
+    The package is zipped on the driver and registered with ``addPyFile`` once
+    per application; Spark distributes it to every executor.
+    """
+    import zipfile
+
+    import quarry
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(quarry.__file__))
+    root = os.path.dirname(pkg)
+    target = os.path.join(tempfile.mkdtemp(prefix="quarry-py-"), "quarry.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(target)
+    _SHIPPED.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by ``spark.checkpoint.dir``.
 
