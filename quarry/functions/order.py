@@ -127,6 +127,11 @@ def with_row_index(
     checkpoint_dir(df.sparkSession)
     base = df.checkpoint(eager=True)
     bounds = split_points(base, enc, n, size_to_data=buckets is None)
+    if not bounds:
+        # one bucket: the data is small (under ROWS_PER_INDEX_BUCKET rows by the sample
+        # estimate), so a plain row_number per key numbers it
+        w1 = Window.partitionBy(*keys).orderBy(*order_by) if keys else Window.orderBy(*order_by)
+        return base.withColumn(idx, (F.row_number().over(w1) - 1).cast("bigint"))
     tagged = base.withColumn("_b", _bucket_expr(enc, bounds, names) if bounds else F.lit(0))
     counts = tagged.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     wk = Window.partitionBy(*keys).orderBy("_b") if keys else Window.orderBy("_b")
