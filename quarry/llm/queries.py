@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import embedding_dedup, exact_dedup, langid, lm, minhash, mixing, packing, substring, toxicity
+from quarry.llm import embedding_dedup, exact_dedup, langid, line_dedup, lm, minhash, mixing, packing, substring, toxicity
 from quarry.sources.tables import table
 
 QUERIES: dict = {}
@@ -43,6 +43,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+@query("op4_line_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digest(table(spark, sf_dir, "documents"))
+
+
 @query("op5_embedding_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
