@@ -111,6 +111,7 @@ class Words(NamedTuple):
     ends: np.ndarray
     first: np.ndarray  # number of the first word of each document, plus the total at the end
     hashes: np.ndarray
+    roll: Rolling      # hashes of other byte ranges of the slice
 
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -145,7 +146,8 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     ends = np.flatnonzero(inside & ~after) + 1
     first = np.searchsorted(starts, offsets, "left")
     codes = (_BYTE_CODE_LOWER if lower else _BYTE_CODE)[data]
-    return Words(data, starts, ends, first, Rolling(codes).of(starts, ends))
+    roll = Rolling(codes)
+    return Words(data, starts, ends, first, roll.of(starts, ends), roll)
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -203,3 +205,25 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     roots = cur.select(F.col("v").alias("node")).distinct()
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         roots.select("node", F.col("node").alias("root")))
+
+
+BITMAP_BITS = 23
+
+
+def membership_bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of 2**BITMAP_BITS bits (1 MB, whatever the input) with the bit of every 64-bit key set.
+
+    Used to drop most rows that an exact semi-join would drop anyway, before they are shuffled.
+    """
+    bit = F.pmod(F.col(column), F.lit(1 << BITMAP_BITS))
+    rows = keys.select(F.shiftright(bit, 5).cast("int").alias("w"), F.expr(f"shiftleft(1L, CAST(pmod(`{column}`, 32) AS INT))").alias("b"))
+    out = np.zeros(1 << BITMAP_BITS - 5, np.int64)
+    found = rows.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
+    return out.astype(np.uint32)
+
+
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bit of each (signed or unsigned) 64-bit key is set: always for a member."""
+    bit = keys.view(np.uint64) & _U((1 << BITMAP_BITS) - 1)
+    return (bitmap[(bit >> _U(5)).astype(np.int64)] >> (bit & _U(31)).astype(np.uint32) & 1).astype(bool)
