@@ -28,8 +28,27 @@ nwc AS (SELECT nw.problem, CAST(sum(qty * unit_cost) AS BIGINT) AS total_cost FR
 """
 
 
+# The least-cost method as a recursive query: priced cells in order, remaining quantities carried along as lists.
+LEAST = BAL + """,
+rows_ AS (SELECT problem, src, row_number() OVER (PARTITION BY problem ORDER BY src = '~dummy', src) AS i, CAST(qty AS DOUBLE) AS qty FROM sb),
+cols_ AS (SELECT problem, dst, row_number() OVER (PARTITION BY problem ORDER BY dst = '~dummy', dst) AS j, CAST(qty AS DOUBLE) AS qty FROM db),
+cells AS (SELECT r.problem, i, j, r.src, c.dst, row_number() OVER (PARTITION BY r.problem ORDER BY unit_cost, i, j) AS k
+          FROM rows_ r JOIN cols_ c ON r.problem = c.problem JOIN cb ON cb.problem = r.problem AND cb.src = r.src AND cb.dst = c.dst),
+walk(problem, k, s, d, i, j, q) AS (
+  SELECT problem, CAST(0 AS BIGINT), (SELECT list(qty ORDER BY i) FROM rows_ r WHERE r.problem = p.problem),
+         (SELECT list(qty ORDER BY j) FROM cols_ c WHERE c.problem = p.problem), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS DOUBLE)
+  FROM (SELECT DISTINCT problem FROM cells) p
+  UNION ALL
+  SELECT w.problem, c.k, list_transform(w.s, lambda x, n: CASE WHEN n = c.i THEN x - least(w.s[c.i], w.d[c.j]) ELSE x END),
+         list_transform(w.d, lambda x, n: CASE WHEN n = c.j THEN x - least(w.s[c.i], w.d[c.j]) ELSE x END),
+         c.i, c.j, least(w.s[c.i], w.d[c.j])
+  FROM walk w JOIN cells c ON c.problem = w.problem AND c.k = w.k + 1)
+"""
+
+
 def _tables(spark, sf):
-    return transport_supply(spark, sf), transport_demand(spark, sf), transport_cost(spark, sf)
+    """The three aggregated tables, materialised once: each is read by several steps."""
+    return tuple(M.materialize(transport_supply(spark, sf), transport_demand(spark, sf), transport_cost(spark, sf)))
 
 
 def _balanced(spark, sf):
@@ -80,7 +99,8 @@ def q_cost_scenarios(spark, sf):
     return M.cost_scenarios(M.allocation_cost(M.northwest_corner(s, d), c), COST_GRID)
 
 
-@query("transport_least_cost")
+@query("transport_least_cost", LEAST + """
+SELECT w.problem, c.src, c.dst, w.q AS qty FROM walk w JOIN cells c ON c.problem = w.problem AND c.k = w.k WHERE w.q > 0""", TV)
 def q_transport_least_cost(spark, sf):
     return M.greedy_allocation(*_balanced(spark, sf), "least_cost")
 

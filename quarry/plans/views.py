@@ -185,7 +185,7 @@ def with_views(sql: str, *names: str) -> str:
             ctes.append(f"{n} AS ({TRANSPORT_SQL[n]})")
         else:
             raise ValueError(n)
-    return "WITH " + ",\n".join(ctes) + "\n" + sql
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + sql
 
 
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
