@@ -26,12 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import materialise, prepare, salted_rank, spread
+from quarry.llm._common import materialise, prepare, salted_rank, spread, text_slices, words
 
 SEQ_LEN = 4096
 END_ID = 2
 CACHE_WORDS = 400_000    # distinct words whose ids a Python worker remembers
-SLICE_CHARS = 1 << 20    # documents are tokenised in slices of about this many characters
+SLICE_BYTES = 2 << 20    # documents are tokenised in slices of about this many bytes
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -47,108 +47,111 @@ _ALPHABET = _byte_alphabet()
 _LATIN_BYTES = {c: "".join(map(_ALPHABET.get, chr(c).encode())) for c in range(0xC0, 0x100)}
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = True
+_MARKS = ".,!?;:"            # a run of these after a letter, at the end of a word, is a piece of its own
+_IS_MARK = np.zeros(256, bool)
+_IS_MARK[list(_MARKS.encode())] = True
+_LATIN = regex.compile(r"[a-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+
+
 class WordTokenizer:
     """Ids of whole texts through a memory of words.
 
-    The vocabulary never spans white space, so a text's ids are those of its
-    words in a row; each distinct word is encoded once.
+    The vocabulary never spans white space and folds case, so a text's ids are
+    those of its words in a row; words are found by a 64-bit hash of their
+    bytes (A-Z folded) and each distinct one is encoded once.
     """
 
-    WORD = regex.compile(r"[^ \t-\r]+")
-    LATIN = regex.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
-    TAIL = ".,!?;:"
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
-        self.tails: dict[str, list[int]] = {}
+        self.end_id = end_id
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.begin = np.zeros(1 << 14, np.int64)
-        self.count = np.zeros(1 << 14, np.int64)
-        self.used = self.n = 0
-
-    def _add(self, ids: np.ndarray, counts: np.ndarray, names: list[str]) -> None:
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.n + len(names) > len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-            self.count = np.concatenate([self.count, np.zeros_like(self.count)])
+        self.hashes = np.zeros(0, np.uint64)               # ascending
+        self.place = np.zeros(0, np.int64)                 # of each hash in begin and count
+        self.flat = np.full(1 << 16, self.end_id, np.uint32)
+        self.begin, self.count = np.zeros(1, np.int64), np.ones(1, np.int64)   # place 0: the end of a text
+        self.used = 1
+
+    def _learn(self, hashes: np.ndarray, spelled: list[str]) -> None:
+        lists, tokenize, latin = [], self.model.tokenize, _LATIN.fullmatch
+        for word in spelled:
+            low = word.lower()
+            if latin(low) and len(low) == len(word):       # Latin letters go straight to the model
+                lists.append([t.id for t in tokenize(low if low.isascii() else low.translate(_LATIN_BYTES))])
+            else:                                          # any other word through the whole tokenizer
+                lists.append(self.tok.encode(word, add_special_tokens=False).ids)
+        count = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(count.sum()))
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(ids), np.uint32)])
         self.flat[self.used: self.used + len(ids)] = ids
-        self.begin[self.n: self.n + len(names)] = self.used + np.cumsum(counts) - counts
-        self.count[self.n: self.n + len(names)] = counts
-        self.place.update(zip(names, range(self.n, self.n + len(names))))
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.place = np.insert(self.place, at, len(self.begin) + np.arange(len(lists)))
+        self.begin = np.concatenate([self.begin, self.used + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
         self.used += len(ids)
-        self.n += len(names)
-
-    def learn(self, new: list[str]) -> None:
-        """Encode new words: Latin letters with end punctuation straight by the model, any other word by the whole tokenizer."""
-        lists: list[list[int]] = []
-        for w in new:
-            core = w.rstrip(self.TAIL)
-            if not self.LATIN.fullmatch(core):
-                lists.append(self.tok.encode(w, add_special_tokens=False).ids)
-                continue
-            ids = [t.id for t in self.model.tokenize(core.lower().translate(_LATIN_BYTES))]
-            if len(core) < len(w):
-                tail = w[len(core):]
-                if tail not in self.tails:
-                    self.tails[tail] = self.tok.encode(tail, add_special_tokens=False).ids
-                ids += self.tails[tail]
-            lists.append(ids)
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        self._add(np.fromiter(chain.from_iterable(lists), np.uint32, int(counts.sum())), counts, new)
-
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, each followed by ``end_id``; number of ids of each text)."""
-        if self.n > CACHE_WORDS:
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a slice in a row, each with its end; number of ids of each text)."""
+        if len(self.hashes) > CACHE_WORDS:
             self.clear()
-        if not self.n:
-            self._add(np.array([end_id], np.uint32), np.array([1]), [""])  # no word is empty: "" stands for the end
-        split = [self.WORD.findall(t) for t in texts]
-        seen: list[str] = []
-        for w in split:
-            seen += w
-            seen.append("")
-        self.learn(list(set(seen).difference(self.place)))
-        at = np.fromiter(map(self.place.__getitem__, seen), np.int64, len(seen))
-        counts = self.count[at]
-        ends = np.cumsum(counts)
-        ids = self.flat[np.repeat(self.begin[at] - (ends - counts), counts) + np.arange(ends[-1])]
-        last = ends[np.cumsum(np.fromiter(map(len, split), np.int64, len(split)) + 1) - 1]
-        return ids, np.diff(last, prepend=0)
-
-
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    lo = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= SLICE_CHARS:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+        w = words(data, offsets, lower=True)
+        starts, ends, text = w.starts, w.ends, np.repeat(np.arange(len(offsets) - 1), np.diff(w.first))
+        # cut the marks off the end of words whose last other character is a Latin letter
+        last = np.maximum.accumulate(np.where(_IS_MARK[data], -1, np.arange(len(data)))) if len(data) else np.zeros(0, np.int64)
+        core = np.maximum(last[ends - 1] + 1, starts)
+        tail, tail_2 = data[np.maximum(core - 1, 0)], data[np.maximum(core - 2, 0)]
+        cut = (core < ends) & (core > starts) & (
+            _LETTER[tail] | ((core - starts > 1) & (tail_2 == 0xC3) & (tail >= 0x80) & (tail != 0x97) & (tail != 0xB7)))
+        order = np.argsort(np.concatenate([starts, core[cut]]), kind="stable")
+        ends = np.concatenate([np.where(cut, core, ends), ends[cut]])[order]
+        starts, text = np.concatenate([starts, core[cut]])[order], np.concatenate([text, text[cut]])[order]
+        hashes = w.roll.of(starts, ends)
+
+        at = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        if len(self.hashes):
+            known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes
+        found = np.zeros(len(hashes), np.int64)
+        found[known] = self.place[at[known]]
+        if not known.all():
+            missing = np.flatnonzero(~known)
+            new, nth, inverse = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            raw, nth = data.tobytes(), missing[nth]
+            found[missing] = len(self.begin) + inverse
+            self._learn(new, [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[nth].tolist(), ends[nth].tolist())])
+        # every text's words, then its end
+        size = np.bincount(text, minlength=len(offsets) - 1) + 1
+        place = np.zeros(len(hashes) + len(size), np.int64)
+        is_word = np.ones(len(place), bool)
+        is_word[np.cumsum(size) - 1] = False
+        place[is_word] = found
+        counts = self.count[place]
+        stop = np.cumsum(counts)
+        ids = self.flat[np.repeat(self.begin[place] - (stop - counts), counts) + np.arange(stop[-1])]
+        return ids, np.diff(stop[np.cumsum(size) - 1], prepend=0)
+
+
+_TOKENIZERS: dict[tuple[str, int], WordTokenizer] = {}
 
 
 def _pieces(vocabulary: str, seq_len: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _TOKENIZERS.get(vocabulary)
+        tok = _TOKENIZERS.get((vocabulary, end_id))
         if tok is None:
-            tok = _TOKENIZERS[vocabulary] = WordTokenizer(vocabulary)
+            tok = _TOKENIZERS[vocabulary, end_id] = WordTokenizer(vocabulary, end_id)
         for batch in batches:
             doc_ids = batch.column(0)
-            texts = batch.column(1).fill_null("").to_pylist()
-            for lo, hi in _slices(texts):
-                ids, counts = tok.encode(texts[lo:hi], end_id)
+            for lo, hi, data, offsets in text_slices(batch.column(1), SLICE_BYTES):
+                ids, counts = tok.encode(data, offsets)
                 raw, base = ids.astype("<u4").tobytes(), np.cumsum(counts) - counts
                 pieces = -(-counts // seq_len)
                 row = np.repeat(np.arange(hi - lo), pieces)
