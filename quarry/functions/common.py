@@ -74,26 +74,3 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     target = sc.defaultParallelism
     return df.repartition(target) if parts < target else df
-
-
-# Dimensions up to this many rows are broadcast (after counting them).
-BROADCAST_MAX_ROWS = 2_000_000
-_ROW_COUNTS: dict[tuple[int, str], int] = {}
-
-
-def checked_broadcast(df: DataFrame, cache_key: str | None = None, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when a count proves it is small; otherwise return it unchanged.
-
-    Beyond the bound the join stays a shuffle (sort-merge) join, which AQE may
-    still turn into a broadcast or split for skew at runtime.  Counts are
-    memoised per session and ``cache_key`` (e.g. the table path).
-    """
-    spark = df.sparkSession
-    key = (id(spark), cache_key) if cache_key else None
-    if key is not None and key in _ROW_COUNTS:
-        n = _ROW_COUNTS[key]
-    else:
-        n = df.count()
-        if key is not None:
-            _ROW_COUNTS[key] = n
-    return F.broadcast(df) if n <= max_rows else df

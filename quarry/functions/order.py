@@ -6,20 +6,18 @@ total order for deterministic results) and optional ``keys``.
 
 ``with_row_index`` numbers rows 0..n-1 inside each key, deterministically:
 
-1. a bounded sample of the (keys, order) tuples gives ``buckets - 1`` split
-   points (like a range partitioner, but computed once and frozen into the
-   plan as literals, so every re-evaluation assigns the same bucket);
-2. ``_b`` = bucket of each row (a binary-search CASE tree, pure expression);
-3. counts per (key, bucket) -> running sum per key = offset of each bucket;
-4. index = offset + row_number() inside (key, bucket).
-
-The input is checkpointed (``spark.checkpoint.dir``) first, so its plan runs
-once; the sample, the counts and the numbering read the checkpointed copy.
-
-A hot key is therefore split over many (key, bucket) window partitions and
-no task ever holds more than about total/buckets rows.  All steps are
-deterministic functions of the data, so recomputation after an executor loss
-gives the same numbering.
+1. the input is checkpointed (``spark.checkpoint.dir``), so its plan runs once;
+2. a sample of the (keys, order) tuples, SAMPLE_PER_BUCKET a bucket, gives
+   split points (like a range partitioner, but frozen into the plan as one
+   literal array, so every re-evaluation assigns the same bucket);
+3. the bucket of a row is found by binary search on all key and order columns,
+   so equal prefixes spread as well;
+4. counts per (key, bucket) -> running sum per key = offset of each bucket;
+5. index = offset + row_number() inside (key, bucket).
+
+There is one path for every size: the number of buckets follows the row count
+(ROWS_PER_BUCKET rows each) and nothing caps it.  A hot key is split over many
+(key, bucket) window partitions.  NULL keys are a key of their own.
 
 ``rolling`` evaluates a row-count window (rowsBetween(-(w-1), 0)) with *halo
 buckets*: rows are cut into buckets of ``bucket_rows`` consecutive rows per key
@@ -29,8 +27,9 @@ window task holds at most bucket_rows + w - 1 rows whatever the key skew.
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,73 +38,60 @@ from pyspark.sql import types as T
 from quarry.session import checkpoint_dir
 
 DEFAULT_BUCKET_ROWS = 1 << 18
-ROWS_PER_INDEX_BUCKET = 1_000_000
-SAMPLE_PER_BUCKET = 20
-MAX_BUCKETS = 4096
-
+ROWS_PER_BUCKET = 1_000_000
+SAMPLE_PER_BUCKET = 16
 
-def _num_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
-
-def _encode(df: DataFrame, c: str) -> Column:
-    """Monotone (non-decreasing) encoding of a column into double or string; NULL sorts first.
+def _encode(df: DataFrame, c: str) -> tuple[Column, str]:
+    """Monotone (non-decreasing) encoding of a column and its type; NULL stays NULL and sorts first.
 
     Timestamps become seconds from calendar fields (day number, hour, minute,
     second), which is independent of the session time zone.
     """
     t = df.schema[c].dataType
     x = F.col(c)
-    if isinstance(t, T.NumericType) or isinstance(t, T.BooleanType):
-        return F.coalesce(x.cast("double"), F.lit(float("-inf")))
+    if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return x.cast("bigint"), "bigint"
+    if isinstance(t, (T.NumericType, T.BooleanType)):
+        return x.cast("double"), "double"
     if isinstance(t, T.DateType):
-        return F.coalesce(F.unix_date(x).cast("double"), F.lit(float("-inf")))
+        return F.unix_date(x).cast("bigint"), "bigint"
     if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-        secs = F.unix_date(F.to_date(x)).cast("double") * 86400.0 + F.hour(x) * 3600 + F.minute(x) * 60 + F.second(x)
-        return F.coalesce(secs, F.lit(float("-inf")))
-    return F.coalesce(x.cast("string"), F.lit(""))
+        return F.unix_date(F.to_date(x)).cast("bigint") * 86400 + F.hour(x) * 3600 + F.minute(x) * 60 + F.second(x).cast("bigint"), "bigint"
+    return x.cast("string"), "string"
 
 
-def _bucket_expr(enc: Column, bounds: list[tuple], names: list[str]) -> Column:
-    lits = [F.struct(*[F.lit(v).alias(n) for v, n in zip(b, names)]) for b in bounds]
+def _sort_key(row: tuple) -> tuple:
+    """Spark's order of a struct: NULL first, NaN last."""
+    return tuple((0, 0) if v is None else (2, 0) if isinstance(v, float) and math.isnan(v) else (1, v) for v in row)
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(enc <= lits[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return tree(0, len(bounds))
+def split_points(df: DataFrame, enc: Column, buckets: int, rows: int) -> list[tuple]:
+    """At most ``buckets - 1`` ascending split tuples from a sample of about SAMPLE_PER_BUCKET rows a bucket."""
+    if buckets <= 1 or not rows:
+        return []
+    fraction = min(1.0, SAMPLE_PER_BUCKET * buckets / rows)
+    sample = sorted((tuple(r["e"]) for r in df.sample(False, fraction, seed=7).select(enc.alias("e")).collect()), key=_sort_key)
+    picked = [sample[len(sample) * i // buckets] for i in range(1, buckets)] if sample else []
+    return [p for i, p in enumerate(picked) if i == 0 or _sort_key(p) > _sort_key(picked[i - 1])]
 
 
-def split_points(df: DataFrame, enc: Column, buckets: int, size_to_data: bool = False) -> list[tuple]:
-    """``buckets - 1`` split tuples from a bounded uniform random sample, in one job.
+def bucket_of(key: Column, bounds: list[tuple], fields: Sequence[tuple[str, str]]) -> Column:
+    """Number of bounds below ``key`` (a struct with ``fields``), by binary search in one literal array."""
+    if not bounds:
+        return F.lit(0)
+    text = json.dumps([{n: v for (n, _), v in zip(fields, b) if v is not None} for b in bounds], ensure_ascii=False)
+    table = F.from_json(F.lit(text), "array<struct<" + ",".join(f"{n}:{t}" for n, t in fields) + ">>")
 
-    The sample is the K rows with the smallest random tag (top-K: every task
-    keeps K rows, the driver merges), so its size is K whatever the data size.
-    The bounds only balance the buckets; the numbering is exact regardless.
-    """
-    if buckets <= 1:
-        return []
-    k = SAMPLE_PER_BUCKET * buckets
-    picked_rows = df.select(enc.alias("e"), F.rand(7).alias("_r")).orderBy("_r").limit(k).collect()
-    sample = sorted(tuple(r["e"]) for r in picked_rows)
-    if not sample:
-        return []
-    if size_to_data:
-        # row count estimate from the sample itself: k smallest of uniform tags -> n ~ k / max tag
-        top = max(r["_r"] for r in picked_rows)
-        est = len(picked_rows) if len(picked_rows) < k else k / max(top, 1e-12)
-        buckets = max(1, min(buckets, int(math.ceil(est / ROWS_PER_INDEX_BUCKET))))
-        if buckets <= 1:
-            return []
-    step = len(sample) / buckets
-    picked = [sample[min(len(sample) - 1, int(step * (i + 1)))] for i in range(buckets - 1)]
-    out: list[tuple] = []
-    for p in picked:
-        if not out or p > out[-1]:
-            out.append(p)
-    return out
+    def step(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        open_, above = acc["lo"] < acc["hi"], F.get(table, mid) < key
+        return F.struct(F.when(open_ & above, mid + 1).otherwise(acc["lo"]).alias("lo"),
+                        F.when(open_ & ~above, mid).otherwise(acc["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    steps = math.ceil(math.log2(len(bounds) + 1)) + 1
+    return F.aggregate(F.array_repeat(F.lit(0), steps), start, step, lambda acc: acc["lo"])
 
 
 def with_row_index(
@@ -114,33 +100,33 @@ def with_row_index(
     keys: Sequence[str] = (),
     idx: str = "idx",
     buckets: int | None = None,
+    running: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    keys, order_by = list(keys), list(order_by)
-    # bucket on the keys + a prefix of the order: monotone in the full order, ties share a bucket
-    enc_cols = [*keys, *order_by[:2]]
-    names = [f"k{i}" for i in range(len(enc_cols))]
-    enc = F.struct(*[_encode(df, c).alias(n) for c, n in zip(enc_cols, names)])
-    n = min(MAX_BUCKETS, buckets or _num_partitions(df))
-    # The input is materialised once in the shared checkpoint folder: the sample,
-    # the counts and the numbering all read that copy (the input plan, e.g. a
-    # large join, runs exactly once) and lineage is cut for executor loss.
+    """Adds ``idx``; ``running`` adds, per name, the number of earlier rows of the key that meet a condition."""
+    keys, order_by, running = list(keys), list(order_by), dict(running or {})
     checkpoint_dir(df.sparkSession)
     base = df.checkpoint(eager=True)
-    bounds = split_points(base, enc, n, size_to_data=buckets is None)
-    if not bounds:
-        # one bucket: the data is small (under ROWS_PER_INDEX_BUCKET rows by the sample
-        # estimate), so a plain row_number per key numbers it
-        w1 = Window.partitionBy(*keys).orderBy(*order_by) if keys else Window.orderBy(*order_by)
-        return base.withColumn(idx, (F.row_number().over(w1) - 1).cast("bigint"))
-    tagged = base.withColumn("_b", _bucket_expr(enc, bounds, names) if bounds else F.lit(0))
-    counts = tagged.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    wk = Window.partitionBy(*keys).orderBy("_b") if keys else Window.orderBy("_b")
+    rows = base.count()
+    n = buckets or max(1, math.ceil(rows / ROWS_PER_BUCKET))
+    encoded = [_encode(base, c) for c in [*keys, *order_by]]
+    fields = [(f"k{i}", t) for i, (_, t) in enumerate(encoded)]
+    enc = F.struct(*[c.alias(f) for (c, _), (f, _) in zip(encoded, fields)])
+    tagged = base.withColumn("_b", bucket_of(enc, split_points(base, enc, n, rows), fields))
+    counts = tagged.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_cnt"), *[F.count_if(c).alias(f"_cnt_{n}") for n, c in running.items()])
+    prior = (Window.partitionBy(*keys).orderBy("_b") if keys else Window.orderBy("_b")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *keys, "_b", F.coalesce(F.sum("_cnt").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off")
-    )
-    w = Window.partitionBy(*keys, "_b").orderBy(*order_by)
-    out = tagged.join(offsets, [*keys, "_b"])
-    return out.withColumn(idx, (F.col("_off") + F.row_number().over(w) - 1).cast("bigint")).drop("_b", "_off")
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_ob"),
+        F.coalesce(F.sum("_cnt").over(prior), F.lit(0)).alias("_off"),
+        *[F.coalesce(F.sum(f"_cnt_{n}").over(prior), F.lit(0)).alias(f"_off_{n}") for n in running])
+    same = F.col("_b") == F.col("_ob")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order_by)
+    numbered = tagged.join(offsets, same).withColumn(idx, (F.col("_off") + F.row_number().over(inside) - 1).cast("bigint"))
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    for n, c in running.items():
+        numbered = numbered.withColumn(n, (F.col(f"_off_{n}") + F.coalesce(F.count_if(c).over(before), F.lit(0))).cast("bigint"))
+    return numbered.drop("_b", "_ob", "_off", *[f"_off_{n}" for n in running], *[f"_k{i}" for i in range(len(keys))])
 
 
 def rolling(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,13 +15,22 @@ from quarry.functions.common import group, num
 RISK_HIGH, RISK_MEDIUM = 0.10, 0.05
 
 
-def rolling_zscore(series: DataFrame, window: int = 28, z: float = 2.0, keys: Sequence[str] = ()) -> DataFrame:
+def rolling_zscore(series: DataFrame, window: int = 28, z: float = 2.0, keys: Sequence[str] = (),
+                   raw: DataFrame | None = None) -> DataFrame:
     """G1: rolling mean/std including the current point, min_periods = max(5, window // 2).
 
     std 0 -> undefined -> z = 0; |z| >= z is an anomaly, typed spike / drop.
-    ``series`` is a daily series (see ``daily_series``); the raw-row minimum
-    (rows >= window + 5) is checked by the caller on the raw input.
+    ``series`` is a daily series (see ``daily_series``).  With ``raw`` (the
+    rows it was built from) keys with fewer than window + 5 raw rows are left out.
     """
+    if raw is not None:
+        enough = group(raw, keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= window + 5)
+        if keys:
+            renamed = enough.select(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)])
+            same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_e{i}")) for i, k in enumerate(keys)])
+            series = series.join(renamed, same, "left_semi")
+        else:
+            series = series.where(raw.agg(F.count(F.lit(1))).scalar() >= window + 5)
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("date").rowsBetween(-(window - 1), 0)
     minp = max(5, window // 2)
     cnt = F.count("value").over(w)
@@ -43,7 +54,7 @@ def anomaly_summary(scored: DataFrame, keys: Sequence[str] = (), strict: bool =
         F.count_if(F.col("anomaly_type") == "drop").alias("drop_count"),
         F.max_by("anomaly_type", "date").alias("latest_status"),
     )
-    ratio = F.col("anomaly_count") / F.col("points")
+    ratio = F.coalesce(F.try_divide(F.col("anomaly_count"), F.col("points")), F.lit(0.0))  # no points: ratio 0
     hi = ratio > RISK_HIGH if strict else ratio >= RISK_HIGH
     med = ratio > RISK_MEDIUM if strict else ratio >= RISK_MEDIUM
     return t.withColumn("anomaly_ratio", ratio).withColumn("risk_level", F.when(hi, "high").when(med, "medium").otherwise("low"))
@@ -77,9 +88,12 @@ def group_zscore(df: DataFrame, value: str, keys: Sequence[str], z: float = 2.0,
     key is never gathered into one task.
     """
     keys = list(keys)
-    stats = df.groupBy(*keys).agg(F.avg(num(value)).alias("_m"), F.stddev_samp(num(value)).alias("_s"))
+    names = [f"_g{i}" for i in range(len(keys))]
+    stats = df.groupBy(*[F.col(k).alias(g) for k, g in zip(keys, names)]).agg(
+        F.avg(num(value)).alias("_m"), F.stddev_samp(num(value)).alias("_s"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(g)) for k, g in zip(keys, names)])  # a NULL key is a group of its own
     zs = F.when(F.col("_s") > 0, (num(value) - F.col("_m")) / F.col("_s")).otherwise(F.lit(0.0))
-    return df.join(stats, keys).withColumn(out, zs).drop("_m", "_s").withColumn("is_anomaly", F.abs(out) >= z)
+    return df.join(stats, same).withColumn(out, zs).drop("_m", "_s", *names).withColumn("is_anomaly", F.abs(out) >= z)
 
 
 def anomaly_list(scored: DataFrame, z_col: str = "z_score") -> DataFrame:

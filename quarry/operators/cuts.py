@@ -22,18 +22,15 @@ def share_by(df: DataFrame, key: str, value: str = "sales") -> DataFrame:
     return per.withColumn("share", F.try_divide(F.col("total"), grand))
 
 
-def pivot_sum(df: DataFrame, row: str, column: str, values: Sequence[str], value: str = "sales") -> DataFrame:
-    """L3: row x column sums, missing cells = 0.  The pivot values are explicit (no extra distinct job)."""
-    out = df.groupBy(row).pivot(column, list(values)).agg(F.sum(num(value)))
-    return out.na.fill(0.0, subset=list(values))
+def pivot_sum(df: DataFrame, row: str, column: str, values: Sequence[str] | None = None, value: str = "sales") -> DataFrame:
+    """L3: row x column sums, missing cells = 0.
 
-
-def pivot_values(df: DataFrame, column: str, limit: int = 1000) -> list:
-    """Distinct pivot values (a bounded, sorted list) for callers that do not know them."""
-    vals = [r[0] for r in df.select(column).distinct().orderBy(column).limit(limit + 1).collect()]
-    if len(vals) > limit:
-        raise ValueError(f"{column} has more than {limit} distinct values; pivot would be too wide")
-    return vals
+    Without ``values`` the columns are all values found in the data (Spark reads
+    them with a distinct job and refuses more than spark.sql.pivotMaxValues).
+    """
+    grouped = df.groupBy(row)
+    out = (grouped.pivot(column) if values is None else grouped.pivot(column, list(values))).agg(F.sum(num(value)))
+    return out.na.fill(0.0, subset=[c for c in out.columns if c != row])
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -49,12 +46,7 @@ def category_filter(df: DataFrame, column: str, values: Sequence) -> DataFrame:
 
 
 def distinct_values(df: DataFrame, column: str, max_values: int = 50) -> DataFrame:
-    """Sorted non-null distinct values plus whether the column qualifies as a filter (1 < n <= max).
-
-    Only ``max_values + 1`` values are kept (top-k), which is the feature: the
-    list is offered as a selector only when it is short.
-    """
+    """All sorted non-null distinct values plus whether the column qualifies as a filter (1 < n <= max)."""
     d = df.select(column).where(F.col(column).isNotNull()).distinct()
-    head = d.orderBy(column).limit(max_values + 1)
     n = d.agg(F.count(F.lit(1))).scalar()
-    return head.withColumns({"n_distinct": n, "selectable": (n > 1) & (n <= max_values)})
+    return d.orderBy(column).withColumns({"n_distinct": n, "selectable": (n > 1) & (n <= max_values)})

@@ -51,9 +51,11 @@ def trend_test(series: DataFrame, keys: Sequence[str] = (), min_points: int = 20
         F.regr_slope("value", "_x").alias("slope"), F.regr_intercept("value", "_x").alias("intercept"),
         F.regr_r2("value", "_x").alias("r2"),
     ).where(F.col("n") >= min_points)
+    flat = F.col("std") == 0  # a constant series explains nothing: R2 0, t 0 (p 1)
+    out = out.withColumn("r2", F.when(flat, F.lit(0.0)).otherwise(F.col("r2")))
     out = out.withColumns({
         "cv": F.when(F.col("mean") != 0, F.col("std") / F.col("mean")),
-        "t_stat": t_stat(F.col("r2"), F.col("n"), F.col("slope")),
+        "t_stat": F.when(flat, F.lit(0.0)).otherwise(t_stat(F.col("r2"), F.col("n"), F.col("slope"))),
     })
     if with_p:
         from quarry.session import ship_package
@@ -95,7 +97,8 @@ def moments(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 # ---------------------------------------------------------------- I2
 def adf_maxlag(n: int) -> int:
-    return int(math.ceil(12.0 * (n / 100.0) ** 0.25))
+    """Largest lag searched: 12 (n / 100)^(1/4), and at most n // 2 - 2 so that the regression keeps its degrees of freedom."""
+    return max(0, min(int(math.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - 2))
 
 
 def _adf_series(y: np.ndarray) -> tuple[int, int, float]:

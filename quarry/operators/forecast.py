@@ -159,7 +159,7 @@ def backtest_series(df: DataFrame, value: str, order_by: Sequence[str], train_sh
     split = F.floor(n * train_share).cast("bigint")
     ma = idx.where((F.col("idx") < split) & (F.col("idx") >= split - ma_window)).agg(
         F.when(F.count(F.lit(1)) == ma_window, F.avg("actual"))).scalar()
-    prev = idx.select((F.col("idx") + 1).alias("idx"), F.col("actual").alias("naive_pred"))
+    prev = idx.where(F.col("idx") >= split - 1).select((F.col("idx") + 1).alias("idx"), F.col("actual").alias("naive_pred"))
     test = idx.where((F.col("idx") >= split) & (n >= min_points)).join(prev, "idx", "left")
     return test.select("idx", "actual", "naive_pred", ma.alias("ma_pred"), n.alias("n"))
 
@@ -179,7 +179,7 @@ def backtest_metrics(bt: DataFrame) -> DataFrame:
         nm.alias("naive_mae"), nr.alias("naive_rmse"), np_.alias("naive_mape"),
         mm.alias("ma_mae"), mr.alias("ma_rmse"), mp.alias("ma_mape"),
         F.avg(y - F.col("ma_pred")).alias("bias"), F.avg(y).alias("test_mean"),
-    )
+    ).where(F.col("test_points") > 0)  # too short a series (under min_points) has no test rows, hence no row here
     return t.withColumns({
         "best_model": F.when(F.col("ma_mae") < F.col("naive_mae"), "moving_average").otherwise("naive"),
         "mape_label": F.when(F.col("ma_mape") > MAPE_HIGH, "unreliable").when(F.col("ma_mape") > MAPE_MID, "improvable").otherwise("reliable"),

@@ -22,22 +22,28 @@ STATUS_STOCKOUT, STATUS_BALANCED, STATUS_EXCESS = "stockout_risk", "balanced", "
 
 
 # ---------------------------------------------------------------- J1-J4
+def _stockout_pct(stock: Column) -> Column:
+    """Share of known stock values at or below the stock-out threshold, percent; 0 without values."""
+    return F.coalesce(F.try_divide(F.count_if(stock <= STOCKOUT_THRESHOLD) * 100.0, F.count(stock)), F.lit(0.0))
+
+
 def stock_to_sales(df: DataFrame, stock: str = "stock", sales: str | None = "sales", keys: Sequence[str] = ()) -> DataFrame:
     """Stock level statistics, stock/sales ratio of means and stock-out periods.
 
-    Each column drops its own nulls (stock and sales are cleaned independently).
+    Each column drops its own nulls (stock and sales are cleaned independently);
+    without any stock value the statistics are 0 and the ratio NULL.
     """
-    s = num(stock)
+    s, zero = num(stock), F.lit(0.0)
     aggs = [
-        F.avg(s).alias("avg_stock"),
-        F.min(s).alias("min_stock"),
-        F.max(s).alias("max_stock"),
+        F.coalesce(F.avg(s), zero).alias("avg_stock"),
+        F.coalesce(F.min(s), zero).alias("min_stock"),
+        F.coalesce(F.max(s), zero).alias("max_stock"),
         F.count_if(s <= STOCKOUT_THRESHOLD).alias("stockout_risk_days"),
-        (F.count_if(s <= STOCKOUT_THRESHOLD) * 100.0 / F.count(s)).alias("stockout_risk_pct"),
+        _stockout_pct(s).alias("stockout_risk_pct"),
     ]
     if sales:
         avg_sales = F.avg(num(sales))
-        aggs.append(F.when(avg_sales > 0, F.avg(s) / avg_sales).alias("stock_to_sales_ratio"))
+        aggs.append(F.when(avg_sales > 0, F.try_divide(F.avg(s), avg_sales)).alias("stock_to_sales_ratio"))
     return group(df, keys).agg(*aggs)
 
 
@@ -59,7 +65,7 @@ def production_summary(df: DataFrame, production: str = "production", sales: str
     aggs = [F.sum(p).alias("total"), F.avg(p).alias("mean"), F.max(p).alias("max"), F.min(p).alias("min")]
     if sales:
         avg_sales = F.avg(num(sales))
-        aggs.append(F.when(avg_sales > 0, F.avg(p) / avg_sales).alias("prod_to_sales_ratio"))
+        aggs.append(F.when(avg_sales > 0, F.try_divide(F.avg(p), avg_sales)).alias("prod_to_sales_ratio"))
     return group(df, keys).agg(*aggs)
 
 
@@ -83,8 +89,8 @@ def ops_labels(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """
     s, q, p, d = num("stock"), num("sales"), num("production"), num("defect")
     out = group(df, keys).agg(
-        (F.count_if(s <= STOCKOUT_THRESHOLD) * 100.0 / F.count(s)).alias("stockout_pct"),
-        F.when(F.avg(q) > 0, F.avg(p) / F.avg(q)).alias("prod_to_sales_ratio"),
+        _stockout_pct(s).alias("stockout_pct"),
+        F.when(F.avg(q) > 0, F.try_divide(F.avg(p), F.avg(q))).alias("prod_to_sales_ratio"),
         (F.avg(d) * 100.0).alias("defect_pct"),
     )
     return out.select(
@@ -99,19 +105,27 @@ def ops_labels(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def production_vs_sales(df: DataFrame, order_by: Sequence[str], production: str = "production", sales: str = "sales") -> DataFrame:
     """Align the non-null production and sales values by position.
 
-    Each column is numbered independently (distributed row index), then the
-    two indexed series are equi-joined on the index: the inner join truncates
-    to the shorter one.
+    The rows are numbered once (distributed row index), with a running count of
+    the non-null values of either column; the two numbered series are equi-joined
+    on their counts: the inner join truncates to the shorter one.
     """
-    p = with_row_index(df.select(*order_by, num(production).alias("production")).where("production IS NOT NULL"), order_by)
-    s = with_row_index(df.select(*order_by, num(sales).alias("sales")).where("sales IS NOT NULL"), order_by)
-    return p.select("idx", "production").join(s.select("idx", "sales"), "idx").select(
-        F.col("idx").alias("position"), "production", "sales",
+    rows = df.select(*order_by, num(production).alias("production"), num(sales).alias("sales"))
+    idx = with_row_index(rows, order_by, running={"_p": F.col("production").isNotNull(), "_s": F.col("sales").isNotNull()})
+    p = idx.where("production IS NOT NULL").select(F.col("_p").alias("position"), "production")
+    s = idx.where("sales IS NOT NULL").select(F.col("_s").alias("position"), "sales")
+    return p.join(s, "position").select(
+        "position", "production", "sales",
         (F.col("production") - F.col("sales")).alias("gap"),
     )
 
 
 # ---------------------------------------------------------------- J6-J10
+def _cover(stock: Column, sales: Column) -> Column:
+    """stock / (sales + 1); sales of -1 give an infinite ratio with the sign of the stock, NULL without stock."""
+    inf = F.lit(float("inf"))
+    return F.when(sales + 1 == 0, F.when(stock > 0, inf).when(stock < 0, -inf)).otherwise(F.try_divide(stock, sales + 1))
+
+
 def _band(ratio: Column) -> Column:
     return (F.when(ratio < 0.5, "critical").when(ratio < 1.0, "low")
             .when(ratio <= 2.0, "optimal").when(ratio > 2.0, "excess"))
@@ -120,7 +134,7 @@ def _band(ratio: Column) -> Column:
 def stock_bands(df: DataFrame, stock: str = "stock", sales: str = "sales", keys: Sequence[str] = ()) -> DataFrame:
     """ratio = stock / (sales + 1) banded critical/low/optimal/excess; counts per band."""
     s, q = num(stock), num(sales)
-    rows = df.where(s.isNotNull() & q.isNotNull()).select(*keys, _band(s / (q + 1)).alias("band"))
+    rows = df.where(s.isNotNull() & q.isNotNull()).select(*keys, _band(_cover(s, q)).alias("band"))
     return rows.groupBy(*keys, "band").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -138,16 +152,16 @@ def dashboard_kpis(df: DataFrame, stock: str = "stock", sales: str = "sales", ke
 
 
 def stock_risk_share(df: DataFrame, stock: str = "stock", sales: str = "sales", keys: Sequence[str] = ()) -> DataFrame:
-    """Share of critical+low rows, mean ratio and excess count (ratio = stock/(sales+1))."""
+    """Share of critical+low rows, mean of the finite ratios and excess count (ratio = stock/(sales+1))."""
     s, q = num(stock), num(sales)
-    r = s / (q + 1)
+    r = _cover(s, q)
     rows = df.where(s.isNotNull() & q.isNotNull())
     return group(rows, keys).agg(
         F.count_if(r < 0.5).alias("critical"),
         F.count_if((r >= 0.5) & (r < 1.0)).alias("low"),
         F.count_if(r > 2.0).alias("excess"),
-        (F.count_if(r < 1.0) * 100.0 / F.count(F.lit(1))).alias("risk_pct"),
-        F.avg(r).alias("avg_stock_ratio"),
+        F.try_divide(F.count_if(r < 1.0) * 100.0, F.count(F.lit(1))).alias("risk_pct"),
+        F.avg(F.when(F.abs(r) < float("inf"), r)).alias("avg_stock_ratio"),
     )
 
 
@@ -166,6 +180,12 @@ def error_rate_daily(df: DataFrame, date: str = "date", error: str = "defect", t
     )
 
 
+def error_rate_rows(df: DataFrame, error: str = "defect", threshold_pct: float = 5.0) -> DataFrame:
+    """J10, per row: the error rate in percent and a flag when it is above ``threshold_pct``."""
+    pct = num(error) * 100.0
+    return df.withColumns({"error_pct": pct, "above_threshold": F.coalesce(pct > threshold_pct, F.lit(False))})
+
+
 # ---------------------------------------------------------------- J11-J18 case study
 def stock_status(ratio: Column) -> Column:
     return F.when(ratio < 1, STATUS_STOCKOUT).when(ratio <= 2, STATUS_BALANCED).otherwise(STATUS_EXCESS)
@@ -178,9 +198,13 @@ def inventory_case(
     window: int = 7,
     z_threshold: float = 2.0,
     with_rolling: bool = True,
+    with_score: bool = True,
 ) -> DataFrame:
     """Clean rows, stock ratio / risk / status, z-score within key, 7-row rolling demand.
 
+    Summaries (J12-J14, J18) read neither the z-score nor the rolling demand:
+    ``with_score=False`` leaves out both, and with them the second scan.
+
     * z-score: per-key mean and sample std are aggregated once and joined back
       (AQE broadcasts the key table when it is small); std 0 or undefined -> z = 0.
     * rolling demand: the rows of each key are numbered in (order_by) order
@@ -203,8 +227,9 @@ def inventory_case(
         out = rows.join(stats, keys).withColumn("sales_zscore", z).drop("_mean", "_std")
         return out.withColumn("anomaly_flag", F.when(F.abs("sales_zscore") >= z_threshold, "anomaly").otherwise("normal"))
 
+    if not with_score:
+        return clean
     if not with_rolling:
-        # summaries (J12-J14, J18) never read the rolling demand; skip its row index
         return score(clean)
     # number the cleaned rows first (one pass of the input), then score and roll
     indexed = with_row_index(clean, order_by, keys=keys, idx="_idx")

@@ -4,8 +4,8 @@ A *series* is a DataFrame ``(keys..., date, value)``.  ``daily_series`` builds i
 by summing raw rows per date, so its size is bounded by the calendar
 (days x keys), never by the raw row count.  Windows on a series are therefore
 partitioned by the series keys and stay small.  Operators that the reference
-applies to *raw* rows in file order (``kpis``) go through the distributed
-row index instead.
+applies to *raw* rows in file order (``kpis``) take an explicit order and read
+only the rows they need.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.common import group, join_keys, join_one_row, num
-from quarry.functions.order import with_row_index
 
 # Fixed thresholds (they define the labels).
 TREND_THRESHOLD_PCT = 2.0
@@ -87,11 +86,14 @@ def period_label(date: Column, freq: str) -> Column:
     return out.cast("timestamp_ntz")
 
 
-def resample_mean(series: DataFrame, freq: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """optional resample by mean; empty bins are absent (no gap fill)."""
+def resample_mean(series: DataFrame, freq: str | None = None, keys: Sequence[str] = (), min_points: int = 4) -> DataFrame:
+    """optional resample by mean; empty bins are absent (no gap fill); keys with fewer than ``min_points`` points are left out."""
+    known = series.where(F.col("value").isNotNull())
+    points = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    known = known.withColumn("_n", F.count(F.lit(1)).over(points)).where(F.col("_n") >= min_points).drop("_n")
     if not freq:
-        return series.where(F.col("value").isNotNull())
-    return series.groupBy(*keys, period_label(F.col("date"), freq).alias("date")).agg(F.avg("value").alias("value"))
+        return known
+    return known.groupBy(*keys, period_label(F.col("date"), freq).alias("date")).agg(F.avg("value").alias("value"))
 
 
 def resample_sum(series: DataFrame, freq: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -228,15 +230,17 @@ def trend_summary(series: DataFrame, keys: Sequence[str] = (), min_points: int =
 def kpis(df: DataFrame, value: str, order_by: Sequence[str], lookback: int = 14) -> DataFrame:
     """total rows, missing fraction, trend direction/% (F9 on raw row order) and volatility.
 
-    The raw rows are numbered with the distributed row index; the point count
-    is a scalar subquery, so "last L rows" is a plain predicate.
+    Only the last 2 x ``lookback`` rows are compared: a top-n by the reversed
+    order (each task keeps that many), numbered from the end; the point count is
+    a scalar subquery.
     """
     from quarry.operators.quality import missing_ratio
 
     vals = df.select(*order_by, num(value).alias("value")).where(F.col("value").isNotNull())
-    idx = with_row_index(vals, order_by, idx="_i")
     total = vals.agg(F.count(F.lit(1))).scalar()
-    indexed = idx.withColumns({"_n": total, "_ri": total - 1 - F.col("_i")})
+    newest = [F.col(c).desc() for c in order_by]
+    tail = vals.orderBy(*newest).limit(2 * lookback)
+    indexed = tail.withColumns({"_n": total, "_ri": F.row_number().over(Window.orderBy(*newest)) - 1})
     change = _recent_vs_prior(indexed, [], "lookback14").select("pct_change")
     vol = variability(vals, "value").select(F.col("cv").alias("volatility_cv"), F.col("level").alias("volatility_label"))
     base = missing_ratio(df).select("total_rows", F.col("missing_ratio").alias("missing_pct"))

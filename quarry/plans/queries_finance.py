@@ -86,6 +86,7 @@ def q_sales_share(spark, sf):
     return C.share_by(sales_fact(spark, sf), "location")
 
 
+# The oracle names the columns that the test data has; the query takes them from the data.
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 
@@ -93,8 +94,7 @@ REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
     f"coalesce(sum(CASE WHEN location = '{r}' THEN sales END), 0.0) AS \"{r}\"" for r in REGIONS)
     + " FROM sales_fact GROUP BY category", SF)
 def q_pivot_category_location(spark, sf):
-    # the pivot columns are the region names: a fixed dimension (TPC-H regions)
-    return C.pivot_sum(sales_fact(spark, sf), "category", "location", REGIONS)
+    return C.pivot_sum(sales_fact(spark, sf), "category", "location")
 
 
 @query("value_counts", "SELECT product, count(*) AS count FROM sales_fact GROUP BY product ORDER BY count DESC, product", SF)
@@ -110,6 +110,6 @@ def q_category_filter(spark, sf):
 @query("distinct_values", """
 SELECT product, n AS n_distinct, n > 1 AND n <= 50 AS selectable
 FROM (SELECT DISTINCT product FROM sales_fact WHERE product IS NOT NULL) d, (SELECT count(DISTINCT product) AS n FROM sales_fact) c
-ORDER BY product LIMIT 51""", SF)
+ORDER BY product""", SF)
 def q_distinct_values(spark, sf):
     return C.distinct_values(sales_fact(spark, sf), "product")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quarry.functions.order import with_row_index
 from quarry.operators import inventory as inv
 from quarry.plans.catalog import query
 from quarry.plans.views import SALES_FACT_SQL, SALES_ORDER, sales_fact, sales_month
@@ -28,8 +29,9 @@ inv_case AS (
 """
 
 
-def _case(spark, sf, with_rolling=False):
-    return inv.inventory_case(sales_fact(spark, sf), SALES_ORDER, with_rolling=with_rolling)
+def _case(spark, sf):
+    """Case rows for summaries: one scan of the fact, no z-score and no rolling demand."""
+    return inv.inventory_case(sales_fact(spark, sf), SALES_ORDER, with_score=False)
 
 
 def _with_case(sql: str) -> str:
@@ -124,9 +126,25 @@ def q_error_rate_daily(spark, sf):
     return inv.error_rate_daily(sales_fact(spark, sf))
 
 
+@query("error_rate_rows", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, defect * 100.0 AS error_pct, defect * 100.0 > 5.0 AS above_threshold FROM sales_fact""",
+       ["sales_fact"])
+def q_error_rate_rows(spark, sf):
+    return inv.error_rate_rows(sales_fact(spark, sf)).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "error_pct", "above_threshold")
+
+
+@query("row_index", f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, region,
+       row_number() OVER (PARTITION BY region ORDER BY {ORDER_SQL}) - 1 AS idx FROM sales_fact""", ["sales_fact"])
+def q_row_index(spark, sf):
+    rows = sales_fact(spark, sf).select(*SALES_ORDER, "region")
+    return with_row_index(rows, SALES_ORDER, keys=["region"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "region", "idx")
+
+
 @query("inventory_case", _with_case("SELECT * FROM inv_case"))
 def q_inventory_case(spark, sf):
-    return _case(spark, sf, with_rolling=True)
+    return inv.inventory_case(sales_fact(spark, sf), SALES_ORDER)
 
 
 @query("inventory_kpis", _with_case("""

@@ -4,11 +4,10 @@ Each view exists twice: as a DataFrame plan (what the engine runs) and as SQL
 text (what the DuckDB oracle runs).  Both must stay semantically identical.
 
 Join strategy: ``nation`` and ``region`` have a fixed size at every scale
-(25 and 5 rows), so they are broadcast explicitly.  ``part``, ``supplier`` and
-``customer`` grow with the data: they are counted first and broadcast only
-below ``BROADCAST_MAX_ROWS`` (``checked_broadcast``); beyond it they stay
-sort-merge joins that AQE can still convert or split for skew.  ``orders`` is
-never broadcast.
+(25 and 5 rows), so they are broadcast explicitly.  ``part``, ``supplier``,
+``customer`` and ``orders`` grow with the data and carry no hint: Spark decides
+by their measured bytes (spark.sql.autoBroadcastJoinThreshold, and AQE at run
+time), and splits skewed sort-merge joins.
 """
 
 from __future__ import annotations
@@ -16,7 +15,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.common import checked_broadcast
 from quarry.sources.tables import table
 from quarry.session import tune
 
@@ -31,7 +29,7 @@ def supplier_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     reg = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     geo = nat.join(F.broadcast(reg), nat.n_regionkey == reg.r_regionkey).select("n_nationkey", "r_regionkey", "r_name")
     out = sup.join(F.broadcast(geo), sup.s_nationkey == geo.n_nationkey).select("s_suppkey", "r_regionkey", "r_name")
-    return checked_broadcast(out, f"{sf_dir}/supplier")
+    return out
 
 
 def sales_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +38,7 @@ def sales_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
         "l_quantity", "l_extendedprice", "l_discount", "l_returnflag",
     )
-    part = checked_broadcast(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_retailprice"), f"{sf_dir}/part")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_retailprice")
     sup = supplier_region(spark, sf_dir)
     j = li.join(part, li.l_partkey == part.p_partkey).join(sup, li.l_suppkey == sup.s_suppkey)
     q = F.col("l_quantity")
@@ -113,7 +111,7 @@ FROM events
 def transport_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     li = table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == "F").select("l_partkey", "l_suppkey")
-    part = checked_broadcast(table(spark, sf_dir, "part").select("p_partkey", "p_type"), f"{sf_dir}/part")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     sup = supplier_region(spark, sf_dir)
     j = li.join(part, li.l_partkey == part.p_partkey).join(sup, li.l_suppkey == sup.s_suppkey)
     return j.groupBy(F.col("p_type").alias("problem"), F.col("r_name").alias("src")).agg(F.count("*").alias("qty"))
@@ -122,9 +120,9 @@ def transport_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transport_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     li = table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == "O").select("l_partkey", "l_orderkey")
-    part = checked_broadcast(table(spark, sf_dir, "part").select("p_partkey", "p_type"), f"{sf_dir}/part")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    cust = checked_broadcast(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), f"{sf_dir}/customer")
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     j = (li.join(part, li.l_partkey == part.p_partkey)
          .join(orders, li.l_orderkey == orders.o_orderkey)
          .join(cust, orders.o_custkey == cust.c_custkey))

@@ -49,7 +49,7 @@ def ingest(spark: SparkSession, paths: list[str], points_path: str, registry_pat
         status = "success"
     except Exception as exc:  # the failed status is recorded, then re-raised
         entry = store.registry_entry(spark, id=dataset_id, name=name, source_type="file", source_path=",".join(paths),
-                                     status="failed", error_message=str(exc)[:1000])
+                                     status="failed", error_message=str(exc))
         store.append_registry(entry.withColumns({"created_at": now, "updated_at": now}), registry_path)
         raise
     store.append_registry(entry.withColumns({"created_at": now, "updated_at": now}), registry_path)

@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.common import group
 
+# Columns of stored points and of the registry, and what counts as numeric text.
 POINT_COLUMNS = ("dataset_id", "row_index", "timestamp", "payload", "is_valid", "created_at")
 REGISTRY_COLUMNS = ("id", "name", "source_type", "source_path", "row_count", "datetime_column",
                     "status", "error_message", "created_at", "updated_at")
@@ -92,8 +95,13 @@ def time_range(points: DataFrame, dataset_id: str, start=None, end=None, limit:
     return points.where(cond).orderBy("timestamp", "row_index").limit(limit)
 
 
+def _path(field: str) -> str:
+    """JSON path of one top-level key, whatever characters it holds."""
+    return "$['" + field.replace("\\", "\\\\").replace("'", "\\'") + "']"
+
+
 def field_text(field: str) -> Column:
-    return F.get_json_object("payload", f"$.{field}")
+    return F.get_json_object("payload", _path(field))
 
 
 def payload_field_equals(points: DataFrame, dataset_id: str, field: str, value, limit: int = 100) -> DataFrame:
@@ -102,25 +110,27 @@ def payload_field_equals(points: DataFrame, dataset_id: str, field: str, value,
             .orderBy("timestamp", "row_index").limit(limit))
 
 
-def _contains_conditions(obj: dict, prefix: str = "$") -> list[Column]:
-    conds = []
-    v = F.try_parse_json("payload")
-    for k, val in obj.items():
-        path = f"{prefix}.{k}"
-        if isinstance(val, dict):
-            conds += _contains_conditions(val, path)
-        else:
-            got = F.to_json(F.try_variant_get(v, path, "variant"))
-            conds.append(got == json.dumps(val, separators=(",", ":")))
-    return conds
+def _holds(wanted):
+    return lambda item: _contained(item, wanted)
+
+
+def _contained(v: Column, wanted) -> Column:
+    """Whether a JSON value (variant) contains ``wanted``: objects by key, arrays by element, scalars by value."""
+    if isinstance(wanted, dict):
+        parts = [_contained(F.try_variant_get(v, _path(k), "variant"), x) for k, x in wanted.items()]
+        return reduce(and_, parts, F.schema_of_variant(v).startswith("OBJECT"))
+    if isinstance(wanted, list):
+        items = F.try_variant_get(v, "$", "array<variant>")
+        return reduce(and_, [F.exists(items, _holds(x)) for x in wanted], items.isNotNull())
+    text = F.to_json(v)
+    if isinstance(wanted, (int, float)) and not isinstance(wanted, bool):
+        return F.coalesce(text.try_cast("double") == float(wanted), F.lit(False))
+    return text == json.dumps(wanted, ensure_ascii=False)
 
 
 def payload_contains(points: DataFrame, obj: dict) -> DataFrame:
-    """D3: JSON containment for objects (nested objects recurse into paths; leaves compare as JSON values)."""
-    cond = F.lit(True)
-    for c in _contains_conditions(obj):
-        cond = cond & c
-    return points.where(cond)
+    """D3: JSON containment: every key of ``obj`` is there with a value that contains the wanted one."""
+    return points.where(F.coalesce(_contained(F.try_parse_json("payload"), obj), F.lit(False)))
 
 
 def payload_numeric_agg(points: DataFrame, field: str, dataset_id: str | None = None, keys: Sequence[str] = ("dataset_id",)) -> DataFrame:
