@@ -18,27 +18,35 @@ DATETIME_NAME_HINTS = (
 DATETIME_PARSE_THRESHOLD = 0.60
 NUMERIC_PARSE_THRESHOLD = 0.70
 
-# Candidate datetime layouts (Spark pattern, equivalent strptime pattern for the SQL oracle).
-DATETIME_FORMATS = (
-    ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"),
-    ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S"),
-    ("yyyy-MM-dd", "%Y-%m-%d"),
-    ("MM/dd/yyyy", "%m/%d/%Y"),
-    ("dd.MM.yyyy", "%d.%m.%Y"),
-    ("yyyy/MM/dd", "%Y/%m/%d"),
+# Candidate datetime layouts (Spark pattern, equivalent strptime pattern for the SQL oracle,
+# shape).  Month before day where both fit.  A shape is a superset of what its layout accepts: values that
+# cannot match skip the formatter, whose failures are expensive.
+_D, _CLOCK, _ZONE = r"\d{1,2}", r"\d{1,2}:\d{2}:\d{2}", r"\s?(Z|[+-]\d{2}:?\d{2})"
+DATETIME_LAYOUTS = (
+    ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S", rf"^\d{{4}}-{_D}-{_D} {_D}:{_D}:{_D}$"),
+    ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S", rf"^\d{{4}}-{_D}-{_D}T{_D}:{_D}:{_D}$"),
+    ("yyyy-MM-dd", "%Y-%m-%d", rf"^\d{{4}}-{_D}-{_D}$"),
+    ("MM/dd/yyyy", "%m/%d/%Y", rf"^{_D}/{_D}/\d{{4}}$"),
+    ("dd.MM.yyyy", "%d.%m.%Y", rf"^{_D}\.{_D}\.\d{{4}}$"),
+    ("yyyy/MM/dd", "%Y/%m/%d", rf"^\d{{4}}/{_D}/{_D}$"),
+    ("dd/MM/yyyy", "%d/%m/%Y", rf"^{_D}/{_D}/\d{{4}}$"),
+    ("MM-dd-yyyy", "%m-%d-%Y", rf"^{_D}-{_D}-\d{{4}}$"),
+    ("dd-MM-yyyy", "%d-%m-%Y", rf"^{_D}-{_D}-\d{{4}}$"),
+    ("MMM d, yyyy", "%b %d, %Y", rf"^[A-Za-z]{{3}} {_D}, \d{{4}}$"),
+    ("d MMM yyyy", "%d %b %Y", rf"^{_D} [A-Za-z]{{3}} \d{{4}}$"),
+    ("yyyy-MM-dd HH:mm", "%Y-%m-%d %H:%M", rf"^\d{{4}}-{_D}-{_D} {_D}:\d{{2}}$"),
+    ("yyyy-MM-dd'T'HH:mm", "%Y-%m-%dT%H:%M", rf"^\d{{4}}-{_D}-{_D}T{_D}:\d{{2}}$"),
+    ("MM/dd/yyyy HH:mm[:ss]", "%m/%d/%Y %H:%M:%S", rf"^{_D}/{_D}/\d{{4}} {_D}:\d{{2}}(:\d{{2}})?$"),
+    ("dd/MM/yyyy HH:mm[:ss]", "%d/%m/%Y %H:%M:%S", rf"^{_D}/{_D}/\d{{4}} {_D}:\d{{2}}(:\d{{2}})?$"),
+    ("yyyy-MM-dd HH:mm:ss.SSSSSSSSS", "%Y-%m-%d %H:%M:%S.%f", rf"^\d{{4}}-{_D}-{_D} {_CLOCK}\.\d{{1,9}}$"),
+    ("yyyy-MM-dd'T'HH:mm:ss.SSSSSSSSS", "%Y-%m-%dT%H:%M:%S.%f", rf"^\d{{4}}-{_D}-{_D}T{_CLOCK}\.\d{{1,9}}$"),
+    ("yyyy-MM-dd HH:mm:ss[.SSSSSSSSS][ ][XXX][XX]", "%Y-%m-%d %H:%M:%S%z", rf"^\d{{4}}-{_D}-{_D} {_CLOCK}(\.\d{{1,9}})?{_ZONE}$"),
+    ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][ ][XXX][XX]", "%Y-%m-%dT%H:%M:%S%z", rf"^\d{{4}}-{_D}-{_D}T{_CLOCK}(\.\d{{1,9}})?{_ZONE}$"),
 )
-# Cheap shape test per layout (a superset of what the layout accepts): values
-# that cannot match skip the formatter, whose failures are expensive.
-_D = r"\d{1,2}"
-DATETIME_SHAPES = {
-    "yyyy-MM-dd HH:mm:ss": rf"^\d{{4}}-{_D}-{_D} {_D}:{_D}:{_D}$",
-    "yyyy-MM-dd'T'HH:mm:ss": rf"^\d{{4}}-{_D}-{_D}T{_D}:{_D}:{_D}$",
-    "yyyy-MM-dd": rf"^\d{{4}}-{_D}-{_D}$",
-    "MM/dd/yyyy": rf"^{_D}/{_D}/\d{{4}}$",
-    "dd.MM.yyyy": rf"^{_D}\.{_D}\.\d{{4}}$",
-    "yyyy/MM/dd": rf"^\d{{4}}/{_D}/{_D}$",
-}
+DATETIME_FORMATS = tuple((spark, sql) for spark, sql, _ in DATETIME_LAYOUTS)
+DATETIME_SHAPES = {spark: shape for spark, _, shape in DATETIME_LAYOUTS}
 
+# Currency signs and the shape of European numbers.
 CURRENCY = "$£€¥₹"
 EURO_PATTERN = r"^\d{1,3}(\.\d{3})+(,\d+)?$"
 
@@ -102,15 +110,27 @@ def to_bool(c: Column, null_as_false: bool = True) -> Column:
 
 
 def parse_datetime(c: Column, fmt: str) -> Column:
-    """Wall-clock TIMESTAMP_NTZ for one layout; NULL when it does not match (zone-independent round trip)."""
-    parsed = F.try_to_timestamp(text(c), F.lit(fmt)).cast("timestamp_ntz")
+    """TIMESTAMP_NTZ for one layout, NULL when it does not match.
+
+    Text without a zone keeps its wall clock; text with an offset is converted to UTC.
+    """
+    parsed = F.try_to_timestamp(text(c), F.lit(fmt))
+    if "X" in fmt:
+        parsed = F.to_utc_timestamp(parsed, F.current_timezone())
+    parsed = parsed.cast("timestamp_ntz")
     shape = DATETIME_SHAPES.get(fmt)
     return parsed if shape is None else F.when(looks_like_date(c) & text(c).rlike(shape), parsed)
 
 
+def parse_any_datetime(c: Column, first: str | None = None) -> Column:
+    """C4: the column's main layout first, then the other layouts in their order, per value."""
+    layouts = [f for f, _ in DATETIME_FORMATS]
+    return F.coalesce(*[parse_datetime(c, f) for f in ([first] if first else []) + [f for f in layouts if f != first]])
+
+
 def looks_like_date(c: Column) -> Column:
-    """One cheap test shared by all layouts: digits, a separator, digits, a separator."""
-    return text(c).rlike(r"^\d{1,4}[-/.]\d{1,2}[-/.]\d")
+    """One cheap test shared by all layouts: digits, a separator, digits, a separator; or a day, a month name and a year."""
+    return text(c).rlike(r"^\d{1,4}[-/.]\d{1,2}[-/.]\d|^([A-Za-z]{3} \d{1,2},|\d{1,2} [A-Za-z]{3}) \d{4}$")
 
 
 def name_score(name: str) -> float:

@@ -74,7 +74,7 @@ def typed(df: DataFrame, roles: Roles, null_as_false: bool = True, passthrough:
             if isinstance(df.schema[c].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
                 cols.append(src.cast("timestamp_ntz").alias(c))
             else:
-                cols.append(P.parse_datetime(src, roles.datetime_format or "yyyy-MM-dd").alias(c))
+                cols.append(P.parse_any_datetime(src, roles.datetime_format).alias(c))
         elif c in roles.numeric:
             cols.append(P.parse_numeric(src, roles.european.get(c, False)).alias(c))
         elif c in roles.boolean:
@@ -90,7 +90,7 @@ def build_payload(t: DataFrame, roles: Roles, columns: list[str]) -> Column:
     return F.to_json(F.struct(*[F.col(f"`{c}`") for c in keep]), {"ignoreNullFields": "false"})
 
 
-def records(df: DataFrame, roles: Roles, null_as_false: bool = True, keep: list[str] | None = None) -> DataFrame:
+def records(df: DataFrame, roles: Roles, null_as_false: bool = True, keep: list[str] | None = None, drop_empty: bool = True) -> DataFrame:
     """Records ``(timestamp, payload, is_valid, ts_failed)`` from the non-empty rows.
 
     Validity (C8, build rule): the payload has at least one non-null value and,
@@ -98,8 +98,10 @@ def records(df: DataFrame, roles: Roles, null_as_false: bool = True, keep: list[
     """
     keep = list(keep or [])
     columns = [c for c in df.columns if c not in keep]
-    nonempty = spread(df).na.drop("all", subset=columns)  # C1 on the data columns; kept columns pass through
-    t = typed(nonempty, roles, null_as_false, passthrough=keep)
+    source = spread(df)
+    if drop_empty:
+        source = source.na.drop("all", subset=columns)  # C1 on the data columns; kept columns pass through
+    t = typed(source, roles, null_as_false, passthrough=keep)
     payload_cols = [c for c in columns if c != roles.datetime]
     has_value = F.lit(False)
     for c in payload_cols:
@@ -123,19 +125,21 @@ def valid_split(rec: DataFrame) -> DataFrame:
 
 def transformation_report(df: DataFrame, roles: Roles) -> DataFrame:
     """One aggregation over raw + typed columns: totals, validity, drops, parse failures."""
-    rec = records(df, roles)
+    rec = records(df, roles, drop_empty=False)
+    empty = F.lit(True)
+    for c in df.columns:
+        empty = empty & F.col(f"`_raw_{c}`").isNull()
     aggs = [
-        F.count(F.lit(1)).alias("total_records"),
-        F.count_if("is_valid").alias("valid_records"),
-        F.count_if(~F.col("is_valid")).alias("invalid_records"),
+        F.count_if(~empty).alias("total_records"),
+        F.count_if(F.col("is_valid") & ~empty).alias("valid_records"),
+        F.count_if(~F.col("is_valid") & ~empty).alias("invalid_records"),
         F.count_if("ts_failed").alias("timestamp_failures"),
+        F.count_if(empty).alias("dropped_empty_rows"),
     ]
     for c in roles.numeric:
         aggs.append((F.count(F.col(f"`_raw_{c}`")) - F.count(F.col(f"`{c}`"))).alias(f"numeric_failures__{c}"))
-    raw_total = df.agg(F.count(F.lit(1))).scalar()
-    rep = rec.agg(*aggs)
-    return rep.select(
-        "*", (raw_total - F.col("total_records")).alias("dropped_empty_rows"),
+    return rec.agg(*aggs).select(
+        "*",
         F.when(F.col("total_records") > 0, F.col("valid_records") / F.col("total_records")).otherwise(F.lit(0.0)).alias("valid_ratio"),
     )
 

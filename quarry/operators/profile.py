@@ -46,7 +46,9 @@ def column_stats(df: DataFrame) -> DataFrame:
     so only (columns x partitions) partial rows are shuffled.
     """
     fields = df.schema.fields
-    x = _long(df).select("ordinal", "v", P.numeric_body(F.col("v")).alias("b"), P.is_negative(F.col("v")).alias("neg"))
+    # which layouts a cell fits; the many layouts are tried only on cells that look like dates
+    fits = F.when(P.looks_like_date(F.col("v")), F.array(*[P.parse_datetime(F.col("v"), f).isNotNull() for f, _ in P.DATETIME_FORMATS]))
+    x = _long(df).select("ordinal", "v", P.numeric_body(F.col("v")).alias("b"), P.is_negative(F.col("v")).alias("neg"), fits.alias("fits"))
     t, b, neg = F.col("v"), F.col("b"), F.col("neg")
     stats = x.groupBy("ordinal").agg(
         F.count(F.lit(1)).alias("total_count"),
@@ -55,7 +57,8 @@ def column_stats(df: DataFrame) -> DataFrame:
         F.count_if(P.euro_body(b)).alias("_eu"),
         F.count(P.parse_numeric_body(b, neg, True)).alias("_ne"),
         F.count(P.parse_numeric_body(b, neg, False)).alias("_np"),
-        F.array(*[F.count(P.parse_datetime(t, fmt)) for fmt, _ in P.DATETIME_FORMATS]).alias("dt_counts"),
+        F.array(*[F.count_if(F.col("fits")[i]) for i in range(len(P.DATETIME_FORMATS))]).alias("dt_counts"),
+        F.count_if(F.array_contains("fits", True)).alias("dt_any"),
     )
     meta = df.sparkSession.createDataFrame(
         [(i, f.name, _kind(f.dataType), P.name_score(f.name)) for i, f in enumerate(fields)],
@@ -65,7 +68,7 @@ def column_stats(df: DataFrame) -> DataFrame:
         "ordinal", "column", "native", "name_score", "total_count", "non_null", "bool_tokens",
         (F.col("_eu") > 0).alias("european"),
         F.when(F.col("_eu") > 0, F.col("_ne")).otherwise(F.col("_np")).alias("numeric_ok"),
-        "dt_counts",
+        "dt_counts", "dt_any",
     )
 
 
@@ -110,7 +113,7 @@ def profile_columns(df: DataFrame, with_distinct: bool = True) -> DataFrame:
     fmts = F.array(*[F.lit(f) for f, _ in P.DATETIME_FORMATS])
     native = F.col("native")
     dt_ratio = (F.when(native == "datetime", F.lit(1.0))
-                .when(nn > 0, dt_best / nn).otherwise(F.lit(0.0)))
+                .when(nn > 0, F.col("dt_any") / nn).otherwise(F.lit(0.0)))
     num_ratio = F.when(native == "numeric", F.lit(1.0)).when(nn > 0, F.col("numeric_ok") / nn).otherwise(F.lit(0.0))
     is_bool = (native == "boolean") | ((nn > 0) & (F.col("bool_tokens") == nn))
     out = st.select(

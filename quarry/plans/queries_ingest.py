@@ -60,6 +60,7 @@ def profile_sql() -> str:
     for i, c in enumerate(COLS):
         dts = [f"count(try_strptime({c}, '{f}'))" for _, f in P.DATETIME_FORMATS]
         best = f"greatest({', '.join(dts)})"
+        any_ = "count(coalesce(" + ", ".join(f"try_strptime({c}, '{f}')" for _, f in P.DATETIME_FORMATS) + "))"
         fmt = "CASE " + " ".join(f"WHEN {d} = {best} THEN '{q(sf)}'" for d, (sf, _) in zip(dts, P.DATETIME_FORMATS)) + " END"
         parts.append(f"""
 SELECT {i} AS ordinal, '{c}' AS "column", CAST({P.name_score(c)!r} AS DOUBLE) AS name_score, count_if({s_euro_row(c)}) > 0 AS european,
@@ -68,7 +69,7 @@ SELECT {i} AS ordinal, '{c}' AS "column", CAST({P.name_score(c)!r} AS DOUBLE) AS
        CASE WHEN count(*) > 0 THEN (count(*) - count({c})) / count(*) ELSE 1.0 END AS null_ratio,
        CASE WHEN count({c}) > 0 THEN count(DISTINCT {c}) / count({c}) ELSE 0.0 END AS unique_ratio,
        (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM raw_orders WHERE {c} IS NOT NULL ORDER BY v LIMIT 5)) AS sample_values,
-       CASE WHEN count({c}) > 0 THEN {best} / count({c}) ELSE 0.0 END AS datetime_ratio,
+       CASE WHEN count({c}) > 0 THEN {any_} / count({c}) ELSE 0.0 END AS datetime_ratio,
        CASE WHEN {best} > 0 THEN {fmt} END AS datetime_format,
        CASE WHEN count({c}) > 0 THEN count(CASE WHEN count_if({s_euro_row(c)}) OVER () > 0 THEN 1 END) END AS _dummy,
        count_if({s_bool_token(c)}) AS bool_tokens,

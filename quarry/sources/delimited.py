@@ -80,7 +80,7 @@ def column_validity(df: DataFrame, minimum: int = 3) -> DataFrame:
     aggs = []
     for c in df.columns:
         col = F.col(f"`{c}`")
-        dt_any = F.coalesce(*[P.parse_datetime(col, f) for f, _ in P.DATETIME_FORMATS])
+        dt_any = P.parse_any_datetime(col)
         aggs += [F.count(dt_any).alias(f"d_{c}"), F.count(P.parse_numeric(col, False)).alias(f"n_{c}")]
     wide = df.agg(*aggs)
     return wide.select(F.explode(F.array(*[
@@ -117,8 +117,8 @@ def map_columns(df: DataFrame, mapping: dict[str, str], date_field: str = "date"
     """Rename source -> semantic field and parse the date field."""
     out = df.withColumnsRenamed(mapping)
     if date_field in out.columns and dict(out.dtypes)[date_field] == "string":
-        fmts = [date_format] if date_format else [f for f, _ in P.DATETIME_FORMATS]
-        out = out.withColumn(date_field, F.coalesce(*[P.parse_datetime(F.col(date_field), f) for f in fmts]))
+        field = F.col(date_field)
+        out = out.withColumn(date_field, P.parse_datetime(field, date_format) if date_format else P.parse_any_datetime(field))
     return out
 
 

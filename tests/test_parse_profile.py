@@ -51,6 +51,32 @@ def test_datetime_layouts(spark):
     assert got == ["2024-01-03 00:00:00", "2024-01-04 10:00:00", "2024-03-01 00:00:00", None, None]
 
 
+def test_more_datetime_layouts_and_utc(spark):
+    cases = {
+        "2024-01-03 10:00": "2024-01-03 10:00:00", "2024-01-03T10:00:00Z": "2024-01-03 10:00:00",
+        "2024-01-03 10:00:00.250": "2024-01-03 10:00:00.250000", "2024-01-03T10:00:00+02:00": "2024-01-03 08:00:00",
+        "2024-01-03T10:00:00.5-0530": "2024-01-03 15:30:00.500000", "25/12/2024": "2024-12-25 00:00:00",
+        "12/25/2024 08:30": "2024-12-25 08:30:00", "03-01-2024": "2024-03-01 00:00:00", "31-01-2024": "2024-01-31 00:00:00",
+        "Jan 3, 2024": "2024-01-03 00:00:00", "3 Jan 2024": "2024-01-03 00:00:00", "32/13/2024": None, "1234": None, "3.14": None,
+    }
+    df = spark.createDataFrame([(v,) for v in cases], "v string")
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            got = {r["v"]: r["t"] for r in df.select("v", P.parse_any_datetime(F.col("v")).alias("t")).collect()}
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        assert {k: str(v) if v else None for k, v in got.items()} == cases, zone
+
+
+def test_one_column_with_mixed_layouts_keeps_its_time_axis(spark):
+    df = spark.createDataFrame([("2024-01-03 10:00", "1"), ("25/12/2024", "2"), ("2024-01-03T10:00:00+01:00", "3")], "date string, x string")
+    roles = C.plan_roles(df)
+    assert roles.datetime == "date"
+    got = [str(r["date"]) for r in C.typed(df, roles).orderBy("x").collect()]
+    assert got == ["2024-01-03 10:00:00", "2024-12-25 00:00:00", "2024-01-03 09:00:00"]
+
+
 def test_name_score_and_normalisation(spark):
     assert P.name_score("order_date") == pytest.approx(1 - 3 / 13 * 0.5)
     assert P.name_score("amount") == 0.0
