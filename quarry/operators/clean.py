@@ -33,9 +33,11 @@ class Roles:
     null_ratio: dict[str, float] = field(default_factory=dict)
 
 
-def plan_roles(df: DataFrame) -> Roles:
-    """Run the profile (one job) and collect its per-column rows (bounded by the column count)."""
-    rows = detect_schema(profile_columns(df, with_distinct=False)).orderBy("ordinal").collect()
+def plan_roles(df: DataFrame, profile: DataFrame | None = None) -> Roles:
+    """Collect the schema profile's per-column rows (bounded by the column count); without one, run it (one job)."""
+    if profile is None:
+        profile = detect_schema(profile_columns(df, with_distinct=False))
+    rows = profile.orderBy("ordinal").collect()
     r = Roles()
     for row in rows:
         r.european[row["column"]] = bool(row["european"])

@@ -38,7 +38,7 @@ def _long(df: DataFrame) -> DataFrame:
     ])).alias("s")).select("s.*")
 
 
-def column_stats(df: DataFrame) -> DataFrame:
+def column_stats(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """Per-column counts: unpivot to (ordinal, text) and aggregate by ordinal.
 
     The aggregate list is the same whatever the number of columns (the plan
@@ -59,6 +59,7 @@ def column_stats(df: DataFrame) -> DataFrame:
         F.count(P.parse_numeric_body(b, neg, False)).alias("_np"),
         F.array(*[F.count_if(F.col("fits")[i]) for i in range(len(P.DATETIME_FORMATS))]).alias("dt_counts"),
         F.count_if(F.array_contains("fits", True)).alias("dt_any"),
+        *([F.approx_count_distinct(t).alias("unique_count")] if approx_distinct else []),
     )
     meta = df.sparkSession.createDataFrame(
         [(i, f.name, _kind(f.dataType), P.name_score(f.name)) for i, f in enumerate(fields)],
@@ -68,7 +69,7 @@ def column_stats(df: DataFrame) -> DataFrame:
         "ordinal", "column", "native", "name_score", "total_count", "non_null", "bool_tokens",
         (F.col("_eu") > 0).alias("european"),
         F.when(F.col("_eu") > 0, F.col("_ne")).otherwise(F.col("_np")).alias("numeric_ok"),
-        "dt_counts", "dt_any",
+        "dt_counts", "dt_any", *(["unique_count"] if approx_distinct else []),
     )
 
 
@@ -95,15 +96,20 @@ def distinct_and_samples(df: DataFrame) -> DataFrame:
     return names_df.join(counts, "column", "left").join(samples, "column", "left").na.fill(0, ["unique_count"])
 
 
-def profile_columns(df: DataFrame, with_distinct: bool = True) -> DataFrame:
+def profile_columns(df: DataFrame, with_distinct: bool | str = True) -> DataFrame:
     """Per column counts, ratios, samples, best datetime layout and inferred type.
 
     Type priority: boolean -> datetime (ratio >= 0.60) -> numeric (>= 0.70) -> text.
-    Native typed columns keep their type (ratio 1.0).
+    Native typed columns keep their type (ratio 1.0).  ``with_distinct``: True
+    for exact distinct counts and samples (shuffles every distinct cell),
+    "approx" for HyperLogLog counts in the same pass and no samples, False for
+    neither.
     """
     df = spread(df)
-    st = column_stats(df)
-    if with_distinct:
+    st = column_stats(df, with_distinct == "approx")
+    if with_distinct == "approx":
+        st = st.withColumn("sample_values", F.lit(None).cast("string"))
+    elif with_distinct:
         st = st.join(distinct_and_samples(df), "column")
     else:  # role assignment needs neither distinct counts nor samples
         st = st.withColumns({"unique_count": F.lit(None).cast("bigint"), "sample_values": F.lit(None).cast("string")})

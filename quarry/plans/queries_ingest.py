@@ -107,13 +107,13 @@ PROFILE_COLS = ("ordinal, \"column\", name_score, european, total_count, non_nul
                 "unique_ratio, sample_values, datetime_ratio, datetime_format, numeric_ratio, inferred_type, parse_success_ratio")
 
 
-def _profile(spark, sf):
-    return B.profile_columns(raw_orders(spark, sf)).drop("native")
+def _profile(spark, sf, with_distinct=False):
+    return B.profile_columns(raw_orders(spark, sf), with_distinct).drop("native")
 
 
 @query("column_profile", profile_sql() + f"SELECT {PROFILE_COLS} FROM profile2", RV)
 def q_column_profile(spark, sf):
-    return _profile(spark, sf)
+    return _profile(spark, sf, True)
 
 
 @query("datetime_ratio", profile_sql() + "SELECT \"column\", datetime_ratio, datetime_format FROM profile2", RV)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,33 +27,57 @@ def _separator(path: str) -> str:
     return "\t" if path.lower().endswith(".tsv") else ","
 
 
-def utf8_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Per file: whether every line is valid UTF-8 (one distributed pass, splittable)."""
-    lines = spark.read.text(list(paths)).select(F.input_file_name().alias("path"), "value")
-    return lines.groupBy("path").agg(F.bool_and(F.is_valid_utf8(F.col("value").cast("binary"))).alias("utf8"))
+def _decoded(path: str) -> str:
+    """Path part of a file URI with its escapes undone (Spark reports ``c%20d.csv`` for ``c d.csv``)."""
+    parsed = urlparse(path)
+    return unquote(parsed.path) if parsed.scheme else path
 
 
-def read_delimited(spark: SparkSession, paths: Sequence[str], check_encoding: bool = True) -> DataFrame:
+def file_traits(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Per file, in one splittable pass over its lines: header line, valid UTF-8 throughout, and whether a
+    quoted field spans lines (some line holds an odd number of quotes)."""
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"), "value")
+    quotes = F.length(F.regexp_replace("value", '[^"]', ""))
+    return lines.groupBy("path").agg(
+        F.min_by("value", "at").alias("header"),
+        F.bool_and(F.is_valid_utf8(F.col("value").cast("binary"))).alias("utf8"),
+        F.bool_or(quotes % 2 == 1).alias("spans_lines"))
+
+
+def read_delimited(spark: SparkSession, paths: Sequence[str], check_files: bool = True) -> DataFrame:
     """A1: header row, every column as text, NA tokens -> NULL.
 
-    Separator: ',' for .csv/.txt and tab for .tsv.  Encoding: UTF-8, or
-    ISO-8859-1 for files that are not valid UTF-8 (the fallback never fails).
+    Separator: ',' for .csv/.txt and tab for .tsv.  Quotes inside a quoted
+    field are doubled.  Encoding: UTF-8, or ISO-8859-1 for files that are not
+    valid UTF-8 (the fallback never fails).  Files are read in groups of equal
+    separator, encoding, header and need for fields that span lines (only such
+    files give up splitting), and the groups are united by column name.
+    ``check_files=False`` skips the pass over the lines for files known to be
+    plain UTF-8 with one header and no field that spans lines.
     """
     paths = list(paths)
     for p in paths:
-        if os.path.splitext(p)[1].lower() not in SUPPORTED:
+        if os.path.splitext(_decoded(p))[1].lower() not in SUPPORTED:
             raise ValueError(f"unsupported file type: {p}")
-    groups: dict[tuple[str, str], list[str]] = {}
-    if check_encoding:
-        bad = {r["path"] for r in utf8_files(spark, paths).where(~F.col("utf8")).collect()}  # one row per file
+    groups: dict[tuple, list[str]] = {}
+    if check_files:
+        traits = {_decoded(r["path"]): r for r in file_traits(spark, paths).collect()}  # one row per file
+        for p in paths:
+            own = _decoded(p) if urlparse(p).scheme else os.path.abspath(p)
+            t = traits.get(own) or traits.get(p)
+            if t is not None:  # a file without any line has no columns either
+                groups.setdefault((_separator(p), t["utf8"], t["header"], t["spans_lines"]), []).append(p)
     else:
-        bad = set()
-    for p in paths:
-        enc = "ISO-8859-1" if any(b.endswith(os.path.abspath(p)) or b == p for b in bad) else "UTF-8"
-        groups.setdefault((_separator(p), enc), []).append(p)
+        for p in paths:
+            groups.setdefault((_separator(p), True, None, False), []).append(p)
+    if not groups:
+        raise ValueError("no lines in any file")
     out = None
-    for (sep, enc), ps in groups.items():
-        df = spark.read.option("header", "true").option("sep", sep).option("encoding", enc).option("inferSchema", "false").csv(ps)
+    for (sep, utf8, _, spans_lines), ps in groups.items():
+        df = (spark.read.option("header", "true").option("sep", sep).option("quote", '"').option("escape", '"')
+              .option("multiLine", str(spans_lines).lower()).option("encoding", "UTF-8" if utf8 else "ISO-8859-1")
+              .option("inferSchema", "false").csv(ps))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out.select(*[F.when(F.col(f"`{c}`").isin(*NA_TOKENS), F.lit(None)).otherwise(F.col(f"`{c}`")).alias(c) for c in out.columns])
 
@@ -66,10 +91,18 @@ def normalize_columns(df: DataFrame) -> DataFrame:
 
 
 def file_fingerprints(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """A3: MD5 of each file's bytes (one task per file; files are the unit of change)."""
+    """A3: MD5 of each file's bytes (one task per file, up to the 2 GiB of a binary value; see ``line_fingerprints``)."""
     return spark.read.format("binaryFile").load(list(paths)).select("path", F.md5("content").alias("md5"), "length")
 
 
+def line_fingerprints(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """A3 for files of any size: line count and two sums over line hashes per file, splittable (independent of line order)."""
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.xxhash64("value").alias("h"), F.length("value").alias("n"))
+    wide = F.col("h").cast("decimal(38,0)")
+    return lines.groupBy("path").agg(
+        F.md5(F.concat_ws("|", F.count(F.lit(1)), F.sum("n"), F.sum(wide), F.bit_xor("h")).cast("binary")).alias("md5"), F.sum("n").alias("length"))
+
+
 def new_files(fingerprints: DataFrame, registry: DataFrame) -> DataFrame:
     """Files whose fingerprint is not registered yet (left anti join)."""
     return fingerprints.join(registry.select("md5").distinct(), "md5", "left_anti")
@@ -122,13 +155,24 @@ def map_columns(df: DataFrame, mapping: dict[str, str], date_field: str = "date"
     return out
 
 
-def suggest_columns(df: DataFrame, datetime_column: str | None = None) -> dict[str, str | None]:
-    """First column containing a keyword per role; sales = first numeric column (schema only, no job)."""
-    names = df.columns
-    numeric = [f.name for f in df.schema.fields if f.dataType.typeName() in ("integer", "long", "double", "float", "decimal", "short")]
-    out: dict[str, str | None] = {}
-    for role, hints in KEYWORD_HINTS.items():
-        out[role] = next((c for c in names if any(h in c.lower() for h in hints)), None)
+def suggest_columns(df: DataFrame, datetime_column: str | None = None, numeric: Sequence[str] | None = None,
+                    text: Sequence[str] | None = None) -> dict[str, str | None]:
+    """A column per role, from names and types (no job).
+
+    Sales is the first numeric column; production, stock and defect are the
+    first numeric column whose name holds one of the role's keywords, category
+    the first text column, date the given datetime column or the first name
+    that matches.  ``numeric`` / ``text`` name the columns of detected roles
+    when the table itself is still all text.
+    """
+    def kind(*names: str) -> list[str]:
+        return [f.name for f in df.schema.fields if f.dataType.typeName() in names]
+
+    numeric = list(numeric) if numeric is not None else kind("byte", "short", "integer", "long", "float", "double", "decimal")
+    text = list(text) if text is not None else kind("string")
+    allowed = {"production": numeric, "stock": numeric, "defect": numeric, "category": text, "date": df.columns}
+    out: dict[str, str | None] = {
+        role: next((c for c in allowed[role] if any(h in c.lower() for h in hints)), None) for role, hints in KEYWORD_HINTS.items()}
     out["sales"] = numeric[0] if numeric else None
     if datetime_column:
         out["date"] = datetime_column

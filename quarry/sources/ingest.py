@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import os
 import uuid
-from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.order import with_row_index
 from quarry.operators import clean as C
+from quarry.operators.profile import detect_schema, profile_columns
 from quarry.sources import store
 from quarry.sources.delimited import normalize_columns, read_delimited
 
@@ -29,29 +29,57 @@ def numbered(df: DataFrame) -> DataFrame:
     return with_row_index(tagged, ["_file", "_pos"], idx="row_index").drop("_file", "_pos")
 
 
+def ingestion_report(report: DataFrame, roles: C.Roles, profile: DataFrame, dataset_id: str, name: str, source_path: str) -> DataFrame:
+    """C11: one row with the schema (roles and column profiles), the transformation counts, the quality flags and the time."""
+    names = lambda cols: F.array(*[F.lit(c) for c in cols]).cast("array<string>")
+    columns = profile.agg(F.sort_array(F.collect_list(F.struct("ordinal", *[c for c in profile.columns if c != "ordinal"])))).scalar()
+    flags = C.quality_flags(report, roles)
+    failures = [F.struct(F.lit(c).alias("column"), F.col(f"numeric_failures__{c}").alias("failures")) for c in roles.numeric]
+    none = F.array().cast("array<struct<column:string,failures:bigint>>")
+    return report.select(
+        F.lit(dataset_id).alias("dataset_id"), F.lit(name).alias("name"), F.lit(source_path).alias("source_path"),
+        F.current_timestamp().alias("generated_at"),
+        F.struct(F.lit(roles.datetime).cast("string").alias("datetime_column"), names(roles.numeric).alias("numeric_columns"),
+                 names(roles.boolean).alias("boolean_columns"), names(roles.text).alias("text_columns"),
+                 columns.alias("column_profiles")).alias("schema"),
+        "total_records", "valid_records", "invalid_records", "dropped_empty_rows", "timestamp_failures", "valid_ratio",
+        (F.array(*failures) if failures else none).alias("numeric_coercion_failures"),
+        flags.agg(F.collect_list(F.struct(*flags.columns))).scalar().alias("quality_flags"))
+
+
 def ingest(spark: SparkSession, paths: list[str], points_path: str, registry_path: str, name: str | None = None,
-           dataset_id: str | None = None) -> DataFrame:
-    """Run the whole ingestion for ``paths``; returns the one-row report DataFrame (also appended to the registry)."""
+           dataset_id: str | None = None, reports_path: str | None = None) -> DataFrame:
+    """Run the whole ingestion for ``paths``; returns the one-row report (stored in ``reports_path``, default beside the registry).
+
+    The numbered input is checkpointed once and every step reads that copy.
+    Points are staged and published, by one rename, only after the report is
+    stored, so a failed run leaves nothing but its registry entry.
+    """
     dataset_id = dataset_id or uuid.uuid4().hex
     name = name or os.path.splitext(os.path.basename(paths[0]))[0]
-    now = F.current_timestamp().cast("timestamp_ntz")
+    reports_path = reports_path or f"{registry_path.rstrip('/')}_reports"
+    staged = f"{points_path.rstrip('/')}/_staging-{dataset_id}"
+
+    def log(**fields) -> None:
+        now = F.current_timestamp().cast("timestamp_ntz")
+        entry = store.registry_entry(spark, id=dataset_id, name=name, source_type="file", source_path=",".join(paths), **fields)
+        store.append_registry(entry.withColumns({"created_at": now, "updated_at": now}), registry_path)
+
     try:
-        raw = normalize_columns(read_delimited(spark, paths))
-        roles = C.plan_roles(raw)
-        idx = numbered(raw)
+        idx = numbered(normalize_columns(read_delimited(spark, paths)))
+        raw = idx.drop("row_index")
+        profile = detect_schema(profile_columns(raw, with_distinct="approx"))
+        roles = C.plan_roles(raw, profile)
         rec = C.records(idx, roles, keep=["row_index"])
-        store.write_points(rec.select("row_index", "timestamp", "payload", "is_valid"), points_path, dataset_id)
-        report = C.transformation_report(raw, roles)
-        rows = report.select("total_records").first()[0]
-        entry = store.registry_entry(
-            spark, id=dataset_id, name=name, source_type="file", source_path=",".join(paths), row_count=int(rows),
-            datetime_column=roles.datetime, status="success", error_message=None)
-        status = "success"
+        store.write_points(rec.select("row_index", "timestamp", "payload", "is_valid"), staged, dataset_id)
+        report = ingestion_report(C.transformation_report(raw, roles), roles, profile, dataset_id, name, ",".join(paths))
+        report.withColumn("status", F.lit("success")).write.mode("append").parquet(reports_path)
+        stored = spark.read.parquet(reports_path).where(F.col("dataset_id") == dataset_id)
+        rows = stored.select("total_records").first()[0]
+        store.publish_points(spark, staged, points_path, dataset_id)
     except Exception as exc:  # the failed status is recorded, then re-raised
-        entry = store.registry_entry(spark, id=dataset_id, name=name, source_type="file", source_path=",".join(paths),
-                                     status="failed", error_message=str(exc))
-        store.append_registry(entry.withColumns({"created_at": now, "updated_at": now}), registry_path)
+        store.drop_folder(spark, staged)
+        log(status="failed", error_message=str(exc))
         raise
-    store.append_registry(entry.withColumns({"created_at": now, "updated_at": now}), registry_path)
-    return report.select(F.lit(dataset_id).alias("dataset_id"), F.lit(name).alias("name"), F.lit(status).alias("status"),
-                         F.lit(str(asdict(roles))).alias("schema"), "*")
+    log(row_count=int(rows), datetime_column=roles.datetime, status="success", error_message=None)
+    return stored

@@ -1,6 +1,6 @@
 """Stored data points and the dataset registry.
 
-Layout: ``data_points`` is Parquet partitioned by ``dataset_id`` with columns
+Layout: ``data_points`` is Parquet partitioned by ``dataset_id`` and ``batch`` with columns
 ``(row_index, timestamp, payload JSON text, is_valid, created_at)``; queries on
 one dataset prune to its partition and push the time bounds into the Parquet
 scan.  The registry is an append-only status log; the current state of a
@@ -27,14 +27,36 @@ NUMERIC_TEXT = r"^-?[0-9]+(\.[0-9]+)?$"
 
 
 # ---------------------------------------------------------------- A5
-def write_points(records: DataFrame, path: str, dataset_id: str, mode: str = "append") -> None:
-    """A5: append records ``(row_index, timestamp, payload, is_valid)`` under ``dataset_id``."""
+def write_points(records: DataFrame, path: str, dataset_id: str, batch: int = 0) -> None:
+    """A5: store records ``(row_index, timestamp, payload, is_valid)`` as one batch of ``dataset_id``.
+
+    A batch replaces what an earlier attempt at the same batch wrote (dynamic
+    partition overwrite), so a repeated write never duplicates rows.
+    """
     out = records.select(
-        F.lit(dataset_id).alias("dataset_id"), F.col("row_index").cast("bigint"), F.col("timestamp").cast("timestamp_ntz"),
+        F.lit(dataset_id).alias("dataset_id"), F.lit(int(batch)).cast("bigint").alias("batch"), F.col("row_index").cast("bigint"), F.col("timestamp").cast("timestamp_ntz"),
         F.col("payload").cast("string"), F.col("is_valid").cast("boolean"),
         F.current_timestamp().cast("timestamp_ntz").alias("created_at"),
     )
-    out.write.mode(mode).partitionBy("dataset_id").parquet(path)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset_id", "batch").parquet(path)
+
+
+def publish_points(spark: SparkSession, staged: str, path: str, dataset_id: str) -> None:
+    """Move a staged dataset into the store: one rename of its partition folder, replacing an earlier one."""
+    jvm = spark._jvm
+    source, target = (jvm.org.apache.hadoop.fs.Path(f"{p}/dataset_id={dataset_id}") for p in (staged, path))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(target.getParent())
+    if fs.exists(target):
+        fs.delete(target, True)
+    if not fs.rename(source, target):
+        raise OSError(f"cannot publish {source} as {target}")
+    drop_folder(spark, staged)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:

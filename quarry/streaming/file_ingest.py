@@ -3,8 +3,9 @@
 The batch ingestion rules are applied to each micro-batch with
 ``foreachBatch``: the cleaning plan (roles, layouts, European flags) is fixed
 up front from a profiled sample file, every new file is typed, turned into
-records and appended to the partitioned point store.  The stream checkpoint
-gives exactly-once file processing across restarts; ``trigger(availableNow)``
+records and stored as the batch's own partition of the point store.
+``foreachBatch`` is at least once: a replayed micro-batch reads the same files
+and replaces its partition, so rows are stored once.  ``trigger(availableNow)``
 drains what is there and stops.
 """
 
@@ -30,7 +31,7 @@ def start(spark: SparkSession, source_dir: str, schema: str, roles: C.Roles, poi
         # a replayed batch reads the same files with the same splits, so it gets the same ids
         numbered = batch.withColumn("row_index", (F.lit(epoch).cast("bigint") * (1 << 40)) + F.monotonically_increasing_id())
         rec = C.records(numbered, roles, keep=["row_index"])
-        store.write_points(rec.select("row_index", "timestamp", "payload", "is_valid"), points_path, dataset_id)
+        store.write_points(rec.select("row_index", "timestamp", "payload", "is_valid"), points_path, dataset_id, batch=epoch)
 
     writer = raw.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")

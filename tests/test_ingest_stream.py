@@ -29,6 +29,8 @@ def test_batch_ingest(spark):
     empty = raw_orders(spark, SMALL).na.drop("all").count()
     assert pts.count() == empty == rep["total_records"]
     assert rep["dropped_empty_rows"] == n - empty
+    assert rep["schema"]["datetime_column"] == "order_date" and len(rep["schema"]["column_profiles"]) == 10
+    assert {f["flag"] for f in rep["quality_flags"]} >= {"EMPTY_ROWS_DROPPED"} and rep["generated_at"] is not None
     idx = [r[0] for r in pts.select("row_index").collect()]
     assert len(set(idx)) == len(idx) and max(idx) < n  # original positions, unique
     reg = store.list_datasets(spark.read.parquet(os.path.join(d, "registry"))).first()
@@ -58,3 +60,54 @@ def test_streaming_ingest(spark):
     q2 = file_ingest.start(spark, drop, schema, roles, os.path.join(d, "points"), os.path.join(d, "ckpt"), "stream")
     q2.awaitTermination(300)
     assert store.read_points(spark, os.path.join(d, "points")).count() == raw.na.drop("all").count()
+
+
+def test_failed_ingest_leaves_no_points(spark, monkeypatch):
+    import pytest
+
+    d, files, _ = _csv_dir(spark, parts=1)
+    monkeypatch.setattr(C, "transformation_report", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        ingest(spark, files, os.path.join(d, "points"), os.path.join(d, "registry"), name="orders", dataset_id="x")
+    assert not [f for _, _, fs in os.walk(os.path.join(d, "points")) for f in fs if f.endswith(".parquet")]
+    assert store.list_datasets(spark.read.parquet(os.path.join(d, "registry"))).first()["status"] == "failed"
+
+
+def test_a_batch_written_twice_counts_once(spark):
+    d = tempfile.mkdtemp(prefix="quarry-points-")
+    rec = spark.range(5).select(F.col("id").alias("row_index"), F.lit(None).cast("timestamp_ntz").alias("timestamp"),
+                                F.lit("{}").alias("payload"), F.lit(True).alias("is_valid"))
+    for batch in (0, 1, 1):
+        store.write_points(rec, d, "x", batch=batch)
+    assert store.read_points(spark, d).count() == 10
+
+
+def _file(folder, name, data):
+    path = os.path.join(folder, name)
+    with open(path, "wb") as f:
+        f.write(data)
+    return path
+
+
+def test_delimited_text_as_written(spark):
+    from quarry.sources.delimited import read_delimited
+
+    d = tempfile.mkdtemp(prefix="quarry-delimited-")
+    rows = lambda *files: [r.asDict() for r in read_delimited(spark, list(files)).collect()]
+    assert rows(_file(d, "q.csv", b'x,y\n"a ""b"" c",1\n')) == [{"x": 'a "b" c', "y": "1"}]
+    assert rows(_file(d, "n.csv", b'x,y\n"two\nlines",1\nz,2\n')) == [{"x": "two\nlines", "y": "1"}, {"x": "z", "y": "2"}]
+    got = rows(_file(d, "h1.csv", b"x,y\n1,2\n"), _file(d, "h2.csv", b"y,x\n3,4\n"), _file(d, "h3.csv", b"x,z\n5,N/A\n"))
+    assert sorted(got, key=lambda r: r["x"]) == [{"x": "1", "y": "2", "z": None}, {"x": "4", "y": "3", "z": None}, {"x": "5", "y": None, "z": None}]
+    latin = "x,y\nK\u00f6ln,1\n".encode("latin-1")
+    assert rows(_file(d, "c d.csv", latin), _file(d, "u.csv", "x,y\nZ\u00fcrich,2\n".encode())) == [{"x": "K\u00f6ln", "y": "1"}, {"x": "Z\u00fcrich", "y": "2"}]
+
+
+def test_column_suggestions_follow_types(spark):
+    from quarry.sources.delimited import line_fingerprints, suggest_columns
+
+    df = spark.createDataFrame([], "product_stock string, stock int, category_id int, brand string, output double, day date")
+    assert suggest_columns(df) == {"production": "output", "stock": "stock", "defect": None, "category": "product_stock", "date": "day", "sales": "stock"}
+    d = tempfile.mkdtemp(prefix="quarry-prints-")
+    a, b, c = (_file(d, n, x) for n, x in (("a.csv", b"x\n1\n"), ("b.csv", b"x\n1\n"), ("c.csv", b"x\n2\n")))
+    prints = [r["md5"] for r in line_fingerprints(spark, [a, b, c]).orderBy("path").collect()]
+    assert prints[0] == prints[1] != prints[2]
