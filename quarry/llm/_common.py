@@ -207,23 +207,36 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         roots.select("node", F.col("node").alias("root")))
 
 
-BITMAP_BITS = 23
+LEAST_BITS, MOST_BITS = 16, 26
 
 
 def membership_bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of 2**BITMAP_BITS bits (1 MB, whatever the input) with the bit of every 64-bit key set.
+    """A bitmap with the bit of every 64-bit key set: about 16 bits a key, 2**MOST_BITS bits (8 MB) at most.
 
-    Used to drop most rows that an exact semi-join would drop anyway, before they are shuffled.
+    Used to drop most rows that an exact semi-join would drop anyway, before
+    they are shuffled; a full bitmap only drops fewer of them.
     """
-    bit = F.pmod(F.col(column), F.lit(1 << BITMAP_BITS))
-    rows = keys.select(F.shiftright(bit, 5).cast("int").alias("w"), F.expr(f"shiftleft(1L, CAST(pmod(`{column}`, 32) AS INT))").alias("b"))
-    out = np.zeros(1 << BITMAP_BITS - 5, np.int64)
-    found = rows.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    keys = materialise(keys.select(F.col(column).alias("k")))
+    bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(16 * keys.count() + 1)))))
+    word = F.shiftright(F.pmod("k", F.lit(1 << bits)), 5).cast("int")
+    found = keys.select(word.alias("w"), F.expr("shiftleft(1L, CAST(pmod(k, 32) AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(1 << bits - 5, np.int64)
     out[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
     return out.astype(np.uint32)
 
 
 def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether the bit of each (signed or unsigned) 64-bit key is set: always for a member."""
-    bit = keys.view(np.uint64) & _U((1 << BITMAP_BITS) - 1)
+    bit = np.ascontiguousarray(keys).view(np.uint64) & _U(32 * len(bitmap) - 1)
     return (bitmap[(bit >> _U(5)).astype(np.int64)] >> (bit & _U(31)).astype(np.uint32) & 1).astype(bool)
+
+
+def rows_in_bitmap(df: DataFrame, column: str, bitmap, inside: bool = True) -> DataFrame:
+    """The rows of ``df`` whose key's bit is set (or not) in a broadcast bitmap; the key is a non-null long."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(bitmap.value, batch.column(at).to_numpy()) == inside))
+
+    return df.mapInArrow(run, df.schema)

@@ -9,9 +9,10 @@ registers thins them out, with a margin of several standard errors; links are
 confirmed on the full shingle sets.
 
 Equal sets are one class and only classes are compared.  In a band bucket the
-members are first compared with the bucket's smallest member; only pairs that
-still lie in different components after that are compared with each other, so
-a large group of near copies costs a comparison per member.
+members are first compared with one lead, the class with the most and largest
+buckets; after that only the classes outside a lead's largest component are
+compared with its other members, in blocks that return no more than the links
+that join components.
 
 Defined cases: null text counts as empty; texts without words have an empty
 set and link with nothing; fewer words than a shingle make one shingle of the
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm._common import (
-    components, materialise, mix64, odd_constants, prepare, signed, spread, text_slices, words,
+    components, in_bitmap, materialise, membership_bitmap, mix64, odd_constants, partitions, prepare, signed, spread, text_slices, words,
 )
 
 SHINGLE = 5
@@ -41,6 +42,7 @@ REGISTERS = 120
 BANDS = 20
 MANTISSA_BITS = 10
 MARGIN = 5.0                 # standard errors below the threshold that an estimate may lie
+CELL_NODES = 256             # classes of one side of a comparison block
 NO_ID = 1 << 62              # nodes of rows without an id lie above it
 
 _MULT = odd_constants(SHINGLE + 2, 3)
@@ -161,9 +163,13 @@ def _sketch_rows(shingle: int):
     return run
 
 
-def _set_rows(shingle: int):
+def _set_rows(shingle: int, bitmap):
+    """Full shingle sets of the rows whose id may be wanted (bitmap over ids)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column(0)
+            wanted = in_bitmap(bitmap.value, ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(wanted))
             for lo, hi, data, offsets in text_slices(batch.column(1)):
                 h, first = _shingles(words(data, offsets, lower=True), shingle)
                 yield pa.RecordBatch.from_arrays(
@@ -195,6 +201,68 @@ def _links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
     return shared.where(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
 
 
+def _cells(percent: int):
+    """One group: per lead, strays (role 1 or 3) against members (role 2 or 3) of other parts, on full sets -> links that join parts."""
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        out_a, out_b = [], []
+        for _, rows in g.groupby("lead", sort=False):
+            role, node, part, n = (rows[c].to_numpy() for c in ("role", "node", "part", "n"))
+            asked, members = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+            if not len(asked) or not len(members):
+                continue
+            sets = rows["shingles"].to_list()
+            every, code = np.unique(np.concatenate([sets[i] for i in members]), return_inverse=True)
+            sizes = n[members]
+            begin = np.cumsum([0, *[len(sets[i]) for i in members]])[:-1]
+            root = {p: p for p in part.tolist()}
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            mark = np.zeros(len(every), np.int32)
+            for i in asked.tolist():
+                at = np.searchsorted(every, sets[i])
+                at = at[at < len(every)]
+                own = at[np.isin(every[at], sets[i], assume_unique=True)]
+                mark[own] = 1
+                shared = np.add.reduceat(mark[code], begin)
+                mark[own] = 0
+                near = (100 * shared >= percent * (n[i] + sizes - shared)) & (part[members] != part[i])
+                for j in members[near].tolist():
+                    p, q = find(part[i]), find(part[j])
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+                        out_a.append(node[i])
+                        out_b.append(node[j])
+        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
+    return run
+
+
+def _stray_links(groups: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Links between different parts of a lead's members; ``groups``: (lead, node, part, n).
+
+    The nodes outside the lead's largest part are compared with all its
+    members, block by block; only links that join two parts come out.
+    """
+    count = groups.groupBy("lead", "part").agg(F.count(F.lit(1)).alias("c"))
+    open_ = count.groupBy("lead").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")).where("all > most")
+    blocks = open_.select("lead", "main", F.ceil((F.col("all") - F.col("most")) / CELL_NODES).cast("int").alias("na"), F.ceil(F.col("all") / CELL_NODES).cast("int").alias("nb"))
+    rows = groups.join(blocks, "lead")
+    place = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
+    entry = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), role.alias("role"))
+    stray, small = F.col("part") != F.col("main"), (F.col("na") == 1) & (F.col("nb") == 1)
+    as_member = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda i: entry(i, place("nb"), F.lit(2)))
+    as_stray = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: entry(place("na"), j, F.lit(1)))
+    whole = F.array(entry(F.lit(0), F.lit(0), F.when(stray, 3).otherwise(2)))
+    rows = rows.withColumn("e", F.explode(F.when(small, whole).when(stray, F.concat(as_member, as_stray)).otherwise(as_member)))
+    cell = F.when(small, F.pmod(F.xxhash64("lead"), F.lit(4 * parts))).otherwise(F.xxhash64("lead", "e.i", "e.j"))
+    dealt = rows.select(cell.alias("cell"), "lead", "node", "part", "n", F.col("e.role").alias("role")).join(sets, "node")
+    return dealt.groupBy("cell").applyInPandas(_cells(percent), "a long, b long")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80,
                shingle: int = SHINGLE, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents linked at ``percent`` Jaccard similarity or more."""
@@ -208,51 +276,43 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"))
         .withColumn("node", F.coalesce("node", nameless)))
 
+    # buckets with several classes; a class in many and large buckets is the best one to lead its buckets
     width = 2 * REGISTERS // bands
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", i * width + 1, width)) for i in range(bands)])
     banded = classes.select("node", F.explode(keys).alias("key"))
-    shared_keys = banded.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("top")).where("lead < top").drop("top")
-    members = materialise(banded.join(shared_keys, "key"))
-
-    named = members.where(F.col("node") < NO_ID).select(F.col("node").alias("doc_id")).distinct()
-    sets = spread(texts.join(named, "doc_id", "left_semi")).mapInArrow(_set_rows(shingle), "node long, shingles array<long>")
-    if not members.where(F.col("node") >= NO_ID).isEmpty():
+    crowded = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("n0"), F.max("node").alias("n1")).where("n0 < n1").select("key", "c")
+    members = materialise(banded.join(crowded, "key"))
+    weight = members.groupBy("node").agg(F.sum("c").alias("w"))
+    led = members.join(weight, "node")
+    leads = led.groupBy("key").agg(F.max(F.struct("w", (-F.col("node")).alias("m"))).alias("l")).select("key", F.col("l.w").alias("lw"), (-F.col("l.m")).alias("lead"))
+    led = materialise(members.select("key", "node").join(leads, "key").select("lead", "lw", "node").distinct())
+
+    named = led.where(F.col("node") < NO_ID).select(F.col("node").alias("doc_id")).distinct()
+    bitmap = spark.sparkContext.broadcast(membership_bitmap(named, "doc_id"))
+    sets = spread(texts).mapInArrow(_set_rows(shingle, bitmap), "node long, shingles array<long>")
+    sets = sets.join(named, sets["node"] == named["doc_id"], "left_semi")
+    if not led.where(F.col("node") >= NO_ID).isEmpty():
         # rows without an id are found by their text: classes are recognised by their fingerprints
-        sets = sets.unionByName(_nameless_sets(texts, members, shingle))
+        sets = sets.unionByName(_nameless_sets(texts, led, shingle))
     # a node with several texts (rows sharing an id) has the union of their shingles
     sets = materialise(sets.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles")))
     sized = classes.groupBy("node").agg(F.max("n").alias("n"), F.first("sketch").alias("sketch"))
 
-    # each member with the smallest leader of its buckets
-    nearest = members.groupBy("node").agg(F.min("lead").alias("a")).where("a < node").select("a", F.col("node").alias("b"))
-    links = materialise(_links(nearest, sized, sets, percent))
-    for step in ("leaders", "all"):
-        if links.isEmpty():
-            label = members.withColumn("part", F.col("node"))
-        else:
-            parts = components(links, "a", "b")
-            label = members.join(parts.select("node", F.col("root").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
-        split = label.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 < p1").select("key")
-        open_ = label.join(split, "key", "left_semi")
-        if step == "leaders":
-            heads = open_.where("node = lead").select("key", F.col("node").alias("a"), F.col("part").alias("part_a"))
-            pairs = open_.join(heads, "key").where("part <> part_a").select("a", F.col("node").alias("b"))
-        else:
-            size = sized.select("node", "n")
-            x = open_.join(size, "node").select("key", F.col("node").alias("a"), F.col("part").alias("part_a"), F.col("n").alias("n_a"))
-            y = x.select("key", F.col("a").alias("b"), F.col("part_a").alias("part_b"), F.col("n_a").alias("n_b"))
-            pairs = x.join(y, "key").where(
-                "a < b AND part_a <> part_b AND 100 * least(n_a, n_b) >= " + f"{percent} * greatest(n_a, n_b)").select("a", "b")
-        links = materialise(links.unionByName(_links(pairs.distinct(), sized, sets, percent)).distinct())
-
-    out = rows.join(classes.select("f1", "f2", "n", "node"), ["f1", "f2", "n"], "left")
-    if links.isEmpty():
-        out = out.withColumn("root", F.col("node"))
-    else:
-        out = out.join(components(links, "a", "b"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("root") < NO_ID, F.col("root"))
+    # each class with the weightiest lead of its buckets, then what is still apart
+    best = led.groupBy("node").agg(F.max(F.struct("lw", (-F.col("lead")).alias("m"))).alias("l")).select((-F.col("l.m")).alias("lead"), "node").where("lead <> node")
+    pairs = best.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+    links = materialise(_links(pairs, sized, sets, percent))
+    part = components(links, "a", "b").select("node", F.col("root").alias("part"))
+    groups = materialise(
+        led.select("lead", "node").join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
+        .join(sized.select("node", "n"), "node"))
+    links = materialise(links.unionByName(_stray_links(groups, sets, percent, partitions(spark))))
+
+    root = components(links, "a", "b")
+    out = rows.join(classes.select("f1", "f2", "n", "node"), ["f1", "f2", "n"], "left").join(root, "node", "left")
+    component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.coalesce("root", "node") < NO_ID, F.coalesce("root", "node"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.col("root").isNull() | (F.col("root") >= NO_ID)).alias("kept"))
+                      F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
 def _nameless_sets(texts: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
