@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import Rolling, materialise, prepare, signed, spread, text_slices, words
+from quarry.llm._common import Rolling, materialise, membership_bitmap, prepare, rows_in_bitmap, signed, spread, text_slices, words
 from quarry.llm._fm_index import FMIndex, RangeMin
 
 WINDOW = 50
@@ -190,6 +190,7 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def duplicate_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(d, t, lo, hi): word ranges of documents covered by windows found under a smaller id; ``texts`` has d, t and text."""
+    spark = texts.sparkSession
     rows = materialise(spread(texts.select("d", "t", "text")).mapInArrow(
         _passage_rows(window, gram), "d long, t long, key long, start int, n int, whole long"))
     distinct = rows.groupBy("key", "whole", "n").agg(F.min("d").alias("lowest"), F.max("d").alias("highest"))
@@ -210,7 +211,9 @@ def duplicate_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, sh
         wanted = rows.join(several.select("key", "whole", "n", "lowest"), ["key", "whole", "n"]).where("d = lowest")
         wanted = wanted.dropDuplicates(["key", "whole"]).groupBy("d", "t").agg(F.collect_list(F.struct(
             "key", "whole", "lowest", "start", (F.col("start") + F.col("n") + (window - 1)).alias("last"))).alias("wanted"))
-        content = texts.select("d", "t", "text").join(wanted, ["d", "t"]).dropDuplicates(["d", "t"]).select("text", "wanted").mapInArrow(
+        wanted = materialise(wanted)
+        holders = spark.sparkContext.broadcast(membership_bitmap(wanted, "t"))
+        content = rows_in_bitmap(spread(texts.select("d", "t", "text")), "t", holders).join(wanted, ["d", "t"]).dropDuplicates(["d", "t"]).select("text", "wanted").mapInArrow(
             _passage_words, "key long, whole long, lowest long, words binary")
         facts = several.select("key", "whole", "highest", "k_words")
         shards = max(1, int(total // shard_words))
@@ -237,7 +240,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     doc_id = F.col(id_col).cast("long")
     texts = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
-    spans = duplicate_spans(texts, window, gram, shard_words).distinct().groupBy("d", "t").agg(
-        F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return texts.join(spans, ["d", "t"], "left").select("doc_id", "text", "spans").mapInArrow(
-        _kept_rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    spans = materialise(duplicate_spans(texts, window, gram, shard_words).distinct().groupBy("d", "t").agg(
+        F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    # only texts that may lose something are shuffled to meet their spans
+    losers = docs.sparkSession.sparkContext.broadcast(membership_bitmap(spans, "t"))
+    whole = spread(texts.select("doc_id", "d", "t", "text"))
+    cut = rows_in_bitmap(whole, "t", losers).join(spans, ["d", "t"], "left").select("doc_id", "text", "spans")
+    rest = rows_in_bitmap(whole, "t", losers, inside=False).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    kind = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    return cut.mapInArrow(_kept_rows, kind).unionByName(rest.mapInArrow(_kept_rows, kind))
