@@ -81,9 +81,9 @@ def fit_lengths(lengths: Sequence[int], counts: Sequence[int], budget: int, wind
     for n in sorted(have):                         # give a few documents back, short ones first, to widen the choice
         if rest >= window:
             break
-        if take[n] and n <= window:
-            take[n] -= 1
-            rest += n
+        back = min(take[n], -(-(window - rest) // n)) if n <= window else 0
+        take[n] -= back
+        rest += back * n
     for n in sorted(have, reverse=True):           # more than the window is left: fill with long documents first
         if rest > 4 * window:
             extra = min(have[n] - take[n], (rest - window) // n)
@@ -124,8 +124,12 @@ def _fit_source(g: pd.DataFrame) -> pd.DataFrame:
     goal = int(round(target))
     whole = min(goal // source_size, MAX_REPEAT) if source_size else 0
     g = g.sort_values("size")
-    extra = fit_lengths(g["size"].tolist(), g["n"].tolist(), goal - whole * source_size if whole < MAX_REPEAT else 0)
-    return pd.DataFrame({"skey": g["skey"], "size": g["size"], "whole": whole, "extra": extra,
+    # one more copy of some documents; where that leaves a gap (a document larger than it), yet another of some
+    sizes, counts, rest, passes = g["size"].tolist(), g["n"].tolist(), goal - whole * source_size, []
+    for _ in range(MAX_REPEAT - whole):
+        passes.append(fit_lengths(sizes, counts, rest))
+        rest -= sum(n * k for n, k in zip(sizes, passes[-1]))
+    return pd.DataFrame({"skey": g["skey"], "size": g["size"], "whole": whole, "extra": list(zip(*passes)) if passes else [()] * len(g),
                          "source_size": source_size, "target": target})
 
 
@@ -148,13 +152,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # One group per source holds its length histogram: a row per distinct length, not per document.
     plan = (
         lengths.select("skey", "size", "n").join(targets, "skey")
-        .groupBy("skey").applyInPandas(_fit_source, "skey string, size long, whole long, extra long, source_size long, target double")
+        .groupBy("skey").applyInPandas(_fit_source, "skey string, size long, whole long, extra array<long>, source_size long, target double")
     )
     plan = materialise(plan)
     ranked = salted_rank(sized.select("doc_id", "skey", "size"), ["skey", "size"], [F.col("doc_id")], "nth", seed)
     return ranked.join(plan, ["skey", "size"]).select(
         "doc_id", "size", "source_size", "target",
-        (F.col("size") * (F.col("whole") + (F.col("nth") < F.col("extra")).cast("long"))).alias("taken"),
+        (F.col("size") * (F.col("whole") + F.size(F.filter("extra", lambda k: F.col("nth") < k)))).cast("long").alias("taken"),
     )
 
 
