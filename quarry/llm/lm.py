@@ -10,7 +10,7 @@ Texts are read once, into chunks of about CHUNK_TOKENS tokens (distinct word
 hashes and positions, compressed).  A chunk sends each of its distinct n-grams
 with its training count to the partition that owns the n-gram's hash range;
 that partition adds up the counts of all chunks and answers each chunk in the
-order it asked.  N-grams are 56-bit hashes.  Nothing of the corpus's size is
+order it asked.  N-grams are hashes, as long as the number of tokens asks for.  Nothing of the corpus's size is
 collected: the driver sees totals, a bounded histogram of log-counts for the
 mixture weights, and the weights.
 
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm._common import materialise, mix64, partitions, prepare, spread, text_slices, words
 
-CHUNK_TOKENS = 2_000_000
-KEY_BITS = 56
+CHUNK_TOKENS = 1_000_000
+SPARE_BITS = 21              # bits of an n-gram key beyond the logarithm of the corpus: about one key in 2**SPARE_BITS meets another
 BINS = 4                     # cells per power of two in the histogram for the mixture weights
 CONTEXTS = 48                # context-frequency buckets: 0, then a power of two each
 EM_ROUNDS = 60
@@ -51,7 +51,7 @@ def _pack(x: np.ndarray, delta: bool = False) -> bytes:
     if delta:
         x = np.diff(x, prepend=_U(0))
     planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def _unpack(raw: bytes, delta: bool = False) -> np.ndarray:
@@ -70,7 +70,11 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids, held, hashes, sizes, n = [], [], [], [], 0
 
     def flush() -> pa.RecordBatch:
-        vocabulary, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
+        vocabulary, tokens, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        order = np.lexsort((vocabulary, -counts))          # frequent words get small numbers, which pack well
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        vocabulary, tokens = vocabulary[order], rank[tokens]
         return pa.RecordBatch.from_pylist([{
             "chunk": part << 32 | nth, "ids": pa.concat_arrays(ids).to_pylist(), "held_out": pa.concat_arrays(held).to_pylist(),
             "n_words": np.concatenate(sizes).tolist(), "vocabulary": _pack(vocabulary, True), "tokens": _pack(tokens)}], schema=schema)
@@ -102,7 +106,7 @@ class Grams(NamedTuple):
     context: np.ndarray      # place of the previous token in uni_keys, -1 at a start
 
 
-def _grams(n_words: np.ndarray, held_out: np.ndarray, vocabulary: bytes, tokens: bytes) -> Grams:
+def _grams(n_words: np.ndarray, held_out: np.ndarray, vocabulary: bytes, tokens: bytes, bits: int) -> Grams:
     n_words = np.asarray(n_words, np.int64)
     size = n_words + 1
     last = np.cumsum(size) - 1
@@ -114,25 +118,25 @@ def _grams(n_words: np.ndarray, held_out: np.ndarray, vocabulary: bytes, tokens:
     prev = np.empty_like(cur)
     prev[1:] = cur[:-1]
     prev[last - n_words] = _START
-    uni_keys, uni = np.unique(cur >> _U(64 - KEY_BITS), return_inverse=True)
-    bi_keys, bi = np.unique(mix64(prev * _U(0x9FB21C651E98DF25) + (cur ^ (cur >> _U(32)))) >> _U(64 - KEY_BITS), return_inverse=True)
+    uni_keys, uni = np.unique(cur >> _U(64 - bits), return_inverse=True)
+    bi_keys, bi = np.unique(mix64(prev * _U(0x9FB21C651E98DF25) + (cur ^ (cur >> _U(32)))) >> _U(64 - bits), return_inverse=True)
     context = np.empty(len(doc), np.int64)
     context[1:] = uni[:-1]
     context[last - n_words] = -1
     return Grams(doc, ~np.asarray(held_out, bool)[doc], uni_keys, bi_keys, uni, bi, context)
 
 
-def _ask(parts: int):
+def _ask(parts: int, bits: int):
     """Chunk -> one row per hash range: its keys in order with their training counts."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
-                g = _grams(r.n_words, r.held_out, r.vocabulary, r.tokens)
+                g = _grams(r.n_words, r.held_out, r.vocabulary, r.tokens, bits)
                 out = {"part": np.arange(parts), "chunk": r.chunk}
                 for name, keys, at in (("uni", g.uni_keys, g.uni), ("bi", g.bi_keys, g.bi)):
                     counts = np.bincount(at[g.known], minlength=len(keys))
                     # the hash range of a key follows its leading bits
-                    cut = np.searchsorted(keys >> _U(KEY_BITS - 32), (np.arange(parts + 1, dtype=np.uint64) << _U(32)) // _U(parts))
+                    cut = np.searchsorted(keys >> _U(bits - 32), (np.arange(parts + 1, dtype=np.uint64) << _U(32)) // _U(parts))
                     out[f"{name}_keys"] = [_pack(keys[x:y], True) for x, y in zip(cut[:-1], cut[1:])]
                     out[f"{name}_counts"] = [_pack(counts[x:y]) for x, y in zip(cut[:-1], cut[1:])]
                 yield pd.DataFrame(out)
@@ -169,11 +173,12 @@ class Totals(NamedTuple):
     tokens: int              # N
     types: int               # V
     documents: int           # training documents: how often a start was seen
+    bits: int                # of an n-gram key
 
 
 def _counts(row, totals: Totals) -> tuple[Grams, np.ndarray, np.ndarray, np.ndarray]:
     """(grams, count of each token, of its bigram, of its context) in training."""
-    g = _grams(row.n_words, row.held_out, row.vocabulary, row.tokens)
+    g = _grams(row.n_words, row.held_out, row.vocabulary, row.tokens, totals.bits)
     parts = sorted(row.answers, key=lambda a: a["part"])
     uni = np.concatenate([_unpack(a["uni"]) for a in parts]).astype(np.int64)
     bi = np.concatenate([_unpack(a["bi"]) for a in parts]).astype(np.int64)
@@ -260,14 +265,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(fold(id_col, folds) == held_out, F.lit(False)).alias("held_out"),
         F.col(text_col).cast("string").alias("text"))
-    # chunks are dealt by their number once, so the later joins on it move only the answers
-    chunks = materialise(spread(base).mapInArrow(_chunk_rows, CHUNK_SCHEMA).repartition(parts, "chunk"))
+    chunks = materialise(spread(base).mapInArrow(_chunk_rows, CHUNK_SCHEMA))
+    size = chunks.agg(F.sum(F.aggregate("n_words", F.lit(0).cast("long"), lambda a, x: a + x) + F.size("n_words"))).first()[0] or 0
+    bits = min(64, max(40, int(size).bit_length() + SPARE_BITS))
     asked = chunks.select("chunk", "held_out", "n_words", "vocabulary", "tokens").mapInPandas(
-        _ask(parts), "part int, chunk long, uni_keys binary, uni_counts binary, bi_keys binary, bi_counts binary")
+        _ask(parts, bits), "part int, chunk long, uni_keys binary, uni_counts binary, bi_keys binary, bi_counts binary")
     answers = materialise(asked.groupBy("part").applyInPandas(_answer, ANSWER_SCHEMA))
     sums = answers.where("chunk = -1").agg(F.sum("tokens"), F.sum("types")).first()
     trained = chunks.agg(F.sum(F.size(F.filter("held_out", lambda h: ~h)))).first()[0]
-    totals = Totals(sums[0] or 0, sums[1] or 0, trained or 0)
+    totals = Totals(sums[0] or 0, sums[1] or 0, trained or 0, bits)
     answered = chunks.join(
         answers.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("part", "uni", "bi")).alias("answers")), "chunk")
     histogram = answered.mapInPandas(_held_out_histogram(totals), "context long, bigram long, count long, n long")
