@@ -29,15 +29,15 @@ from quarry.llm._ngrams import ngrams, slices
 SIZES = (3, 4, 5, 6)
 BITS = 18                    # buckets of n-grams: 2**18
 DIM = 4
-EPOCHS = 8                   # more on small samples, until LEAST_STEPS batches were seen
+EPOCHS = 6                   # more on small samples, until LEAST_STEPS batches were seen
 LEAST_STEPS = 1200
 RATE = 1.0
 BATCH = 32
 NEUTRAL = 100                # zero vectors that every average holds besides, so a short text needs clear evidence
 MIN_TEXTS = 12               # a bucket in fewer texts of the sample keeps no vector: it says nothing about the class
 THRESHOLD = 0.3
-SAMPLE_POSITIVE = 2000       # the classifier is fitted on at most so many labelled texts of either class
-SAMPLE_NEGATIVE = 4000
+SAMPLE_POSITIVE = 4000       # the classifier is fitted on at most so many labelled texts of either class
+SAMPLE_NEGATIVE = 6000
 SEED = 5
 
 
@@ -46,15 +46,15 @@ class Model(NamedTuple):
     bias: float
 
 
-def _bags(texts: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(distinct buckets, share of each in the bag) of each text."""
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+def _bags(texts: Sequence[str]) -> list[np.ndarray]:
+    """Distinct buckets of each text."""
+    out: list[np.ndarray] = []
     for lo, hi in slices(texts):
         bucket, row = ngrams(texts[lo:hi], SIZES, BITS)
         key = np.unique((row << BITS) | bucket)
         cut = np.searchsorted(key >> BITS, np.arange(hi - lo + 1))
         for a, b in zip(cut[:-1], cut[1:]):
-            out.append(((key[a:b] & ((1 << BITS) - 1)).astype(np.int32), np.full(b - a, 1 / (b - a + NEUTRAL), np.float32)))
+            out.append((key[a:b] & ((1 << BITS) - 1)).astype(np.int32))
     return out
 
 
@@ -66,10 +66,11 @@ def train(texts: Sequence[str], labels: Sequence[int], epochs: int = EPOCHS, rat
     rng = np.random.default_rng(seed)
     bags = _bags(texts)
     seen = np.zeros(1 << BITS, np.int64)
-    for bucket, _ in bags:
+    for bucket in bags:
         seen[bucket] += 1
     common = seen >= min(MIN_TEXTS, 1 + len(bags) // 20)
-    bags = [(bucket[common[bucket]], shares[common[bucket]]) for bucket, shares in bags]
+    share_of = np.array([1 / (len(bucket) + NEUTRAL) for bucket in bags], np.float32)
+    bags = [bucket[common[bucket]] for bucket in bags]
     emb = ((rng.random((1 << BITS, DIM), dtype=np.float32) - 0.5) / DIM)
     out = rng.standard_normal((DIM, 2)).astype(np.float32) * 0.1
     bias = np.log(np.array([1 - share, share], dtype=np.float32))
@@ -78,9 +79,9 @@ def train(texts: Sequence[str], labels: Sequence[int], epochs: int = EPOCHS, rat
         order = rng.permutation(len(bags))
         for at in range(0, len(order), BATCH):
             part = order[at: at + BATCH]
-            idx = np.concatenate([bags[i][0] for i in part])
-            val = np.concatenate([bags[i][1] for i in part])
-            doc = np.repeat(np.arange(len(part)), [len(bags[i][0]) for i in part])
+            idx = np.concatenate([bags[i] for i in part])
+            doc = np.repeat(np.arange(len(part)), [len(bags[i]) for i in part])
+            val = share_of[part][doc]
             hidden = np.empty((len(part), DIM), np.float32)
             rows = emb[idx] * val[:, None]
             for d in range(DIM):
