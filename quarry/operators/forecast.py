@@ -30,9 +30,9 @@ def _wk(keys: Sequence[str]) -> Window:
 def future_index(series: DataFrame, horizon: int, keys: Sequence[str] = ()) -> DataFrame:
     """H5: future timestamps per key.
 
-    Frequency, in order: constant step; consecutive month starts; consecutive
-    month ends; business days (Mon-Fri, Friday->Monday); otherwise the median
-    step when positive; otherwise one day.
+    Frequency, in order: month starts or month ends a constant number of months
+    apart (months, quarters, years); constant step; business days (Mon-Fri,
+    Friday->Monday); otherwise the median step when positive; otherwise one day.
     """
     keys = list(keys)
     w = _wk(keys).orderBy("date")
@@ -49,8 +49,9 @@ def future_index(series: DataFrame, horizon: int, keys: Sequence[str] = ()) -> D
         F.count(F.lit(1)).alias("_n"),
         F.min("_delta").alias("_dmin"), F.max("_delta").alias("_dmax"),
         F.percentile("_delta", 0.5).alias("_dmed"),
-        F.bool_and(F.coalesce((F.dayofmonth(dd) == 1) & (F.hour("date") == 0) & ((F.col("_prev").isNull()) | (months - prev_months == 1)), F.lit(False))).alias("_ms"),
-        F.bool_and(F.coalesce((dd == F.last_day(dd)) & (F.hour("date") == 0) & ((F.col("_prev").isNull()) | (months - prev_months == 1)), F.lit(False))).alias("_me"),
+        F.bool_and((F.dayofmonth(dd) == 1) & (F.hour("date") == 0)).alias("_ms"),
+        F.bool_and((dd == F.last_day(dd)) & (F.hour("date") == 0)).alias("_me"),
+        F.min(months - prev_months).alias("_mmin"), F.max(months - prev_months).alias("_mmax"),
         F.bool_and((wd >= 2) & (wd <= 6) & (F.col("_prev").isNull() | (F.col("_delta") == day) & (prev_wd != 6)
                                              | (F.col("_delta") == 3 * day) & (prev_wd == 6))).alias("_bd"),
     )
@@ -60,10 +61,12 @@ def future_index(series: DataFrame, horizon: int, keys: Sequence[str] = ()) -> D
     bday = F.timestamp_add("DAY", k + 2 * F.floor((lwd + k) / 5), F.col("_last"))
     step_us = F.when(constant, F.col("_dmin")).when(F.col("_n") >= 2, F.col("_dmed").cast("bigint"))
     by_step = F.timestamp_add("MICROSECOND", k * step_us, F.col("_last"))
+    by_month = (F.col("_n") >= 3) & (F.col("_mmin") == F.col("_mmax")) & (F.col("_mmin") >= 1)
+    ahead = (k * F.col("_mmin")).cast("int")
     nxt = (
-        F.when(constant, by_step)
-        .when((F.col("_n") >= 3) & F.col("_ms"), F.timestamp_add("MONTH", k, F.col("_last")))
-        .when((F.col("_n") >= 3) & F.col("_me"), F.last_day(F.add_months(F.to_date("_last"), k)).cast("timestamp_ntz"))
+        F.when(by_month & F.col("_ms"), F.timestamp_add("MONTH", ahead, F.col("_last")))
+        .when(by_month & F.col("_me"), F.last_day(F.add_months(F.to_date("_last"), ahead)).cast("timestamp_ntz"))
+        .when(constant, by_step)
         .when((F.col("_n") >= 3) & F.col("_bd"), bday)
         .when(step_us > 0, by_step)
         .otherwise(F.timestamp_add("DAY", k, F.col("_last")))

@@ -7,17 +7,19 @@ the operations views).  Optional ``keys`` produce one result row per key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.common import group, num
 from quarry.functions.order import rolling, with_row_index
+from quarry.functions.parse import parse_any_datetime
 
 # Fixed thresholds and labels of the case study (values that define results).
 STOCKOUT_THRESHOLD = 0.0
 HIGH_DEFECT_THRESHOLD = 5.0
+OPTIONAL_COLUMNS = ("temperature", "campaign")
 STATUS_STOCKOUT, STATUS_BALANCED, STATUS_EXCESS = "stockout_risk", "balanced", "excess"
 
 
@@ -199,9 +201,13 @@ def inventory_case(
     z_threshold: float = 2.0,
     with_rolling: bool = True,
     with_score: bool = True,
+    aliases: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Clean rows, stock ratio / risk / status, z-score within key, 7-row rolling demand.
 
+    ``aliases`` renames source columns first, text dates are parsed, and the
+    optional columns (temperature, campaign) are carried along where present.
+
     Summaries (J12-J14, J18) read neither the z-score nor the rolling demand:
     ``with_score=False`` leaves out both, and with them the second scan.
 
@@ -213,7 +219,11 @@ def inventory_case(
     """
     keys = list(keys)
     required = ["date", *keys, "sales", "stock"]
-    base = df.select(*{c: None for c in [*required, *order_by]}.keys())
+    df = df.withColumnsRenamed(dict(aliases or {}))
+    if dict(df.dtypes)["date"] == "string":
+        df = df.withColumn("date", parse_any_datetime(F.col("date")))
+    optional = [c for c in OPTIONAL_COLUMNS if c in df.columns]
+    base = df.select(*{c: None for c in [*required, *order_by, *optional]}.keys())
     clean = base.withColumn("sales", num("sales")).withColumn("stock", num("stock"))
     clean = clean.dropna(subset=required).where(F.col("sales") > 0)
     clean = clean.withColumns({

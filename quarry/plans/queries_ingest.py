@@ -134,9 +134,9 @@ def q_schema_profile(spark, sf):
 @query("column_validity", profile_sql() + """
 SELECT "column", datetime_ratio * non_null >= 3 AS valid_datetime, numeric_ratio * non_null >= 3 AS valid_numeric FROM profile2""", RV)
 def q_column_validity(spark, sf):
-    p = _profile(spark, sf)
-    return p.select("column", (F.col("datetime_ratio") * F.col("non_null") >= 3).alias("valid_datetime"),
-                    (F.col("numeric_ratio") * F.col("non_null") >= 3).alias("valid_numeric"))
+    from quarry.sources.delimited import column_validity
+
+    return column_validity(raw_orders(spark, sf))
 
 
 @query("parse_numeric", ", raw_ AS (SELECT * FROM raw_orders)\nSELECT order_id AS raw_id, " + ", ".join(
@@ -244,7 +244,9 @@ def q_quality_flags(spark, sf):
     return C.quality_flags(C.transformation_report(r, roles), roles)
 
 
-@query("normalize_columns")
+@query("normalize_columns", """
+SELECT p_partkey AS p_partkey_col, p_name AS p_name_col, p_brand AS p_brand_col, p_type AS p_type_col, p_size AS p_size_col,
+       p_retailprice AS p_retailprice_col FROM part""")
 def q_normalize_columns(spark, sf):
     """A2 over a real table: the part table with upload-style headers renamed back to normalised names."""
     from quarry.sources.delimited import normalize_columns
@@ -275,3 +277,16 @@ def q_preview(spark, sf):
 
     r = raw_orders(spark, sf)
     return preview(r, 10, [F.col("order_id").try_cast("bigint").asc_nulls_first()])
+
+
+@query("suggest_columns", """
+SELECT * FROM (VALUES ('production', 'production'), ('stock', 'stock'), ('defect', 'defect'), ('category', 'product'), ('date', 'date'),
+                      ('sales', 'l_orderkey')) t(role, "column") WHERE EXISTS (SELECT 1 FROM lineitem)""")
+def q_suggest_columns(spark, sf):
+    """A9 over the types and names of the sales fact: one row per role, while it has rows."""
+    from quarry.plans.views import sales_fact
+    from quarry.sources.delimited import suggest_columns
+
+    fact = sales_fact(spark, sf)
+    roles = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(c).alias("column")) for r, c in suggest_columns(fact).items()])
+    return fact.select("sales").limit(1).select(F.explode(roles).alias("s")).select("s.*")

@@ -7,9 +7,11 @@ so E3-E6 are non-trivial.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from quarry.operators import quality as Q
 from quarry.plans.catalog import query
-from quarry.plans.views import sales_fact
+from quarry.plans.views import raw_orders, sales_fact
 
 SF = ["sales_fact"]
 DROP = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price", "cost", "stock", "production"]
@@ -47,6 +49,40 @@ def q_duplicate_rows(spark, sf):
     return Q.duplicate_rows(_biz(spark, sf))
 
 
+RAW_COLS = ["order_id", "order_date", "updated_at", "status", "priority", "total_price", "total_eu", "discount", "is_final", "customer"]
+RAW_NULLS = " + ".join(f"count_if({c} IS NULL)" for c in RAW_COLS)
+
+
+@query("missing_ratio_raw", f"""
+SELECT count(*) AS total_rows, {len(RAW_COLS)} AS total_cols, {RAW_NULLS} AS missing_cells,
+       ({RAW_NULLS}) / (count(*) * {len(RAW_COLS)}.0) AS missing_ratio, ({RAW_NULLS}) * 100.0 / (count(*) * {len(RAW_COLS)}) AS missing_pct
+FROM raw_orders""", ["raw_orders"])
+def q_missing_ratio_raw(spark, sf):
+    return Q.missing_ratio(raw_orders(spark, sf))
+
+
+@query("missing_per_column_raw", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count_if({c} IS NULL) AS missing, count_if({c} IS NULL) * 100.0 / count(*) AS missing_pct FROM raw_orders"
+    for c in RAW_COLS), ["raw_orders"])
+def q_missing_per_column_raw(spark, sf):
+    return Q.missing_per_column(raw_orders(spark, sf))
+
+
+@query("duplicate_rows_raw", f"""
+SELECT CAST(sum(c - 1) AS BIGINT) AS duplicate_count, count(*) AS distinct_rows
+FROM (SELECT count(*) AS c FROM raw_orders GROUP BY {", ".join(RAW_COLS)}) g""", ["raw_orders"])
+def q_duplicate_rows_raw(spark, sf):
+    return Q.duplicate_rows(raw_orders(spark, sf))
+
+
+@query("column_type_counts", """
+SELECT type, columns FROM (VALUES ('Numeric', CAST(3 AS BIGINT)), ('DateTime', 1), ('Text', 4)) t(type, columns)
+WHERE EXISTS (SELECT 1 FROM lineitem)""")
+def q_column_type_counts(spark, sf):
+    biz = _biz(spark, sf)
+    return Q.column_type_counts(biz).where(biz.agg(F.count(F.lit(1)) > 0).scalar())
+
+
 SNAP = f"""
 , {BIZ},
 m AS (SELECT count(*) AS total_rows, {len(BCOLS)} AS total_cols,

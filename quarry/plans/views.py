@@ -96,14 +96,14 @@ def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("row_index"),
         F.col("ts").alias("timestamp"),
         F.col("props").alias("payload"),
-        F.lit(True).alias("is_valid"),
+        (F.col("value") >= 20).alias("is_valid"),
         F.col("value"),
     )
 
 
 EVENT_POINTS_SQL = """
 SELECT event_type AS dataset_id, event_id AS row_index, ts AS "timestamp", props AS payload,
-       TRUE AS is_valid, value
+       value >= 20 AS is_valid, value
 FROM events
 """
 
@@ -190,8 +190,9 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` rendered as an all-text upload (what a delimited file read yields).
 
     Messy on purpose: currency amounts, European-formatted amounts, percent
-    strings, yes/no tokens, two date-like columns, blank strings, and rows that
-    are entirely empty (every field NULL) for about 1 % of the orders.
+    strings, yes/no tokens, two date-like columns, blank strings, amounts and
+    dates that are no such thing, and rows that are entirely empty (every field
+    NULL, hence equal) for about 1 % of the orders.
     """
     tune(spark)
     o = table(spark, sf_dir, "orders")
@@ -203,12 +204,12 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cols = {
         "order_id": F.col("o_orderkey").cast("string"),
-        "order_date": F.to_date("o_orderdate").cast("string"),
-        "updated_at": F.concat(F.to_date("o_orderdate").cast("string"), F.lit(" 00:00:00")),
+        "order_date": F.when(F.col("o_orderkey") % 53 == 0, "soon").otherwise(F.to_date("o_orderdate").cast("string")),
+        "updated_at": F.when(F.col("o_orderkey") % 53 == 0, "soon").otherwise(F.concat(F.to_date("o_orderdate").cast("string"), F.lit(" 00:00:00"))),
         "status": F.col("o_orderstatus"),
         "priority": F.when(F.col("o_orderpriority") == "5-LOW", F.lit("  ")).otherwise(F.col("o_orderpriority")),
         "total_price": F.when(F.col("o_orderkey") % 10 == 0, F.lit(None).cast("string")).otherwise(
-            F.concat(F.lit("$"), F.format_number(whole, 0))),
+            F.when(F.col("o_orderkey") % 37 == 0, "unknown").otherwise(F.concat(F.lit("$"), F.format_number(whole, 0)))),
         "total_eu": F.concat(F.regexp_replace(F.format_number(whole, 0), ",", "."), F.lit(",00")),
         "discount": F.concat((whole % 50).cast("string"), F.lit("%")),
         "is_final": F.when(F.col("o_orderstatus") == "F", "yes").when(F.col("o_orderstatus") == "O", "no"),
@@ -219,11 +220,11 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RAW_ORDERS_SQL = """
 SELECT CASE WHEN o_orderkey % 101 = 0 THEN NULL ELSE CAST(o_orderkey AS VARCHAR) END AS order_id,
-       CASE WHEN o_orderkey % 101 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS order_date,
-       CASE WHEN o_orderkey % 101 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || ' 00:00:00' END AS updated_at,
+       CASE WHEN o_orderkey % 101 = 0 THEN NULL WHEN o_orderkey % 53 = 0 THEN 'soon' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS order_date,
+       CASE WHEN o_orderkey % 101 = 0 THEN NULL WHEN o_orderkey % 53 = 0 THEN 'soon' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || ' 00:00:00' END AS updated_at,
        CASE WHEN o_orderkey % 101 = 0 THEN NULL ELSE o_orderstatus END AS status,
        CASE WHEN o_orderkey % 101 = 0 THEN NULL WHEN o_orderpriority = '5-LOW' THEN '  ' ELSE o_orderpriority END AS priority,
-       CASE WHEN o_orderkey % 101 = 0 THEN NULL WHEN o_orderkey % 10 = 0 THEN NULL
+       CASE WHEN o_orderkey % 101 = 0 THEN NULL WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 37 = 0 THEN 'unknown'
             ELSE '$' || format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) END AS total_price,
        CASE WHEN o_orderkey % 101 = 0 THEN NULL
             ELSE replace(format('{:,}', CAST(floor(o_totalprice) AS BIGINT)), ',', '.') || ',00' END AS total_eu,
