@@ -15,8 +15,8 @@ total order for deterministic results) and optional ``keys``.
 4. counts per (key, bucket) -> running sum per key = offset of each bucket;
 5. index = offset + row_number() inside (key, bucket).
 
-There is one path for every size: the number of buckets follows the row count
-(ROWS_PER_BUCKET rows each) and nothing caps it.  A hot key is split over many
+The number of buckets follows the row count (ROWS_PER_BUCKET rows each) and
+nothing caps it; the numbering is the same whatever it is.  A hot key is split over many
 (key, bucket) window partitions.  NULL keys are a key of their own.
 
 ``rolling`` evaluates a row-count window (rowsBetween(-(w-1), 0)) with *halo
@@ -111,7 +111,13 @@ def with_row_index(
     encoded = [_encode(base, c) for c in [*keys, *order_by]]
     fields = [(f"k{i}", t) for i, (_, t) in enumerate(encoded)]
     enc = F.struct(*[c.alias(f) for (c, _), (f, _) in zip(encoded, fields)])
-    tagged = base.withColumn("_b", bucket_of(enc, split_points(base, enc, n, rows), fields))
+    bounds = split_points(base, enc, n, rows)
+    inside = Window.partitionBy(*keys, *(["_b"] if bounds else [])).orderBy(*order_by)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    if not bounds:  # one bucket: every offset is 0, so there is nothing to join
+        numbered = base.withColumn(idx, (F.row_number().over(inside) - 1).cast("bigint"))
+        return numbered.withColumns({n: F.coalesce(F.count_if(c).over(before), F.lit(0)).cast("bigint") for n, c in running.items()})
+    tagged = base.withColumn("_b", bucket_of(enc, bounds, fields))
     counts = tagged.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_cnt"), *[F.count_if(c).alias(f"_cnt_{n}") for n, c in running.items()])
     prior = (Window.partitionBy(*keys).orderBy("_b") if keys else Window.orderBy("_b")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -121,9 +127,7 @@ def with_row_index(
     same = F.col("_b") == F.col("_ob")
     for i, k in enumerate(keys):
         same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order_by)
     numbered = tagged.join(offsets, same).withColumn(idx, (F.col("_off") + F.row_number().over(inside) - 1).cast("bigint"))
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
     for n, c in running.items():
         numbered = numbered.withColumn(n, (F.col(f"_off_{n}") + F.coalesce(F.count_if(c).over(before), F.lit(0))).cast("bigint"))
     return numbered.drop("_b", "_ob", "_off", *[f"_off_{n}" for n in running], *[f"_k{i}" for i in range(len(keys))])
@@ -158,3 +162,24 @@ def rolling(
     w = Window.partitionBy(*keys, "_bucket").orderBy(idx).rowsBetween(-halo, 0)
     out = parts.withColumns(make_columns(w))
     return out.where(~F.col("_halo")).drop("_bucket", "_halo")
+
+
+def positions(series: DataFrame, keys: Sequence[str], order: str = "date") -> DataFrame:
+    """Adds ``_i`` (position from 0 in ``order``) and ``_n`` (points) per key.
+
+    Keyed series number themselves in windows of their key; one series over
+    the whole table goes through the distributed row index, so that points
+    finer than days never meet in one task.
+    """
+    if keys:
+        w = Window.partitionBy(*keys)
+        return series.withColumns({"_i": (F.row_number().over(w.orderBy(order)) - 1).cast("bigint"), "_n": F.count(F.lit(1)).over(w)})
+    idx = with_row_index(series, [order], idx="_i")
+    return idx.withColumn("_n", idx.agg(F.count(F.lit(1))).scalar())
+
+
+def rolling_by(series: DataFrame, keys: Sequence[str], window: int, make_columns: Callable[[Window], dict[str, Column]], order: str = "date") -> DataFrame:
+    """Row-count window along ``order``: within the key, or over row index and halo buckets for one series."""
+    if keys:
+        return series.withColumns(make_columns(Window.partitionBy(*keys).orderBy(order).rowsBetween(-(window - 1), 0)))
+    return rolling(with_row_index(series, [order], idx="_i"), [], "_i", window, make_columns).drop("_i")

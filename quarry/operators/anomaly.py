@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.common import group, num
+from quarry.functions.order import rolling_by
 
 # Fixed risk thresholds (anomaly ratio).
 RISK_HIGH, RISK_MEDIUM = 0.10, 0.05
@@ -31,12 +32,14 @@ def rolling_zscore(series: DataFrame, window: int = 28, z: float = 2.0, keys: Se
             series = series.join(renamed, same, "left_semi")
         else:
             series = series.where(raw.agg(F.count(F.lit(1))).scalar() >= window + 5)
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("date").rowsBetween(-(window - 1), 0)
     minp = max(5, window // 2)
-    cnt = F.count("value").over(w)
-    mean = F.when(cnt >= minp, F.avg("value").over(w))
-    std = F.when(cnt >= minp, F.stddev_samp("value").over(w))
-    out = series.withColumns({"rolling_mean": mean, "rolling_std": F.when(std != 0, std)})
+
+    def columns(w: Window) -> dict[str, Column]:
+        cnt = F.count("value").over(w)
+        std = F.when(cnt >= minp, F.stddev_samp("value").over(w))
+        return {"rolling_mean": F.when(cnt >= minp, F.avg("value").over(w)), "rolling_std": F.when(std != 0, std)}
+
+    out = rolling_by(series, keys, window, columns)
     zs = F.coalesce((F.col("value") - F.col("rolling_mean")) / F.col("rolling_std"), F.lit(0.0))
     out = out.withColumn("z_score", zs)
     return out.withColumns({

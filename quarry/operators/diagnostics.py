@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.common import group, join_one_row, num
+from quarry.functions.order import positions
 from quarry.functions.stats import adf_p_value, t_p_value_udf
 
 # Fixed thresholds of the diagnostic labels.
@@ -32,8 +33,7 @@ def _wk(keys: Sequence[str]) -> Window:
 
 
 def _indexed(series: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return series.where(F.col("value").isNotNull()).withColumn(
-        "_x", (F.row_number().over(_wk(keys).orderBy("date")) - 1).cast("double"))
+    return positions(series.where(F.col("value").isNotNull()), keys).withColumn("_x", F.col("_i").cast("double")).drop("_i", "_n")
 
 
 def t_stat(r2: Column, n: Column, slope: Column) -> Column:

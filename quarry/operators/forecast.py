@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.common import group, join_keys, num
-from quarry.functions.order import with_row_index
+from quarry.functions.order import positions, with_row_index
 from quarry.operators.series import _indexed_from_end
 
 # Fixed thresholds.
@@ -129,7 +129,7 @@ def forecast_linear(series: DataFrame, horizon: int = 30, keys: Sequence[str] =
     (population residual std, as numpy's std of residuals).
     """
     keys = list(keys)
-    s = series.where(F.col("value").isNotNull()).withColumn("_x", (F.row_number().over(_wk(keys).orderBy("date")) - 1).cast("double"))
+    s = positions(series.where(F.col("value").isNotNull()), keys).withColumn("_x", F.col("_i").cast("double")).drop("_i", "_n")
     fit = group(s, keys).agg(
         F.count(F.lit(1)).alias("n"), F.max("date").alias("_last"),
         F.regr_slope("value", "_x").alias("slope"), F.regr_intercept("value", "_x").alias("intercept"),

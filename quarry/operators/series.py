@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.common import group, join_keys, join_one_row, num
+from quarry.functions.order import positions, rolling_by
 
 # Fixed thresholds (they define the labels).
 TREND_THRESHOLD_PCT = 2.0
@@ -125,13 +126,13 @@ def monthly_sum(df: DataFrame, date: str = "date", value: str = "sales", keys: S
 def rolling_stats(series: DataFrame, window: int = 7, min_periods: int = 1, keys: Sequence[str] = (),
                   std_min_periods: int = 2, std_fill_zero: bool = False) -> DataFrame:
     """rolling mean and sample std over the last ``window`` points (row frame)."""
-    w = _w(keys, "date").rowsBetween(-(window - 1), 0)
-    cnt = F.count("value").over(w)
-    mean = F.when(cnt >= min_periods, F.avg("value").over(w))
-    std = F.when(cnt >= std_min_periods, F.stddev_samp("value").over(w))
-    if std_fill_zero:
-        std = F.coalesce(std, F.lit(0.0))
-    return series.withColumns({"rolling_mean": mean, "rolling_std": std})
+    def columns(w: Window) -> dict[str, Column]:
+        cnt = F.count("value").over(w)
+        mean = F.when(cnt >= min_periods, F.avg("value").over(w))
+        std = F.when(cnt >= std_min_periods, F.stddev_samp("value").over(w))
+        return {"rolling_mean": mean, "rolling_std": F.coalesce(std, F.lit(0.0)) if std_fill_zero else std}
+
+    return rolling_by(series, keys, window, columns)
 
 
 def trend_band(series: DataFrame, window: int = 7, keys: Sequence[str] = ()) -> DataFrame:
@@ -146,10 +147,7 @@ def trend_band(series: DataFrame, window: int = 7, keys: Sequence[str] = ()) ->
 # ---------------------------------------------------------------- F9-F13
 def _indexed_from_end(series: DataFrame, keys: Sequence[str], order: str = "date") -> DataFrame:
     """ri = position counted from the last point (0 = last), n = points per key."""
-    wd = Window.partitionBy(*keys).orderBy(F.col(order).desc()) if keys else Window.orderBy(F.col(order).desc())
-    wn = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    return series.where(F.col("value").isNotNull()).withColumns(
-        {"_ri": F.row_number().over(wd) - 1, "_n": F.count(F.lit(1)).over(wn)})
+    return positions(series.where(F.col("value").isNotNull()), keys, order).withColumn("_ri", F.col("_n") - 1 - F.col("_i")).drop("_i")
 
 
 def _recent_vs_prior(indexed: DataFrame, keys: Sequence[str], rule: str) -> DataFrame:

@@ -100,3 +100,42 @@ def test_payload_containment(spark):
     assert hit({"a.b": 1.0}) == [0] and hit({"n": {"x": 2}}) == [0] and hit({"n": {"y": "q's"}}) == [0] and hit({}) == [0, 1]
     timed = points.withColumn("timestamp", F.lit(None).cast("timestamp_ntz"))
     assert [r["row_index"] for r in store.payload_field_equals(timed, "d", "a.b", 1).collect()] == [0]
+
+
+def test_exact_quantile(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for values in (rng.normal(size=3000), rng.integers(0, 5, 1000).astype(float), np.array([3.0]), np.array([1.0, 2.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        for q in (0.0, 0.05, 0.5, 0.95, 1.0):
+            got = df.limit(1).select(inventory.exact_quantile(df, "v", q).alias("q")).first()["q"]
+            assert got == pytest.approx(np.quantile(values, q)), (len(values), q)
+
+
+@pytest.mark.parametrize("dates, following", [
+    (["2023-01-01", "2023-04-01", "2023-07-01", "2023-10-01"], ["2024-01-01", "2024-04-01"]),
+    (["2021-12-31", "2022-12-31", "2023-12-31"], ["2024-12-31", "2025-12-31"]),
+    (["2023-11-30", "2023-12-31", "2024-01-31"], ["2024-02-29", "2024-03-31"]),
+    (["2024-01-01", "2024-01-02", "2024-01-03"], ["2024-01-04", "2024-01-05"]),
+])
+def test_future_dates_follow_the_calendar(spark, dates, following):
+    s = rows_of(spark, [(d, 1.0) for d in dates], "d string, value double").select(F.to_timestamp_ntz("d").alias("date"), "value")
+    assert [str(r["date"])[:10] for r in forecast.future_index(s, 2).orderBy("step").collect()] == following
+
+
+def test_one_series_finer_than_days_needs_no_single_task(spark):
+    s = spark.range(300).select(F.expr("timestamp_ntz '2024-01-01' + make_interval(0,0,0,0,0,0,id*7)").alias("date"), (F.col("id") % 11).cast("double").alias("value"))
+    got = {r["date"]: r["rolling_mean"] for r in S.rolling_stats(s, 7).collect()}
+    values = [r["value"] for r in s.orderBy("date").collect()]
+    want = [sum(values[max(0, i - 6): i + 1]) / len(values[max(0, i - 6): i + 1]) for i in range(300)]
+    assert [got[k] for k in sorted(got)] == pytest.approx(want)
+    flat = S.recent_change(s, "lookback14").first()
+    assert flat["n"] == 300 and flat["recent_mean"] == pytest.approx(sum(values[-14:]) / 14)
+
+
+def test_inventory_case_takes_aliases_dates_and_optional_columns(spark):
+    df = rows_of(spark, [("03/01/2024", "r", "p", 2.0, 1.0, 20.5, 1), ("soon", "r", "p", 2.0, 1.0, 20.5, 1)],
+                 "day string, region string, product string, sales double, stock double, temperature double, promo_run int")
+    out = inventory.inventory_case(df, ["date"], with_score=False, aliases={"day": "date", "promo_run": "campaign"}).collect()
+    assert [(str(r["date"])[:10], r["temperature"], r["campaign"], r["stock_status"]) for r in out] == [("2024-03-01", 20.5, 1, "stockout_risk")]
