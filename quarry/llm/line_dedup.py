@@ -1,7 +1,7 @@
 """Line dedup by a segment-partition edit join.
 
 A line is compared without the white space at its ends.  Equal lines are one
-node (two 64-bit hashes).  Lines of at least MIN_CHARS characters are cut into
+node (64-bit hashes of the whole and of its first half).  Lines of at least MIN_CHARS characters are cut into
 EDITS + 1 segments; two lines within EDITS edits share at least one segment,
 near its place, and their lengths differ by EDITS at most.  So every line is
 indexed by its segments and probes the segments of the lengths it can match,
@@ -19,6 +19,7 @@ result.  Documents keep all their columns.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,17 +33,18 @@ from quarry.llm._common import (
 
 EDITS = 2
 MIN_CHARS = 40
-DIRECT_ROWS = 64             # lines of one segment whose pairs are made in place; larger segments go through a join
+DIRECT_ROWS = 8              # lines of one segment whose pairs are made in place; larger segments are compared block by block
+BLOCK_LINES = 256
+SEEN_LINES = 1_000_000
+HELD_ROWS = 100_000          # rows of one segment that a task holds
 LAST = (1 << 63) - 1
 
 _U = np.uint64
-_CODE: dict[str, np.ndarray] = {}
 
 
-def _code_table(name: str, salt: int) -> np.ndarray:
-    if name not in _CODE:
-        _CODE[name] = mix64(np.arange(0x110000, dtype=np.uint64) + _U(salt))
-    return _CODE[name]
+@lru_cache(maxsize=None)
+def _code_table() -> np.ndarray:
+    return mix64(np.arange(7, 0x110007, dtype=np.uint64))
 
 
 class Lines:
@@ -66,16 +68,13 @@ class Lines:
         end[last_of_doc] = chars[1:][doc[last_of_doc]]
         first_line = np.searchsorted(doc, np.arange(len(chars)))
         place = np.arange(len(start)) - first_line[doc]
-        solid = ~((self.codes == 32) | ((self.codes >= 9) & (self.codes <= 13)))
-        at = np.arange(n)
-        nxt = np.minimum.accumulate(np.where(solid, at, n)[::-1])[::-1] if n else at
-        prv = np.maximum.accumulate(np.where(solid, at, -1)) if n else at
-        begin = np.append(nxt, n)[start]
-        stop = np.append(prv, -1)[end - 1] + 1
-        keep = (end > start) & (begin < end)
+        solid = np.flatnonzero(~((self.codes == 32) | (self.codes - np.uint32(9) <= 4)))
+        begin = np.append(solid, n)[np.searchsorted(solid, start)]
+        stop = np.append(solid, -1)[np.searchsorted(solid, end) - 1] + 1
+        keep = begin < end
         self.n_lines = np.bincount(doc, minlength=len(chars) - 1)
         self.doc, self.place, self.start, self.end = doc[keep], place[keep], begin[keep], stop[keep]
-        self.roll = Rolling(_code_table("h", 7)[self.codes])
+        self.roll = Rolling(_code_table()[self.codes])
         self.hash = signed(self.roll.of(self.start, self.end))
 
 
@@ -84,7 +83,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, data, offsets in text_slices(batch.column(2)):
             x = Lines(data, offsets)
             row = pa.array(lo + x.doc)
-            check = signed(Rolling(_code_table("g", 1 << 40)[x.codes]).of(x.start, x.end))
+            check = signed(x.roll.of(x.start, (x.start + x.end) // 2))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(row), batch.column(1).take(row), pa.array(x.place.astype(np.int32)), pa.array(x.hash), pa.array(check)],
                 names=["d", "t", "pos", "h", "g"])
@@ -113,83 +112,76 @@ def signatures(x: Lines, rows: np.ndarray, edits: int = EDITS, min_chars: int =
 
 def _signature_rows(edits: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()                                # lines this task has sent already, a bounded memory of them
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
                 x = Lines(data, offsets)
                 rows = np.unique(x.hash, return_index=True)[1]
                 rows = rows[x.end[rows] - x.start[rows] >= min_chars]
+                fresh = [h not in seen for h in x.hash[rows].tolist()]
+                rows = rows[np.array(fresh, bool)]
+                if len(seen) > SEEN_LINES:
+                    seen.clear()
+                seen.update(x.hash[rows].tolist())
                 if len(rows):
                     key, owner, role = signatures(x, rows, edits, min_chars)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(x.hash[owner]), pa.array(role)], names=["key", "h", "role"])
     return run
 
 
-PAIR_SCHEMA = "key long, a long, b long, role int"
+MEET_SCHEMA = "key long, a long, b long, role int"
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, h, role) -> pairs (a, b) that meet on a segment; members (a, null) of segments with very many lines."""
+    """Rows sorted by key -> pairs (a, b, role 0) that meet on a segment; rows (a, role) of segments with many lines."""
     empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8))
     rest, hot = empty, None
 
-    def settle(key, h, role):
-        """Whole groups: distinct (key, h), roles joined."""
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
-        at = np.flatnonzero(new)
-        role = np.bitwise_or.reduceat(role, at) if len(at) else role
-        key, h = key[at], h[at]
-        head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else at
+    def batch_of(key, a, b, role) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(b), pa.array(role.astype(np.int32))], names=["key", "a", "b", "role"])
+
+    def settle(key, h, role) -> Iterator[pa.RecordBatch]:
+        """Whole groups: lines of a segment, each once with its roles joined."""
+        if len(key) < 2:
+            return
+        same = key[1:] == key[:-1]
+        at = np.flatnonzero(np.append(same, False) | np.append(False, same))   # segments of one row meet nothing
+        at = at[np.lexsort((h[at], key[at]))]
+        key, h, role = key[at], h[at], role[at]
+        head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (h[1:] != h[:-1]))) if len(key) else at
+        if not len(head):
+            return
+        role, key, h = np.bitwise_or.reduceat(role, head), key[head], h[head]
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(head, len(key)))
-        indexed = np.add.reduceat((role & 1).astype(np.int64), head) if len(head) else head
-        open_ = (size > 1) & (indexed > 0)
-        out_a, out_b, out_k, out_r = [], [], [], []
-        for s in np.unique(size[open_]):
-            group = head[open_ & (size == s)]
-            if s > DIRECT_ROWS:
-                for g in group.tolist():
-                    out_a.append(h[g: g + s])
-                    out_b.append(np.full(s, -1))
-                    out_k.append(key[g: g + s])
-                    out_r.append(role[g: g + s])
-                continue
-            cell = group[:, None] + np.arange(s)[None, :]
-            i, j = np.triu_indices(s, 1)
+        open_ = (size > 1) & (np.add.reduceat((role & 1).astype(np.int64), head) > 0)
+        crowd = np.repeat(open_ & (size > DIRECT_ROWS), size)
+        if crowd.any():
+            yield batch_of(key[crowd], h[crowd], np.zeros(crowd.sum(), np.int64), role[crowd])
+        for n in np.unique(size[open_ & (size <= DIRECT_ROWS)]):
+            cell = head[open_ & (size == n)][:, None] + np.arange(n)[None, :]
+            i, j = np.triu_indices(n, 1)
             a, b = cell[:, i].ravel(), cell[:, j].ravel()
             ok = ((role[a] | role[b]) & 1) > 0
-            out_a.append(np.minimum(h[a[ok]], h[b[ok]]))
-            out_b.append(np.maximum(h[a[ok]], h[b[ok]]))
-            out_k.append(np.zeros(ok.sum(), np.int64))
-            out_r.append(np.zeros(ok.sum(), np.int8))
-        if out_a:
-            a, b, k, r = map(np.concatenate, (out_a, out_b, out_k, out_r))
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(a), pa.array(b), pa.array(r.astype(np.int32))], names=["key", "a", "b", "role"])
-
-    def members(part):
-        """Rows of a segment too common to hold: passed on as they come."""
-        key, h, role = part
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(h), pa.array(np.full(len(key), -1)), pa.array(role.astype(np.int32))], names=["key", "a", "b", "role"])
+            a, b = a[ok], b[ok]
+            yield batch_of(key[a], np.minimum(h[a], h[b]), np.maximum(h[a], h[b]), np.zeros(len(a), np.int8))
 
     for batch in batches:
         cur = tuple(np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, batch.columns))
-        if hot is not None:
+        if hot is not None:                                   # a segment too common to hold: its rows pass on as they come
             same = cur[0] == hot
             if same.any():
-                yield members(tuple(c[same] for c in cur))
+                yield batch_of(cur[0][same], cur[1][same], np.zeros(same.sum(), np.int64), cur[2][same])
             cur = tuple(c[~same] for c in cur)
-            if not len(cur[0]):
-                rest = empty
-                continue
-            hot = None
+            hot = None if len(cur[0]) else hot
         tail = int(np.searchsorted(cur[0], cur[0][-1])) if len(cur[0]) else 0
         yield from settle(*(c[:tail] for c in cur))
         rest = tuple(c[tail:] for c in cur)
-        if len(rest[0]) > 100_000:
+        if len(rest[0]) > HELD_ROWS:
             hot = rest[0][0]
-            yield members(rest)
+            yield batch_of(rest[0], rest[1], np.zeros(len(rest[0]), np.int64), rest[2])
             rest = empty
-    if len(rest[0]):
-        yield from settle(*rest)
+    yield from settle(*rest)
 
 
 def within_edits(a: np.ndarray, b: np.ndarray, edits: int) -> bool:
@@ -242,18 +234,46 @@ def _line_texts(bitmap):
     return run
 
 
+def _crowd_links(edits: int):
+    """One group: per segment, the lines of block i against those of block j -> links that join lines not joined yet."""
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        out_a, out_b = [], []
+        for _, rows in g.groupby("key", sort=False):
+            h, role, side = (rows[c].to_numpy() for c in ("a", "role", "side"))
+            lines = [np.frombuffer(x, "<u4") for x in rows["line"]]
+            size = np.array([len(x) for x in lines])
+            root = {x: x for x in h.tolist()}
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            right = np.flatnonzero(side & 2)
+            for i in np.flatnonzero(side & 1).tolist():
+                near = right[(np.abs(size[right] - size[i]) <= edits) & (((role[right] | role[i]) & 1) > 0) & (h[right] != h[i])]
+                if side[i] == 3:                              # block against itself: each pair once
+                    near = near[h[near] > h[i]]
+                for j in near.tolist():
+                    p, q = find(int(h[i])), find(int(h[j]))
+                    if p != q and within_edits(lines[i], lines[j], edits):
+                        root[max(p, q)] = min(p, q)
+                        out_a.append(h[i])
+                        out_b.append(h[j])
+        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
+    return run
+
+
 def near_lines(texts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame | None:
     """(h, root): groups of different lines within ``edits`` edits, directly or over others; None if there are none."""
     spark = texts.sparkSession
+    parts = partitions(spark)
     dealt = spread(texts.select("text")).mapInArrow(_signature_rows(edits, min_chars), "key long, h long, role byte")
-    dealt = dealt.repartition(partitions(spark), "key").sortWithinPartitions("key", "h")
-    met = materialise(dealt.mapInArrow(_meet, PAIR_SCHEMA))
-    pairs = met.where("b <> -1 OR role = 0").select("a", "b")
-    hot = met.where("b = -1 AND role <> 0").groupBy("key", "a").agg(F.bit_or("role").alias("role"))
-    look = hot.select("key", F.col("a").alias("b"), F.col("role").alias("role_b"))
-    crowded = hot.join(look, "key").where("a < b AND ((role | role_b) & 1) = 1").select("a", "b")
-    pairs = materialise(pairs.unionByName(crowded).distinct())
-    wanted = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
+    met = materialise(dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meet, MEET_SCHEMA))
+    pairs = met.where("role = 0").select("a", "b").distinct()
+    crowd = met.where("role <> 0").groupBy("key", "a").agg(F.bit_or("role").alias("role"))
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(crowd.select(F.col("a").alias("h"))).distinct())
     bitmap = spark.sparkContext.broadcast(membership_bitmap(wanted, "h"))
     content = spread(texts.select("text")).mapInArrow(_line_texts(bitmap), "h long, line binary").join(wanted, "h", "left_semi").dropDuplicates(["h"])
     content = materialise(content)
@@ -265,7 +285,19 @@ def near_lines(texts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
 
     both = pairs.join(content.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a").join(
         content.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
-    links = materialise(both.select("a", "b", "line_a", "line_b").mapInPandas(check, "a long, b long"))
+    links = both.select("a", "b", "line_a", "line_b").mapInPandas(check, "a long, b long")
+
+    # segments with many lines: blocks of lines meet in groups that return only links that join lines
+    blocks = crowd.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_LINES).cast("int").alias("n"))
+    mine = F.pmod(F.xxhash64("a"), F.col("n")).cast("int")
+    entry = lambda i, j: F.struct(i.alias("i"), j.alias("j"), F.when(i == j, 3).when(mine == i, 1).otherwise(2).alias("side"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: entry(F.least(mine, k), F.greatest(mine, k)))
+    spread_out = crowd.join(blocks, "key").withColumn("e", F.explode(cells))
+    group = F.when(F.col("n") == 1, F.pmod(F.xxhash64("key"), F.lit(4 * parts))).otherwise(F.xxhash64("key", "e.i", "e.j"))
+    cell_rows = spread_out.select(group.alias("cell"), "key", "a", "role", F.col("e.side").alias("side")).join(
+        content.withColumnRenamed("h", "a"), "a")
+    links = links.unionByName(cell_rows.groupBy("cell").applyInPandas(_crowd_links(edits), "a long, b long"))
+    links = materialise(links)
     return None if links.isEmpty() else components(links, "a", "b").select(F.col("node").alias("h"), "root")
 
 
