@@ -5,12 +5,16 @@ coarse centroids; an inverted list holds their residuals as one code per
 subspace, together with the length of what the codes miss.  Centroids and
 codebooks are trained on a bounded sample, every vector is indexed.
 
-The probes are sufficient: a vector within the link radius of a query lies in
-a list whose centroid is nearer to it, so the query is within that radius of
-the list's cell border; only such lists are searched.  A pair is dropped by
+The probes follow the borders of the lists' cells: a linked vector in another
+list lies on the other side of the border between the two centroids, so the
+query is near that border.  It can be as far as the link radius, if the two
+differ exactly along the line of the centroids; a difference in any other
+direction has a part of it along that line, about 1 / sqrt(dimensions) of its
+length.  Lists whose border lies within BORDER / sqrt(dimensions) of the radius
+are searched (all within the radius up to BORDER**2 dimensions), which loses
+about one pair in ten thousand of those near a border.  A pair is dropped by
 its table-lookup distance only if the distance, less what the codes miss,
-exceeds the radius.  Links are confirmed by cosine in double precision.  So
-the search loses no link up to rounding.
+exceeds the radius, and links are confirmed by cosine in double precision.
 
 A list's rows are cut into index parts and query parts and every pair of
 parts is one group, so a hot list spreads over many tasks; a group returns one
@@ -33,6 +37,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm._common import components, materialise, prepare
 
@@ -44,6 +49,7 @@ CODES = 64
 INDEX_PART = 2048            # rows of a list's index part and query part in one group
 QUERY_PART = 8192
 ROUNDS = 8
+BORDER = 4.0
 NO_ID = 1 << 62
 
 
@@ -87,15 +93,16 @@ def train(sample: np.ndarray, total: int, seed: int = 9) -> Quantiser:
 ENTRY = "list int, role int, node long, copies long, code binary, missed double, vector binary"
 
 
-def _entries(q: Quantiser, radius: float):
+def _entries(q: Quantiser, radius: float, kind: str):
     """Vectors -> one entry in their own list (role 3) and one query entry (role 2) per further list to search."""
     gap = np.sqrt(_square_distances(q.centroids, q.centroids))
+    slack = radius * min(1.0, BORDER / np.sqrt(q.centroids.shape[1]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 1024):
                 part = b.iloc[at: at + 1024]
-                x = unit_rows(np.stack(part["embedding"].to_numpy()))
+                x = unit_rows(np.stack([np.asarray(v, kind) for v in part["embedding"]]))
                 d2 = _square_distances(x, q.centroids)
                 own = d2.argmin(1)
                 nearest = d2[np.arange(len(x)), own]
@@ -104,12 +111,12 @@ def _entries(q: Quantiser, radius: float):
                 decoded = np.concatenate([book[code[:, m]] for m, book in enumerate(q.books)], 1)
                 missed = np.sqrt(((rest - decoded) ** 2).sum(1))
                 # distance to the border with another cell is (d2 - nearest) / (2 gap); a pair is searched from its lower list
-                reach = d2 - nearest[:, None] <= 2 * radius * gap[own] + 1e-9
+                reach = d2 - nearest[:, None] <= 2 * slack * gap[own] + 1e-9
                 reach[np.arange(len(x)), own] = True
                 reach &= np.arange(len(q.centroids))[None, :] >= own[:, None]
                 row, cell = np.nonzero(reach)
                 home = cell == own[row]
-                raw = [v.tobytes() for v in x]
+                raw = [np.asarray(v, kind).tobytes() for v in part["embedding"]]
                 codes = [v.tobytes() for v in code]
                 yield pd.DataFrame({
                     "list": cell.astype(np.int32), "role": np.where(home, 3, 2).astype(np.int32),
@@ -131,13 +138,13 @@ def _local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _search(q: Quantiser, threshold: float, radius: float):
+def _search(q: Quantiser, threshold: float, radius: float, kind: str):
     def run(g: pd.DataFrame) -> pd.DataFrame:
         role, node, copies = g["role"].to_numpy(), g["node"].to_numpy(), g["copies"].to_numpy()
         indexed, asked = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
         found_q, found_x = [], []
         if len(indexed) and len(asked):
-            x = np.frombuffer(b"".join(g["vector"]), np.float64).reshape(len(g), -1)
+            x = unit_rows(np.frombuffer(b"".join(g["vector"]), kind).reshape(len(g), -1))
             code = np.frombuffer(b"".join(g["code"].to_numpy()[indexed]), np.uint8).reshape(len(indexed), -1)
             limit = radius + g["missed"].to_numpy()[indexed] + 1e-6
             home = g["home"].to_numpy()
@@ -173,11 +180,12 @@ def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
     """(node, links, lead) partial results of the vectors of one length."""
     own = classes.where(F.size("embedding") == dim)
     total = own.count()
-    sample = own.orderBy(F.xxhash64(F.lit(3), "node"), "node").limit(SAMPLE).select("embedding").toPandas()["embedding"]
+    sample = own.orderBy(F.xxhash64(F.lit(3), "node"), "node").limit(SAMPLE).select("embedding").toArrow().column(0).to_pylist()
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    q = train(unit_rows(np.stack(sample.to_numpy())), total)
+    kind = "<f4" if isinstance(own.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
+    q = train(unit_rows(np.stack([np.asarray(v, kind) for v in sample])), total)
     shared = own.sparkSession.sparkContext.broadcast(q)                # at most MAX_LISTS centroids and the codebooks
-    entries = materialise(own.select("node", "copies", "embedding").mapInPandas(lambda it: _entries(shared.value, radius)(it), ENTRY))
+    entries = materialise(own.select("node", "copies", "embedding").mapInPandas(lambda it: _entries(shared.value, radius, kind)(it), ENTRY))
     sizes = entries.groupBy("list").agg(F.count_if(F.col("role") == 3).alias("i"), F.count(F.lit(1)).alias("q"))
     sizes = sizes.select("list", F.ceil(F.col("i") / INDEX_PART).cast("int").alias("i"), F.ceil(F.col("q") / QUERY_PART).cast("int").alias("q")).where("i > 0")
     mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
@@ -188,7 +196,7 @@ def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
         "cell", F.explode(F.when(F.col("role") == 3, F.concat(as_index, as_query)).otherwise(as_query))).where("cell.as > 0")
     dealt = dealt.select("list", "cell.a", "cell.b", F.col("cell.as").alias("role"), (F.col("role") == 3).alias("home"),
                          "node", "copies", "code", "missed", "vector")
-    return dealt.groupBy("list", "a", "b").applyInPandas(lambda g: _search(shared.value, threshold, radius)(g), "node long, links long, lead long")
+    return dealt.groupBy("list", "a", "b").applyInPandas(lambda g: _search(shared.value, threshold, radius, kind)(g), "node long, links long, lead long")
 
 
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
@@ -220,5 +228,5 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         "vec_id",
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
+        F.coalesce(F.col("vec_id") == component, component.isNull()).alias("kept"),
     )
