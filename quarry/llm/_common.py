@@ -219,9 +219,9 @@ def membership_bitmap(keys: DataFrame, column: str) -> np.ndarray:
     keys = materialise(keys.select(F.col(column).alias("k")))
     bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(16 * keys.count() + 1)))))
     word = F.shiftright(F.pmod("k", F.lit(1 << bits)), 5).cast("int")
-    found = keys.select(word.alias("w"), F.expr("shiftleft(1L, CAST(pmod(k, 32) AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    found = keys.select(word.alias("w"), F.expr("shiftleft(1L, CAST(pmod(k, 32) AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << bits - 5, np.int64)
-    out[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
+    out[found["w"].to_numpy()] = found["b"].to_numpy()
     return out.astype(np.uint32)
 
 

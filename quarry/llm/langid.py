@@ -64,7 +64,7 @@ def fit(docs: DataFrame) -> Model:
     langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())  # one row per language
     if not langs:
         return Model([], np.zeros((0, 1 << BITS), np.float32), np.zeros(0))
-    sums = count_ngrams(known, langs).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages x buckets
+    sums = count_ngrams(known, langs).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # languages x buckets
     total, texts = np.zeros((len(langs), 1 << BITS)), np.zeros(len(langs))
     place = sums["lang"].map({name: i for i, name in enumerate(langs)}).to_numpy(np.int64)
     bucket, n = sums["bucket"].to_numpy(np.int64), sums["n"].to_numpy(float)

@@ -277,7 +277,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     answered = chunks.join(
         answers.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("part", "uni", "bi")).alias("answers")), "chunk")
     histogram = answered.mapInPandas(_held_out_histogram(totals), "context long, bigram long, count long, n long")
-    cells = histogram.groupBy("context", "bigram", "count").agg(F.sum("n").alias("n")).toPandas()  # cells of log-counts: bounded
+    cells = histogram.groupBy("context", "bigram", "count").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # cells of log-counts: bounded
     weights = mixture_weights(cells, totals)
     return answered.mapInPandas(
         _score_rows(totals, weights),

@@ -68,7 +68,7 @@ def train(texts: Sequence[str], labels: Sequence[int], epochs: int = EPOCHS, rat
     seen = np.zeros(1 << BITS, np.int64)
     for bucket in bags:
         seen[bucket] += 1
-    common = seen >= min(MIN_TEXTS, 1 + len(bags) // 20)
+    common = seen >= min(MIN_TEXTS, max(3, len(bags) // 100))
     share_of = np.array([1 / (len(bucket) + NEUTRAL) for bucket in bags], np.float32)
     bags = [bucket[common[bucket]] for bucket in bags]
     emb = ((rng.random((1 << BITS, DIM), dtype=np.float32) - 0.5) / DIM)
@@ -119,7 +119,7 @@ def fold(id_col: str, folds: int) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         train_where: Column | None = None) -> Model:
-    """Model fitted on a seeded sample of the labelled documents (SAMPLE_POSITIVE and SAMPLE_NEGATIVE at most)."""
+    """Model fitted, in one task, on a seeded sample of the labelled documents (SAMPLE_POSITIVE and SAMPLE_NEGATIVE at most)."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_y IN (0, 1)")
     if train_where is not None:
         known = known.withColumnRenamed("_id", id_col).where(train_where).withColumnRenamed(id_col, "_id")
@@ -127,9 +127,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = known.where("_y = 1").orderBy(*order).limit(SAMPLE_POSITIVE).unionByName(
         known.where("_y = 0").orderBy(*order).limit(SAMPLE_NEGATIVE))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
-    rows = texts.join(F.broadcast(picked), "_id").select("_id", "_y", "_t").collect()  # a bounded sample
-    rows.sort(key=lambda r: (r["_id"], r["_y"], r["_t"] or ""))
-    return train([r["_t"] or "" for r in rows], [r["_y"] for r in rows])
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.fillna({"_t": ""}).sort_values(["_id", "_y", "_t"])
+        model = train(rows["_t"].tolist(), rows["_y"].tolist())
+        return pd.DataFrame({"weight": [model.weight.tobytes()], "bias": [model.bias]})
+
+    sample = texts.join(F.broadcast(picked), "_id").withColumn("_m", F.lit("model")).groupBy("_m").applyInPandas(learn, "weight binary, bias double")
+    found = sample.first()                       # the model: 2**BITS numbers
+    return Model(np.frombuffer(found["weight"], np.float32), found["bias"]) if found else train([], [])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -577,6 +577,14 @@ def test_every_query_returns_a_row_per_row(spark):
     assert sorted(int(x[2:].split("_")[0]) for x in QUERIES) == list(range(1, 11))
 
 
+def test_exact_dedup_matches_sql(spark, duck):
+    from quarry.llm.queries import ORACLE
+    from tests.compare import frames_equal
+
+    for name, sql in ORACLE.items():
+        assert frames_equal(QUERIES[name](spark, SMALL).toPandas(), duck.execute(sql).df()) is None, name
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns, rows = docs.columns, docs.count()
