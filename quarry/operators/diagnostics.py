@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.common import group, join_one_row, num
+from quarry.functions.common import group, join_keys, join_one_row, num
 from quarry.functions.order import positions
 from quarry.functions.stats import adf_p_value, t_p_value_udf
 
@@ -169,23 +169,43 @@ def adf_test(series: DataFrame, keys: Sequence[str] = (), min_points: int = 20)
 # ---------------------------------------------------------------- I5
 def diagnostic_labels(series: DataFrame, keys: Sequence[str] = (), min_points: int = 20) -> DataFrame:
     """Trend / stationarity / volatility / autocorrelation / skew labels per key."""
+    from quarry.session import checkpoint_dir
+
     keys = list(keys)
+    checkpoint_dir(series.sparkSession)
+    series = series.checkpoint(eager=True)  # four tests read it: the rows behind it are aggregated once
     tt = trend_test(series, keys, min_points, with_p=True)
     ad = adf_test(series, keys, min_points).select(*keys, "adf_stat", "adf_p")
-    ac = acf(series, keys).select(*keys, "lag1_acf", "max_acf")
-    mo = moments(series, keys)
-    out = tt.join(ad, keys).join(ac, keys).join(mo, keys)
+    out = join_keys(join_keys(tt, ad, keys), _shape(series, keys), keys)
     labels = F.array_compact(F.array(
         F.when(F.col("trend_p") < P_SIGNIFICANT, F.when(F.col("slope") > 0, "significant_uptrend").otherwise("significant_downtrend"))
          .otherwise("no_significant_trend"),
         F.when(F.col("adf_p").isNotNull(), F.when(F.col("adf_p") < P_SIGNIFICANT, "stationary").otherwise("non_stationary")),
+        *_shape_labels(),
+    ))
+    return out.withColumn("labels", labels)
+
+
+def _shape(series: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return join_keys(acf(series, keys).select(*keys, "lag1_acf", "max_acf"), moments(series, keys), keys)
+
+
+def _shape_labels() -> list[Column]:
+    """Labels that need no p-value: volatility, autocorrelation, skew."""
+    return [
         F.when(F.col("cv") > CV_HIGH, "high_volatility").when(F.col("cv") > CV_MID, "moderate_volatility").otherwise("stable"),
         F.when(F.col("lag1_acf").isNotNull(),
                F.when(F.abs("lag1_acf") > ACF_HIGH, "strong_autocorrelation")
                .when(F.abs("lag1_acf") > ACF_MID, "moderate_autocorrelation").otherwise("weak_autocorrelation")),
         F.when(F.abs("skewness") > SKEW_HIGH, "skewed"),
-    ))
-    return out.withColumn("labels", labels)
+    ]
+
+
+def shape_labels(series: DataFrame, keys: Sequence[str] = (), min_points: int = 20) -> DataFrame:
+    """I5, the part without p-values: volatility, autocorrelation and skew labels per key, as one text."""
+    keys = list(keys)
+    out = join_keys(trend_test(series, keys, min_points).select(*keys, "n", "cv"), _shape(series, keys), keys)
+    return out.select(*keys, "n", "cv", "lag1_acf", "skewness", F.array_join(F.array_compact(F.array(*_shape_labels())), ";").alias("labels"))
 
 
 # ---------------------------------------------------------------- I6-I9

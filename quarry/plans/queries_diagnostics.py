@@ -42,9 +42,7 @@ def q_adf_test(spark, sf):
 
 
 LAGS = range(1, 15)
-
-
-@query("acf", f"""
+ACF_SQL = f"""
 , {DSR},
 c AS (SELECT *, value - avg(value) OVER (PARTITION BY region) AS d, count(*) OVER (PARTITION BY region) AS n
       FROM dsr WHERE value IS NOT NULL),
@@ -52,6 +50,10 @@ l AS (SELECT *, {", ".join(f"lag(d, {k}) OVER (PARTITION BY region ORDER BY date
 a AS (SELECT region, max(n) AS n, sum(d * d) AS den, {", ".join(f"sum(d * l{k}) AS c{k}" for k in LAGS)} FROM l GROUP BY region),
 r AS (SELECT region, n, CAST(least(14, floor(n / 3)) AS INTEGER) AS nlags,
              {", ".join(f"CASE WHEN {k} <= least(14, floor(n / 3)) THEN c{k} / nullif(den, 0) END AS r{k}" for k in LAGS)} FROM a)
+"""
+
+
+@query("acf", ACF_SQL + f"""
 SELECT region, n, nlags, CASE WHEN nlags >= 1 THEN r1 END AS lag1_acf,
        greatest({", ".join(f"abs(r{k})" for k in LAGS)}) AS max_acf
 FROM r""", SF)
@@ -59,6 +61,20 @@ def q_acf(spark, sf):
     return D.acf(_dsr(spark, sf), ["region"])
 
 
+@query("shape_labels", ACF_SQL + """,
+s AS (SELECT r.region, r.n, m.cv, CASE WHEN nlags >= 1 THEN r1 END AS lag1_acf, m.skewness
+      FROM r JOIN (SELECT region, stddev_samp(value) / nullif(avg(value), 0) AS cv, avg(d * d * d) / pow(avg(d * d), 1.5) AS skewness
+                   FROM c GROUP BY region) m ON m.region = r.region WHERE r.n >= 20)
+SELECT region, n, cv, lag1_acf, skewness,
+       concat_ws(';', CASE WHEN cv > 0.50 THEN 'high_volatility' WHEN cv > 0.25 THEN 'moderate_volatility' ELSE 'stable' END,
+                 CASE WHEN lag1_acf IS NULL THEN NULL WHEN abs(lag1_acf) > 0.50 THEN 'strong_autocorrelation'
+                      WHEN abs(lag1_acf) > 0.25 THEN 'moderate_autocorrelation' ELSE 'weak_autocorrelation' END,
+                 CASE WHEN abs(skewness) > 1 THEN 'skewed' END) AS labels
+FROM s""", SF)
+def q_shape_labels(spark, sf):
+    return D.shape_labels(_dsr(spark, sf), ["region"])
+
+
 @query("moments", f"""
 , {DSR},
 c AS (SELECT region, value - avg(value) OVER (PARTITION BY region) AS d FROM dsr WHERE value IS NOT NULL)

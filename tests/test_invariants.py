@@ -118,6 +118,18 @@ def test_t_and_adf_tails():
     assert adf_p_value([5.0])[0] == 1.0
 
 
+@pytest.mark.parametrize("t, df, p", [
+    (12.706, 1, 0.05), (4.303, 2, 0.05), (2.228, 10, 0.05), (3.169, 10, 0.01), (1.812, 10, 0.10), (2.042, 30, 0.05), (1.980, 120, 0.05),
+])
+def test_t_tails_agree_with_the_printed_table(t, df, p):
+    assert t_two_sided_p([t], [df])[0] == pytest.approx(p, rel=2e-3)
+
+
+@pytest.mark.parametrize("stat, p", [(-3.43, 0.01), (-2.86, 0.05), (-2.57, 0.10)])
+def test_adf_tails_agree_with_the_printed_critical_values(stat, p):
+    assert adf_p_value([stat])[0] == pytest.approx(p, rel=0.03)
+
+
 def test_adf_separates_stationary_from_random_walk(spark):
     import numpy as np
 
