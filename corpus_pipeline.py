@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm import line_dedup, minhash, mixing, packing, toxicity
 from quarry.llm.queries import vocabulary
 from quarry.session import checkpoint_dir
+from quarry.sources.store import drop_folder
 from quarry.sources.tables import table
 
 
@@ -50,9 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; a stage's table is dropped once the next one is written, the last one stays."""
     folder = f"{checkpoint_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for nth, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{nth}-{name}")
-        docs = spark.read.parquet(f"{folder}/{nth}-{name}")
+        out = f"{folder}/{nth}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
+        if before:
+            drop_folder(spark, before)
+        before = out
     return docs
