@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,12 +20,15 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 # Documents are cut into slices of about this many bytes before numpy work, so
 # temporaries stay a few tens of MB whatever the Arrow batch holds.
 SLICE_BYTES = 1 << 20
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def prepare(spark: SparkSession) -> None:
     """Register the shared checkpoint folder and make the package importable by Python workers."""
     checkpoint_dir(spark)
     ship_package(spark)
+    if spark.conf.get(ARROW_ROWS) == "10000":  # Spark's own value: whole texts make such batches large
+        spark.conf.set(ARROW_ROWS, "4000")
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -32,6 +37,31 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release() -> None:
+    """Give freed memory back to the system; glibc would keep it for as long as the Python worker lives."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to trim
+
+
+def tidy(work):
+    """``work`` (of one argument, a generator or not) with :func:`release` after it."""
+    def wrapped(given):
+        out = work(given)
+        if inspect.isgenerator(out):
+            return _drained(out)
+        release()
+        return out
+
+    return wrapped
+
+
+def _drained(out: Iterator) -> Iterator:
+    yield from out
+    release()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

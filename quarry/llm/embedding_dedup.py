@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm._common import components, materialise, prepare
+from quarry.llm._common import components, materialise, prepare, tidy
 
 SAMPLE = 20_000              # vectors that centroids and codebooks are trained on, at most
 LIST_ROWS = 256              # wished rows of a list
@@ -98,6 +98,7 @@ def _entries(q: Quantiser, radius: float, kind: str):
     gap = np.sqrt(_square_distances(q.centroids, q.centroids))
     slack = radius * min(1.0, BORDER / np.sqrt(q.centroids.shape[1]))
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 1024):
@@ -139,6 +140,7 @@ def _local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _search(q: Quantiser, threshold: float, radius: float, kind: str):
+    @tidy
     def run(g: pd.DataFrame) -> pd.DataFrame:
         role, node, copies = g["role"].to_numpy(), g["node"].to_numpy(), g["copies"].to_numpy()
         indexed, asked = np.flatnonzero(role & 1), np.flatnonzero(role & 2)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import prepare, spread
+from quarry.llm._common import prepare, spread, tidy
 from quarry.llm._ngrams import ngrams, slices
 
 SIZES = (1, 2, 3)
@@ -40,6 +40,7 @@ def count_ngrams(docs: DataFrame, langs: Sequence[str]) -> DataFrame:
     """(lang, bucket, n, texts) of the rows' texts; columns ``text`` and ``lang`` are read."""
     place = {name: i for i, name in enumerate(langs)}
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((len(langs), 1 << BITS), np.int64)
         texts = np.zeros(len(langs), np.int64)
@@ -102,6 +103,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     shared = spark.sparkContext.broadcast(fit(rows.where(fold("doc_id", folds) != held_out)))
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             names, score = predict_texts(shared.value, b["text"].fillna("").tolist())

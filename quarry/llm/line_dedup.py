@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm._common import (
-    Rolling, components, in_bitmap, materialise, membership_bitmap, mix64, partitions, prepare, signed, spread, text_slices,
+    Rolling, components, in_bitmap, materialise, membership_bitmap, mix64, partitions, prepare, signed, spread, text_slices, tidy,
 )
 
 EDITS = 2
@@ -78,6 +78,7 @@ class Lines:
         self.hash = signed(self.roll.of(self.start, self.end))
 
 
+@tidy
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in text_slices(batch.column(2)):
@@ -111,6 +112,7 @@ def signatures(x: Lines, rows: np.ndarray, edits: int = EDITS, min_chars: int =
 
 
 def _signature_rows(edits: int, min_chars: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()                                # lines this task has sent already, a bounded memory of them
         for batch in batches:
@@ -132,6 +134,7 @@ def _signature_rows(edits: int, min_chars: int):
 MEET_SCHEMA = "key long, a long, b long, role int"
 
 
+@tidy
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key -> pairs (a, b, role 0) that meet on a segment; rows (a, role) of segments with many lines."""
     empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8))
@@ -221,6 +224,7 @@ def within_edits(a: np.ndarray, b: np.ndarray, edits: int) -> bool:
 
 
 def _line_texts(bitmap):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
@@ -236,6 +240,7 @@ def _line_texts(bitmap):
 
 def _crowd_links(edits: int):
     """One group: per segment, the lines of block i against those of block j -> links that join lines not joined yet."""
+    @tidy
     def run(g: pd.DataFrame) -> pd.DataFrame:
         out_a, out_b = [], []
         for _, rows in g.groupby("key", sort=False):

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import materialise, mix64, partitions, prepare, spread, text_slices, words
+from quarry.llm._common import materialise, mix64, partitions, prepare, spread, text_slices, tidy, words
 
 CHUNK_TOKENS = 1_000_000
 SPARE_BITS = 21              # bits of an n-gram key beyond the logarithm of the corpus: about one key in 2**SPARE_BITS meets another
@@ -65,6 +65,7 @@ def _unpack(raw: bytes, delta: bool = False) -> np.ndarray:
 CHUNK_SCHEMA = "chunk long, ids array<long>, held_out array<boolean>, n_words array<int>, vocabulary binary, tokens binary"
 
 
+@tidy
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, nth = TaskContext.get().partitionId(), 0
     ids, held, hashes, sizes, n = [], [], [], [], 0
@@ -128,6 +129,7 @@ def _grams(n_words: np.ndarray, held_out: np.ndarray, vocabulary: bytes, tokens:
 
 def _ask(parts: int, bits: int):
     """Chunk -> one row per hash range: its keys in order with their training counts."""
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
@@ -146,6 +148,7 @@ def _ask(parts: int, bits: int):
 ANSWER_SCHEMA = "part int, chunk long, uni binary, bi binary, tokens long, types long"
 
 
+@tidy
 def _answer(g: pd.DataFrame) -> pd.DataFrame:
     """One hash range: add up all chunks' counts and answer each chunk; the row of chunk -1 has the totals."""
     out: dict[str, list] = {"part": g["part"].tolist(), "chunk": g["chunk"].tolist()}
@@ -203,6 +206,7 @@ def _cell(x: np.ndarray) -> np.ndarray:
 
 def _held_out_histogram(totals: Totals):
     """Training tokens by (bucket of the context, cell of the bigram estimate, cell of the token's count), own occurrence deleted."""
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples():
@@ -234,6 +238,7 @@ def mixture_weights(histogram: pd.DataFrame, totals: Totals, rounds: int = EM_RO
 
 
 def _score_rows(totals: Totals, weights: np.ndarray):
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples():

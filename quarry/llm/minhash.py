@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm._common import (
-    components, in_bitmap, materialise, membership_bitmap, mix64, odd_constants, partitions, prepare, signed, spread, text_slices, words,
+    components, in_bitmap, materialise, membership_bitmap, mix64, odd_constants, partitions, prepare, signed, spread, text_slices, tidy, words,
 )
 
 SHINGLE = 5
@@ -150,6 +150,7 @@ def fingerprints(h: np.ndarray, first: np.ndarray) -> list[pa.Array]:
 
 
 def _sketch_rows(shingle: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(1)):
@@ -165,6 +166,7 @@ def _sketch_rows(shingle: int):
 
 def _set_rows(shingle: int, bitmap):
     """Full shingle sets of the rows whose id may be wanted (bitmap over ids)."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
@@ -203,6 +205,7 @@ def _links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
 
 def _cells(percent: int):
     """One group: per lead, strays (role 1 or 3) against members (role 2 or 3) of other parts, on full sets -> links that join parts."""
+    @tidy
     def run(g: pd.DataFrame) -> pd.DataFrame:
         out_a, out_b = [], []
         for _, rows in g.groupby("lead", sort=False):
@@ -318,6 +321,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _nameless_sets(texts: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
     wanted = members.where(F.col("node") >= NO_ID).select("node").distinct()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(1)):

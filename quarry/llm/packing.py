@@ -26,12 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import materialise, prepare, salted_rank, spread, text_slices, words
+from quarry.llm._common import materialise, prepare, salted_rank, spread, text_slices, tidy, words
 
 SEQ_LEN = 4096
 END_ID = 2
 CACHE_WORDS = 400_000    # distinct words whose ids a Python worker remembers
-SLICE_BYTES = 2 << 20    # documents are tokenised in slices of about this many bytes
+SLICE_BYTES = 1 << 20    # documents are tokenised in slices of about this many bytes
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -144,6 +144,7 @@ _TOKENIZERS: dict[tuple[str, int], WordTokenizer] = {}
 
 
 def _pieces(vocabulary: str, seq_len: int, end_id: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _TOKENIZERS.get((vocabulary, end_id))
         if tok is None:

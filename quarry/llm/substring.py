@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import Rolling, materialise, membership_bitmap, prepare, rows_in_bitmap, signed, spread, text_slices, words
+from quarry.llm._common import Rolling, materialise, membership_bitmap, prepare, rows_in_bitmap, signed, spread, text_slices, tidy, words
 from quarry.llm._fm_index import FMIndex, RangeMin
 
 WINDOW = 50
@@ -74,6 +74,7 @@ def _passages(hashes: np.ndarray, first: np.ndarray, window: int, gram: int):
 
 
 def _passage_rows(window: int, gram: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(2)):
@@ -87,6 +88,7 @@ def _passage_rows(window: int, gram: int):
     return run
 
 
+@tidy
 def _passage_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word hashes of the wanted passages (columns text, wanted: structs of key, whole, first, start, last)."""
     for batch in batches:
@@ -110,6 +112,7 @@ def _search(window: int):
     empty = pd.DataFrame({"key": pd.Series(dtype="int64"), "whole": pd.Series(dtype="int64"), "lo": pd.Series(dtype="int32"),
                           "hi": pd.Series(dtype="int32"), "lowest": pd.Series(dtype="int64")})
 
+    @tidy
     def run(g: pd.DataFrame) -> pd.DataFrame:
         role = g["role"].to_numpy()
         indexed, asked = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
@@ -154,6 +157,7 @@ def _search(window: int):
     return run
 
 
+@tidy
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n_words, n_removed and the digest of the kept words (columns doc_id, text, spans: structs of lo, hi)."""
     for batch in batches:

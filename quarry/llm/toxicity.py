@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import prepare, spread
+from quarry.llm._common import prepare, spread, tidy
 from quarry.llm._ngrams import ngrams, slices
 
 SIZES = (3, 4, 5, 6)
@@ -128,6 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         known.where("_y = 0").orderBy(*order).limit(SAMPLE_NEGATIVE))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
 
+    @tidy
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.fillna({"_t": ""}).sort_values(["_id", "_y", "_t"])
         model = train(rows["_t"].tolist(), rows["_y"].tolist())
@@ -144,6 +145,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = spark.sparkContext.broadcast(model)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": score_texts(shared.value, b["text"].fillna("").tolist())})
