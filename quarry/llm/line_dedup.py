@@ -320,7 +320,9 @@ def removed_lines(texts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
             "d", "t", "pos", F.coalesce("root", "h").alias("line"), F.when(F.col("root").isNull(), F.col("g")).otherwise(F.lit(0)).alias("g"))
     else:
         places = places.withColumnRenamed("h", "line")
-    first = places.groupBy("line", "g").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written first, so that the join has plain exchanges on both sides, whose skewed parts Spark can split
+    first = materialise(places.groupBy("line", "g").agg(
+        F.min(F.struct("d", "t", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     gone = places.join(first, ["line", "g"]).where(F.struct("d", "t", "pos") != F.col("first"))
     return gone.groupBy("d", "t").agg(F.collect_set("pos").alias("removed"))
 
