@@ -253,7 +253,7 @@ def _stray_links(groups: DataFrame, sets: DataFrame, percent: int, parts: int) -
     count = groups.groupBy("lead", "part").agg(F.count(F.lit(1)).alias("c"))
     open_ = count.groupBy("lead").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")).where("all > most")
     blocks = open_.select("lead", "main", F.ceil((F.col("all") - F.col("most")) / CELL_NODES).cast("int").alias("na"), F.ceil(F.col("all") / CELL_NODES).cast("int").alias("nb"))
-    rows = groups.join(blocks, "lead")
+    rows = groups.join(materialise(blocks), "lead")   # written first: Spark can split a skewed lead in a join of plain exchanges
     place = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
     entry = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), role.alias("role"))
     stray, small = F.col("part") != F.col("main"), (F.col("na") == 1) & (F.col("nb") == 1)
@@ -284,7 +284,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", i * width + 1, width)) for i in range(bands)])
     banded = classes.select("node", F.explode(keys).alias("key"))
     crowded = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("n0"), F.max("node").alias("n1")).where("n0 < n1").select("key", "c")
-    members = materialise(banded.join(crowded, "key"))
+    members = materialise(banded.join(materialise(crowded), "key"))
     weight = members.groupBy("node").agg(F.sum("c").alias("w"))
     led = members.join(weight, "node")
     leads = led.groupBy("key").agg(F.max(F.struct("w", (-F.col("node")).alias("m"))).alias("l")).select("key", F.col("l.w").alias("lw"), (-F.col("l.m")).alias("lead"))
