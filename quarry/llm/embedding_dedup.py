@@ -5,16 +5,15 @@ coarse centroids; an inverted list holds their residuals as one code per
 subspace, together with the length of what the codes miss.  Centroids and
 codebooks are trained on a bounded sample, every vector is indexed.
 
-The probes follow the borders of the lists' cells: a linked vector in another
-list lies on the other side of the border between the two centroids, so the
-query is near that border.  It can be as far as the link radius, if the two
-differ exactly along the line of the centroids; a difference in any other
-direction has a part of it along that line, about 1 / sqrt(dimensions) of its
-length.  Lists whose border lies within BORDER / sqrt(dimensions) of the radius
-are searched (all within the radius up to BORDER**2 dimensions), which loses
-about one pair in ten thousand of those near a border.  A pair is dropped by
-its table-lookup distance only if the distance, less what the codes miss,
-exceeds the radius, and links are confirmed by cosine in double precision.
+The probes are sufficient: the distances of two vectors of different lists to
+the border between the two centroids add up along the line of the centroids,
+so for a linked pair they add up to no more than the link radius, and the
+nearer of the two lies within half of it.  Each vector therefore asks every
+list, lower or higher, whose border lies within half the link radius; a pair
+that both sides find is counted in the lower list.  A pair is dropped by its
+table-lookup distance only if the distance, less what the codes miss, exceeds
+the radius, and links are confirmed by cosine in double precision.  So the
+search loses no link up to rounding, whatever the vectors' directions.
 
 A list's rows are cut into index parts and query parts and every pair of
 parts is one group, so a hot list spreads over many tasks; a group returns one
@@ -49,7 +48,6 @@ CODES = 64
 INDEX_PART = 2048            # rows of a list's index part and query part in one group
 QUERY_PART = 8192
 ROUNDS = 8
-BORDER = 4.0
 NO_ID = 1 << 62
 
 
@@ -90,13 +88,13 @@ def train(sample: np.ndarray, total: int, seed: int = 9) -> Quantiser:
     return Quantiser(centroids, [_k_means(rest[:, s], CODES, ROUNDS, rng) for s in cuts], cuts)
 
 
-ENTRY = "list int, role int, node long, copies long, code binary, missed double, vector binary"
+ENTRY = "list int, own int, role int, node long, copies long, code binary, missed double, lower binary, vector binary"
 
 
 def _entries(q: Quantiser, radius: float, kind: str):
     """Vectors -> one entry in their own list (role 3) and one query entry (role 2) per further list to search."""
     gap = np.sqrt(_square_distances(q.centroids, q.centroids))
-    slack = radius * min(1.0, BORDER / np.sqrt(q.centroids.shape[1]))
+    cells = np.arange(len(q.centroids))[None, :]
 
     @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,18 +109,19 @@ def _entries(q: Quantiser, radius: float, kind: str):
                 code = np.stack([_square_distances(rest[:, s], book).argmin(1) for s, book in zip(q.cuts, q.books)], 1).astype(np.uint8)
                 decoded = np.concatenate([book[code[:, m]] for m, book in enumerate(q.books)], 1)
                 missed = np.sqrt(((rest - decoded) ** 2).sum(1))
-                # distance to the border with another cell is (d2 - nearest) / (2 gap); a pair is searched from its lower list
-                reach = d2 - nearest[:, None] <= 2 * slack * gap[own] + 1e-9
+                # distance to the border with another cell is (d2 - nearest) / (2 gap); of a linked pair one is within radius / 2
+                reach = d2 - nearest[:, None] <= (radius + 1e-6) * gap[own] + 1e-9
                 reach[np.arange(len(x)), own] = True
-                reach &= np.arange(len(q.centroids))[None, :] >= own[:, None]
+                lower = [np.flatnonzero(r).astype("<u2").tobytes() for r in reach & (cells < own[:, None])]
                 row, cell = np.nonzero(reach)
                 home = cell == own[row]
                 raw = [np.asarray(v, kind).tobytes() for v in part["embedding"]]
                 codes = [v.tobytes() for v in code]
                 yield pd.DataFrame({
-                    "list": cell.astype(np.int32), "role": np.where(home, 3, 2).astype(np.int32),
+                    "list": cell.astype(np.int32), "own": own[row].astype(np.int32), "role": np.where(home, 3, 2).astype(np.int32),
                     "node": part["node"].to_numpy()[row], "copies": part["copies"].to_numpy()[row],
-                    "code": [codes[r] if h else b"" for r, h in zip(row, home)], "missed": missed[row], "vector": [raw[r] for r in row]})
+                    "code": [codes[r] if h else b"" for r, h in zip(row, home)], "missed": missed[row],
+                    "lower": [lower[r] if h else b"" for r, h in zip(row, home)], "vector": [raw[r] for r in row]})
     return run
 
 
@@ -149,8 +148,11 @@ def _search(q: Quantiser, threshold: float, radius: float, kind: str):
             x = unit_rows(np.frombuffer(b"".join(g["vector"]), kind).reshape(len(g), -1))
             code = np.frombuffer(b"".join(g["code"].to_numpy()[indexed]), np.uint8).reshape(len(indexed), -1)
             limit = radius + g["missed"].to_numpy()[indexed] + 1e-6
-            home = g["home"].to_numpy()
-            centre = q.centroids[int(g["list"].iloc[0])]
+            home, own = g["home"].to_numpy(), g["own"].to_numpy().astype(np.int64)
+            here, lists = int(g["list"].iloc[0]), len(q.centroids)
+            centre = q.centroids[here]
+            asks = [np.frombuffer(v, "<u2") for v in g["lower"].to_numpy()[indexed]]      # lower lists that each indexed vector asks itself
+            asks = np.repeat(indexed, [len(v) for v in asks]) * lists + np.concatenate(asks)
             for at in range(0, len(asked), 256):
                 rows = asked[at: at + 256]
                 rest = x[rows] - centre
@@ -163,6 +165,8 @@ def _search(q: Quantiser, threshold: float, radius: float, kind: str):
                 i, j = np.nonzero(near)
                 i, j = rows[i], indexed[j]
                 ok = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
+                i, j = i[ok], j[ok]
+                ok = (own[i] >= here) | ~np.isin(j * lists + own[i], asks)               # else the lower list counts it
                 found_q.append(i[ok])
                 found_x.append(j[ok])
         if not sum(map(len, found_q)):
@@ -197,7 +201,7 @@ def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
     dealt = entries.join(sizes, "list").withColumn(
         "cell", F.explode(F.when(F.col("role") == 3, F.concat(as_index, as_query)).otherwise(as_query))).where("cell.as > 0")
     dealt = dealt.select("list", "cell.a", "cell.b", F.col("cell.as").alias("role"), (F.col("role") == 3).alias("home"),
-                         "node", "copies", "code", "missed", "vector")
+                         "own", "node", "copies", "code", "missed", "lower", "vector")
     return dealt.groupBy("list", "a", "b").applyInPandas(lambda g: _search(shared.value, threshold, radius, kind)(g), "node long, links long, lead long")
 
 

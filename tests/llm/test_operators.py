@@ -294,6 +294,20 @@ def test_embedding_dedup(spark, monkeypatch, parts):
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim, inner", [(256, 8), (64, 64)])
+def test_embedding_dedup_of_vectors_near_a_small_subspace(spark, monkeypatch, dim, inner):
+    monkeypatch.setattr(embedding_dedup, "LIST_ROWS", 40)
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((500, inner))
+    x = np.repeat(base, 4, axis=0) + rng.standard_normal((2000, inner)) * 0.15
+    x = (x @ rng.standard_normal((inner, dim)) + rng.standard_normal((2000, dim)) * 0.01).astype(np.float32)
+    links, comp = brute_links(x, 0.95)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(df).collect()}
+    assert links.sum() > 2000 and [got[i]["n_links"] for i in range(2000)] == links.tolist()
+    assert [got[i]["component_id"] for i in range(2000)] == comp
+
+
 # ---------------------------------------------------------------- 6
 
 
