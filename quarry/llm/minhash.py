@@ -228,8 +228,8 @@ def _cells(percent: int):
             mark = np.zeros(len(every), np.int32)
             for i in asked.tolist():
                 at = np.searchsorted(every, sets[i])
-                at = at[at < len(every)]
-                own = at[np.isin(every[at], sets[i], assume_unique=True)]
+                inside = at < len(every)
+                own = at[inside][every[at[inside]] == sets[i][inside]]
                 mark[own] = 1
                 shared = np.add.reduceat(mark[code], begin)
                 mark[own] = 0

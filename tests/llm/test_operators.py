@@ -403,6 +403,22 @@ def test_minhash_of_many_near_copies_in_small_blocks(spark, monkeypatch):
     assert sorted(str(r["component_id"]) for r in got if r["doc_id"] is None) == sorted([str(want[7][1]), "None"])
 
 
+def test_minhash_of_strays_just_below_the_threshold_in_a_group_of_several_blocks(spark):
+    rng = random.Random(8)
+    base = [f"v{i}" for i in range(3000)]
+    docs = {i: " ".join([*base, f"end{i}"]) for i in range(minhash.CELL_NODES + 24)}
+    strays = range(1000, 1004)
+    for i in strays:
+        copy = base.copy()
+        for k in rng.sample(range(1, 299), 49):              # 49 single words, 5 shingles each
+            copy[10 * k] = f"z{i}_{k}"
+        docs[i] = " ".join([*copy, f"end{i}"])
+    sets = {i: brute.shingles(t) for i, t in docs.items()}
+    assert not any(100 * len(sets[i] & s) >= 85 * len(sets[i] | s) for i in strays for j, s in sets.items() if i != j)
+    got = by_id(minhash.near_dedup(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3), percent=85))
+    assert {i: r["component_id"] for i, r in got.items()} == {i: i if i in strays else 0 for i in docs}
+
+
 def test_registers_order_like_the_hashes_and_estimates_are_near():
     v = np.sort(common.mix64(np.arange(1, 5000, dtype=np.uint64)))
     r = minhash._register(v)
