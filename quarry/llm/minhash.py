@@ -39,7 +39,8 @@ from quarry.llm._common import (
 
 SHINGLE = 5
 REGISTERS = 120
-BANDS = 20
+BANDS = 20                   # at least
+BAND_LOSS = 1e-4             # largest chance that a pair at the threshold shares no band
 MANTISSA_BITS = 10
 MARGIN = 5.0                 # standard errors below the threshold that an estimate may lie
 CELL_NODES = 256             # classes of one side of a comparison block
@@ -181,6 +182,14 @@ def _set_rows(shingle: int, bitmap):
     return run
 
 
+def bands_for(percent: int, registers: int = REGISTERS) -> int:
+    """Fewest bands (a divisor of ``registers``, BANDS or more) that a pair at ``percent`` fails to share with a chance of BAND_LOSS at most."""
+    for bands in range(min(BANDS, registers), registers):
+        if registers % bands == 0 and (1 - (percent / 100) ** (registers // bands)) ** bands <= BAND_LOSS:
+            return bands
+    return registers
+
+
 @F.pandas_udf(T.BooleanType())
 def _may_link(sketch_a: pd.Series, sketch_b: pd.Series, n_a: pd.Series, n_b: pd.Series, percent: pd.Series) -> pd.Series:
     a = np.frombuffer(b"".join(sketch_a), np.uint16).reshape(len(sketch_a), -1)
@@ -267,9 +276,10 @@ def _stray_links(groups: DataFrame, sets: DataFrame, percent: int, parts: int) -
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80,
-               shingle: int = SHINGLE, bands: int = BANDS) -> DataFrame:
+               shingle: int = SHINGLE, bands: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents linked at ``percent`` Jaccard similarity or more."""
     spark = docs.sparkSession
+    bands = bands or bands_for(percent)
     prepare(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = materialise(spread(texts).mapInArrow(_sketch_rows(shingle), "doc_id long, n long, f1 long, f2 long, sketch binary"))

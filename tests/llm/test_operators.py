@@ -419,6 +419,20 @@ def test_minhash_of_strays_just_below_the_threshold_in_a_group_of_several_blocks
     assert {i: r["component_id"] for i, r in got.items()} == {i: i if i in strays else 0 for i in docs}
 
 
+def test_minhash_finds_pairs_at_80_percent(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(1500):
+        text = [f"{rng.randrange(10**6)}" for _ in range(184)]         # 180 shingles, 4 words changed: 160 of 200 shared
+        copy = text.copy()
+        for k in (20, 60, 100, 140):
+            copy[k] = f"c{i}"
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(copy))]
+    got = by_id(minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), percent=80))
+    assert [i for i in range(3000) if got[i]["component_id"] != i - i % 2] == []
+    assert [minhash.bands_for(p) for p in (80, 85)] == [24, 20]
+
+
 def test_registers_order_like_the_hashes_and_estimates_are_near():
     v = np.sort(common.mix64(np.arange(1, 5000, dtype=np.uint64)))
     r = minhash._register(v)
