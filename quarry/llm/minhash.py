@@ -344,10 +344,31 @@ def _nameless_sets(texts: DataFrame, members: DataFrame, shingle: int) -> DataFr
     return own.select(node.alias("node"), "shingles").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
+def _own_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with ``_node``: the id, and a new id above all others for each further text of an id (by the order of text hashes)."""
+    rows = docs.withColumns({"_node": F.col(id_col).cast("long"), "_text": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    texts = rows.where("_node IS NOT NULL").select("_node", "_text").distinct()
+    several = texts.groupBy("_node").agg(F.min("_text").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    more = materialise(texts.join(materialise(several), "_node").where("_text <> first").select("_node", "_text"))
+    if more.isEmpty():
+        return rows.drop("_text")
+    above = rows.agg(F.max("_node")).first()[0] + 1
+    more = more.repartition(partitions(docs.sparkSession), "_node", "_text").sortWithinPartitions("_node", "_text")
+    more = materialise(more.withColumn("_new", F.lit(above) + F.monotonically_increasing_id()))
+    return rows.join(more, ["_node", "_text"], "left").withColumn("_node", F.coalesce("_new", "_node")).drop("_text", "_new")
+
+
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, one row per id; columns unchanged."""
-    found = near_dedup(docs, id_col, text_col, percent)
-    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).where("_dropped IS NOT NULL").distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    kept = named.join(dropped, named[id_col] == F.col("_dropped"), "left_anti").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """One row per component, and rows without an id; columns unchanged.
+
+    Different texts that share an id stand for themselves; of rows that share
+    id and text one stays, by the order of the hash of the whole row.
+    """
+    prepare(docs.sparkSession)
+    rows = _own_ids(docs, id_col, text_col)
+    found = near_dedup(rows, "_node", text_col, percent)
+    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("_node")).where("_node IS NOT NULL").distinct()
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = rows.where("_node IS NOT NULL").join(dropped, "_node", "left_anti").groupBy("_node").agg(
+        F.min_by(whole, F.xxhash64(whole)).alias("_row")).select("_row.*")
+    return kept.unionByName(rows.where("_node IS NULL").select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -433,6 +433,23 @@ def test_minhash_finds_pairs_at_80_percent(spark):
     assert [minhash.bands_for(p) for p in (80, 85)] == [24, 20]
 
 
+def test_one_row_per_group_keeps_every_text_of_an_id(spark):
+    rng = random.Random(5)
+    text = [" ".join(words(rng, 60, 5000)) for _ in range(4)]
+    rows = [(7, text[0], "a"), (7, text[1], "b"), (7, text[1], "c"), (7, text[2] + " end", "d"), (9, text[2], "e"), (9, text[3], "f"),
+            (8, None, "g"), (None, text[3], "h"), (7, text[0], "a")]
+    seen = set()
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, more string")
+        out = minhash.one_per_group(df.repartition(3))
+        assert out.dtypes == df.dtypes
+        got = out.collect()
+        seen.add(frozenset(map(tuple, got)))
+        named = Counter((r["text"] or "").removesuffix(" end") for r in got if r["doc_id"] is not None)
+        assert named == Counter([*text, ""]) and [r["more"] for r in got if r["doc_id"] is None] == ["h"]
+    assert len(seen) == 1
+
+
 def test_registers_order_like_the_hashes_and_estimates_are_near():
     v = np.sort(common.mix64(np.arange(1, 5000, dtype=np.uint64)))
     r = minhash._register(v)
