@@ -1,16 +1,19 @@
 """Line dedup by a segment-partition edit join.
 
 A line is compared without the white space at its ends.  Equal lines are one
-node (64-bit hashes of the whole and of its first half).  Lines of at least MIN_CHARS characters are cut into
-EDITS + 1 segments; two lines within EDITS edits share at least one segment,
-near its place, and their lengths differ by EDITS at most.  So every line is
+node (64-bit hashes of the whole and of its first half).  Two lines are linked
+within EDITS edits if both have MIN_CHARS characters or more; below that the
+allowed edits follow the length of the shorter one (one edit in MIN_CHARS /
+EDITS characters, so with 2 and 40 one edit from 20 characters on).  Lines are
+cut into a segment more than the edits; two lines within them share at least one
+segment, near its place, and their lengths differ by the edits at most.  So every line is
 indexed by its segments and probes the segments of the lengths it can match,
 at the shifts that the multi-match rule leaves.  Lines that meet on a segment
 are verified by a banded bit-parallel edit distance.  Of the lines of a linked
 group the first one, by document id and place, stays everywhere else it goes.
 
-Defined cases: null text counts as empty; blank lines always stay; shorter
-lines are duplicates only if equal; rows that share id and text are one
+Defined cases: null text counts as empty; blank lines always stay; lines
+too short for an edit are duplicates only if equal; rows that share id and text are one
 document and keep the same lines; rows without an id come last; a text whose
 lines all go becomes empty, its row stays; an empty table gives an empty
 result.  Documents keep all their columns.
@@ -90,13 +93,30 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["d", "t", "pos", "h", "g"])
 
 
+def allowed_edits(size, edits: int = EDITS, min_chars: int = MIN_CHARS):
+    """Edits allowed between two lines, by the length of the shorter one."""
+    return np.minimum(edits, edits * size // max(min_chars, 1))
+
+
+def _levels(edits: int, min_chars: int) -> list[tuple[int, int, int]]:
+    """(edits, least length, length that it ends before) of the lengths that allow an edit."""
+    least = [-(-e * min_chars // max(edits, 1)) for e in range(edits + 1)] + [LAST]
+    return [(e, least[e], least[e + 1]) for e in range(1, edits + 1)]
+
+
 def signatures(x: Lines, rows: np.ndarray, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segment key, row, role) of the lines ``rows``: role 1 indexes a line under a segment of its own length, 2 looks one up, 3 does both."""
+    """(segment key, row, role) of the lines ``rows``, by the edits that the length of the indexed line allows."""
+    parts = [_level_signatures(x, rows, *level) for level in _levels(edits, min_chars)]
+    return tuple(np.concatenate(p) for p in zip(*parts))
+
+
+def _level_signatures(x: Lines, rows: np.ndarray, edits: int, least: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment key, row, role) for indexed lines of ``least`` to ``end`` - 1 characters: role 1 indexes a line under a segment of its own length, 2 looks one up, 3 does both."""
     start, size = x.start[rows], x.end[rows] - x.start[rows]
     keys, owners, roles = [], [], []
     for shorter in range(edits + 1):
         length = size - shorter                                   # of the indexed line
-        fits = length >= min_chars
+        fits = (length >= least) & (length < end)
         for i in range(edits + 1):
             q = length // (edits + 1) + (i >= edits + 1 - length % (edits + 1))
             p = i * (length // (edits + 1)) + np.maximum(i - (edits + 1 - length % (edits + 1)), 0)
@@ -112,6 +132,8 @@ def signatures(x: Lines, rows: np.ndarray, edits: int = EDITS, min_chars: int =
 
 
 def _signature_rows(edits: int, min_chars: int):
+    shortest = min((least for _, least, _ in _levels(edits, min_chars)), default=LAST)
+
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()                                # lines this task has sent already, a bounded memory of them
@@ -119,7 +141,7 @@ def _signature_rows(edits: int, min_chars: int):
             for _, _, data, offsets in text_slices(batch.column(0)):
                 x = Lines(data, offsets)
                 rows = np.unique(x.hash, return_index=True)[1]
-                rows = rows[x.end[rows] - x.start[rows] >= min_chars]
+                rows = rows[x.end[rows] - x.start[rows] >= shortest]
                 fresh = [h not in seen for h in x.hash[rows].tolist()]
                 rows = rows[np.array(fresh, bool)]
                 if len(seen) > SEEN_LINES:
@@ -238,7 +260,7 @@ def _line_texts(bitmap):
     return run
 
 
-def _crowd_links(edits: int):
+def _crowd_links(edits: int, min_chars: int):
     """One group: per segment, the lines of block i against those of block j -> links that join lines not joined yet."""
     @tidy
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -247,6 +269,7 @@ def _crowd_links(edits: int):
             h, role, side = (rows[c].to_numpy() for c in ("a", "role", "side"))
             lines = [np.frombuffer(x, "<u4") for x in rows["line"]]
             size = np.array([len(x) for x in lines])
+            most = allowed_edits(size, edits, min_chars).tolist()
             root = {x: x for x in h.tolist()}
 
             def find(x: int) -> int:
@@ -262,7 +285,7 @@ def _crowd_links(edits: int):
                     near = near[h[near] > h[i]]
                 for j in near.tolist():
                     p, q = find(int(h[i])), find(int(h[j]))
-                    if p != q and within_edits(lines[i], lines[j], edits):
+                    if p != q and within_edits(lines[i], lines[j], min(most[i], most[j])):
                         root[max(p, q)] = min(p, q)
                         out_a.append(h[i])
                         out_b.append(h[j])
@@ -271,7 +294,7 @@ def _crowd_links(edits: int):
 
 
 def near_lines(texts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame | None:
-    """(h, root): groups of different lines within ``edits`` edits, directly or over others; None if there are none."""
+    """(h, root): groups of different lines within the allowed edits, directly or over others; None if there are none."""
     spark = texts.sparkSession
     parts = partitions(spark)
     dealt = spread(texts.select("text")).mapInArrow(_signature_rows(edits, min_chars), "key long, h long, role byte")
@@ -285,7 +308,8 @@ def near_lines(texts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ok = [within_edits(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), edits) for x, y in zip(b["line_a"], b["line_b"])]
+            ok = [within_edits(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), int(allowed_edits(min(len(x), len(y)) // 4, edits, min_chars)))
+                  for x, y in zip(b["line_a"], b["line_b"])]
             yield b.loc[ok, ["a", "b"]]
 
     both = pairs.join(content.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a").join(
@@ -301,7 +325,7 @@ def near_lines(texts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     group = F.when(F.col("n") == 1, F.pmod(F.xxhash64("key"), F.lit(4 * parts))).otherwise(F.xxhash64("key", "e.i", "e.j"))
     cell_rows = spread_out.select(group.alias("cell"), "key", "a", "role", F.col("e.side").alias("side")).join(
         content.withColumnRenamed("h", "a"), "a")
-    links = links.unionByName(cell_rows.groupBy("cell").applyInPandas(_crowd_links(edits), "a long, b long"))
+    links = links.unionByName(cell_rows.groupBy("cell").applyInPandas(_crowd_links(edits, min_chars), "a long, b long"))
     links = materialise(links)
     return None if links.isEmpty() else components(links, "a", "b").select(F.col("node").alias("h"), "root")
 

@@ -240,6 +240,32 @@ def test_line_dedup_of_repeated_and_nameless_rows(spark):
     assert sum(t.split("\n").count("d") for (i, t), n in texts.items() if i is None) == 1
 
 
+@pytest.mark.parametrize("crowd", [8, 1])
+def test_line_dedup_of_short_lines(spark, monkeypatch, crowd):
+    monkeypatch.setattr(line_dedup, "DIRECT_ROWS", crowd)
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", 256 if crowd > 1 else 4)
+    rng = random.Random(3)
+    lines = ["Share this article on Facebook!", "Share this article on Facebook", "Share this article on Facebook..", "Yes.", "Yes"]
+    for n in [18, 19, 20, 21, 25, 33, 38, 39, 40, 41, 42, 60]:
+        base = [rng.choice("abcdefgh ") for _ in range(n - 2)]
+        for _ in range(12):
+            x = base.copy()
+            for _ in range(rng.randint(0, 3)):
+                k = rng.randrange(len(x))
+                x[k: k + rng.randint(0, 1)] = rng.choice(["", "z", "y"])
+            lines.append("<" + "".join(x) + ">")
+    lines = list(dict.fromkeys(lines))
+    g = brute.Groups()
+    for n, x in enumerate(lines):
+        for m in range(n):
+            size = min(len(x), len(lines[m]))
+            if brute.edit_distance(x, lines[m]) <= (2 if size >= 40 else 1 if size >= 20 else 0):
+                g.join(n, m)
+    got = by_id(line_dedup.line_digest(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)))
+    assert {i: r["n_removed"] for i, r in got.items()} == {i: int(g.find(i) != i) for i in range(len(lines))}
+    assert [got[i]["n_removed"] for i in range(5)] == [0, 1, 0, 0, 0]
+
+
 def test_within_edits():
     rng = random.Random(8)
     for _ in range(3000):
