@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import embedding_dedup, exact_dedup, langid, line_dedup, lm, minhash, mixing, packing, substring, toxicity
+from quarry.llm import (
+    centroid_clustering, embedding_dedup, exact_dedup, langid, line_dedup, lm, minhash, mixing, packing, quality, substring,
+    toxicity, vector_codes,
+)
 from quarry.sources.tables import table
 
 QUERIES: dict = {}
@@ -76,3 +79,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_substring_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op11_quality")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_vector_codes", vector_codes.ORACLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_centroid_clustering", centroid_clustering.ORACLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.cluster_vectors(table(spark, sf_dir, "embeddings"))
