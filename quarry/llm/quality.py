@@ -17,7 +17,7 @@ padding and scored like any other; invalid surrogates are replaced; documents
 without a label, with another label than 0 or 1, or without an id are scored but not learned
 from (rows without an id are not held out); several labels of one id, and rows
 that repeat an id, are all used; with no label or one class only, every score
-is the share of positives (0 with no label); repeated rows are scored alike;
+is the share of positives (next to 0 with no label); repeated rows are scored alike;
 other columns are ignored.
 """
 
