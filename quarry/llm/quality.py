@@ -28,7 +28,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm._common import prepare, spread, tidy
@@ -40,7 +40,7 @@ FILTERS = 16
 DIM = 8                      # numbers a byte is embedded in
 HIDDEN = 16
 PAD = 256                    # code beside the 256 bytes: after the end of a short text
-EPOCHS = 16
+STEPS = 1000                 # of training, whatever the number of texts
 BATCH = 64                   # texts a step
 RATE = 0.01
 DECAY = 1e-3                 # weight decay of filters and hidden layers
@@ -164,7 +164,7 @@ def _cropped(codes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return one
 
 
-def train(parts: Sequence[np.ndarray], labels: Sequence[int], epochs: int = EPOCHS, seed: int = SEED) -> Model:
+def train(parts: Sequence[np.ndarray], labels: Sequence[int], steps: int = STEPS, seed: int = SEED) -> Model:
     """A model from texts given as (chunk, CHUNK) byte codes."""
     y = np.asarray(labels, np.float32)
     share = float(y.mean()) if len(y) else 0.0
@@ -179,37 +179,35 @@ def train(parts: Sequence[np.ndarray], labels: Sequence[int], epochs: int = EPOC
          "hidden": random(FILTERS, HIDDEN, of=FILTERS), "hidden_bias": np.zeros(HIDDEN, np.float32), "out": random(HIDDEN, of=HIDDEN),
          "out_bias": np.full(1, np.log(share / (1 - share)), np.float32)}
     adam = _Adam(p, RATE)
-    steps = epochs * -(-len(parts) // BATCH)
-    for _ in range(epochs):
-        order = rng.permutation(len(parts))
-        for lo in range(0, len(order), BATCH):
-            picked = order[lo: lo + BATCH]
-            shown = [_cropped(parts[i], rng) if rng.random() < CROPPED else parts[i] for i in picked]
-            codes, sizes = np.concatenate(shown), np.array([len(s) for s in shown])
-            doc = np.repeat(np.arange(len(picked)), sizes)
-            wide = np.full((len(codes), CHUNK + WIDTH - 1), PAD, np.int64)
-            wide[:, :CHUNK] = codes
-            seen = np.lib.stride_tricks.sliding_window_view(wide, WIDTH, axis=1)             # (chunk, place, WIDTH)
-            resp = (p["emb"][seen].reshape(-1, WIDTH * DIM) @ p["filters"]).reshape(len(codes), CHUNK, FILTERS)
-            top = resp.argmax(1)                                                              # (chunk, filter)
-            each = np.arange(len(codes))[:, None]
-            pooled = np.maximum(resp[each, top, np.arange(FILTERS)] + p["bias"], 0)
-            hid = np.maximum(pooled @ p["hidden"] + p["hidden_bias"], 0)
-            z = np.bincount(doc, hid @ p["out"], len(picked)) / sizes + p["out_bias"][0]
-            err = ((_probability(z) - y[picked]) / len(picked))
-            back = (err / sizes)[doc].astype(np.float32)                                      # of each chunk's evidence
-            g_hid = back[:, None] * p["out"] * (hid > 0)
-            g_pool = (g_hid @ p["hidden"].T) * (pooled > 0)
-            window = seen[each, top]                                                          # (chunk, filter, WIDTH)
-            x = p["emb"][window].reshape(len(codes), FILTERS, WIDTH * DIM)
-            g_filters = np.einsum("cf,cfk->kf", g_pool, x)
-            g_x = (g_pool[:, :, None] * p["filters"].T).reshape(-1, DIM)
-            flat = window.reshape(-1)
-            g_emb = np.stack([np.bincount(flat, g_x[:, d], PAD + 1) for d in range(DIM)], 1).astype(np.float32)
-            adam.rate = RATE * (1 - adam.step / steps)                                        # falls to 0
-            adam.update({"emb": g_emb, "filters": g_filters + DECAY * p["filters"], "bias": g_pool.sum(0),
-                         "hidden": pooled.T @ g_hid + DECAY * p["hidden"], "hidden_bias": g_hid.sum(0),
-                         "out": hid.T @ back + DECAY * p["out"], "out_bias": np.array([err.sum()], np.float32)})
+    order = np.concatenate([rng.permutation(len(parts)) for _ in range(-(-steps * BATCH // len(parts)))])   # every text in turn
+    for step in range(steps):
+        picked = order[step * BATCH: (step + 1) * BATCH]
+        shown = [_cropped(parts[i], rng) if rng.random() < CROPPED else parts[i] for i in picked]
+        codes, sizes = np.concatenate(shown), np.array([len(s) for s in shown])
+        doc = np.repeat(np.arange(len(picked)), sizes)
+        wide = np.full((len(codes), CHUNK + WIDTH - 1), PAD, np.int64)
+        wide[:, :CHUNK] = codes
+        seen = np.lib.stride_tricks.sliding_window_view(wide, WIDTH, axis=1)             # (chunk, place, WIDTH)
+        resp = (p["emb"][seen].reshape(-1, WIDTH * DIM) @ p["filters"]).reshape(len(codes), CHUNK, FILTERS)
+        top = resp.argmax(1)                                                              # (chunk, filter)
+        each = np.arange(len(codes))[:, None]
+        pooled = np.maximum(resp[each, top, np.arange(FILTERS)] + p["bias"], 0)
+        hid = np.maximum(pooled @ p["hidden"] + p["hidden_bias"], 0)
+        z = np.bincount(doc, hid @ p["out"], len(picked)) / sizes + p["out_bias"][0]
+        err = ((_probability(z) - y[picked]) / len(picked))
+        back = (err / sizes)[doc].astype(np.float32)                                      # of each chunk's evidence
+        g_hid = back[:, None] * p["out"] * (hid > 0)
+        g_pool = (g_hid @ p["hidden"].T) * (pooled > 0)
+        window = seen[each, top]                                                          # (chunk, filter, WIDTH)
+        x = p["emb"][window].reshape(len(codes), FILTERS, WIDTH * DIM)
+        g_filters = np.einsum("cf,cfk->kf", g_pool, x)
+        g_x = (g_pool[:, :, None] * p["filters"].T).reshape(-1, DIM)
+        flat = window.reshape(-1)
+        g_emb = np.stack([np.bincount(flat, g_x[:, d], PAD + 1) for d in range(DIM)], 1).astype(np.float32)
+        adam.rate = RATE * (1 - step / steps)                                        # falls to 0
+        adam.update({"emb": g_emb, "filters": g_filters + DECAY * p["filters"], "bias": g_pool.sum(0),
+                     "hidden": pooled.T @ g_hid + DECAY * p["hidden"], "hidden_bias": g_hid.sum(0),
+                     "out": hid.T @ back + DECAY * p["out"], "out_bias": np.array([err.sum()], np.float32)})
     table = np.stack([p["emb"] @ p["filters"][j * DIM: (j + 1) * DIM] for j in range(WIDTH)])
     return Model(table, p["bias"], p["hidden"], p["hidden_bias"], p["out"], float(p["out_bias"][0]))
 
@@ -219,8 +217,8 @@ def fold(id_col: str, folds: int) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-        train_where: Column | None = None) -> Model:
-    """Model fitted, in one task, on chunks of SAMPLE labelled documents of either class at most, picked by a seeded hash of the id."""
+        train_where: Column | None = None, steps: int = STEPS) -> Model:
+    """Model fitted, in one task, on chunks of SAMPLE labelled texts of either class at most, picked by a seeded hash of the id."""
     known = labels.select(F.col(id_col).alias(id_col), F.col(label_col).cast("int").alias("_y")).where(F.col("_y").isin(0, 1))
     if train_where is not None:
         known = known.where(train_where)
@@ -245,10 +243,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     @tidy
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["_id", "_y", "_c"])
-        model = train([np.frombuffer(c, np.int16).reshape(-1, CHUNK) for c in rows["_c"]], rows["_y"].tolist())
+        model = train([np.frombuffer(c, np.int16).reshape(-1, CHUNK) for c in rows["_c"]], rows["_y"].tolist(), steps)
         return pd.DataFrame([[np.asarray(v, np.float64).tobytes() for v in model]], columns=Model._fields)
 
     drawn = texts.join(F.broadcast(picked), "_id").mapInPandas(draw, "_id string, _y int, _c binary")   # 2 * SAMPLE ids at most
+    rank = F.row_number().over(Window.partitionBy("_y").orderBy(F.xxhash64(F.lit(SEED), F.col("_id")), "_id", "_c"))
+    drawn = drawn.withColumn("_r", rank).where(F.col("_r") <= SAMPLE).drop("_r")               # an id may stand for many rows
     found = drawn.withColumn("_m", F.lit("model")).groupBy("_m").applyInPandas(learn, ", ".join(f"{c} binary" for c in Model._fields)).first()
     if not found:
         return constant(0.0)
@@ -274,10 +274,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-             folds: int = 5, held_out: int = 0, threshold: float = THRESHOLD) -> DataFrame:
+             folds: int = 5, held_out: int = 0, threshold: float = THRESHOLD, steps: int = STEPS) -> DataFrame:
     """doc_id, held_out, score, predicted; learns only from ids outside the held-out fold."""
     prepare(docs.sparkSession)
-    model = fit(docs, labels, id_col, text_col, label_col, fold(id_col, folds) != held_out)
+    model = fit(docs, labels, id_col, text_col, label_col, fold(id_col, folds) != held_out, steps)
     return score(docs, model, id_col, text_col).select(
         "doc_id",
         F.coalesce(fold("doc_id", folds) == held_out, F.lit(False)).alias("held_out"),

@@ -243,7 +243,7 @@ def model(corpus):
     for text, _ in corpus[:500]:
         raw = quality.encoded(text)
         parts.append(quality.chunks(raw, quality.starts(len(raw))))
-    return quality.train(parts, [y for _, y in corpus[:500]])
+    return quality.train(parts, [y for _, y in corpus[:500]], steps=150)
 
 
 def test_chunks_cover_a_text_and_overlap():
@@ -277,7 +277,7 @@ def test_quality_rows(spark, corpus):
     docs = spark.createDataFrame(data, "doc_id long, text string, source string, score double, _y int, _c binary").repartition(4)
     marks = [(i, y, "a") for i, (_, y) in enumerate(corpus)] + [(3, 0, "a"), (4, None, "a"), (None, 1, "a"), (9, 5, "a"), (5_000, 1, "a")]
     labels = spark.createDataFrame(marks, "doc_id long, quality int, text string")
-    got = quality.classify(docs, labels)
+    got = quality.classify(docs, labels, steps=100)
     assert got.columns == ["doc_id", "held_out", "score", "predicted"]
     rows = got.collect()
     assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r[0]) for r in data)
@@ -287,11 +287,11 @@ def test_quality_rows(spark, corpus):
     first = {r["doc_id"]: r["score"] for r in rows if r["doc_id"] != 5}
     assert first[None] == first[0] and first[800] == first[801]
     assert np.mean([(first[i] > 0.5) == (y == 1) for i, (_, y) in enumerate(corpus) if i in first]) > 0.97
-    again = {r["doc_id"]: r["score"] for r in quality.classify(docs, labels).collect() if r["doc_id"] != 5}
+    again = {r["doc_id"]: r["score"] for r in quality.classify(docs, labels, steps=100).collect() if r["doc_id"] != 5}
     assert again == first
     # labels of held-out rows are not looked at
     flipped = labels.withColumn("quality", F.when(quality.fold("doc_id", 5) == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
-    assert {r["doc_id"]: r["score"] for r in quality.classify(docs, flipped).collect() if r["doc_id"] != 5} == first
+    assert {r["doc_id"]: r["score"] for r in quality.classify(docs, flipped, steps=100).collect() if r["doc_id"] != 5} == first
     none = quality.classify(docs, labels.limit(0)).collect()
     assert max(r["score"] for r in none) < 1e-9 and quality.classify(docs.limit(0), labels).count() == 0
 
@@ -299,4 +299,4 @@ def test_quality_rows(spark, corpus):
 def test_quality_on_the_given_tables(spark):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     rows = QUERIES["op11_quality"](spark, SMALL).join(labels, "doc_id").where("NOT held_out").collect()
-    assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.9
+    assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.95
