@@ -6,92 +6,52 @@ total order for deterministic results) and optional ``keys``.
 
 ``with_row_index`` numbers rows 0..n-1 inside each key, deterministically:
 
-1. the input is checkpointed (``spark.checkpoint.dir``), so its plan runs once;
-2. a sample of the (keys, order) tuples, SAMPLE_PER_BUCKET a bucket, gives
-   split points (like a range partitioner, but frozen into the plan as one
-   literal array, so every re-evaluation assigns the same bucket);
-3. the bucket of a row is found by binary search on all key and order columns,
-   so equal prefixes spread as well;
-4. counts per (key, bucket) -> running sum per key = offset of each bucket;
-5. index = offset + row_number() inside (key, bucket).
-
-The number of buckets follows the row count (ROWS_PER_BUCKET rows each) and
-nothing caps it; the numbering is the same whatever it is.  A hot key is split over many
-(key, bucket) window partitions.  NULL keys are a key of their own.
+1. Spark deals the rows into ranges of (keys, order), sorts every range, and
+   notes each row's range and place in it; that is checkpointed
+   (``spark.checkpoint.dir``), so the plan behind it runs once and the ranges
+   are fixed;
+2. counts per (key, range), partially aggregated, give the number of earlier
+   rows of the key;
+3. index = that number + place in the range - the key's first place in it.
+
+There are ``spark.sql.shuffle.partitions`` ranges; the numbering is the same
+whatever their number.  A hot key spans several ranges, ties of prefixes spread
+as well, and NULL keys are a key of their own.  No row is sent to the driver:
+without keys it sees one count a range.
 
 ``rolling`` evaluates a row-count window (rowsBetween(-(w-1), 0)) with *halo
 buckets*: rows are cut into buckets of ``bucket_rows`` consecutive rows per key
 and the last w-1 rows of each bucket are copied into the next one, so each
 window task holds at most bucket_rows + w - 1 rows whatever the key skew.
+``neighbours`` does the same for functions that look back a number of rows, and
+``earlier`` adds lags along a series that way.
 """
 
 from __future__ import annotations
 
-import json
-import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarry.session import checkpoint_dir
 
 DEFAULT_BUCKET_ROWS = 1 << 18
-ROWS_PER_BUCKET = 1_000_000
-SAMPLE_PER_BUCKET = 16
+_PLACE_BITS = 33   # monotonically_increasing_id: the partition above, the place in it below
 
 
-def _encode(df: DataFrame, c: str) -> tuple[Column, str]:
-    """Monotone (non-decreasing) encoding of a column and its type; NULL stays NULL and sorts first.
-
-    Timestamps become seconds from calendar fields (day number, hour, minute,
-    second), which is independent of the session time zone.
-    """
-    t = df.schema[c].dataType
-    x = F.col(c)
-    if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return x.cast("bigint"), "bigint"
-    if isinstance(t, (T.NumericType, T.BooleanType)):
-        return x.cast("double"), "double"
-    if isinstance(t, T.DateType):
-        return F.unix_date(x).cast("bigint"), "bigint"
-    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_date(F.to_date(x)).cast("bigint") * 86400 + F.hour(x) * 3600 + F.minute(x) * 60 + F.second(x).cast("bigint"), "bigint"
-    return x.cast("string"), "string"
-
-
-def _sort_key(row: tuple) -> tuple:
-    """Spark's order of a struct: NULL first, NaN last."""
-    return tuple((0, 0) if v is None else (2, 0) if isinstance(v, float) and math.isnan(v) else (1, v) for v in row)
-
-
-def split_points(df: DataFrame, enc: Column, buckets: int, rows: int) -> list[tuple]:
-    """At most ``buckets - 1`` ascending split tuples from a sample of about SAMPLE_PER_BUCKET rows a bucket."""
-    if buckets <= 1 or not rows:
-        return []
-    fraction = min(1.0, SAMPLE_PER_BUCKET * buckets / rows)
-    sample = sorted((tuple(r["e"]) for r in df.sample(False, fraction, seed=7).select(enc.alias("e")).collect()), key=_sort_key)
-    picked = [sample[len(sample) * i // buckets] for i in range(1, buckets)] if sample else []
-    return [p for i, p in enumerate(picked) if i == 0 or _sort_key(p) > _sort_key(picked[i - 1])]
-
-
-def bucket_of(key: Column, bounds: list[tuple], fields: Sequence[tuple[str, str]]) -> Column:
-    """Number of bounds below ``key`` (a struct with ``fields``), by binary search in one literal array."""
-    if not bounds:
-        return F.lit(0)
-    text = json.dumps([{n: v for (n, _), v in zip(fields, b) if v is not None} for b in bounds], ensure_ascii=False)
-    table = F.from_json(F.lit(text), "array<struct<" + ",".join(f"{n}:{t}" for n, t in fields) + ">>")
-
-    def step(acc: Column, _: Column) -> Column:
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        open_, above = acc["lo"] < acc["hi"], F.get(table, mid) < key
-        return F.struct(F.when(open_ & above, mid + 1).otherwise(acc["lo"]).alias("lo"),
-                        F.when(open_ & ~above, mid).otherwise(acc["hi"]).alias("hi"))
-
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
-    steps = math.ceil(math.log2(len(bounds) + 1)) + 1
-    return F.aggregate(F.array_repeat(F.lit(0), steps), start, step, lambda acc: acc["lo"])
+def _earlier_rows(counts: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Per (key, range): the sums of ``names`` over the key's earlier ranges."""
+    if keys:
+        prior = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        sums = [F.coalesce(F.sum(n).over(prior), F.lit(0)).cast("bigint").alias(f"_before{n}") for n in names]
+        return counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_ob"), "_first", *sums)
+    rows, seen = [], [0] * len(names)
+    for r in sorted(counts.collect(), key=lambda r: r["_b"]):      # one row a range
+        rows.append((r["_b"], r["_first"], *seen))
+        seen = [total + r[n] for total, n in zip(seen, names)]
+    schema = "_ob bigint, _first bigint, " + ", ".join(f"_before{n} bigint" for n in names)
+    return F.broadcast(counts.sparkSession.createDataFrame(rows, schema))
 
 
 def with_row_index(
@@ -102,68 +62,76 @@ def with_row_index(
     buckets: int | None = None,
     running: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Adds ``idx``; ``running`` adds, per name, the number of earlier rows of the key that meet a condition."""
+    """Adds ``idx``; ``running`` adds, per name, the number of earlier rows of the key that meet a condition.
+
+    ``buckets`` is the number of ranges (``spark.sql.shuffle.partitions`` by default).
+    """
     keys, order_by, running = list(keys), list(order_by), dict(running or {})
-    checkpoint_dir(df.sparkSession)
-    base = df.checkpoint(eager=True)
-    rows = base.count()
-    n = buckets or max(1, math.ceil(rows / ROWS_PER_BUCKET))
-    encoded = [_encode(base, c) for c in [*keys, *order_by]]
-    fields = [(f"k{i}", t) for i, (_, t) in enumerate(encoded)]
-    enc = F.struct(*[c.alias(f) for (c, _), (f, _) in zip(encoded, fields)])
-    bounds = split_points(base, enc, n, rows)
-    inside = Window.partitionBy(*keys, *(["_b"] if bounds else [])).orderBy(*order_by)
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    if not bounds:  # one bucket: every offset is 0, so there is nothing to join
-        numbered = base.withColumn(idx, (F.row_number().over(inside) - 1).cast("bigint"))
-        return numbered.withColumns({n: F.coalesce(F.count_if(c).over(before), F.lit(0)).cast("bigint") for n, c in running.items()})
-    tagged = base.withColumn("_b", bucket_of(enc, bounds, fields))
-    counts = tagged.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_cnt"), *[F.count_if(c).alias(f"_cnt_{n}") for n, c in running.items()])
-    prior = (Window.partitionBy(*keys).orderBy("_b") if keys else Window.orderBy("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_ob"),
-        F.coalesce(F.sum("_cnt").over(prior), F.lit(0)).alias("_off"),
-        *[F.coalesce(F.sum(f"_cnt_{n}").over(prior), F.lit(0)).alias(f"_off_{n}") for n in running])
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    ranges = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = df.repartitionByRange(ranges, *keys, *order_by).sortWithinPartitions(*keys, *order_by)
+    base = ranged.withColumn("_at", F.monotonically_increasing_id()).checkpoint(eager=True)
+    place = F.col("_at").bitwiseAND((1 << _PLACE_BITS) - 1)
+    tagged = base.withColumn("_b", F.shiftright("_at", _PLACE_BITS))
+    names = ["_rows", *[f"_{n}" for n in running]]
+    counts = tagged.groupBy(*keys, "_b").agg(
+        F.min(place).alias("_first"), F.count(F.lit(1)).alias("_rows"), *[F.count_if(c).alias(f"_{n}") for n, c in running.items()])
     same = F.col("_b") == F.col("_ob")
     for i, k in enumerate(keys):
         same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    numbered = tagged.join(offsets, same).withColumn(idx, (F.col("_off") + F.row_number().over(inside) - 1).cast("bigint"))
+    numbered = tagged.join(_earlier_rows(counts, keys, names), same)
+    numbered = numbered.withColumn(idx, F.col("_before_rows") + place - F.col("_first"))
+    inside = Window.partitionBy(*keys, "_b").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     for n, c in running.items():
-        numbered = numbered.withColumn(n, (F.col(f"_off_{n}") + F.coalesce(F.count_if(c).over(before), F.lit(0))).cast("bigint"))
-    return numbered.drop("_b", "_ob", "_off", *[f"_off_{n}" for n in running], *[f"_k{i}" for i in range(len(keys))])
+        numbered = numbered.withColumn(n, F.col(f"_before_{n}") + F.coalesce(F.count_if(c).over(inside), F.lit(0)))
+    return numbered.drop("_at", "_b", "_ob", "_first", *[f"_before{n}" for n in names], *[f"_k{i}" for i in range(len(keys))])
 
 
-def rolling(
+def neighbours(
     df: DataFrame,
     keys: Sequence[str],
     idx: str,
-    window: int,
+    reach: int,
     make_columns: Callable[[Window], dict[str, Column]],
     bucket_rows: int = DEFAULT_BUCKET_ROWS,
 ) -> DataFrame:
-    """Row-count window over a dense per-key index, evaluated in halo buckets.
+    """Window functions that look back ``reach`` rows at most along a dense per-key index, evaluated in halo buckets.
 
-    ``make_columns(w)`` receives the window spec (rows -(window-1)..0) and
-    returns the new columns, e.g. ``lambda w: {"ma": F.avg("x").over(w)}``.
+    ``make_columns(w)`` receives the window of a bucket (no frame) and returns the new columns.
     """
-    keys = list(keys)
-    halo = max(window - 1, 0)
-    if halo >= bucket_rows:
+    if reach >= bucket_rows:
         raise ValueError("window longer than a bucket; raise bucket_rows")
     bucket = F.floor(F.col(idx) / bucket_rows).cast("bigint")
     parts = df.withColumn("_bucket", bucket).withColumn("_halo", F.lit(False))
-    if halo > 0:
+    if reach > 0:
         copy = (
-            df.where(F.pmod(F.col(idx), F.lit(bucket_rows)) >= bucket_rows - halo)
+            df.where(F.pmod(F.col(idx), F.lit(bucket_rows)) >= bucket_rows - reach)
             .withColumn("_bucket", bucket + 1)
             .withColumn("_halo", F.lit(True))
         )
         parts = parts.unionByName(copy)
-    w = Window.partitionBy(*keys, "_bucket").orderBy(idx).rowsBetween(-halo, 0)
-    out = parts.withColumns(make_columns(w))
+    out = parts.withColumns(make_columns(Window.partitionBy(*keys, "_bucket").orderBy(idx)))
     return out.where(~F.col("_halo")).drop("_bucket", "_halo")
 
 
+def rolling(
+    df: DataFrame,
+    keys: Sequence[str],
+    idx: str,
+    window: int,
+    make_columns: Callable[[Window], dict[str, Column]],
+    bucket_rows: int = DEFAULT_BUCKET_ROWS,
+) -> DataFrame:
+    """Row-count window over a dense per-key index, evaluated in halo buckets.
+
+    ``make_columns(w)`` receives the window spec (rows -(window-1)..0) and
+    returns the new columns, e.g. ``lambda w: {"ma": F.avg("x").over(w)}``.
+    """
+    halo = max(window - 1, 0)
+    return neighbours(df, keys, idx, halo, lambda w: make_columns(w.rowsBetween(-halo, 0)), bucket_rows)
+
+
 def positions(series: DataFrame, keys: Sequence[str], order: str = "date") -> DataFrame:
     """Adds ``_i`` (position from 0 in ``order``) and ``_n`` (points) per key.
 
@@ -183,3 +151,28 @@ def rolling_by(series: DataFrame, keys: Sequence[str], window: int, make_columns
     if keys:
         return series.withColumns(make_columns(Window.partitionBy(*keys).orderBy(order).rowsBetween(-(window - 1), 0)))
     return rolling(with_row_index(series, [order], idx="_i"), [], "_i", window, make_columns).drop("_i")
+
+
+def earlier(series: DataFrame, keys: Sequence[str], lags: Mapping[str, tuple[str, int]], order: str = "date", idx: str | None = None) -> DataFrame:
+    """Adds, per name, the value that a column had a number of points before: ``{name: (column, points)}``.
+
+    Keyed series look back in windows of their key; one series over the whole
+    table goes through row index and halo buckets (``idx`` names an index it
+    already has).
+    """
+    def columns(w: Window) -> dict[str, Column]:
+        return {name: F.lag(c, k).over(w) for name, (c, k) in lags.items()}
+
+    if keys:
+        return series.withColumns(columns(Window.partitionBy(*keys).orderBy(order)))
+    numbered = series if idx else with_row_index(series, [order], idx="_at_point")
+    out = neighbours(numbered, [], idx or "_at_point", max(k for _, k in lags.values()), columns)
+    return out if idx else out.drop("_at_point")
+
+
+def with_enough_points(series: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
+    """The series with at least ``least`` points; without keys their number is a scalar subquery."""
+    if keys:
+        counted = series.withColumn("_points", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+        return counted.where(F.col("_points") >= least).drop("_points")
+    return series.where(series.agg(F.count(F.lit(1))).scalar() >= least)

@@ -1,24 +1,21 @@
 """Statistical diagnostics and regressions: trend test, ADF, ACF, moments, elasticity, grouped OLS.
 
 All of them run per series key on the daily series (bounded by the calendar),
-or per group on raw rows via aggregate functions (``regr_*``).  The only
-Python is the small per-key work: t / ADF tails (pandas UDFs over one row per
-key) and the ADF lag search (one grouped-map task per bounded daily series).
+or per group on raw rows via aggregate functions (``regr_*``).  p-values and
+the ADF lag search are expressions over one summary row per key.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.common import group, join_keys, join_one_row, num
-from quarry.functions.order import positions
-from quarry.functions.stats import adf_p_value, t_p_value_udf
+from quarry.functions.order import earlier, positions
+from quarry.functions.stats import adf_p_value, t_two_sided_p
+from quarry.operators import _adf
 
 # Fixed thresholds of the diagnostic labels.
 P_SIGNIFICANT = 0.05
@@ -28,10 +25,6 @@ SKEW_HIGH = 1.0
 ELASTIC = -1.0
 
 
-def _wk(keys: Sequence[str]) -> Window:
-    return Window.partitionBy(*keys) if keys else Window.partitionBy()
-
-
 def _indexed(series: DataFrame, keys: Sequence[str]) -> DataFrame:
     return positions(series.where(F.col("value").isNotNull()), keys).withColumn("_x", F.col("_i").cast("double")).drop("_i", "_n")
 
@@ -58,10 +51,7 @@ def trend_test(series: DataFrame, keys: Sequence[str] = (), min_points: int = 20
         "t_stat": F.when(flat, F.lit(0.0)).otherwise(t_stat(F.col("r2"), F.col("n"), F.col("slope"))),
     })
     if with_p:
-        from quarry.session import ship_package
-
-        ship_package(series.sparkSession)
-        out = out.withColumn("trend_p", t_p_value_udf(F.col("t_stat"), (F.col("n") - 2).cast("double")))
+        out = out.withColumn("trend_p", t_two_sided_p(F.col("t_stat"), F.col("n") - 2))
     return out
 
 
@@ -69,12 +59,14 @@ def trend_test(series: DataFrame, keys: Sequence[str] = (), min_points: int = 20
 def acf(series: DataFrame, keys: Sequence[str] = (), max_lags: int = 14) -> DataFrame:
     """Biased autocorrelation up to min(max_lags, n // 3); reports lag-1 and max |r_k|."""
     keys = list(keys)
-    wk = _wk(keys)
-    s = series.where(F.col("value").isNotNull()).withColumns({
-        "_m": F.avg("value").over(wk), "_n": F.count(F.lit(1)).over(wk)})
-    s = s.withColumn("_d", F.col("value") - F.col("_m"))
-    wo = wk.orderBy("date")
-    s = s.withColumns({f"_l{k}": F.lag("_d", k).over(wo) for k in range(1, max_lags + 1)})
+    s = series.where(F.col("value").isNotNull())
+    mean, n = F.avg("value"), F.count(F.lit(1))
+    if keys:
+        wk = Window.partitionBy(*keys)
+        s = s.withColumns({"_d": F.col("value") - mean.over(wk), "_n": n.over(wk)})
+    else:  # one series: scalar subqueries instead of a window over all its points
+        s = s.withColumns({"_d": F.col("value") - s.agg(mean).scalar(), "_n": s.agg(n).scalar()})
+    s = earlier(s, keys, {f"_l{k}": ("_d", k) for k in range(1, max_lags + 1)})
     agg = group(s, keys).agg(
         F.first("_n").alias("n"), F.sum(F.col("_d") * F.col("_d")).alias("_den"),
         *[F.sum(F.col("_d") * F.col(f"_l{k}")).alias(f"_c{k}") for k in range(1, max_lags + 1)],
@@ -96,74 +88,31 @@ def moments(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 # ---------------------------------------------------------------- I2
-def adf_maxlag(n: int) -> int:
-    """Largest lag searched: 12 (n / 100)^(1/4), and at most n // 2 - 2 so that the regression keeps its degrees of freedom."""
-    return max(0, min(int(math.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - 2))
-
-
-def _adf_series(y: np.ndarray) -> tuple[int, int, float]:
-    """ADF on one ordered series: (used_lag, nobs, stat); constant only, AIC lag search on a common sample."""
-    n = len(y)
-    maxlag = adf_maxlag(n)
-    dy = np.diff(y)
-
-    def design(p: int, start: int):
-        rows = np.arange(start, len(dy))
-        cols = [y[rows]] + [dy[rows - j] for j in range(1, p + 1)] + [np.ones(len(rows))]
-        return np.column_stack(cols), dy[rows]
-
-    best = None
-    for p in range(0, maxlag + 1):
-        X, Y = design(p, maxlag)  # common sample: every candidate uses t >= maxlag
-        beta = np.linalg.lstsq(X, Y, rcond=None)[0]
-        resid = Y - X @ beta
-        ssr = float(resid @ resid)
-        nobs = len(Y)
-        llf = -nobs / 2.0 * (math.log(2 * math.pi) + math.log(max(ssr, 1e-300) / nobs) + 1.0)
-        aic = -2.0 * llf + 2.0 * X.shape[1]
-        if best is None or aic < best[0]:
-            best = (aic, p)
-    p = best[1]
-    X, Y = design(p, p)  # final fit on the sample of the chosen lag
-    beta, *_ = np.linalg.lstsq(X, Y, rcond=None)
-    resid = Y - X @ beta
-    dof = len(Y) - X.shape[1]
-    var = float(resid @ resid) / dof * np.linalg.pinv(X.T @ X)[0, 0] if dof > 0 else float("nan")
-    stat = beta[0] / math.sqrt(var) if var == var and var > 0 else float("nan")
-    return p, len(Y), float(stat)
-
-
 def adf_test(series: DataFrame, keys: Sequence[str] = (), min_points: int = 20) -> DataFrame:
-    """Augmented Dickey-Fuller test, constant only, lag length by AIC (0..maxlag), MacKinnon p-value.
+    """Augmented Dickey-Fuller test, constant only, lag length by AIC on a common sample, MacKinnon p-value.
 
-    Spark aggregates the daily series and groups it by key; each key's series
-    (bounded by the calendar, not by the raw row count) is one grouped-map
-    task: build y_{t-1} and the lagged differences, search the lag on a common
-    sample by AIC, refit on the chosen lag's sample, take the t statistic of
-    y_{t-1}.  Keys run in parallel.
+    One aggregation per key gives the sums behind the cross products of the
+    lagged differences; all lag orders are solved from them (``_adf``).  The
+    differences come from lags of the values (halo buckets for one long
+    series).  A series without variance has no statistic and no p-value.
     """
-    from quarry.session import ship_package
-
-    ship_package(series.sparkSession)
-    user_keys = list(keys)
-    keys = user_keys or ["_series"]
-    if not user_keys:
-        series = series.withColumn("_series", F.lit(0))
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in series.schema.fields if f.name in keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        y = pdf["value"].to_numpy(dtype=float)
-        base = {c: pdf[c].iloc[0] for c in keys}
-        if len(y) < min_points:
-            return pd.DataFrame(columns=[*keys, "n", "used_lag", "nobs", "adf_stat", "adf_p"])
-        p, nobs, stat = _adf_series(y)
-        return pd.DataFrame([{**base, "n": len(y), "used_lag": p, "nobs": nobs, "adf_stat": stat,
-                              "adf_p": float(adf_p_value([stat])[0])}])
-
-    rows = series.where(F.col("value").isNotNull()).select(*keys, "date", F.col("value").cast("double"))
-    out = rows.groupBy(*keys).applyInPandas(run, f"{key_schema}, n long, used_lag int, nobs long, adf_stat double, adf_p double")
-    return out if user_keys else out.drop("_series")
+    from quarry.session import checkpoint_dir
+
+    keys = list(keys)
+    checkpoint_dir(series.sparkSession)
+    rows = series.where(F.col("value").isNotNull()).select(*keys, "date", F.col("value").cast("double").alias("value"))
+    placed = positions(rows, keys).where(F.col("_n") >= min_points).checkpoint(eager=True)   # the longest series decides the lags below
+    longest = placed.agg(_adf.max_lag(F.max("_n"))).first()[0] or 0
+    mean = F.avg("value").over(Window.partitionBy(*keys)) if keys else placed.agg(F.avg("value")).scalar()
+    placed = earlier(placed.withColumn("value", F.col("value") - mean), keys, {f"_v{k}": ("value", k) for k in range(1, longest + 2)}, idx="_i")
+    value = lambda k: F.col(f"_v{k}") if k else F.col("value")
+    points = placed.select(*keys, "_i", "_n", F.col("_v1").alias("_lev"), *[(value(j) - value(j + 1)).alias(f"_d{j}") for j in range(longest + 1)])
+    n, m = F.col("_n"), F.col("_m")
+    totals = group(points.withColumn("_m", _adf.max_lag(n)), keys).agg(F.first("_n").alias("n"), F.first("_m").alias("_m"), *_adf.sums(m, longest))
+    solved = totals.where(F.col("n") >= min_points).withColumn("_s", _adf.lag_products(m)).withColumn("used_lag", _adf.best_lag(m))
+    solved = solved.withColumn("adf_stat", _adf.statistic(m, F.col("used_lag")))
+    return solved.select(*keys, "n", "used_lag", (F.col("n") - 1 - F.col("used_lag")).alias("nobs"), "adf_stat",
+                         adf_p_value(F.col("adf_stat")).alias("adf_p"))
 
 
 # ---------------------------------------------------------------- I5
@@ -220,10 +169,7 @@ def price_elasticity(df: DataFrame, price: str = "price", sales: str = "sales",
     ).where(F.col("n") >= min_points)
     out = out.withColumn("t_stat", t_stat(F.col("r2"), F.col("n"), F.col("elasticity")))
     if with_p:
-        from quarry.session import ship_package
-
-        ship_package(df.sparkSession)
-        out = out.withColumn("p_value", t_p_value_udf(F.col("t_stat"), (F.col("n") - 2).cast("double")))
+        out = out.withColumn("p_value", t_two_sided_p(F.col("t_stat"), F.col("n") - 2))
     return out
 
 

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.common import group, join_keys, num
-from quarry.functions.order import positions, with_row_index
+from quarry.functions.order import earlier, positions, with_row_index
+from quarry.functions.quantiles import exact_quantile
 from quarry.operators.series import _indexed_from_end
 
 # Fixed thresholds.
@@ -22,10 +23,6 @@ DIRECTION_UI_PCT, DIRECTION_TEXT_PCT = 1.0, 2.0
 MAPE_HIGH, MAPE_MID, BIAS_SHARE = 20.0, 10.0, 0.10
 
 
-def _wk(keys: Sequence[str]) -> Window:
-    return Window.partitionBy(*keys) if keys else Window.partitionBy()
-
-
 # ---------------------------------------------------------------- H5
 def future_index(series: DataFrame, horizon: int, keys: Sequence[str] = ()) -> DataFrame:
     """H5: future timestamps per key.
@@ -35,8 +32,7 @@ def future_index(series: DataFrame, horizon: int, keys: Sequence[str] = ()) -> D
     Friday->Monday); otherwise the median step when positive; otherwise one day.
     """
     keys = list(keys)
-    w = _wk(keys).orderBy("date")
-    d = series.select(*keys, "date").withColumn("_prev", F.lag("date").over(w))
+    d = earlier(series.select(*keys, "date"), keys, {"_prev": ("date", 1)})
     d = d.withColumn("_delta", F.unix_micros(F.col("date").cast("timestamp")) - F.unix_micros(F.col("_prev").cast("timestamp")))
     dd = F.to_date("date")
     wd = F.dayofweek(dd)  # 1 = Sunday .. 7 = Saturday
@@ -44,17 +40,21 @@ def future_index(series: DataFrame, horizon: int, keys: Sequence[str] = ()) -> D
     prev_months = F.year(F.to_date("_prev")) * 12 + F.month(F.to_date("_prev"))
     day = 86_400_000_000
     prev_wd = F.dayofweek(F.to_date("_prev"))
+    # distinct steps of a keyed series are bounded by the calendar; one long series may hold any number of them
+    median = F.percentile("_delta", 0.5) if keys else F.lit(None).cast("double")
     stats = group(d, keys).agg(
         F.max("date").alias("_last"),
         F.count(F.lit(1)).alias("_n"),
         F.min("_delta").alias("_dmin"), F.max("_delta").alias("_dmax"),
-        F.percentile("_delta", 0.5).alias("_dmed"),
+        median.alias("_dmed"),
         F.bool_and((F.dayofmonth(dd) == 1) & (F.hour("date") == 0)).alias("_ms"),
         F.bool_and((dd == F.last_day(dd)) & (F.hour("date") == 0)).alias("_me"),
         F.min(months - prev_months).alias("_mmin"), F.max(months - prev_months).alias("_mmax"),
         F.bool_and((wd >= 2) & (wd <= 6) & (F.col("_prev").isNull() | (F.col("_delta") == day) & (prev_wd != 6)
                                              | (F.col("_delta") == 3 * day) & (prev_wd == 6))).alias("_bd"),
     )
+    if not keys:
+        stats = stats.withColumn("_dmed", exact_quantile(d, "_delta", 0.5))
     k = F.col("_k")
     constant = (F.col("_n") >= 3) & (F.col("_dmin") == F.col("_dmax")) & (F.col("_dmin") > 0)
     lwd = F.dayofweek(F.to_date("_last")) - 2  # Monday = 0

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.common import group, num
 from quarry.functions.order import rolling, with_row_index
+from quarry.functions.quantiles import exact_quantile
 from quarry.functions.parse import parse_any_datetime
 
 # Fixed thresholds and labels of the case study (values that define results).
@@ -322,35 +323,10 @@ def transfer_suggestions(df: DataFrame, date: str = "date", region: str = "regio
     )
 
 
-def exact_quantile(df: DataFrame, column: str, q: float) -> Column:
-    """Exact q-quantile (linear interpolation) as a scalar, without a buffer of all values.
-
-    A sketch brackets the wanted positions between two values; one aggregation
-    counts what lies below the bracket, and only the distinct values inside it
-    (some ten-thousandths of the rows) are put in order.
-    """
-    v = df.select(num(column).alias("v")).where("v IS NOT NULL")
-    eps = 3e-4
-    rough = F.percentile_approx("v", [max(0.0, q - eps), min(1.0, q + eps)], 10000)
-    facts = v.agg(F.struct(F.count(F.lit(1)).alias("n"), rough.alias("edge"), F.min("v").alias("least"), F.max("v").alias("most"))).scalar()
-    n, first, last = facts["n"], facts["edge"][0], facts["edge"][1]
-    low = F.when(F.lit(q <= eps), facts["least"]).otherwise(first)
-    high = F.when(F.lit(q >= 1 - eps), facts["most"]).otherwise(last)
-    side = F.when(F.col("v") < low, -1).when(F.col("v") > high, 1).otherwise(0)   # all below and all above the bracket fold to a row each
-    counted = v.withColumn("side", side).groupBy("side", F.when(F.col("side") == 0, F.col("v")).alias("at")).agg(
-        F.count(F.lit(1)).alias("c"), F.min("v").alias("v"))
-    upto = F.sum("c").over(Window.orderBy("side", "at"))
-    at = (n - 1) * q
-    placed = counted.withColumn("upto", upto)
-    value = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
-    below, above = value(F.floor(at)), value(F.ceil(at))
-    return placed.agg(below + (above - below) * (at - F.floor(at))).scalar()
-
-
 def clip_at_quantile(df: DataFrame, column: str, q: float = 0.95, out: str | None = None, approx: bool = False) -> DataFrame:
     """Cap a column at its q-quantile (linear interpolation); the cap is a scalar subquery.
 
-    ``approx=True`` takes the cap from a bounded-memory sketch.
+    ``approx=True`` takes the cap from a sketch instead of the exact bracket search.
     """
     cap = df.agg(F.percentile_approx(num(column), q, 10000)).scalar() if approx else exact_quantile(df, column, q)
     return df.withColumn(out or f"{column}_clipped", F.least(num(column), cap))

@@ -11,12 +11,14 @@ only the rows they need.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.common import group, join_keys, join_one_row, num
-from quarry.functions.order import positions, rolling_by
+from quarry.functions.order import earlier, positions, rolling_by, with_enough_points
+from quarry.functions.quantiles import exact_quantiles
 
 # Fixed thresholds (they define the labels).
 TREND_THRESHOLD_PCT = 2.0
@@ -28,10 +30,6 @@ TREND_WORDS = {
 }
 
 
-def _w(keys: Sequence[str], order: str) -> Window:
-    return Window.partitionBy(*keys).orderBy(order) if keys else Window.orderBy(order)
-
-
 # ---------------------------------------------------------------- F2, F17
 def daily_series(df: DataFrame, date: str = "date", value: str = "sales", keys: Sequence[str] = (),
                  min_points: int = 0) -> DataFrame:
@@ -40,8 +38,7 @@ def daily_series(df: DataFrame, date: str = "date", value: str = "sales", keys:
     rows = df.select(*keys, F.col(date).alias("date"), num(value).alias("value")).dropna(subset=["date", "value"])
     out = rows.groupBy(*keys, "date").agg(F.sum("value").alias("value"))
     if min_points:
-        n = F.count(F.lit(1)).over(Window.partitionBy(*keys)) if keys else F.count(F.lit(1)).over(Window.partitionBy())
-        out = out.withColumn("_n", n).where(F.col("_n") >= min_points).drop("_n")
+        out = with_enough_points(out, keys, min_points)
     return out
 
 
@@ -51,18 +48,32 @@ def daily_mean(df: DataFrame, date: str = "date", columns: Sequence[str] = ("sto
 
 
 # ---------------------------------------------------------------- F1
-def describe_numeric(df: DataFrame, value: str, keys: Sequence[str] = (), approx: bool = False) -> DataFrame:
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def describe_numeric(df: DataFrame, value: str, keys: Sequence[str] = (), quantiles: str = "exact") -> DataFrame:
     """min, max, mean, median, sample std, p25, p75 (linear interpolation).
 
-    ``approx=True`` swaps the exact percentile (buffers distinct values) for a
-    bounded-memory sketch, for high-cardinality columns.
+    ``quantiles``: ``exact`` refines brackets, in bounded memory however many
+    values a key has; ``buffered`` holds a key's distinct values in one
+    aggregation buffer, for series whose length the calendar bounds; ``approx``
+    is a bounded sketch.
     """
     v = num(value)
-    q = F.percentile_approx(v, [0.25, 0.5, 0.75], 10000) if approx else F.percentile(v, [0.25, 0.5, 0.75])
-    out = group(df, keys).agg(
-        F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("std"), q.alias("_q"), F.count(v).alias("count"),
-    )
+    measures = [F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.count(v).alias("count")]
+    if quantiles == "exact":
+        found = exact_quantiles(df, value, QUARTILES, keys).select(*[F.col(k).alias(f"_k{k}") for k in keys], F.col("quantiles").alias("_q"))
+        out = group(df, keys).agg(*measures)
+        if keys:
+            out = out.join(found, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{k}")) for k in keys]), "left")
+        else:
+            out = join_one_row(out, found)
+    elif quantiles == "buffered":
+        out = group(df, keys).agg(*measures, F.percentile(v, list(QUARTILES)).alias("_q"))
+    elif quantiles == "approx":
+        out = group(df, keys).agg(*measures, F.percentile_approx(v, list(QUARTILES), 10000).alias("_q"))
+    else:
+        raise ValueError(f"unknown way to take quantiles {quantiles!r}")
     return out.select(*keys, "count", "min", "max", "mean",
                       F.col("_q")[1].cast("double").alias("median"), "std",
                       F.col("_q")[0].cast("double").alias("p25"), F.col("_q")[2].cast("double").alias("p75"))
@@ -89,9 +100,7 @@ def period_label(date: Column, freq: str) -> Column:
 
 def resample_mean(series: DataFrame, freq: str | None = None, keys: Sequence[str] = (), min_points: int = 4) -> DataFrame:
     """optional resample by mean; empty bins are absent (no gap fill); keys with fewer than ``min_points`` points are left out."""
-    known = series.where(F.col("value").isNotNull())
-    points = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    known = known.withColumn("_n", F.count(F.lit(1)).over(points)).where(F.col("_n") >= min_points).drop("_n")
+    known = with_enough_points(series.where(F.col("value").isNotNull()), keys, min_points)
     if not freq:
         return known
     return known.groupBy(*keys, period_label(F.col("date"), freq).alias("date")).agg(F.avg("value").alias("value"))
@@ -208,9 +217,8 @@ def trend_series(series: DataFrame, window: int = 7, keys: Sequence[str] = (), m
     frame of ``window`` rows already covers the whole prefix, so only the lower
     clamp (2) changes anything.
     """
-    wn = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    s = series.where(F.col("value").isNotNull()).withColumn("_n", F.count(F.lit(1)).over(wn)).where(F.col("_n") >= min_points)
-    r = rolling_stats(s.drop("_n"), max(2, window), 1, keys, std_min_periods=2, std_fill_zero=True)
+    s = with_enough_points(series.where(F.col("value").isNotNull()), keys, min_points)
+    r = rolling_stats(s, max(2, window), 1, keys, std_min_periods=2, std_fill_zero=True)
     return r.select(*keys, "date", "value", "rolling_mean", "rolling_std")
 
 
@@ -218,7 +226,7 @@ def trend_summary(series: DataFrame, keys: Sequence[str] = (), min_points: int =
     """F14 (summary part): F1 statistics + F10 change + F12 label + F13 variability, per key."""
     keys = list(keys)
     valid = series.where(F.col("value").isNotNull())
-    stats = describe_numeric(valid, "value", keys)
+    stats = describe_numeric(valid, "value", keys, "buffered" if keys else "exact")
     change = recent_change(valid, "window7", keys).select(*keys, "pct_change")
     var = variability(valid, "value", keys).select(*keys, "cv", F.col("level").alias("variability"))
     out = join_keys(join_keys(stats, change, keys), var, keys)
@@ -253,8 +261,7 @@ def kpis(df: DataFrame, value: str, order_by: Sequence[str], lookback: int = 14)
 # ---------------------------------------------------------------- F16
 def mean_pct_change(series: DataFrame, last: int = 14, keys: Sequence[str] = ()) -> DataFrame:
     """F16: mean of the last ``last`` day-over-day % changes x 100; NULL when there are <= ``last`` days."""
-    w = _w(keys, "date")
-    s = series.withColumn("_chg", F.try_divide(F.col("value") - F.lag("value").over(w), F.lag("value").over(w)))
-    s = _indexed_from_end(s, keys)
+    s = earlier(positions(series.where(F.col("value").isNotNull()), keys), keys, {"_prev": ("value", 1)}, idx="_i")
+    s = s.withColumns({"_chg": F.try_divide(F.col("value") - F.col("_prev"), F.col("_prev")), "_ri": F.col("_n") - 1 - F.col("_i")})
     return group(s, keys).agg(
         F.when(F.first("_n") > last, F.avg(F.when(F.col("_ri") < last, F.col("_chg"))) * 100.0).alias("mean_pct_change"))
