@@ -16,8 +16,9 @@ that join components.
 
 Defined cases: null text counts as empty; texts without words have an empty
 set and link with nothing; fewer words than a shingle make one shingle of the
-whole sequence; rows that share an id are one node; rows without an id link
-like others but never name a component, and stand alone with component null;
+whole sequence; different texts that share an id are compared apart and joined by the
+id; rows without an id link like others but never name a component, and stand
+alone with component null;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -284,10 +285,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = materialise(spread(texts).mapInArrow(_sketch_rows(shingle), "doc_id long, n long, f1 long, f2 long, sketch binary"))
 
+    # a class is named by its smallest id, unless that id stands for other texts as well: then, as without any id, by its text
     nameless = F.lit(NO_ID) + F.shiftright(F.abs(F.xxhash64("f1", "f2")), 2)
-    classes = materialise(
-        rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"))
-        .withColumn("node", F.coalesce("node", nameless)))
+    named_rows = rows.where("n > 0 AND doc_id IS NOT NULL")
+    text = F.struct("f1", "f2", "n")
+    shared = materialise(named_rows.groupBy("doc_id").agg(F.min(text).alias("least"), F.max(text).alias("most")).where("least <> most").select("doc_id"))
+    several = not shared.isEmpty()
+    classes = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"))
+    if several:
+        classes = classes.join(shared.select(F.col("doc_id").alias("node"), F.lit(True).alias("_shared")), "node", "left").withColumn(
+            "node", F.when(F.col("_shared").isNull(), F.col("node"))).drop("_shared")
+    classes = materialise(classes.withColumn("node", F.coalesce("node", nameless)).select("f1", "f2", "n", "node", "sketch"))
 
     # buckets with several classes; a class in many and large buckets is the best one to lead its buckets
     width = 2 * REGISTERS // bands
@@ -305,9 +313,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = spread(texts).mapInArrow(_set_rows(shingle, bitmap), "node long, shingles array<long>")
     sets = sets.join(named, sets["node"] == named["doc_id"], "left_semi")
     if not led.where(F.col("node") >= NO_ID).isEmpty():
-        # rows without an id are found by their text: classes are recognised by their fingerprints
-        sets = sets.unionByName(_nameless_sets(texts, led, shingle))
-    # a node with several texts (rows sharing an id) has the union of their shingles
+        # rows without an id of their own are found by their text: classes are recognised by their fingerprints
+        unnamed = texts.where("doc_id IS NULL")
+        if several:
+            unnamed = unnamed.unionByName(texts.join(shared, "doc_id", "left_semi"))
+        sets = sets.unionByName(_nameless_sets(unnamed, led, shingle))
     sets = materialise(sets.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles")))
     sized = classes.groupBy("node").agg(F.max("n").alias("n"), F.first("sketch").alias("sketch"))
 
@@ -321,6 +331,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .join(sized.select("node", "n"), "node"))
     links = materialise(links.unionByName(_stray_links(groups, sets, percent, partitions(spark))))
 
+    if several:   # texts that share an id are joined by it
+        by_id = named_rows.join(shared, "doc_id", "left_semi").join(classes, ["f1", "f2", "n"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+        links = links.unionByName(by_id.where("a <> b").distinct())
     root = components(links, "a", "b")
     out = rows.join(classes.select("f1", "f2", "n", "node"), ["f1", "f2", "n"], "left").join(root, "node", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.coalesce("root", "node") < NO_ID, F.coalesce("root", "node"))
@@ -339,7 +352,7 @@ def _nameless_sets(texts: DataFrame, members: DataFrame, shingle: int) -> DataFr
                 yield pa.RecordBatch.from_arrays(
                     [*fingerprints(h, first), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(signed(h)))], names=["f1", "f2", "shingles"])
 
-    own = spread(texts.where("doc_id IS NULL")).mapInArrow(run, "f1 long, f2 long, shingles array<long>")
+    own = spread(texts).mapInArrow(run, "f1 long, f2 long, shingles array<long>")
     node = F.lit(NO_ID) + F.shiftright(F.abs(F.xxhash64("f1", "f2")), 2)
     return own.select(node.alias("node"), "shingles").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 

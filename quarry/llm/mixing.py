@@ -133,46 +133,66 @@ def _fit_source(g: pd.DataFrame) -> pd.DataFrame:
                          "source_size": source_size, "target": target})
 
 
+SALTS = 256
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights: Sequence[float] = WEIGHTS, share: float = 1.0, seed: int = SEED) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken (words, repeats counted)."""
     prepare(docs.sparkSession)
-    source = F.col(source_col).cast("string")
     sized = materialise(docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), source)).alias("skey"),
-        source.alias("source"),
-        word_count(text_col).alias("size"),
-    ))
-    lengths = sized.groupBy("skey", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+        F.col(id_col).alias("doc_id"), _source_key(source_col).alias("skey"), F.col(source_col).cast("string").alias("source"),
+        word_count(text_col).alias("size")))
+    plan = _plan(sized.groupBy("skey", "source", "size").agg(F.count(F.lit(1)).alias("n")), weights, share)
+    ranked = salted_rank(sized.select("doc_id", "skey", "size"), ["skey", "size"], [F.col("doc_id")], "nth", seed)
+    return ranked.join(plan, ["skey", "size"]).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * _repeats()).cast("long").alias("taken"))
+
+
+def _source_key(source_col: str) -> Column:
+    source = F.col(source_col).cast("string")
+    return F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), source))
+
+
+def _repeats() -> Column:
+    """How often the mix takes a document, from the plan of its length and its place among the documents of that length."""
+    return F.col("whole") + F.size(F.filter("extra", lambda k: F.col("nth") < k))
+
+
+def _plan(lengths: DataFrame, weights: Sequence[float], share: float) -> DataFrame:
+    """Per source and length: whole repeats of all its documents and further ones of the first few (``lengths``: skey, source, size, n)."""
     totals = lengths.groupBy("skey", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    targets = source_targets(totals, weights, share).select(
-        F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source"))).alias("skey"),
-        "source_size", "target")
+    targets = source_targets(totals, weights, share).select(_source_key("source").alias("skey"), "source_size", "target")
     # One group per source holds its length histogram: a row per distinct length, not per document.
     plan = (
         lengths.select("skey", "size", "n").join(targets, "skey")
         .groupBy("skey").applyInPandas(_fit_source, "skey string, size long, whole long, extra array<long>, source_size long, target double")
     )
-    plan = materialise(plan)
-    ranked = salted_rank(sized.select("doc_id", "skey", "size"), ["skey", "size"], [F.col("doc_id")], "nth", seed)
-    return ranked.join(plan, ["skey", "size"]).select(
-        "doc_id", "size", "source_size", "target",
-        (F.col("size") * (F.col("whole") + F.size(F.filter("extra", lambda k: F.col("nth") < k)))).cast("long").alias("taken"),
-    )
+    return materialise(plan)
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                    weights: Sequence[float] = WEIGHTS, share: float = 1.0, seed: int = SEED) -> DataFrame:
     """The mix itself: the input's rows and columns, each repeated as often as the mix takes it.
 
-    Documents of size 0 cost no words and stay once.  Rows sharing an id get
-    the repeats decided for that id, one decision each.
+    Documents of size 0 cost no words and stay once.  Every row is decided on
+    its own: rows that share an id, or have none, are told apart by their
+    content, and equal rows are interchangeable.
     """
-    mix = mix_sources(docs, id_col, **options)
-    times = F.when(F.col("size") > 0, F.col("taken") / F.greatest("size", F.lit(1))).otherwise(1).cast("int")
-    decided = mix.select(F.col("doc_id").alias("_id"), times.alias("_times")).withColumn(
-        "_nth", F.row_number().over(Window.partitionBy("_id").orderBy(F.desc("_times"))))
-    rows = docs.select(F.col(id_col).alias("_key"), F.struct("*").alias("_doc")).withColumn(
-        "_place", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("_doc"))))
-    joined = rows.join(decided, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_place") == F.col("_nth")))
-    return joined.where("_times > 0").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_doc.*")
+    spark = docs.sparkSession
+    prepare(spark)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col(id_col).alias("_id"), _source_key(source_col).alias("skey"), F.col(source_col).cast("string").alias("source"),
+                       word_count(text_col).alias("size"), whole.alias("_doc"))
+    # places in a seeded order, numbered apart in SALTS buckets; rows without an id take theirs by their content
+    rows = rows.withColumn("_tie", F.xxhash64("_doc"))
+    rows = rows.withColumn("_h", F.when(F.col("_id").isNull(), F.xxhash64(F.lit(seed), "_tie")).otherwise(F.xxhash64(F.lit(seed), "_id")))
+    rows = rows.withColumn("_b", F.pmod("_h", F.lit(SALTS)).cast("int"))
+    counts = materialise(rows.groupBy("skey", "source", "size", "_b").agg(F.count(F.lit(1)).alias("c")))
+    plan = _plan(counts.groupBy("skey", "source", "size").agg(F.sum("c").alias("n")), weights, share)
+    prior = Window.partitionBy("skey", "size").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    decided = counts.withColumn("_o", F.coalesce(F.sum("c").over(prior), F.lit(0))).drop("source", "c").join(plan, ["skey", "size"])
+    inside = Window.partitionBy("skey", "size", "_b").orderBy("_h", "_id", "_tie")
+    taken = rows.drop("source").join(decided, ["skey", "size", "_b"]).withColumn("nth", F.col("_o") + F.row_number().over(inside) - 1)
+    taken = taken.withColumn("_times", F.when(F.col("size") > 0, _repeats()).otherwise(1).cast("int"))
+    return taken.where("_times > 0").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_doc.*")

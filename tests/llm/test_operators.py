@@ -392,6 +392,28 @@ def test_mixing(table, docs, nothing):
     assert mixing.mix_sources(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
 
 
+def test_mixed_rows_that_share_an_id_or_have_none(spark):
+    """Every row is decided on its own: the mix holds the words that were planned."""
+    rows = [(7, "a " * 10, "x"), (7, "b " * 200, "x"), (7, "b " * 200, "x"), (None, "c " * 30, "x"), (None, "d " * 31, None), (None, "d " * 31, None), (1, "", "x")]
+    rows += [(100 + i, "e " * (20 + i % 5), "yz"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    out = mixing.mixed_documents(df).collect()
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len(text.split())
+    targets, got, each = brute_targets(sizes), Counter(), Counter((r["doc_id"], r["text"], r["source"]) for r in out)
+    for (_, text, source), times in each.items():
+        got[source] += times * len(text.split())
+    for row, times in each.items():
+        assert times <= 3 * rows.count(row)
+    for source in sizes:
+        longest = max(len(text.split()) for _, text, s in rows if s == source)
+        assert abs(got[source] - targets[source]) <= longest, source
+    assert each[(1, "", "x")] == 1
+    again = mixing.mixed_documents(df.repartition(2)).collect()
+    assert Counter(map(tuple, out)) == Counter(map(tuple, again))
+
+
 def test_targets_stop_at_three_times_the_size(spark):
     sizes = {"a": 10, "b": 1000, None: 500, "z": 1}
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
@@ -413,6 +435,23 @@ def test_minhash(table, docs, nothing):
     assert minhash.near_dedup(nothing).count() == 0 and minhash.one_per_group(nothing).count() == 0
 
 
+def test_minhash_of_texts_that_share_an_id(spark):
+    """Texts of one id are compared apart, and the id joins what they link with."""
+    rng = random.Random(9)
+    a, b, c, d = (words(rng, n, 5000) for n in (60, 300, 80, 90))
+    near = a.copy()
+    near[30] = "changed"
+    other = c.copy()
+    other[5] = "changed"
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (3, " ".join(near)), (5, " ".join(c)), (6, " ".join(other)), (6, " ".join(d)), (8, " ".join(d)), (8, ""), (9, " ".join(d)),
+            (None, " ".join(b)), (11, " ".join(words(rng, 40, 5000))), (11, None)]
+    got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"], r["kept"])
+                 for r in minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    root = {"1": 1, "3": 1, "5": 5, "6": 5, "8": 5, "9": 5, "11": 11, "None": 1}
+    want = [(str(i), max(0, len(t.split()) - 4) if t else 0, root[str(i)] if t else i, (root[str(i)] if t else i) == i) for i, t in rows]
+    assert got == sorted(want)
+
+
 def test_minhash_of_many_near_copies_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "CELL_NODES", 8)
     rng = random.Random(6)
