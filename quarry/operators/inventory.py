@@ -299,15 +299,15 @@ def transfer_suggestions(df: DataFrame, date: str = "date", region: str = "regio
     """Stock transfers from excess to stock-out regions of the same product on the latest date.
 
     The latest date is a scalar subquery (computed once, inlined), the
-    rows of that date are split by status and equi-joined on product.  Input
-    grain must have one row per (date, region, product) (e.g. ``sales_month``),
-    so pairs per product are bounded by regions x regions.  Pairs are
-    independent: a surplus is not consumed by earlier suggestions.
+    rows of that date are summed per (region, product), split by status and
+    equi-joined on product, so pairs per product are bounded by regions x
+    regions whatever the input's grain.  Pairs are independent: a surplus is not
+    consumed by earlier suggestions.
     """
     rows = df.select(date, region, product, num("sales").alias("sales"), num("stock").alias("stock"))
     rows = rows.dropna().where(F.col("sales") > 0)
     latest = rows.agg(F.max(date)).scalar()
-    last = rows.where(F.col(date) == latest)
+    last = rows.where(F.col(date) == latest).groupBy(region, product).agg(F.sum("sales").alias("sales"), F.sum("stock").alias("stock"))
     status = stock_status(F.col("stock") / F.col("sales"))
     last = last.withColumn("_status", status)
     surplus = last.where(F.col("_status") == STATUS_EXCESS).select(

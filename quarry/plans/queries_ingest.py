@@ -279,14 +279,122 @@ def q_preview(spark, sf):
     return preview(r, 10, [F.col("order_id").try_cast("bigint").asc_nulls_first()])
 
 
-@query("suggest_columns", """
-SELECT * FROM (VALUES ('production', 'production'), ('stock', 'stock'), ('defect', 'defect'), ('category', 'product'), ('date', 'date'),
-                      ('sales', 'l_orderkey')) t(role, "column") WHERE EXISTS (SELECT 1 FROM lineitem)""")
+def _role_kinds_sql(text: list[str], numbers: list[str]) -> str:
+    parts = [f"SELECT {i} AS ordinal, '{c}' AS col, count({c}) AS v, count(TRY_CAST({c} AS DOUBLE)) AS n, count(try_strptime({c}, '%Y-%m-%d')) AS d FROM up"
+             for i, c in enumerate(text)]
+    parts += [f"SELECT {len(text) + i}, '{c}', count({c}), count({c}), 0 FROM up" for i, c in enumerate(numbers)]
+    return " UNION ALL ".join(parts)
+
+
+ROLE_TEXT, ROLE_NUMBERS = ["date", "region", "product", "category", "sales", "stock"], ["production", "defect"]
+ROLE_NAMES = {"production": ("production", "output", "produced", "units_produced"), "stock": ("stock", "inventory", "closing_stock", "on_hand"),
+              "defect": ("defect", "reject", "defect_rate", "quality"), "category": ("category", "sku", "product", "brand", "segment")}
+
+
+def _named_sql(role: str) -> str:
+    return "(" + " OR ".join(f"contains(col, '{h}')" for h in ROLE_NAMES[role]) + ")"
+
+
+@query("suggest_columns", f"""
+, up AS (SELECT strftime(date, '%Y-%m-%d') AS date, region, product, category, CAST(sales AS VARCHAR) AS sales, CAST(stock AS VARCHAR) AS stock,
+                production, defect FROM sales_fact),
+k AS ({_role_kinds_sql(ROLE_TEXT, ROLE_NUMBERS)}),
+kinds AS (SELECT *, CASE WHEN v = 0 THEN 'empty' WHEN n >= 0.8 * v THEN 'number' WHEN d >= 0.8 * v THEN 'date' ELSE 'text' END AS kind FROM k)
+SELECT 'sales' AS role, arg_min(col, ordinal) AS "column" FROM kinds WHERE kind = 'number'
+""" + "".join(f"UNION ALL SELECT '{r}', arg_min(col, ordinal) FROM kinds WHERE kind = '{'text' if r == 'category' else 'number'}' AND {_named_sql(r)} HAVING count(*) > 0\n"
+              for r in ROLE_NAMES) + "UNION ALL SELECT 'date', arg_min(col, ordinal) FROM kinds WHERE kind = 'date' HAVING count(*) > 0", ["sales_fact"])
 def q_suggest_columns(spark, sf):
-    """A9 over the types and names of the sales fact: one row per role, while it has rows."""
+    """A9 over an upload of the sales fact whose dates and amounts are text: kinds are decided by all values."""
     from quarry.plans.views import sales_fact
-    from quarry.sources.delimited import suggest_columns
+    from quarry.sources.delimited import suggest_roles
 
     fact = sales_fact(spark, sf)
-    roles = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(c).alias("column")) for r, c in suggest_columns(fact).items()])
-    return fact.select("sales").limit(1).select(F.explode(roles).alias("s")).select("s.*")
+    as_text = {"date": F.date_format("date", "yyyy-MM-dd"), "sales": F.col("sales").cast("string"), "stock": F.col("stock").cast("string")}
+    return suggest_roles(fact.select(*[as_text.get(c, F.col(c)).alias(c) for c in ROLE_TEXT + ROLE_NUMBERS]))
+
+
+# ------------------------------------------------------------------ files written from raw_orders and read back
+NOTE = "Note, as typed"      # header of a text field with quotes, separators and line breaks
+
+
+def _upload(spark, sf) -> tuple[str, list[str]]:
+    """raw_orders as delimited files with one awkward text field, in the shared folder: (folder, files)."""
+    import uuid
+
+    from quarry.session import checkpoint_dir
+
+    folder = f"{checkpoint_dir(spark)}/upload-{uuid.uuid4().hex}"
+    rows = raw_orders(spark, sf)
+    note = F.when(F.col("status") == "O", F.concat(F.lit('said "'), F.col("customer"), F.lit('", twice\non two lines'))).otherwise(F.col("priority"))
+    plain = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    rows.withColumn(NOTE, note).write.options(header="true", escape='"', **plain).csv(f"{folder}/in")
+    files = [r["path"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(f"{folder}/in").select("path").collect()]
+    return folder, sorted(files)
+
+
+@query("read_delimited", f"""
+SELECT *, CASE WHEN status = 'O' THEN 'said "' || customer || '", twice' || chr(10) || 'on two lines' ELSE priority END AS "{NOTE}" FROM raw_orders""", RV)
+def q_read_delimited(spark, sf):
+    from quarry.sources.delimited import read_delimited
+
+    return read_delimited(spark, _upload(spark, sf)[1])
+
+
+def _ingested(spark, sf):
+    from quarry.sources.ingest import ingest
+
+    folder, files = _upload(spark, sf)
+    report = ingest(spark, files, f"{folder}/points", f"{folder}/registry", name="orders", dataset_id="orders")
+    return folder, report
+
+
+@query("ingested_points", """
+SELECT 'orders' AS dataset_id, try_strptime(order_date, '%Y-%m-%d') AS "timestamp", try_strptime(order_date, '%Y-%m-%d') IS NOT NULL AS is_valid,
+       CAST(order_id AS DOUBLE) AS order_id, CAST(customer AS DOUBLE) AS customer, status
+FROM raw_orders WHERE order_id IS NOT NULL""", RV)
+def q_ingested_points(spark, sf):
+    """Points of a whole ingestion of files, read back from the store."""
+    from quarry.sources import store
+
+    points = store.read_points(spark, f"{_ingested(spark, sf)[0]}/points")
+    number = lambda c: store.field_text(c).cast("double").alias(c)
+    return points.select("dataset_id", "timestamp", "is_valid", number("order_id"), number("customer"), store.field_text("status").alias("status"))
+
+
+@query("ingestion_report", REPORT + f"""
+SELECT 'orders' AS name, 'success' AS status, 'order_date' AS datetime_column, '{",".join(NUMERIC)}' AS numeric_columns, '{",".join(BOOLEAN)}' AS boolean_columns,
+       total_records, valid_records, invalid_records, dropped_empty_rows, timestamp_failures, valid_ratio,
+       {" + ".join(f"numeric_failures__{c}" for c in NUMERIC)} AS numeric_failures
+FROM rep""", RV)
+def q_ingestion_report(spark, sf):
+    """C11: the stored report of a whole ingestion of files."""
+    report = _ingested(spark, sf)[1]
+    failures = F.aggregate("numeric_coercion_failures", F.lit(0).cast("bigint"), lambda acc, f: acc + f["failures"])
+    return report.select(
+        "name", "status", "schema.datetime_column", F.array_join("schema.numeric_columns", ",").alias("numeric_columns"),
+        F.array_join("schema.boolean_columns", ",").alias("boolean_columns"), "total_records", "valid_records", "invalid_records", "dropped_empty_rows",
+        "timestamp_failures", "valid_ratio", failures.alias("numeric_failures"))
+
+
+@query("stored_points", """
+SELECT dataset_id, CAST(CASE WHEN is_valid THEN 1 ELSE 0 END AS BIGINT) AS batch, count(*) AS points, CAST(sum(row_index) AS BIGINT) AS row_index_sum,
+       min("timestamp") AS first_point, max("timestamp") AS last_point
+FROM event_points WHERE dataset_id IN ('click', 'purchase') GROUP BY ALL""", ["event_points"])
+def q_stored_points(spark, sf):
+    """A5: batches of two datasets, one written again by a second attempt and one published from staging, read back."""
+    import uuid
+
+    from quarry.plans.views import event_points
+    from quarry.session import checkpoint_dir
+    from quarry.sources import store
+
+    folder = f"{checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    points = event_points(spark, sf)
+    for name in ("click", "purchase"):
+        for batch, valid in ((0, False), (1, True), (1, True)):
+            target = f"{folder}/staged" if name == "purchase" else f"{folder}/points"
+            own = points.where((F.col("dataset_id") == name) & (F.col("is_valid") == valid))
+            store.write_points(own.select("row_index", "timestamp", "payload", "is_valid"), target, name, batch=batch)
+    store.publish_points(spark, f"{folder}/staged", f"{folder}/points", "purchase")
+    return store.read_points(spark, f"{folder}/points").groupBy("dataset_id", F.col("batch").cast("bigint").alias("batch")).agg(
+        F.count(F.lit(1)).alias("points"), F.sum("row_index").alias("row_index_sum"), F.min("timestamp").alias("first_point"), F.max("timestamp").alias("last_point"))

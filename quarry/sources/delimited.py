@@ -179,6 +179,54 @@ def suggest_columns(df: DataFrame, datetime_column: str | None = None, numeric:
     return out
 
 
+# A text column whose values are numbers (or dates) in this share of its rows takes that role.
+ROLE_SHARE = 0.8
+
+
+def column_kinds(df: DataFrame) -> DataFrame:
+    """(ordinal, column, values, kind) from one aggregation of the whole table: ``date``, ``number``, ``text`` or ``empty``.
+
+    A typed column has its type's kind; a text column is what at least
+    ROLE_SHARE of its non-null values parse as, numbers first.
+    """
+    fixed = {"byte": "number", "short": "number", "integer": "number", "long": "number", "float": "number", "double": "number", "decimal": "number",
+             "date": "date", "timestamp": "date", "timestamp_ntz": "date"}
+    aggs, parts = [], []
+    for i, f in enumerate(df.schema.fields):
+        c, kind = F.col(f"`{f.name}`"), fixed.get(f.dataType.typeName())
+        aggs.append(F.count(c).alias(f"v{i}"))
+        seen = F.col(f"v{i}")
+        if kind is None and f.dataType.typeName() == "string":
+            number = P.parse_numeric(c, False)
+            aggs += [F.count(number).alias(f"n{i}"), F.count(F.when(number.isNull(), P.parse_any_datetime(c))).alias(f"d{i}")]
+            found = F.when(F.col(f"n{i}") >= ROLE_SHARE * seen, "number").when(F.col(f"d{i}") >= ROLE_SHARE * seen, "date").otherwise("text")
+        else:
+            found = F.lit(kind or "text")
+        parts.append(F.struct(F.lit(i).alias("ordinal"), F.lit(f.name).alias("column"), seen.alias("values"),
+                              F.when(seen > 0, found).otherwise("empty").alias("kind")))
+    return df.agg(*aggs).select(F.inline(F.array(*parts)))
+
+
+def suggest_roles(df: DataFrame) -> DataFrame:
+    """A9 from the data: (role, column) with a column for each role that has one.
+
+    Kinds come from the values of the whole table (``column_kinds``).  Sales is
+    the first column of numbers; production, stock and defect the first one
+    whose name holds a keyword of the role; category the first text column with
+    one; date the first column of dates, by keyword before any other.
+    """
+    kinds = column_kinds(df)
+    named = lambda role: F.exists(F.array(*[F.lit(h) for h in KEYWORD_HINTS[role]]), lambda h: F.contains(F.lower("column"), h))
+    fits = [
+        F.when(F.col("kind") == "number", F.struct(F.lit("sales").alias("role"), F.lit(0).alias("rank"))),
+        *[F.when((F.col("kind") == "number") & named(r), F.struct(F.lit(r).alias("role"), F.lit(0).alias("rank"))) for r in ("production", "stock", "defect")],
+        F.when((F.col("kind") == "text") & named("category"), F.struct(F.lit("category").alias("role"), F.lit(0).alias("rank"))),
+        F.when(F.col("kind") == "date", F.struct(F.lit("date").alias("role"), F.when(named("date"), 0).otherwise(1).alias("rank"))),
+    ]
+    found = kinds.select("ordinal", "column", F.inline(F.array_compact(F.array(*fits))))
+    return found.groupBy("role").agg(F.min_by("column", F.struct("rank", "ordinal")).alias("column"))
+
+
 def preview(df: DataFrame, n: int = 10, order_by: Sequence | None = None) -> DataFrame:
     """A10: the first ``n`` rows in a given order (top-n: each task keeps n rows)."""
     return (df.orderBy(*order_by) if order_by else df).limit(n)

@@ -52,10 +52,13 @@ def ingest(spark: SparkSession, paths: list[str], points_path: str, registry_pat
     """Run the whole ingestion for ``paths``; returns the one-row report (stored in ``reports_path``, default beside the registry).
 
     The numbered input is checkpointed once and every step reads that copy.
-    Points are staged and published, by one rename, only after the report is
-    stored, so a failed run leaves nothing but its registry entry.
+    Points and the report are staged (``status`` staged); the report's
+    ``success`` row follows once the points are published, so no report claims
+    points that are not there.  Each run has its own ``run_id``: a second run
+    of the same dataset returns its own report.  A failed run leaves its staged
+    report and its registry entry, and the points of an earlier run as they were.
     """
-    dataset_id = dataset_id or uuid.uuid4().hex
+    dataset_id, run_id = dataset_id or uuid.uuid4().hex, uuid.uuid4().hex
     name = name or os.path.splitext(os.path.basename(paths[0]))[0]
     reports_path = reports_path or f"{registry_path.rstrip('/')}_reports"
     staged = f"{points_path.rstrip('/')}/_staging-{dataset_id}"
@@ -73,13 +76,21 @@ def ingest(spark: SparkSession, paths: list[str], points_path: str, registry_pat
         rec = C.records(idx, roles, keep=["row_index"])
         store.write_points(rec.select("row_index", "timestamp", "payload", "is_valid"), staged, dataset_id)
         report = ingestion_report(C.transformation_report(raw, roles), roles, profile, dataset_id, name, ",".join(paths))
-        report.withColumn("status", F.lit("success")).write.mode("append").parquet(reports_path)
-        stored = spark.read.parquet(reports_path).where(F.col("dataset_id") == dataset_id)
-        rows = stored.select("total_records").first()[0]
+        report.withColumns({"status": F.lit("staged"), "run_id": F.lit(run_id)}).write.mode("append").parquet(reports_path)
+        stored = spark.read.parquet(reports_path).where(F.col("run_id") == run_id)
+        total = stored.select("total_records").first()[0]
         store.publish_points(spark, staged, points_path, dataset_id)
+        done = stored.where("status = 'staged'").withColumn("status", F.lit("success"))
+        done.write.mode("append").parquet(reports_path)
     except Exception as exc:  # the failed status is recorded, then re-raised
         store.drop_folder(spark, staged)
         log(status="failed", error_message=str(exc))
         raise
-    log(row_count=int(rows), datetime_column=roles.datetime, status="success", error_message=None)
-    return stored
+    log(row_count=int(total), datetime_column=roles.datetime, status="success", error_message=None)
+    return spark.read.parquet(reports_path).where((F.col("run_id") == run_id) & (F.col("status") == "success"))
+
+
+def current_reports(reports: DataFrame) -> DataFrame:
+    """The latest successful report of every dataset."""
+    whole = F.struct(*[F.col(c) for c in reports.columns])
+    return reports.where("status = 'success'").groupBy("dataset_id").agg(F.max_by(whole, "generated_at").alias("_r")).select("_r.*")

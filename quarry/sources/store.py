@@ -41,16 +41,42 @@ def write_points(records: DataFrame, path: str, dataset_id: str, batch: int = 0)
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset_id", "batch").parquet(path)
 
 
+def _move(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"cannot move {source} to {target}")
+
+
 def publish_points(spark: SparkSession, staged: str, path: str, dataset_id: str) -> None:
-    """Move a staged dataset into the store: one rename of its partition folder, replacing an earlier one."""
-    jvm = spark._jvm
-    source, target = (jvm.org.apache.hadoop.fs.Path(f"{p}/dataset_id={dataset_id}") for p in (staged, path))
+    """Move a staged dataset into the store, replacing an earlier one.
+
+    The earlier data is set aside (in a hidden folder beside it, which no read
+    of the store sees) and dropped only when the new data is in place; a move
+    that fails puts it back, and a publish that was stopped in between is put
+    back by the next one.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    source, target = (hadoop.Path(f"{p}/dataset_id={dataset_id}") for p in (staged, path))
+    aside = hadoop.Path(f"{path}/_replaced-{dataset_id}")
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(target.getParent())
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(source, target):
-        raise OSError(f"cannot publish {source} as {target}")
+    if fs.exists(aside):                       # left by a stopped publish
+        if fs.exists(target):
+            fs.delete(aside, True)
+        else:
+            _move(fs, aside, target)
+    if not fs.exists(source):
+        raise OSError(f"nothing staged at {source}")
+    replaces = fs.exists(target)
+    if replaces:
+        _move(fs, target, aside)
+    try:
+        _move(fs, source, target)
+    except Exception:
+        if replaces:
+            _move(fs, aside, target)
+        raise
+    if replaces:
+        fs.delete(aside, True)
     drop_folder(spark, staged)
 
 

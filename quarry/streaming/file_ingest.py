@@ -1,38 +1,61 @@
 """Continuous ingestion of delimited files dropped into a folder (Structured Streaming).
 
-The batch ingestion rules are applied to each micro-batch with
-``foreachBatch``: the cleaning plan (roles, layouts, European flags) is fixed
-up front from a profiled sample file, every new file is typed, turned into
-records and stored as the batch's own partition of the point store.
-``foreachBatch`` is at least once: a replayed micro-batch reads the same files
-and replaces its partition, so rows are stored once.  ``trigger(availableNow)``
-drains what is there and stops.
+The stream carries the names of new files only.  Each micro-batch reads its
+files with the batch reader (separator and encoding per file, doubled quotes,
+fields that span lines, headers in any order, normalised names, missing-value
+tokens) inside ``foreachBatch``, applies the cleaning plan (roles, layouts,
+European flags) fixed up front from a profiled sample, and stores the records as
+the batch's own partition of the point store.  ``foreachBatch`` is at least
+once: a replayed micro-batch reads the same files and replaces its partition, so
+rows are stored once.  ``trigger(availableNow)`` drains what is there and stops.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from quarry.functions import parse as P
 from quarry.operators import clean as C
 from quarry.sources import store
-from quarry.sources.delimited import NA_TOKENS
+from quarry.sources.delimited import normalize_columns, read_delimited
+from quarry.sources.ingest import numbered
 
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+BATCH_ROWS = 1 << 40      # row indexes of a micro-batch start at its number times this
 
-def start(spark: SparkSession, source_dir: str, schema: str, roles: C.Roles, points_path: str, checkpoint: str,
-          dataset_id: str, available_now: bool = True, max_files_per_trigger: int = 100):
-    """Start the ingest stream; returns the ``StreamingQuery``."""
-    raw = (spark.readStream.schema(schema).option("header", "true").option("maxFilesPerTrigger", max_files_per_trigger)
-           .csv(source_dir))
-    raw = raw.select(*[F.when(F.col(f"`{c}`").isin(*NA_TOKENS), F.lit(None)).otherwise(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+
+def _columns(spark: SparkSession, schema: str | StructType) -> list[str]:
+    fields = schema if isinstance(schema, StructType) else spark.createDataFrame([], schema).schema
+    return [P.normalize_name(f.name) for f in fields]
+
+
+def read_files(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
+    """The numbered rows of ``paths`` as text in the given columns: absent ones are NULL, others are left out."""
+    idx = numbered(normalize_columns(read_delimited(spark, paths)))
+    return idx.select("row_index", *[F.col(f"`{c}`") if c in idx.columns else F.lit(None).cast("string").alias(c) for c in columns])
+
+
+def start(spark: SparkSession, source_dir: str, schema: str | StructType, roles: C.Roles, points_path: str, checkpoint: str,
+          dataset_id: str, available_now: bool = True, max_files_per_trigger: int = 100, pattern: str = "*.{csv,tsv,txt}"):
+    """Start the ingest stream over files of ``source_dir`` that match ``pattern``; returns the ``StreamingQuery``.
+
+    ``schema`` names the columns to keep.  A micro-batch collects its file names
+    (``max_files_per_trigger`` at most) and nothing else.
+    """
+    columns = _columns(spark, schema)
+    found = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", pattern)
+             .option("maxFilesPerTrigger", max_files_per_trigger).load(source_dir).select("path", "length"))   # contents are not read here
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
-        # row index: the micro-batch id in the high bits keeps indexes unique across batches;
-        # a replayed batch reads the same files with the same splits, so it gets the same ids
-        numbered = batch.withColumn("row_index", (F.lit(epoch).cast("bigint") * (1 << 40)) + F.monotonically_increasing_id())
-        rec = C.records(numbered, roles, keep=["row_index"])
+        paths = sorted(r["path"] for r in batch.where("length > 0").collect())
+        if not paths:
+            return
+        rows = read_files(batch.sparkSession, paths, columns).withColumn("row_index", F.col("row_index") + F.lit(epoch).cast("bigint") * BATCH_ROWS)
+        rec = C.records(rows, roles, keep=["row_index"])
         store.write_points(rec.select("row_index", "timestamp", "payload", "is_valid"), points_path, dataset_id, batch=epoch)
 
-    writer = raw.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    writer = found.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
