@@ -398,3 +398,23 @@ def q_stored_points(spark, sf):
     store.publish_points(spark, f"{folder}/staged", f"{folder}/points", "purchase")
     return store.read_points(spark, f"{folder}/points").groupBy("dataset_id", F.col("batch").cast("bigint").alias("batch")).agg(
         F.count(F.lit(1)).alias("points"), F.sum("row_index").alias("row_index_sum"), F.min("timestamp").alias("first_point"), F.max("timestamp").alias("last_point"))
+
+
+@query("file_fingerprints", """
+SELECT o_orderstatus AS status, md5(string_agg(o_orderkey || ' ' || o_orderpriority, chr(10) ORDER BY o_orderkey) || chr(10)) AS md5,
+       CAST(length(string_agg(o_orderkey || ' ' || o_orderpriority, chr(10))) + 1 AS BIGINT) AS length
+FROM orders GROUP BY o_orderstatus""")
+def q_file_fingerprints(spark, sf):
+    """A3: one file per order status, written and fingerprinted."""
+    import uuid
+
+    from quarry.session import checkpoint_dir
+    from quarry.sources.delimited import file_fingerprints
+    from quarry.sources.tables import table
+
+    folder = f"{checkpoint_dir(spark)}/prints-{uuid.uuid4().hex}"
+    lines = table(spark, sf, "orders").select("o_orderstatus", "o_orderkey", F.concat_ws(" ", "o_orderkey", "o_orderpriority").alias("line"))
+    dealt = lines.repartition(F.col("o_orderstatus")).sortWithinPartitions("o_orderstatus", "o_orderkey")
+    dealt.select("o_orderstatus", "line").write.partitionBy("o_orderstatus").text(folder)
+    prints = file_fingerprints(spark, [f"{folder}/o_orderstatus=*"])
+    return prints.select(F.regexp_extract("path", "o_orderstatus=([A-Z])", 1).alias("status"), "md5", "length")

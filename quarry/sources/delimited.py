@@ -10,7 +10,7 @@ import os
 from collections.abc import Sequence
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import parse as P
@@ -45,14 +45,15 @@ def file_traits(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         F.bool_or(quotes % 2 == 1).alias("spans_lines"))
 
 
-def read_delimited(spark: SparkSession, paths: Sequence[str], check_files: bool = True) -> DataFrame:
+def read_delimited(spark: SparkSession, paths: Sequence[str], check_files: bool = True, normalize: bool = False) -> DataFrame:
     """A1: header row, every column as text, NA tokens -> NULL.
 
     Separator: ',' for .csv/.txt and tab for .tsv.  Quotes inside a quoted
     field are doubled.  Encoding: UTF-8, or ISO-8859-1 for files that are not
     valid UTF-8 (the fallback never fails).  Files are read in groups of equal
     separator, encoding, header and need for fields that span lines (only such
-    files give up splitting), and the groups are united by column name.
+    files give up splitting), and the groups are united by column name
+    (``normalize``: by normalised name, A2, as files may spell a header differently).
     ``check_files=False`` skips the pass over the lines for files known to be
     plain UTF-8 with one header and no field that spans lines.
     """
@@ -78,6 +79,7 @@ def read_delimited(spark: SparkSession, paths: Sequence[str], check_files: bool
         df = (spark.read.option("header", "true").option("sep", sep).option("quote", '"').option("escape", '"')
               .option("multiLine", str(spans_lines).lower()).option("encoding", "UTF-8" if utf8 else "ISO-8859-1")
               .option("inferSchema", "false").csv(ps))
+        df = normalize_columns(df) if normalize else df
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out.select(*[F.when(F.col(f"`{c}`").isin(*NA_TOKENS), F.lit(None)).otherwise(F.col(f"`{c}`")).alias(c) for c in out.columns])
 
@@ -90,17 +92,39 @@ def normalize_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
+_PRIME = (1 << 61) - 1
+
+
 def file_fingerprints(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """A3: MD5 of each file's bytes (one task per file, up to the 2 GiB of a binary value; see ``line_fingerprints``)."""
     return spark.read.format("binaryFile").load(list(paths)).select("path", F.md5("content").alias("md5"), "length")
 
 
+_PLACE = (1 << 33) - 1    # monotonically_increasing_id: place in the partition below, partition above
+
+
 def line_fingerprints(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """A3 for files of any size: line count and two sums over line hashes per file, splittable (independent of line order)."""
-    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.xxhash64("value").alias("h"), F.length("value").alias("n"))
-    wide = F.col("h").cast("decimal(38,0)")
-    return lines.groupBy("path").agg(
-        F.md5(F.concat_ws("|", F.count(F.lit(1)), F.sum("n"), F.sum(wide), F.bit_xor("h")).cast("binary")).alias("md5"), F.sum("n").alias("length"))
+    """A3 for files of any size, in one splittable pass: digest of a file's lines and their order, and its characters.
+
+    A line weighs its hash with its number in the file.  Per split the sums of
+    hashes, and of hashes times the place in the split, are enough: the lines of
+    earlier splits of the file shift all places of a split alike.  The digest
+    does not depend on where the splits lie.
+    """
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().bitwiseAND(_PLACE).cast("decimal(20,0)").alias("at"), F.xxhash64("value").alias("h"), F.length("value").alias("n"))
+    low, high = F.col("h").bitwiseAND((1 << 31) - 1), F.shiftrightunsigned("h", 33)
+    parts = [x.cast("decimal(20,0)") for x in (low, high)]
+    sums = lines.groupBy("path", "split").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("n").alias("n"), F.min("at").alias("first"),
+        *[F.sum(x).alias(f"s{i}") for i, x in enumerate(parts)], *[F.sum((x * F.col("at")).cast("decimal(38,0)")).alias(f"w{i}") for i, x in enumerate(parts)])
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = sums.withColumn("shift", (before + 1 - F.col("first")).cast("decimal(20,0)"))      # one row a split
+    # modulo a prime, so that no product outgrows a decimal
+    weight = lambda i: F.sum(F.pmod(F.col(f"w{i}") + F.pmod(F.col(f"s{i}"), F.lit(_PRIME)) * F.col("shift"), F.lit(_PRIME)))
+    return placed.groupBy("path").agg(
+        F.md5(F.concat_ws("|", F.sum("lines"), F.sum("n"), F.sum("s0"), F.sum("s1"), weight(0), weight(1)).cast("binary")).alias("md5"), F.sum("n").alias("length"))
 
 
 def new_files(fingerprints: DataFrame, registry: DataFrame) -> DataFrame:

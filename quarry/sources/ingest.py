@@ -16,7 +16,7 @@ from quarry.functions.order import with_row_index
 from quarry.operators import clean as C
 from quarry.operators.profile import detect_schema, profile_columns
 from quarry.sources import store
-from quarry.sources.delimited import normalize_columns, read_delimited
+from quarry.sources.delimited import read_delimited
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def ingest(spark: SparkSession, paths: list[str], points_path: str, registry_pat
         store.append_registry(entry.withColumns({"created_at": now, "updated_at": now}), registry_path)
 
     try:
-        idx = numbered(normalize_columns(read_delimited(spark, paths)))
+        idx = numbered(read_delimited(spark, paths, normalize=True))
         raw = idx.drop("row_index")
         profile = detect_schema(profile_columns(raw, with_distinct="approx"))
         roles = C.plan_roles(raw, profile)

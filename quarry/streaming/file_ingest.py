@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 from quarry.functions import parse as P
 from quarry.operators import clean as C
 from quarry.sources import store
-from quarry.sources.delimited import normalize_columns, read_delimited
+from quarry.sources.delimited import read_delimited
 from quarry.sources.ingest import numbered
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -33,7 +33,7 @@ def _columns(spark: SparkSession, schema: str | StructType) -> list[str]:
 
 def read_files(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
     """The numbered rows of ``paths`` as text in the given columns: absent ones are NULL, others are left out."""
-    idx = numbered(normalize_columns(read_delimited(spark, paths)))
+    idx = numbered(read_delimited(spark, paths, normalize=True))
     return idx.select("row_index", *[F.col(f"`{c}`") if c in idx.columns else F.lit(None).cast("string").alias(c) for c in columns])
 
 
