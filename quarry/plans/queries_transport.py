@@ -45,6 +45,73 @@ walk(problem, k, s, d, i, j, q) AS (
   FROM walk w JOIN cells c ON c.problem = w.problem AND c.k = w.k + 1)
 """
 
+# Vogel's method as a recursive query: each problem is one row with its cost matrix, open lines and remaining quantities
+# as lists.  A step computes the loss of every open line from its two cheapest open cells and serves the line that loses most.
+VOGEL = LEAST + """,
+grid AS (SELECT r.problem, r.i, list(cb.unit_cost::DOUBLE ORDER BY c.j) AS line
+         FROM rows_ r JOIN cols_ c ON r.problem = c.problem
+         LEFT JOIN cb ON cb.problem = r.problem AND cb.src = r.src AND cb.dst = c.dst GROUP BY r.problem, r.i),
+matrix AS (SELECT problem, list(line ORDER BY i) AS m, count(*) AS n_rows, max(len(line)) AS n_cols FROM grid GROUP BY problem),
+vogel(problem, k, s, d, ro, co, i, j, q) AS (
+  SELECT problem, 0::BIGINT, (SELECT list(qty ORDER BY i) FROM rows_ r WHERE r.problem = matrix.problem),
+         (SELECT list(qty ORDER BY j) FROM cols_ c WHERE c.problem = matrix.problem),
+         list_transform(range(n_rows), lambda x: true), list_transform(range(n_cols), lambda x: true),
+         0::BIGINT, 0::BIGINT, 0::DOUBLE
+  FROM matrix
+  UNION ALL
+  SELECT problem, k + 1, list_transform(s, lambda x, n: CASE WHEN n = i_ THEN x - q_ ELSE x END),
+         list_transform(d, lambda x, n: CASE WHEN n = j_ THEN x - q_ ELSE x END),
+         list_transform(ro, lambda x, n: x AND NOT (n = i_ AND s[i_] - q_ <= 0)),
+         list_transform(co, lambda x, n: x AND NOT (n = j_ AND d[j_] - q_ <= 0)), i_, j_, q_
+  FROM (SELECT *, least(s[i_], d[j_]) AS q_ FROM (
+    SELECT *, CASE WHEN by_row THEN row_at ELSE list_position(list_transform(open_cols[col_at], lambda x: coalesce(x, 'inf'::DOUBLE)), list_min(open_cols[col_at])) END AS i_,
+           CASE WHEN by_row THEN list_position(list_transform(open_rows[row_at], lambda x: coalesce(x, 'inf'::DOUBLE)), list_min(open_rows[row_at])) ELSE col_at END AS j_
+    FROM (
+      SELECT *, list_max(row_gap) >= list_max(col_gap) AS by_row,
+             list_position(row_gap, list_max(row_gap)) AS row_at, list_position(col_gap, list_max(col_gap)) AS col_at
+      FROM (
+        SELECT *, list_transform(list_transform(open_rows, lambda l: list_sort(list_filter(l, lambda x: x IS NOT NULL))),
+                    lambda l: CASE len(l) WHEN 0 THEN -1.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE l[2] - l[1] END) AS row_gap,
+               list_transform(list_transform(open_cols, lambda l: list_sort(list_filter(l, lambda x: x IS NOT NULL))),
+                    lambda l: CASE len(l) WHEN 0 THEN -1.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE l[2] - l[1] END) AS col_gap
+        FROM (
+          SELECT v.problem, k, s, d, ro, co,
+                 list_transform(m, lambda l, a: list_transform(l, lambda x, b: CASE WHEN ro[a] AND co[b] THEN x END)) AS open_rows,
+                 list_transform(range(1, n_cols + 1), lambda b: list_transform(m, lambda l, a: CASE WHEN ro[a] AND co[b] THEN l[b] END)) AS open_cols
+          FROM vogel v JOIN matrix ON matrix.problem = v.problem)) WHERE list_max(row_gap) >= 0))))
+"""
+
+COMPARE = VOGEL + """,
+plans AS (
+  SELECT 'least_cost' AS method, 0 AS rank_, w.problem, i, j, q FROM walk w WHERE q > 0
+  UNION ALL SELECT 'vogel', 1, problem, i, j, q FROM vogel WHERE q > 0),
+costs AS (
+  SELECT p.problem, sum(q * unit_cost)::DOUBLE AS total_cost, method, rank_
+  FROM plans p JOIN rows_ r ON r.problem = p.problem AND r.i = p.i JOIN cols_ c ON c.problem = p.problem AND c.j = p.j
+  JOIN cb ON cb.problem = p.problem AND cb.src = r.src AND cb.dst = c.dst GROUP BY p.problem, method, rank_
+  UNION ALL SELECT problem, total_cost::DOUBLE, 'northwest', 2 FROM nwc),
+best AS (SELECT problem, arg_min(method, struct_pack(c := total_cost, r := rank_)) AS best_method, min(total_cost) AS best_cost FROM costs GROUP BY problem)
+"""
+
+# Scenarios are problems of their own, named by (problem, scenario): the same balancing and walk, over quantities that are no whole numbers.
+SCENARIO = COMPARE + """,
+scenario_costs AS (
+  WITH RECURSIVE g(scenario, cap, dem, route) AS (VALUES """ + ", ".join(f"({k}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for k, (a, b, c) in enumerate(SCENARIOS)) + """),
+  src_at AS (SELECT *, row_number() OVER (PARTITION BY problem ORDER BY src = '~dummy', src) AS place FROM transport_supply),
+  dst_at AS (SELECT *, row_number() OVER (PARTITION BY problem ORDER BY dst = '~dummy', dst) AS place FROM transport_demand),
+  scenario_supply AS (SELECT struct_pack(p := problem, s := scenario) AS problem, src, qty * CASE WHEN place = 1 THEN 1 - cap / 100.0 ELSE 1.0 END AS qty FROM src_at, g),
+  scenario_demand AS (SELECT struct_pack(p := problem, s := scenario) AS problem, dst, qty * (1 + dem / 100.0) AS qty FROM dst_at, g),
+  scenario_cost AS (
+    SELECT struct_pack(p := c.problem, s := scenario) AS problem, c.src, c.dst,
+           unit_cost * CASE WHEN s.place IS NOT NULL AND d.place IS NOT NULL THEN 1 + route / 100.0 ELSE 1.0 END AS unit_cost
+    FROM transport_cost c LEFT JOIN src_at s ON s.problem = c.problem AND s.src = c.src AND s.place = 1
+    LEFT JOIN dst_at d ON d.problem = c.problem AND d.dst = c.dst AND d.place = 2, g)
+""" + LEAST.replace("transport_", "scenario_").replace("BIGINT", "DOUBLE") + """
+  SELECT w.problem.p AS problem, w.problem.s AS scenario, sum(w.q * cb.unit_cost) AS scenario_cost
+  FROM walk w JOIN cells c ON c.problem = w.problem AND c.k = w.k JOIN cb ON cb.problem = w.problem AND cb.src = c.src AND cb.dst = c.dst
+  GROUP BY 1, 2)
+"""
+
 
 def _tables(spark, sf):
     """The three aggregated tables, materialised once: each is read by several steps."""
@@ -105,16 +172,22 @@ def q_transport_least_cost(spark, sf):
     return M.greedy_allocation(*_balanced(spark, sf), "least_cost")
 
 
-@query("transport_vogel")
+@query("transport_vogel", VOGEL + """
+SELECT v.problem, r.src, c.dst, v.q AS qty FROM vogel v
+JOIN rows_ r ON r.problem = v.problem AND r.i = v.i JOIN cols_ c ON c.problem = v.problem AND c.j = v.j WHERE v.q > 0""", TV)
 def q_transport_vogel(spark, sf):
     return M.greedy_allocation(*_balanced(spark, sf), "vogel")
 
 
-@query("transport_compare")
+@query("transport_compare", COMPARE + """
+SELECT problem, total_cost, method, best_method, best_cost FROM costs JOIN best USING (problem)""", TV)
 def q_transport_compare(spark, sf):
-    return M.compare_methods(*_tables(spark, sf))
+    return M.compare_methods(transport_supply(spark, sf), transport_demand(spark, sf), transport_cost(spark, sf))
 
 
-@query("transport_scenarios")
+@query("transport_scenarios", SCENARIO + """
+SELECT problem, scenario, scenario_cost, best_cost, scenario_cost - best_cost AS delta,
+       CASE WHEN best_cost <> 0 THEN (scenario_cost - best_cost) / best_cost * 100.0 END AS change_pct
+FROM scenario_costs JOIN best USING (problem)""", TV)
 def q_transport_scenarios(spark, sf):
-    return M.scenarios(*_tables(spark, sf), SCENARIOS)
+    return M.scenarios(transport_supply(spark, sf), transport_demand(spark, sf), transport_cost(spark, sf), SCENARIOS)
