@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import parse as P
+from quarry.sources import spanning
 
 # Text read as missing (the common CSV missing-value tokens).
 NA_TOKENS = (
@@ -45,17 +46,20 @@ def file_traits(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         F.bool_or(quotes % 2 == 1).alias("spans_lines"))
 
 
-def read_delimited(spark: SparkSession, paths: Sequence[str], check_files: bool = True, normalize: bool = False) -> DataFrame:
+def read_delimited(spark: SparkSession, paths: Sequence[str], check_files: bool = True, normalize: bool = False, places: bool = False) -> DataFrame:
     """A1: header row, every column as text, NA tokens -> NULL.
 
     Separator: ',' for .csv/.txt and tab for .tsv.  Quotes inside a quoted
     field are doubled.  Encoding: UTF-8, or ISO-8859-1 for files that are not
     valid UTF-8 (the fallback never fails).  Files are read in groups of equal
-    separator, encoding, header and need for fields that span lines (only such
-    files give up splitting), and the groups are united by column name
-    (``normalize``: by normalised name, A2, as files may spell a header differently).
+    separator, encoding, header and need for fields that span lines, and the
+    groups are united by column name (``normalize``: by normalised name, A2, as
+    files may spell a header differently).  Files with fields that span lines
+    are split too (``spanning``); only those with quotes that are neither an end
+    of a field nor doubled are read by one task a file.
     ``check_files=False`` skips the pass over the lines for files known to be
-    plain UTF-8 with one header and no field that spans lines.
+    plain UTF-8 with one header and no field that spans lines.  ``places`` adds
+    each row's file and its place there (``_file``, ``_pos``).
     """
     paths = list(paths)
     for p in paths:
@@ -76,12 +80,36 @@ def read_delimited(spark: SparkSession, paths: Sequence[str], check_files: bool
         raise ValueError("no lines in any file")
     out = None
     for (sep, utf8, _, spans_lines), ps in groups.items():
-        df = (spark.read.option("header", "true").option("sep", sep).option("quote", '"').option("escape", '"')
-              .option("multiLine", str(spans_lines).lower()).option("encoding", "UTF-8" if utf8 else "ISO-8859-1")
-              .option("inferSchema", "false").csv(ps))
-        df = normalize_columns(df) if normalize else df
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out.select(*[F.when(F.col(f"`{c}`").isin(*NA_TOKENS), F.lit(None)).otherwise(F.col(f"`{c}`")).alias(c) for c in out.columns])
+        for df in _read_group(spark, ps, sep, utf8, spans_lines, places):
+            df = normalize_columns(df) if normalize else df
+            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    where = ["_file", "_pos"]
+    cells = [F.when(F.col(f"`{c}`").isin(*NA_TOKENS), F.lit(None)).otherwise(F.col(f"`{c}`")).alias(c) for c in out.columns if c not in where]
+    return out.select(*cells, *(where if places else []))
+
+
+def _read_group(spark: SparkSession, paths: list[str], sep: str, utf8: bool, spans_lines: bool, places: bool) -> list[DataFrame]:
+    """Files of equal traits; those whose fields span lines apart by how they can be read, in the order of the file unless rows carry their places."""
+    def reader(by_file: bool):
+        return (spark.read.option("header", "true").option("sep", sep).option("quote", '"').option("escape", '"')
+                .option("multiLine", str(by_file).lower()).option("encoding", "UTF-8" if utf8 else "ISO-8859-1").option("inferSchema", "false"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumns({"_file": F.input_file_name(), "_pos": F.monotonically_increasing_id()})
+
+    if not spans_lines:
+        return [placed(reader(False).csv(paths))]
+    lines = spanning.placed_lines(spark, paths, utf8)
+    bad = {_decoded(r["path"]) for r in spanning.misquoted(lines, sep).collect()}      # at most one row a file
+    apart = [p for p in paths if (_decoded(p) if urlparse(p).scheme else os.path.abspath(p)) in bad]
+    out = [placed(reader(True).csv(apart))] if apart else []
+    fine = [p for p in paths if p not in apart]
+    if fine:
+        if apart:
+            lines = spanning.placed_lines(spark, fine, utf8)
+        rows = spanning.parsed(spanning.joined_records(lines), reader(False).csv(fine[0]).columns, sep)
+        out.append(rows if places else rows.repartitionByRange("_file", "_pos").sortWithinPartitions("_file", "_pos"))
+    return out
 
 
 def normalize_columns(df: DataFrame) -> DataFrame:

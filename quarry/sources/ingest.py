@@ -24,8 +24,10 @@ def numbered(df: DataFrame) -> DataFrame:
 
     The scan-side id is stable for a given file layout, and numbering happens
     before empty rows are dropped, so the index is the row's original position.
+    Rows that ``read_delimited`` gave their places keep those.
     """
-    tagged = df.withColumns({"_file": F.input_file_name(), "_pos": F.monotonically_increasing_id()})
+    placed = {"_file", "_pos"} <= set(df.columns)
+    tagged = df if placed else df.withColumns({"_file": F.input_file_name(), "_pos": F.monotonically_increasing_id()})
     return with_row_index(tagged, ["_file", "_pos"], idx="row_index").drop("_file", "_pos")
 
 
@@ -69,7 +71,7 @@ def ingest(spark: SparkSession, paths: list[str], points_path: str, registry_pat
         store.append_registry(entry.withColumns({"created_at": now, "updated_at": now}), registry_path)
 
     try:
-        idx = numbered(read_delimited(spark, paths, normalize=True))
+        idx = numbered(read_delimited(spark, paths, normalize=True, places=True))
         raw = idx.drop("row_index")
         profile = detect_schema(profile_columns(raw, with_distinct="approx"))
         roles = C.plan_roles(raw, profile)

@@ -33,7 +33,7 @@ def _columns(spark: SparkSession, schema: str | StructType) -> list[str]:
 
 def read_files(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
     """The numbered rows of ``paths`` as text in the given columns: absent ones are NULL, others are left out."""
-    idx = numbered(read_delimited(spark, paths, normalize=True))
+    idx = numbered(read_delimited(spark, paths, normalize=True, places=True))
     return idx.select("row_index", *[F.col(f"`{c}`") if c in idx.columns else F.lit(None).cast("string").alias(c) for c in columns])
 
 
