@@ -376,12 +376,8 @@ def q_ingestion_report(spark, sf):
         "timestamp_failures", "valid_ratio", failures.alias("numeric_failures"))
 
 
-@query("stored_points", """
-SELECT dataset_id, CAST(CASE WHEN is_valid THEN 1 ELSE 0 END AS BIGINT) AS batch, count(*) AS points, CAST(sum(row_index) AS BIGINT) AS row_index_sum,
-       min("timestamp") AS first_point, max("timestamp") AS last_point
-FROM event_points WHERE dataset_id IN ('click', 'purchase') GROUP BY ALL""", ["event_points"])
-def q_stored_points(spark, sf):
-    """A5: batches of two datasets, one written again by a second attempt and one published from staging, read back."""
+def _stored(spark, sf) -> str:
+    """Two datasets stored as batches, one of them written again by a second attempt, the other published from staging."""
     import uuid
 
     from quarry.plans.views import event_points
@@ -396,10 +392,32 @@ def q_stored_points(spark, sf):
             own = points.where((F.col("dataset_id") == name) & (F.col("is_valid") == valid))
             store.write_points(own.select("row_index", "timestamp", "payload", "is_valid"), target, name, batch=batch)
     store.publish_points(spark, f"{folder}/staged", f"{folder}/points", "purchase")
-    return store.read_points(spark, f"{folder}/points").groupBy("dataset_id", F.col("batch").cast("bigint").alias("batch")).agg(
+    return f"{folder}/points"
+
+
+@query("stored_points", """
+SELECT dataset_id, CAST(CASE WHEN is_valid THEN 1 ELSE 0 END AS BIGINT) AS batch, count(*) AS points, CAST(sum(row_index) AS BIGINT) AS row_index_sum,
+       min("timestamp") AS first_point, max("timestamp") AS last_point
+FROM event_points WHERE dataset_id IN ('click', 'purchase') GROUP BY ALL""", ["event_points"])
+def q_stored_points(spark, sf):
+    """A5: batches of two datasets, read back."""
+    from quarry.sources import store
+
+    return store.read_points(spark, _stored(spark, sf)).groupBy("dataset_id", F.col("batch").cast("bigint").alias("batch")).agg(
         F.count(F.lit(1)).alias("points"), F.sum("row_index").alias("row_index_sum"), F.min("timestamp").alias("first_point"), F.max("timestamp").alias("last_point"))
 
 
+@query("stored_summaries", """
+SELECT dataset_id, count(*) AS point_count, min("timestamp") AS first_point, max("timestamp") AS last_point,
+       count_if(NOT is_valid) AS invalid_points, count(DISTINCT is_valid) AS batches
+FROM event_points WHERE dataset_id IN ('click', 'purchase') GROUP BY dataset_id""", ["event_points"])
+def q_stored_summaries(spark, sf):
+    """D5, D6 from the row stored with every batch."""
+    from quarry.sources import store
+
+    return store.stored_summaries(spark, _stored(spark, sf))
+
+
 @query("file_fingerprints", """
 SELECT o_orderstatus AS status, md5(string_agg(o_orderkey || ' ' || o_orderpriority, chr(10) ORDER BY o_orderkey) || chr(10)) AS md5,
        CAST(length(string_agg(o_orderkey || ' ' || o_orderpriority, chr(10))) + 1 AS BIGINT) AS length

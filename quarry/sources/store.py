@@ -31,14 +31,50 @@ def write_points(records: DataFrame, path: str, dataset_id: str, batch: int = 0)
     """A5: store records ``(row_index, timestamp, payload, is_valid)`` as one batch of ``dataset_id``.
 
     A batch replaces what an earlier attempt at the same batch wrote (dynamic
-    partition overwrite), so a repeated write never duplicates rows.
+    partition overwrite), so a repeated write never duplicates rows.  The
+    batch's counts and time range are stored beside it (``stored_summaries``).
     """
+    spark = records.sparkSession
+    drop_folder(spark, _summary_folder(path, dataset_id, batch))      # none rather than one of other points, should this attempt stop
     out = records.select(
         F.lit(dataset_id).alias("dataset_id"), F.lit(int(batch)).cast("bigint").alias("batch"), F.col("row_index").cast("bigint"), F.col("timestamp").cast("timestamp_ntz"),
         F.col("payload").cast("string"), F.col("is_valid").cast("boolean"),
         F.current_timestamp().cast("timestamp_ntz").alias("created_at"),
     )
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset_id", "batch").parquet(path)
+    _write_summary(spark, path, dataset_id, batch)
+
+
+def _summary_folder(path: str, dataset_id: str, batch: int) -> str:
+    return f"{path}/dataset_id={dataset_id}/_summary/{int(batch)}"      # hidden from reads of the points, moved with them
+
+
+def _point_aggregates() -> list[Column]:
+    return [F.count(F.lit(1)).alias("point_count"), F.min("timestamp").alias("first_point"), F.max("timestamp").alias("last_point"),
+            F.count_if(~F.col("is_valid")).alias("invalid_points")]
+
+
+def _write_summary(spark: SparkSession, path: str, dataset_id: str, batch: int) -> None:
+    """One row for a batch, from its stored points (two of their columns are read); a batch without points has none."""
+    folder = f"{path}/dataset_id={dataset_id}/batch={int(batch)}"
+    if not _exists(spark, folder):
+        return
+    row = spark.read.parquet(folder).agg(*_point_aggregates())
+    row.select(F.lit(dataset_id).alias("dataset_id"), F.lit(int(batch)).cast("bigint").alias("batch"), "*").coalesce(1).write.mode("overwrite").parquet(
+        _summary_folder(path, dataset_id, batch))
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def stored_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """Per dataset of the store, its points counted and dated from one stored row a batch; no point is read."""
+    rows = spark.read.parquet(f"{path}/dataset_id=*/_summary/*")
+    return rows.groupBy("dataset_id").agg(
+        F.sum("point_count").alias("point_count"), F.min("first_point").alias("first_point"), F.max("last_point").alias("last_point"),
+        F.sum("invalid_points").alias("invalid_points"), F.count(F.lit(1)).alias("batches"))
 
 
 def _move(fs, source, target) -> None:
@@ -189,10 +225,14 @@ def payload_numeric_agg(points: DataFrame, field: str, dataset_id: str | None =
     return group(x, keys).agg(F.count("_v").alias("count"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.avg("_v").alias("avg"))
 
 
-def dataset_summary(datasets: DataFrame, points: DataFrame) -> DataFrame:
-    """Datasets LEFT JOIN per-dataset point aggregates (aggregate before the join)."""
-    agg = points.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("point_count"), F.min("timestamp").alias("first_point"),
-                                           F.max("timestamp").alias("last_point"))
+def dataset_summary(datasets: DataFrame, points: DataFrame | None = None, summaries: DataFrame | None = None) -> DataFrame:
+    """Datasets LEFT JOIN per-dataset point aggregates (aggregate before the join).
+
+    The aggregates come from ``points``, or from ``summaries`` kept up to date
+    with every stored batch (``stored_summaries``).
+    """
+    agg = summaries if summaries is not None else points.groupBy("dataset_id").agg(*_point_aggregates())
+    agg = agg.select("dataset_id", "point_count", "first_point", "last_point")
     return datasets.join(agg, datasets.id == agg.dataset_id, "left").drop("dataset_id").withColumn(
         "point_count", F.coalesce("point_count", F.lit(0)))
 
