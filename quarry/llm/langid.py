@@ -5,8 +5,9 @@ language and task, summed by Spark); the log-probability matrix, languages x
 buckets, is broadcast and texts are scored in sparse numpy batches.
 
 Defined cases: null text or a text without letters is ``und`` with score 0;
-documents whose language is null are scored but not learned from; with nothing
-to learn from every text is ``und``; ties go to the smallest language name;
+documents whose language is null, or without an id, are scored but not learned
+from (rows without an id are not held out); with nothing to learn from every
+text is ``und``; ties go to the smallest language name;
 repeated rows are scored alike; an empty table gives an empty result; other
 columns are ignored.
 """
