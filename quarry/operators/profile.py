@@ -6,6 +6,11 @@ counts (both notations plus the European flag).  Exact distinct counts and
 sample values come from one unpivot to (column, value) + group-by.  The result
 is a small profile table (one row per column), and schema roles are assigned
 by Spark over that table (no collect).
+
+The counts of a batch of rows, with a sketch of each column's distinct values,
+are a state that can be stored and united with the states of other batches
+(``column_state``, ``unite_states``, ``profile_of_state``): a further batch
+updates the profile without reading the earlier ones.
 """
 
 from __future__ import annotations
@@ -38,8 +43,11 @@ def _long(df: DataFrame) -> DataFrame:
     ])).alias("s")).select("s.*")
 
 
-def column_stats(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
-    """Per-column counts: unpivot to (ordinal, text) and aggregate by ordinal.
+_SUMS = ("non_null", "bool_tokens", "_eu", "_ne", "_np", "dt_any")     # counts that add up over batches
+
+
+def column_state(df: DataFrame, sketch: bool = True) -> DataFrame:
+    """Per-column counts (and distinct-value sketch) that add up over batches: unpivot to (ordinal, text) and aggregate by ordinal.
 
     The aggregate list is the same whatever the number of columns (the plan
     does not grow with the table width) and partial aggregation runs map-side,
@@ -59,20 +67,47 @@ def column_stats(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
         F.count(P.parse_numeric_body(b, neg, False)).alias("_np"),
         F.array(*[F.count_if(F.col("fits")[i]) for i in range(len(P.DATETIME_FORMATS))]).alias("dt_counts"),
         F.count_if(F.array_contains("fits", True)).alias("dt_any"),
-        *([F.approx_count_distinct(t).alias("unique_count")] if approx_distinct else []),
+        *([F.hll_sketch_agg(t).alias("sketch")] if sketch else []),
     )
     meta = df.sparkSession.createDataFrame(
         [(i, f.name, _kind(f.dataType), P.name_score(f.name)) for i, f in enumerate(fields)],
         "ordinal int, column string, native string, name_score double")
-    out = F.broadcast(meta).join(stats, "ordinal")  # meta has one row per column
-    return out.select(
+    return F.broadcast(meta).join(stats, "ordinal")  # meta has one row per column
+
+
+def unite_states(states: DataFrame, batch: str = "batch") -> DataFrame:
+    """State of all batches from the states of each (told apart by column ``batch``); columns meet by name.
+
+    A column that a batch lacks counts as NULL in its rows.  Its place is the
+    first one it has anywhere; a column whose type differs is text.
+    """
+    rows = states.groupBy(batch).agg(F.max("total_count").alias("_rows")).agg(F.sum("_rows")).scalar()
+    layouts = len(P.DATETIME_FORMATS)
+    one = states.groupBy("column").agg(
+        F.min("ordinal").alias("ordinal"), F.max("name_score").alias("name_score"),
+        F.when(F.min("native") == F.max("native"), F.min("native")).otherwise("text").alias("native"),
+        *[F.sum(c).alias(c) for c in _SUMS],
+        F.array(*[F.sum(F.col("dt_counts")[i]) for i in range(layouts)]).alias("dt_counts"),
+        F.hll_union_agg("sketch").alias("sketch"))
+    return one.withColumn("total_count", rows)
+
+
+def _stats(state: DataFrame) -> DataFrame:
+    """Counts of a state under the column's number notation."""
+    sketched = [F.hll_sketch_estimate("sketch").alias("unique_count")] if "sketch" in state.columns else []
+    return state.select(
         "ordinal", "column", "native", "name_score", "total_count", "non_null", "bool_tokens",
         (F.col("_eu") > 0).alias("european"),
         F.when(F.col("_eu") > 0, F.col("_ne")).otherwise(F.col("_np")).alias("numeric_ok"),
-        "dt_counts", "dt_any", *(["unique_count"] if approx_distinct else []),
+        "dt_counts", "dt_any", *sketched,
     )
 
 
+def profile_of_state(state: DataFrame) -> DataFrame:
+    """B5 from a (united) state: distinct counts are estimates of the sketch, and there are no samples."""
+    return _profile(_stats(state).withColumn("sample_values", F.lit(None).cast("string")))
+
+
 def distinct_and_samples(df: DataFrame) -> DataFrame:
     """Exact distinct non-null count and the SAMPLE_SIZE smallest distinct values per column.
 
@@ -102,17 +137,22 @@ def profile_columns(df: DataFrame, with_distinct: bool | str = True) -> DataFram
     Type priority: boolean -> datetime (ratio >= 0.60) -> numeric (>= 0.70) -> text.
     Native typed columns keep their type (ratio 1.0).  ``with_distinct``: True
     for exact distinct counts and samples (shuffles every distinct cell),
-    "approx" for HyperLogLog counts in the same pass and no samples, False for
+    "approx" for a sketch's counts in the same pass and no samples, False for
     neither.
     """
     df = spread(df)
-    st = column_stats(df, with_distinct == "approx")
     if with_distinct == "approx":
-        st = st.withColumn("sample_values", F.lit(None).cast("string"))
-    elif with_distinct:
+        return profile_of_state(column_state(df))
+    st = _stats(column_state(df, sketch=False))
+    if with_distinct:
         st = st.join(distinct_and_samples(df), "column")
     else:  # role assignment needs neither distinct counts nor samples
         st = st.withColumns({"unique_count": F.lit(None).cast("bigint"), "sample_values": F.lit(None).cast("string")})
+    return _profile(st)
+
+
+def _profile(st: DataFrame) -> DataFrame:
+    """Ratios, best layout and inferred type from the counts."""
     nn = F.col("non_null")
     dt_best = F.array_max(F.col("dt_counts"))
     fmt_idx = F.array_position(F.col("dt_counts"), dt_best)  # first layout on ties

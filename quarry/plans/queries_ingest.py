@@ -116,6 +116,26 @@ def q_column_profile(spark, sf):
     return _profile(spark, sf, True)
 
 
+UNITED_COLS = ("ordinal, \"column\", name_score, european, total_count, non_null, null_count, null_ratio, datetime_ratio, datetime_format, "
+               "numeric_ratio, inferred_type, parse_success_ratio")
+
+
+@query("united_profile", profile_sql() + f"SELECT {UNITED_COLS} FROM profile2", RV)
+def q_united_profile(spark, sf):
+    """B5 of three batches, each profiled apart and stored, united from the stored states."""
+    import uuid
+
+    from quarry.session import checkpoint_dir
+
+    folder = f"{checkpoint_dir(spark)}/states-{uuid.uuid4().hex}"
+    rows = raw_orders(spark, sf)
+    for batch in range(3):
+        own = rows.where(F.pmod(F.coalesce(F.col("order_id").try_cast("bigint"), F.lit(0)), F.lit(3)) == batch)
+        B.column_state(own).withColumn("batch", F.lit(batch)).write.mode("append").parquet(folder)
+    united = B.profile_of_state(B.unite_states(spark.read.parquet(folder)))
+    return united.select(*[c.strip().strip('"') for c in UNITED_COLS.split(",")])
+
+
 @query("datetime_ratio", profile_sql() + "SELECT \"column\", datetime_ratio, datetime_format FROM profile2", RV)
 def q_datetime_ratio(spark, sf):
     return _profile(spark, sf).select("column", "datetime_ratio", "datetime_format")

@@ -12,9 +12,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.common import spread
 from quarry.functions.order import with_row_index
 from quarry.operators import clean as C
-from quarry.operators.profile import detect_schema, profile_columns
+from quarry.operators.profile import column_state, detect_schema, profile_of_state, unite_states
 from quarry.sources import store
 from quarry.sources.delimited import read_delimited
 
@@ -63,6 +64,7 @@ def ingest(spark: SparkSession, paths: list[str], points_path: str, registry_pat
     dataset_id, run_id = dataset_id or uuid.uuid4().hex, uuid.uuid4().hex
     name = name or os.path.splitext(os.path.basename(paths[0]))[0]
     reports_path = reports_path or f"{registry_path.rstrip('/')}_reports"
+    profiles_path = f"{reports_path.rstrip('/')}_profiles"
     staged = f"{points_path.rstrip('/')}/_staging-{dataset_id}"
 
     def log(**fields) -> None:
@@ -73,7 +75,9 @@ def ingest(spark: SparkSession, paths: list[str], points_path: str, registry_pat
     try:
         idx = numbered(read_delimited(spark, paths, normalize=True, places=True))
         raw = idx.drop("row_index")
-        profile = detect_schema(profile_columns(raw, with_distinct="approx"))
+        state = column_state(spread(raw)).withColumns({"dataset_id": F.lit(dataset_id), "run_id": F.lit(run_id)})
+        state.write.mode("append").parquet(profiles_path)
+        profile = detect_schema(profile_of_state(spark.read.parquet(profiles_path).where(F.col("run_id") == run_id)))
         roles = C.plan_roles(raw, profile)
         rec = C.records(idx, roles, keep=["row_index"])
         store.write_points(rec.select("row_index", "timestamp", "payload", "is_valid"), staged, dataset_id)
@@ -92,6 +96,13 @@ def ingest(spark: SparkSession, paths: list[str], points_path: str, registry_pat
     return spark.read.parquet(reports_path).where((F.col("run_id") == run_id) & (F.col("status") == "success"))
 
 
+def stored_profile(spark: SparkSession, reports_path: str) -> DataFrame:
+    """B5 over all datasets, each as its latest successful run read it, from the stored states; no file or point is read."""
+    runs = current_reports(spark.read.parquet(reports_path)).select("run_id")
+    states = spark.read.parquet(f"{reports_path.rstrip('/')}_profiles").join(runs, "run_id", "left_semi")
+    return profile_of_state(unite_states(states, "run_id"))
+
+
 def current_reports(reports: DataFrame) -> DataFrame:
     """The latest successful report of every dataset."""
     whole = F.struct(*[F.col(c) for c in reports.columns])
