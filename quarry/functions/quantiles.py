@@ -24,6 +24,7 @@ from quarry.session import checkpoint_dir
 BINS = 1024
 ACCURACY = 10_000
 MARGIN = 3 / ACCURACY    # bracket: the sketch's ranks this far (as a share of the rows) on both sides
+FEW_KEYS = 10_000        # up to here the brackets go to the rows; above, Spark decides
 
 
 def _on(keys: Sequence[str], prefix: str, more: Sequence[Column] = ()) -> Column:
@@ -56,12 +57,20 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
                 F.lit(2 * i + j).alias("t"), part((F.col("_n") - 1) * p).cast("bigint").alias("rank"),
                 (F.col("_least") if p <= MARGIN else F.col("_e")[2 * i]).alias("lo"),
                 (F.col("_most") if p >= 1 - MARGIN else F.col("_e")[2 * i + 1]).alias("hi")))
-    facts = _renamed(facts.select(*keys, "_n", "_least", "_most", F.array(*wanted).alias("_t")).checkpoint(eager=True), keys, "_f")
-    placed = rows.join(facts, _on(keys, "_f"))
-    tally = placed.groupBy(*keys).agg(
-        F.first("_n").alias("_n"), F.first("_least").alias("_least"), F.first("_most").alias("_most"), F.first("_t").alias("_t"),
-        F.array(*[F.count_if(F.col("_v") < F.col("_t")[t]["lo"]) for t in range(2 * len(probs))]).alias("_below"),
-        F.array(*[F.count_if(F.col("_v") <= F.col("_t")[t]["hi"]) for t in range(2 * len(probs))]).alias("_upto"))
+    facts = facts.select(*keys, "_n", "_least", "_most", F.array(*wanted).alias("_t")).checkpoint(eager=True)
+    few = facts.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+
+    def by_key(of_keys: DataFrame) -> DataFrame:
+        renamed = _renamed(of_keys, keys, "_f")
+        return F.broadcast(renamed) if few else renamed     # a hot key's rows stay where they are
+
+    # counts only: a buffer that held the brackets too would be aggregated by sorting the rows, each with a copy of them
+    counts = rows.join(by_key(facts.select(*keys, "_t")), _on(keys, "_f")).groupBy(*keys).agg(
+        *[F.count_if(F.col("_v") < F.col("_t")[t]["lo"]).alias(f"_below{t}") for t in range(2 * len(probs))],
+        *[F.count_if(F.col("_v") <= F.col("_t")[t]["hi"]).alias(f"_upto{t}") for t in range(2 * len(probs))])
+    tally = facts.join(_renamed(counts, keys, "_f"), _on(keys, "_f")).select(
+        *keys, "_n", "_least", "_most", "_t",
+        *[F.array(*[F.col(f"{name}{t}") for t in range(2 * len(probs))]).alias(name) for name in ("_below", "_upto")])
 
     def start(target: Column, i: Column) -> Column:
         held = (target["rank"] >= F.col("_below")[i]) & (target["rank"] < F.col("_upto")[i])
@@ -72,7 +81,7 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
 
     state = tally.select(*keys, "_n", F.inline(F.transform("_t", start))).checkpoint(eager=True)
     brackets = state.groupBy(*keys).agg(F.collect_list(F.struct("t", "lo", "hi")).alias("_t"))     # 2 * probs entries a key
-    inside = rows.join(_renamed(brackets, keys, "_f"), _on(keys, "_f")).select(
+    inside = rows.join(by_key(brackets), _on(keys, "_f")).select(
         *keys, "_v", F.explode(F.filter("_t", lambda b: (b["lo"] < b["hi"]) & (F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"]))["t"]).alias("_vt"))
     inside = inside.checkpoint(eager=True)
     done, open_ = state.where("lo >= hi"), state.where("lo < hi")
@@ -80,7 +89,7 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
         share = F.try_divide(F.col("_v") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2)   # halves: no overflow
         spot = F.least(F.lit(BINS - 2), F.coalesce(F.floor(share * BINS), F.lit(0)))
         spot = F.when(F.col("_v") >= F.col("hi"), BINS - 1).otherwise(spot)                          # the largest value apart: every round cuts
-        binned = inside.join(_renamed(open_, keys, "_f"), _on(keys, "_f", [F.col("_vt") == F.col("t")])).where("_v BETWEEN lo AND hi")
+        binned = inside.join(by_key(open_), _on(keys, "_f", [F.col("_vt") == F.col("t")])).where("_v BETWEEN lo AND hi")
         bins = binned.groupBy(*keys, "_n", "t", "rank", "below", spot.alias("_bin")).agg(
             F.count(F.lit(1)).alias("_c"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
         before = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys, "t").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -177,3 +177,24 @@ def test_describe_numeric(spark, way):
     got = {r["k"]: r for r in S.describe_numeric(df, "v", ["k"], way).collect()}
     assert (got["a"]["p25"], got["a"]["median"], got["a"]["p75"], got["a"]["max"]) == (1.5, 2.0, 6.0, 10.0)
     assert (got[None]["p25"], got[None]["median"], got[None]["count"]) == (5.25, 5.5, 2)
+
+
+def test_quantile_counts_never_sort_the_rows(spark):
+    """Each row once met a copy of its key's brackets in a sort; the counts are hash-aggregated now, for a few hot keys too."""
+    from quarry.functions import quantiles
+
+    df = spark.range(20_000).select((F.col("id") % 2).alias("k"), (F.col("id") * 7919 % 20_011).cast("double").alias("v"))
+    plans, kept = [], type(df).checkpoint
+
+    def noted(self, *args, **kwargs):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return kept(self, *args, **kwargs)
+
+    type(df).checkpoint = noted
+    try:
+        got = {r["k"]: r["quantiles"] for r in quantiles.exact_quantiles(df, "v", [0.25, 0.95], ["k"]).collect()}
+    finally:
+        type(df).checkpoint = kept
+    assert plans and not any("SortAggregate" in p or "SortMergeJoin" in p for p in plans[:3])
+    values = {r["k"]: r["q"] for r in df.groupBy("k").agg(F.percentile("v", [0.25, 0.95]).alias("q")).collect()}
+    assert got == values
