@@ -206,16 +206,22 @@ def salted_rank(df: DataFrame, keys: list[str], ties: list[Column], name: str, s
     )
 
 
+EDGES_A_FILE = 200_000
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an undirected edge list: one row (node, root) per node, root = smallest node.
 
     Alternating large-star / small-star contraction: every round is two joins
     of edges with per-node minima (partially aggregated), checkpointed; it ends
-    when a round changes nothing, when each edge points at its root.
+    when a round changes nothing, when each edge points at its root.  A round
+    is written in as many files as its edges need, whatever the number of
+    shuffle partitions: on a local file system every file costs two processes.
     """
     cur = materialise(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     )
+    files = 1 + cur.count() // EDGES_A_FILE       # a round never adds edges
     last = None
     while True:
         # large star: neighbours above a node move to the node's smallest neighbour
@@ -227,7 +233,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         tied = large.join(low, "u")
         small = tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v")))
-        cur = materialise(small.where("u <> v").distinct())
+        cur = materialise(small.where("u <> v").distinct().coalesce(files))
         state = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             break

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import prepare, spread, tidy
+from quarry.llm._common import prepare, release, spread, tidy
 from quarry.llm._ngrams import ngrams, slices
 
 SIZES = (3, 4, 5, 6)
@@ -197,6 +197,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     @F.pandas_udf("double")
     def toxic(text: pd.Series) -> pd.Series:
-        return pd.Series(score_texts(model.value, text.fillna("").tolist()))
+        found = pd.Series(score_texts(model.value, text.fillna("").tolist()))
+        release()                                # the worker lives on beside the stages that follow
+        return found
 
     return docs.where(toxic(F.col(text_col).cast("string")) < threshold)

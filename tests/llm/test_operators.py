@@ -729,3 +729,21 @@ def test_pipeline(spark):
         docs, rows = out, out.count()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "minhash", "mixing", "packing"]
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def test_rounds_of_components_are_written_in_few_files(spark, monkeypatch):
+    """Every round once wrote a file for each shuffle partition, however few edges it had."""
+    written = []
+    kept = common.materialise
+    monkeypatch.setattr(common, "materialise", lambda df: written.append(kept(df)) or written[-1])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "31")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.range(60).where("id % 20 <> 19").selectExpr("id AS a", "id + 1 AS b")
+        got = {r["node"]: r["root"] for r in common.components(edges, "a", "b").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {n: n // 20 * 20 for n in range(60)}
+    assert len(written) > 2 and all(df.rdd.getNumPartitions() == 1 for df in written[1:])
