@@ -80,7 +80,8 @@ def parse_numeric_body(b: Column, negative: Column, european: Column | bool, kee
     plain = F.translate(b, ",", "")
     eu_flag = F.lit(european) if isinstance(european, bool) else european
     cleaned = F.when(eu_flag, F.when(b.rlike(EURO_PATTERN), eu).otherwise(b)).otherwise(plain)
-    x = _finite(cleaned.try_cast("double"))
+    # no number is without digits or has one of these signs behind a digit; a cast that fails costs an exception
+    x = _finite(F.when(cleaned.rlike("[0-9]") & ~cleaned.rlike("[0-9][-:/]"), cleaned.try_cast("double")))
     return F.when(negative & F.lit(keep_sign), -x).otherwise(x)
 
 
@@ -114,18 +115,26 @@ def parse_datetime(c: Column, fmt: str) -> Column:
 
     Text without a zone keeps its wall clock; text with an offset is converted to UTC.
     """
+    parsed = parse_dated(c, fmt)
+    return F.when(looks_like_date(c), parsed) if fmt in DATETIME_SHAPES else parsed
+
+
+def parse_dated(c: Column, fmt: str) -> Column:
+    """``parse_datetime`` of a value that is known to look like a date."""
     parsed = F.try_to_timestamp(text(c), F.lit(fmt))
     if "X" in fmt:
         parsed = F.to_utc_timestamp(parsed, F.current_timezone())
     parsed = parsed.cast("timestamp_ntz")
     shape = DATETIME_SHAPES.get(fmt)
-    return parsed if shape is None else F.when(looks_like_date(c) & text(c).rlike(shape), parsed)
+    return parsed if shape is None else F.when(text(c).rlike(shape), parsed)
 
 
 def parse_any_datetime(c: Column, first: str | None = None) -> Column:
     """C4: the column's main layout first, then the other layouts in their order, per value."""
     layouts = [f for f, _ in DATETIME_FORMATS]
-    return F.coalesce(*[parse_datetime(c, f) for f in ([first] if first else []) + [f for f in layouts if f != first]])
+    known = ([first] if first in layouts else []) + [f for f in layouts if f != first]
+    parsed = F.when(looks_like_date(c), F.coalesce(*[parse_dated(c, f) for f in known]))     # one test for all layouts
+    return F.coalesce(parse_datetime(c, first), parsed) if first and first not in layouts else parsed
 
 
 def looks_like_date(c: Column) -> Column:

@@ -55,7 +55,7 @@ def column_state(df: DataFrame, sketch: bool = True) -> DataFrame:
     """
     fields = df.schema.fields
     # which layouts a cell fits; the many layouts are tried only on cells that look like dates
-    fits = F.when(P.looks_like_date(F.col("v")), F.array(*[P.parse_datetime(F.col("v"), f).isNotNull() for f, _ in P.DATETIME_FORMATS]))
+    fits = F.when(P.looks_like_date(F.col("v")), F.array(*[P.parse_dated(F.col("v"), f).isNotNull() for f, _ in P.DATETIME_FORMATS]))
     x = _long(df).select("ordinal", "v", P.numeric_body(F.col("v")).alias("b"), P.is_negative(F.col("v")).alias("neg"), fits.alias("fits"))
     t, b, neg = F.col("v"), F.col("b"), F.col("neg")
     stats = x.groupBy("ordinal").agg(

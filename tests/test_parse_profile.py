@@ -143,3 +143,15 @@ def test_fingerprints_and_delimited_read(spark, tmp_path):
     assert fp.count() == 2
     registry = fp.where(F.col("path").endswith("a.csv")).select("md5")
     assert [r["path"].endswith("b.tsv") for r in new_files(fp, registry).collect()] == [True]
+
+
+def test_all_layouts_share_one_test_and_no_hopeless_cast(spark):
+    """Each of the layouts once repeated the test for dates; text without a number in it cost a failed cast."""
+    plan = spark.range(1).select(P.parse_any_datetime(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("[-/.]\\d{1,2}[-/.]") == 1
+    values = ["5-LOW", "1996-01-02", "-1e-5", "1E+3", "+.5", "12:30", "1/2", "x", "", None, "$1,234", "7%", "-3", "nan", "0-", "1.234,00"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = [r[0] for r in df.select(P.parse_numeric(F.col("v"), False)).collect()]
+    assert got == [None, None, -1e-5, 1e3, 0.5, None, None, None, None, None, 1234.0, 7.0, -3.0, None, None, 1.234]
+    cast = spark.range(1).select(P.parse_numeric(F.lit("x"), False).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert "[0-9][-:/]" in cast
