@@ -7,9 +7,11 @@ convert them to delimited files first.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Sequence
 from urllib.parse import unquote, urlparse
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,14 +101,18 @@ def _read_group(spark: SparkSession, paths: list[str], sep: str, utf8: bool, spa
 
     if not spans_lines:
         return [placed(reader(False).csv(paths))]
-    lines = spanning.placed_lines(spark, paths, utf8)
-    bad = {_decoded(r["path"]) for r in spanning.misquoted(lines, sep).collect()}      # at most one row a file
+    # kept on the executors' disks: the test of the quotes, the records' lines and places, and the ranges of their order
+    # all read them; a mark of this call, as a file may have changed since an earlier one
+    marked = spanning.placed_lines(spark, paths, utf8).withColumn("_call", F.lit(uuid.uuid4().hex))
+    lines = marked.persist(StorageLevel.DISK_ONLY).drop("_call")
+    named = [r["path"] for r in spanning.misquoted(lines, sep).collect()]      # at most one row a file
+    bad = {_decoded(p) for p in named}
     apart = [p for p in paths if (_decoded(p) if urlparse(p).scheme else os.path.abspath(p)) in bad]
     out = [placed(reader(True).csv(apart))] if apart else []
     fine = [p for p in paths if p not in apart]
     if fine:
         if apart:
-            lines = spanning.placed_lines(spark, fine, utf8)
+            lines = lines.where(~F.col("path").isin(named))
         rows = spanning.parsed(spanning.joined_records(lines), reader(False).csv(fine[0]).columns, sep)
         out.append(rows if places else rows.repartitionByRange("_file", "_pos").sortWithinPartitions("_file", "_pos"))
     return out

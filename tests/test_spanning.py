@@ -79,3 +79,13 @@ def test_quotes_that_are_no_field_ends_take_the_whole_file_reader(spark, tiny_sp
 def test_short_and_long_records(spark, tiny_splits):
     path = _write("w.csv", 'id,t,u\n1\n2,"a\nb",c,extra\n3,NA,"N/A"\n')
     assert _rows(read_delimited(spark, [path])) == [["1", None, None], ["2", "a\nb", "c"], ["3", None, None]]
+
+
+def test_lines_are_placed_once(spark, tmp_path):
+    """The files were read and their lines placed again for every step that uses them; a file written anew is read anew."""
+    path = tmp_path / "a.csv"
+    for last in ("x", "z"):
+        path.write_text(f'k,v\n1,"two\nlines"\n2,{last}\n')
+        df = read_delimited(spark, [str(path)], places=True)
+        assert "InMemoryTableScan" in df._jdf.queryExecution().toString()
+        assert {(r["k"], r["v"]) for r in df.collect()} == {("1", "two\nlines"), ("2", last)}
